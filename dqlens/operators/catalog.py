@@ -17,7 +17,7 @@ folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqlens.functions import constants as K
@@ -74,9 +74,8 @@ def dataset_detail(catalog: DataFrame, reports: DataFrame, dataset_id=None,
         info = info.where(F.col("user_id") == F.lit(user_id))
         rep = rep.where(F.col("user_id") == F.lit(user_id))
     keep = report_cols or [c for c in rep.columns if c not in ("dataset_id", "user_id")]
-    rep = rep.select("dataset_id", "user_id", *keep)
-    info_cols = [c for c in info.columns if c not in keep]
-    return info.select(*info_cols).join(rep, ["dataset_id", "user_id"], "left")
+    rep = rep.select("dataset_id", "user_id", F.struct(*keep).alias("analysis"))
+    return info.join(rep, ["dataset_id", "user_id"], "left")
 
 
 def status_view(catalog: DataFrame) -> DataFrame:
@@ -126,7 +125,3 @@ def archive(catalog: DataFrame, reports: DataFrame, drop: DataFrame) -> tuple[Da
     keys = drop.select("dataset_id", "user_id")
     return (catalog.join(keys, ["dataset_id", "user_id"], "left_anti"),
             reports.join(keys, ["dataset_id", "user_id"], "left_anti"))
-
-
-def progress_column() -> Column:
-    return progress_of(F.col("status"))

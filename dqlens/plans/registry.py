@@ -17,8 +17,9 @@ from dqlens.operators import catalog as C
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
 from dqlens.sources import csv as S
+from dqlens.functions import constants as K
 from dqlens.sources.tables import (DIRTY_WANTED, catalog_events_standin, catalog_standin,
-                                   dirty, reports_standin, table)
+                                   dirty, reports_standin, table, uploads_standin)
 from dqlens.session import scratch_path
 
 # --------------------------------------------------------------------------
@@ -119,11 +120,6 @@ PROFILE_SQL = DIRTY_SQL + ", " + MISSING_SQL + ", " + DISTINCT_SQL + ", " + BAD_
 HEAVY = "(row_count > 0 AND CAST(n_missing AS DOUBLE) / row_count > 0.2)"
 
 
-def _names_text(cond: str) -> str:
-    return (f"string_agg(CASE WHEN {cond} AND rk <= 5 THEN column_name END, ', ' ORDER BY position)"
-            f" || CASE WHEN COUNT(*) FILTER (WHERE {cond}) > 5 THEN '…' ELSE '' END")
-
-
 SUGGESTIONS_SQL = PROFILE_SQL + f""", ranked AS (
  SELECT *, ROW_NUMBER() OVER (PARTITION BY is_constant ORDER BY position) AS rk_c,
         ROW_NUMBER() OVER (PARTITION BY {HEAVY} ORDER BY position) AS rk_h FROM prof),
@@ -184,9 +180,244 @@ PROFILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# --------------------------------------------------------------------------
+# CSV family: files Spark writes from the tables below the shared folder
+# --------------------------------------------------------------------------
+
+def q_csv_scan_typed(spark: SparkSession, sf: str) -> DataFrame:
+    path = S.write_csv(table(spark, sf, "orders"), scratch_path(spark, "orders-csv"))
+    typed = S.read_typed(spark, path)
+    return typed.select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+        F.col("o_custkey").cast("bigint").alias("o_custkey"),
+        "o_orderstatus", "o_totalprice",
+        F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
+        "o_orderpriority")
+
+
+def q_csv_scan_raw(spark: SparkSession, sf: str) -> DataFrame:
+    dialect = {"multiLine": True, "escape": '"'}
+    path = S.write_csv(table(spark, sf, "documents"), scratch_path(spark, "documents-csv"), escape='"')
+    return S.read_raw(spark, path, **dialect)
+
+
+def q_schema_report(spark: SparkSession, sf: str) -> DataFrame:
+    path = S.write_csv(dirty(spark, sf), scratch_path(spark, "dirty-csv"))
+    return P.schema_report(S.read_typed(spark, path))
+
+
+def q_line_count(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "documents-text")
+    table(spark, sf, "documents").select("text").write.text(path)
+    return S.line_count(spark, path)
+
+
+def q_row_limit_gate(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name in ("orders", "lineitem"):
+        path = S.write_csv(table(spark, sf, name), scratch_path(spark, f"{name}-csv"))
+        gate = S.row_limit_gate(spark, path, K.DEFAULT_MAX_CSV_ROWS).select(
+            F.lit(name).alias("table_name"), "n_rows", "max_rows", "accepted")
+        out = gate if out is None else out.unionByName(gate)
+    return out
+
+
+def q_accept_file(spark: SparkSession, sf: str) -> DataFrame:
+    return S.accept_files(uploads_standin(spark, sf), "filename", "mime")
+
+
+def q_csv_profile(spark: SparkSession, sf: str) -> DataFrame:
+    path = S.write_csv(dirty(spark, sf), scratch_path(spark, "dirty-csv"))
+    typed = S.read_typed(spark, path)
+    raw = S.read_raw(spark, path)
+    return P.profile_columns(typed, raw, typed.schema).select(
+        P.NAME, "dtype", "row_count", "n_missing", "n_distinct", "is_constant", "n_bad")
+
+
+def q_landing_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    from dqlens.operators.storage import land_raw, read_landed
+    base = scratch_path(spark, "landing")
+    orders = table(spark, sf, "orders")
+    raw = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
+    for _ in range(2):          # landing twice must leave one copy
+        land_raw(raw, base, user_id=42, dataset_id=1)
+    back = read_landed(spark, base, user_id=42, dataset_id=1)
+    return back.select(*[F.col(c).try_cast(t).alias(c) for c, t in orders.dtypes],
+                       "user_id", "dataset_id")
+
+
+CSV_QUERIES = {
+    "csv_scan_typed": q_csv_scan_typed,
+    "csv_scan_raw": q_csv_scan_raw,
+    "schema_report": q_schema_report,
+    "line_count": q_line_count,
+    "row_limit_gate": q_row_limit_gate,
+    "accept_file": q_accept_file,
+    "csv_profile": q_csv_profile,
+    "landing_roundtrip": q_landing_roundtrip,
+}
+
+_INT_OR_BIG = ("CASE WHEN (SELECT MAX(o_orderkey) FROM orders) <= 2147483647 "
+               "AND (SELECT MIN(o_orderkey) FROM orders) >= -2147483648 THEN 'int' ELSE 'bigint' END")
+
+CSV_ORACLES = {
+    "csv_scan_typed": "SELECT * FROM orders",
+    "csv_scan_raw": ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, "
+                     "CAST(n_chars AS VARCHAR) AS n_chars FROM documents"),
+    "schema_report": (
+        f"SELECT * FROM (VALUES (0, 'o_orderkey', {_INT_OR_BIG}), (1, 'priority_txt', 'string'), "
+        "(2, 'price', 'double'), (3, 'cust_txt', 'string'), (4, 'const_col', 'string'), "
+        "(5, 'empty_col', 'string')) t(position, column_name, dtype)"),
+    "line_count": ("SELECT CAST(SUM(1 + LENGTH(text) - LENGTH(REPLACE(text, chr(10), ''))) AS BIGINT)"
+                   " AS line_count FROM documents"),
+    "row_limit_gate": (
+        "SELECT 'orders' AS table_name, COUNT(*) AS n_rows, CAST(20000 AS BIGINT) AS max_rows, "
+        "COUNT(*) <= 20000 AS accepted FROM orders UNION ALL "
+        "SELECT 'lineitem', COUNT(*), 20000, COUNT(*) <= 20000 FROM lineitem"),
+    "accept_file": (
+        "SELECT o_orderkey AS dataset_id, filename, mime, "
+        "(LOWER(filename) LIKE '%.csv' OR COALESCE(mime IN ('text/csv', 'application/vnd.ms-excel', "
+        "'application/csv', 'text/plain'), FALSE)) AS accepted FROM ("
+        "SELECT o_orderkey, 'orders_' || CAST(o_orderkey AS VARCHAR) || CASE o_orderstatus "
+        "WHEN 'F' THEN '.CSV' WHEN 'O' THEN '.csv.gz' WHEN 'P' THEN '.txt' END AS filename, "
+        "CASE o_orderpriority WHEN '1-URGENT' THEN 'text/csv' WHEN '2-HIGH' THEN 'application/json' "
+        "WHEN '3-MEDIUM' THEN 'text/plain' WHEN '5-LOW' THEN 'application/vnd.ms-excel' END AS mime "
+        "FROM orders) t"),
+    # a CSV round trip turns '' and all-space text into null (the writer trims
+    # spaces, the reader maps empty to null); 'NaN' text stays text
+    "csv_profile": DIRTY_SQL.replace("WITH dirty AS (", "WITH dirty0 AS (") + """, dirty AS (
+ SELECT o_orderkey, CASE WHEN LENGTH(TRIM(priority_txt)) = 0 THEN NULL ELSE priority_txt END AS priority_txt,
+  price, CASE WHEN LENGTH(TRIM(cust_txt)) = 0 THEN NULL ELSE cust_txt END AS cust_txt,
+  const_col, empty_col FROM dirty0)
+, """ + MISSING_SQL + ", " + DISTINCT_SQL + f"""
+SELECT m.column_name, CASE m.column_name WHEN 'o_orderkey' THEN {_INT_OR_BIG} WHEN 'price' THEN 'double'
+  ELSE 'string' END AS dtype, m.row_count, m.n_missing, d.n_distinct, d.n_distinct <= 1 AS is_constant,
+  CAST(0 AS BIGINT) AS n_bad
+FROM missing m JOIN distinct_n d USING (position, column_name)""",
+    "landing_roundtrip": "SELECT *, 42 AS user_id, 1 AS dataset_id FROM orders",
+}
+
+
+# --------------------------------------------------------------------------
+# catalogue family: orders read as a dataset catalogue
+# --------------------------------------------------------------------------
+
+LIST_OWNER = 42
+
+
+def q_catalog_list(spark: SparkSession, sf: str) -> DataFrame:
+    return C.catalog_list(catalog_standin(spark, sf), LIST_OWNER)
+
+
+def q_dataset_detail(spark: SparkSession, sf: str) -> DataFrame:
+    d = C.dataset_detail(catalog_standin(spark, sf), reports_standin(spark, sf))
+    return d.select("dataset_id", "user_id", "name", "status", "hdfs_path",
+                    F.col("analysis.generated_at").alias("generated_at"),
+                    F.col("analysis.report_rows").alias("report_rows"),
+                    F.col("analysis.report_columns").alias("report_columns"))
+
+
+def q_catalog_current(spark: SparkSession, sf: str) -> DataFrame:
+    events = catalog_events_standin(spark, sf)
+    fields = [c for c in events.columns if c not in ("dataset_id", "user_id", "updated_at")]
+    cur = C.with_names(C.current_catalog(events, fields)).drop("custom_raw")
+    return cur.select("dataset_id", "user_id", "name", "custom_name", "filename", "status", "step",
+                      "row_count", "column_count", "hdfs_path", "error_message", "created_at",
+                      "updated_at")
+
+
+def q_status_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return C.status_view(catalog_standin(spark, sf))
+
+
+def q_display_name(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog_standin(spark, sf).select("dataset_id", "filename", "custom_name", "name")
+
+
+def _drop_set(cat: DataFrame) -> DataFrame:
+    return cat.where(F.col("created_at") < F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+def q_archive_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    cat = catalog_standin(spark, sf)
+    kept, _ = C.archive(cat, reports_standin(spark, sf), _drop_set(cat))
+    return kept.select("dataset_id", "user_id", "status")
+
+
+def q_archive_reports(spark: SparkSession, sf: str) -> DataFrame:
+    cat = catalog_standin(spark, sf)
+    _, kept = C.archive(cat, reports_standin(spark, sf), _drop_set(cat))
+    return kept.select("dataset_id", "user_id", "generated_at")
+
+
+CATALOG_QUERIES = {
+    "catalog_list": q_catalog_list,
+    "dataset_detail": q_dataset_detail,
+    "catalog_current": q_catalog_current,
+    "status_progress": q_status_progress,
+    "display_name": q_display_name,
+    "archive_dataset": q_archive_dataset,
+    "archive_reports": q_archive_reports,
+}
+
+CATALOG_SQL = """WITH base AS (
+ SELECT o_orderkey AS dataset_id, o_custkey AS user_id, o_orderdate AS created_at, o_totalprice,
+  'orders_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS filename,
+  CASE WHEN o_orderstatus = 'P' THEN 'archived'
+       WHEN o_orderpriority = '1-URGENT' THEN 'done' WHEN o_orderpriority = '2-HIGH' THEN 'analyzing'
+       WHEN o_orderpriority = '3-MEDIUM' THEN 'uploading_hdfs'
+       WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'failed' ELSE 'queued' END AS status,
+  CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS custom_name
+ FROM orders),
+cat AS (
+ SELECT dataset_id, user_id, COALESCE(custom_name, filename) AS name, custom_name, filename, status,
+  'initial_analysis' AS step,
+  CASE WHEN status = 'done' THEN CAST(FLOOR(o_totalprice) AS BIGINT) END AS row_count,
+  CASE WHEN status = 'done' THEN CAST(9 AS BIGINT) END AS column_count,
+  CASE WHEN status NOT IN ('queued', 'uploading_hdfs') THEN '/user_datasets/' || CAST(user_id AS VARCHAR)
+       || '/' || CAST(dataset_id AS VARCHAR) || '/raw.csv' END AS hdfs_path,
+  CASE WHEN status = 'failed' THEN 'cannot read ' || filename END AS error_message,
+  created_at,
+  created_at + to_minutes(CASE status WHEN 'queued' THEN 0 WHEN 'uploading_hdfs' THEN 1
+                                      WHEN 'analyzing' THEN 2 ELSE 3 END) AS updated_at
+ FROM base),
+reports AS (
+ SELECT dataset_id, user_id, updated_at AS generated_at, hdfs_path, row_count AS report_rows,
+        column_count AS report_columns FROM cat WHERE status = 'done')
+"""
+
+CATALOG_ORACLES = {
+    "catalog_list": CATALOG_SQL + (
+        f"SELECT dataset_id, name, filename, custom_name, row_count, column_count, step, status, created_at "
+        f"FROM cat WHERE user_id = {LIST_OWNER} ORDER BY created_at DESC, dataset_id DESC"),
+    "dataset_detail": CATALOG_SQL + (
+        "SELECT c.dataset_id, c.user_id, c.name, c.status, c.hdfs_path, r.generated_at, r.report_rows,"
+        " r.report_columns FROM cat c LEFT JOIN reports r ON c.dataset_id = r.dataset_id AND c.user_id = r.user_id"),
+    "catalog_current": CATALOG_SQL + (
+        "SELECT dataset_id, user_id, name, custom_name, filename, status, step, row_count, column_count,"
+        " hdfs_path, error_message, created_at, updated_at FROM cat"),
+    "status_progress": CATALOG_SQL + """SELECT dataset_id, COALESCE(status, 'queued') AS status, step,
+  CASE COALESCE(status, 'queued') WHEN 'queued' THEN 0 WHEN 'uploading_hdfs' THEN 25 WHEN 'analyzing' THEN 75
+       WHEN 'done' THEN 100 WHEN 'failed' THEN 100 ELSE 0 END AS progress,
+  error_message, updated_at,
+  CASE COALESCE(status, 'queued') WHEN 'queued' THEN 'En file d’attente' WHEN 'uploading_hdfs' THEN 'Transfert des données'
+       WHEN 'analyzing' THEN 'Analyse en cours' WHEN 'done' THEN 'Terminé' WHEN 'failed' THEN 'Échec'
+       ELSE COALESCE(status, 'queued') END AS status_label,
+  CASE step WHEN 'initial_analysis' THEN 'Analyse préliminaire' ELSE step END AS step_label
+FROM cat""",
+    "display_name": CATALOG_SQL + "SELECT dataset_id, filename, custom_name, name FROM cat",
+    "archive_dataset": CATALOG_SQL + (
+        "SELECT dataset_id, user_id, status FROM cat c WHERE NOT EXISTS (SELECT 1 FROM cat d"
+        " WHERE d.created_at < TIMESTAMP '1996-01-01' AND d.dataset_id = c.dataset_id AND d.user_id = c.user_id)"),
+    "archive_reports": CATALOG_SQL + (
+        "SELECT dataset_id, user_id, generated_at FROM reports r WHERE NOT EXISTS (SELECT 1 FROM cat d"
+        " WHERE d.created_at < TIMESTAMP '1996-01-01' AND d.dataset_id = r.dataset_id AND d.user_id = r.user_id)"),
+}
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(PROFILE_QUERIES)
+    return {**PROFILE_QUERIES, **CSV_QUERIES, **CATALOG_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(PROFILE_ORACLES)
+    return {**PROFILE_ORACLES, **CSV_ORACLES, **CATALOG_ORACLES}

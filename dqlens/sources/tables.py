@@ -162,3 +162,32 @@ def reports_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dataset_id", "user_id", F.col("updated_at").alias("generated_at"),
         "hdfs_path", F.col("row_count").alias("report_rows"),
         F.col("column_count").alias("report_columns"))
+
+
+# fixed mapping of the stand-in: order priority -> declared MIME type of the
+# upload, and order status -> file-name suffix
+PRIORITY_MIME = {
+    "1-URGENT": "text/csv",
+    "2-HIGH": "application/json",
+    "3-MEDIUM": "text/plain",
+    "4-NOT SPECIFIED": None,
+    "5-LOW": "application/vnd.ms-excel",
+}
+STATUS_SUFFIX = {"F": ".CSV", "O": ".csv.gz", "P": ".txt"}
+
+
+def uploads_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload requests ``(dataset_id, filename, mime)`` derived from orders."""
+    o = table(spark, sf_dir, "orders")
+    mime = None
+    for p, m in PRIORITY_MIME.items():
+        v = F.lit(m) if m is not None else F.lit(None).cast("string")
+        mime = F.when(F.col("o_orderpriority") == p, v) if mime is None else mime.when(F.col("o_orderpriority") == p, v)
+    suffix = None
+    for s, x in STATUS_SUFFIX.items():
+        suffix = F.when(F.col("o_orderstatus") == s, F.lit(x)) if suffix is None else suffix.when(F.col("o_orderstatus") == s, F.lit(x))
+    return o.select(
+        F.col("o_orderkey").alias("dataset_id"),
+        F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string"), suffix).alias("filename"),
+        mime.alias("mime"),
+    )
