@@ -415,9 +415,87 @@ FROM cat""",
 }
 
 
+# --------------------------------------------------------------------------
+# whole-table profiles of the other driver tables (long texts, arrays)
+# --------------------------------------------------------------------------
+
+# column lists of the driver tables: (name, Spark simpleString)
+TABLE_COLUMNS = {
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
+                  ("source", "string"), ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"),
+               ("event_type", "string"), ("value", "double"), ("props", "string")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
+}
+
+
+def _table_profile_query(name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return P.column_stats(table(spark, sf, name)).select(
+            P.NAME, "dtype", "row_count", "n_missing", "n_distinct")
+    run.__name__ = f"q_{name}_profile"
+    return run
+
+
+def _table_profile_sql(name: str) -> str:
+    parts = []
+    for c, t in TABLE_COLUMNS[name]:
+        miss = f"{c} IS NULL" + (f" OR LENGTH(TRIM({c})) = 0 OR LOWER({c}) = 'nan'" if t == "string" else "")
+        parts.append(
+            f"SELECT '{c}' AS column_name, '{t}' AS dtype, COUNT(*) AS row_count, "
+            f"CAST(SUM(CASE WHEN {miss} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+            f"(SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM {name}) d) AS n_distinct FROM {name}")
+    return "\n UNION ALL ".join(parts)
+
+
+TABLE_QUERIES = {f"{n}_profile": _table_profile_query(n) for n in TABLE_COLUMNS}
+TABLE_ORACLES = {f"{n}_profile": _table_profile_sql(n) for n in TABLE_COLUMNS}
+
+
+# --------------------------------------------------------------------------
+# folder stream: every dataset folder profiled once (availableNow)
+# --------------------------------------------------------------------------
+
+def q_stream_profile(spark: SparkSession, sf: str) -> DataFrame:
+    from dqlens.plans.jobs import Layout, current_catalog
+    from dqlens.streaming.folder_ingest import ingest_folder_stream
+    root = scratch_path(spark, "stream")
+    for name in ("orders", "lineitem"):
+        S.write_csv(table(spark, sf, name), f"{root}/incoming/{name}")
+    ingest_folder_stream(spark, f"{root}/incoming", f"{root}/store", "streamer")
+    cols = spark.read.parquet(Layout(f"{root}/store").columns)
+    cat = current_catalog(spark, f"{root}/store", "streamer").select(
+        "dataset_id", "user_id", F.col("filename").alias("dataset_name"))
+    return cols.join(cat, ["dataset_id", "user_id"]).select(
+        "dataset_name", P.NAME, "row_count", "n_missing", "n_distinct", "n_bad")
+
+
+def _stream_sql() -> str:
+    cols = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                       "o_orderpriority"],
+            "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                         "l_shipdate"]}
+    parts = []
+    for t, cs in cols.items():
+        for c in cs:
+            parts.append(
+                f"SELECT '{t}' AS dataset_name, '{c}' AS column_name, COUNT(*) AS row_count, "
+                f"CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, "
+                f"(SELECT COUNT(*) FROM (SELECT DISTINCT {c} FROM {t}) d) AS n_distinct, "
+                f"CAST(0 AS BIGINT) AS n_bad FROM {t}")
+    return "\n UNION ALL ".join(parts)
+
+
+STREAM_QUERIES = {"stream_profile": q_stream_profile}
+STREAM_ORACLES = {"stream_profile": _stream_sql()}
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**PROFILE_QUERIES, **CSV_QUERIES, **CATALOG_QUERIES}
+    return {**PROFILE_QUERIES, **CSV_QUERIES, **CATALOG_QUERIES, **TABLE_QUERIES, **STREAM_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    return {**PROFILE_ORACLES, **CSV_ORACLES, **CATALOG_ORACLES}
+    return {**PROFILE_ORACLES, **CSV_ORACLES, **CATALOG_ORACLES, **TABLE_ORACLES, **STREAM_ORACLES}
