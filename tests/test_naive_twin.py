@@ -1,0 +1,39 @@
+"""One-pass profile == naive per-column profile (the survey's naive twin)."""
+
+from conftest import SF_SMALL
+from naive import naive_profile
+
+from dqlens.operators import profile as P
+from dqlens.sources.tables import DIRTY_WANTED, dirty, table
+
+
+def _fast(typed, raw=None, wanted=None):
+    rows = P.profile_columns(typed, raw, wanted).collect()
+    return {
+        "row_count": rows[0]["row_count"] if rows else typed.count(),
+        "missing": {r["column_name"]: r["n_missing"] for r in rows},
+        "distinct": {r["column_name"]: r["n_distinct"] for r in rows},
+        "bad": {r["column_name"]: r["n_bad"] for r in rows if r["n_bad"] > 0},
+    }
+
+
+def test_dirty_view(spark):
+    from pyspark.sql import types as T
+    d = dirty(spark, SF_SMALL)
+    wanted = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in DIRTY_WANTED.items()])
+    assert _fast(d, wanted=wanted) == naive_profile(d, wanted=wanted)
+
+
+def test_lineitem(spark):
+    li = table(spark, SF_SMALL, "lineitem")
+    assert _fast(li) == naive_profile(li)
+
+
+def test_embeddings_arrays(spark):
+    em = table(spark, SF_SMALL, "embeddings")
+    assert _fast(em) == naive_profile(em)
+
+
+def test_long_texts(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    assert _fast(docs) == naive_profile(docs)
