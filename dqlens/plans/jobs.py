@@ -110,7 +110,8 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
 
     Idempotent per ``dataset_id``: landing, column profile and report are
     partition overwrites.  On failure the catalogue records ``failed`` with
-    the message and the error is raised again.  Returns the stored report.
+    the message and the error is raised again.  Returns the stored report
+    (lazy: a later run for the same dataset replaces the files it reads).
     """
     layout = Layout(base.rstrip("/"))
     dataset_id, user_id = str(dataset_id), str(user_id)
