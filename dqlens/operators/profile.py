@@ -179,6 +179,25 @@ def _distinct_form(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin the input when it has fewer partitions than task slots.
+
+    A file with a single row group (or one small CSV) is read by one task;
+    the per-value expansion and partial aggregation that follow would then
+    run on one core.  At scale the input has far more splits than slots and
+    this is a no-op, so no extra shuffle is ever added to a large scan.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    # hash on a row id instead of round-robin: no sort before the exchange,
+    # balanced even when many rows are identical, and deterministic when a
+    # lost task is recomputed (file scans re-read rows in the same order)
+    rid = "__dqlens_row_id"
+    return (df.withColumn(rid, F.monotonically_increasing_id())
+            .repartition(slots, rid).drop(rid))
+
+
 def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
     """Per column, every distinct value (null included) with its frequency.
 
@@ -187,8 +206,8 @@ def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
     columns whose (groupable) type is ``slot_types[j]``.
     """
     fields = df.schema.fields
-    norm = df.select(*[_distinct_form(col(f.name), f.dataType).alias(f"c{i}")
-                       for i, f in enumerate(fields)])
+    norm = spread_if_narrow(df.select(*[_distinct_form(col(f.name), f.dataType).alias(f"c{i}")
+                                        for i, f in enumerate(fields)]))
     ntypes = [f.dataType for f in norm.schema.fields]
     slot_types: list[T.DataType] = []
     slot_of: list[int] = []
