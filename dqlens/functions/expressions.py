@@ -39,6 +39,21 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
     return c.isNull()
 
 
+def sql_string(text: str) -> str:
+    """A SQL string literal for ``text`` (backslash escapes, Spark's default)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def missing_sql(name: str, dtype: T.DataType) -> str:
+    """SQL text of ``is_missing`` for a column, for building wide aggregates
+    in one call (one JVM round trip instead of several per column)."""
+    q = quote(name)
+    if isinstance(dtype, T.StringType):
+        return (f"({q} IS NULL OR length(trim({q})) = 0 OR lower({q}) = "
+                f"{sql_string(K.MISSING_TEXT)})")
+    return f"({q} IS NULL)"
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(is_blank(c), F.lit(None)).otherwise(c)
 
@@ -54,6 +69,17 @@ def is_bad_value(raw: Column, wanted: T.DataType) -> Column:
             & (F.length(F.trim(raw)) > 0))
 
 
+def bad_value_sql(name: str, wanted: T.DataType) -> str | None:
+    """SQL text of ``is_bad_value`` when ``wanted`` has a plain DDL name
+    (atomic types); ``None`` for nested types, which use the Column form."""
+    if isinstance(wanted, (T.StructType, T.ArrayType, T.MapType)):
+        return None
+    q = quote(name)
+    blank = f"({q} IS NULL OR length(trim({q})) = 0)"
+    return (f"(try_cast(CASE WHEN {blank} THEN NULL ELSE {q} END AS {wanted.simpleString()}) IS NULL"
+            f" AND {q} IS NOT NULL AND length(trim({q})) > 0)")
+
+
 def progress_of(status: Column) -> Column:
     """Status -> progress 0..100; absent status is queued, unknown is 0."""
     s = F.coalesce(status, F.lit(K.DEFAULT_STATUS))

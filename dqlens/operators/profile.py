@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions import constants as K
-from dqlens.functions.expressions import col, is_bad_value, is_missing
+from dqlens.functions.expressions import (bad_value_sql, col, is_bad_value, is_missing, missing_sql, quote,
+                                          sql_string)
 
 POSITION = "position"
 NAME = "column_name"
@@ -69,15 +70,30 @@ def schema_rows(df: DataFrame) -> list[tuple[int, str, str]]:
     return [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return sql_string(str(v))
+
+
 def literal_frame(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A small literal table built JVM-side (no Python RDD): used for
-    per-column metadata, whose size is the schema width."""
+    """A small literal table built JVM-side (no Python RDD) with one
+    expression: used for per-column metadata, whose size is the schema width.
+    Values are ints, floats, strings, booleans or None."""
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
                                        for f in schema.fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                          for v, f in zip(r, schema.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    structs = ["named_struct(" + ", ".join(f"{sql_string(f.name)}, {_sql_literal(v)}"
+                                           for v, f in zip(r, schema.fields)) + ")"
+               for r in rows]
+    casts = [f"CAST({quote(f.name)} AS {f.dataType.simpleString()}) AS {quote(f.name)}"
+             for f in schema.fields]
+    return (spark.range(1).selectExpr("inline(array(" + ", ".join(structs) + "))")
+            .selectExpr(*casts))
 
 
 SCHEMA_REPORT_SCHEMA = T.StructType([
@@ -95,12 +111,9 @@ def schema_report(df: DataFrame) -> DataFrame:
 def _unpivot_one_row(row: DataFrame, items: list[tuple[int, str, str]],
                      value_name: str) -> DataFrame:
     """Turn a one-row, C-column aggregate into C rows (position, name, value)."""
-    structs = [
-        F.struct(F.lit(pos).alias(POSITION), F.lit(name).alias(NAME),
-                 F.col(alias).cast("bigint").alias(value_name))
-        for pos, name, alias in items
-    ]
-    return row.select(F.inline(F.array(*structs)))
+    structs = [f"named_struct('{POSITION}', {pos}, '{NAME}', {sql_string(name)}, "
+               f"'{value_name}', CAST({alias} AS BIGINT))" for pos, name, alias in items]
+    return row.selectExpr("inline(array(" + ", ".join(structs) + "))")
 
 
 # --------------------------------------------------------------------------
@@ -120,9 +133,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     if not fields:
         return literal_frame(df.sparkSession, [], MISSING_SCHEMA)
-    aggs = [F.count_if(is_missing(col(f.name), f.dataType)).alias(f"m{i}")
-            for i, f in enumerate(fields)]
-    row = df.agg(*aggs)
+    row = df.agg(*[F.expr(f"count_if({missing_sql(f.name, f.dataType)}) AS m{i}")
+                   for i, f in enumerate(fields)])
     return _unpivot_one_row(row, [(i, f.name, f"m{i}") for i, f in enumerate(fields)], "n_missing")
 
 
@@ -155,8 +167,11 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
             rows = [(pos, name, 0) for pos, name, _ in _wanted_fields(raw, wanted)]
             return literal_frame(spark, rows, BAD_SCHEMA)
         return literal_frame(spark, [], BAD_SCHEMA)
-    aggs = [F.count_if(is_bad_value(col(name), t)).alias(f"b{j}")
-            for j, (_, name, t) in enumerate(checks)]
+    aggs = []
+    for j, (_, name, t) in enumerate(checks):
+        text = bad_value_sql(name, t)
+        aggs.append(F.expr(f"count_if({text}) AS b{j}") if text is not None
+                    else F.count_if(is_bad_value(col(name), t)).alias(f"b{j}"))
     row = raw.agg(*aggs)
     out = _unpivot_one_row(row, [(pos, name, f"b{j}") for j, (pos, name, _) in enumerate(checks)], "n_bad")
     if keep_zero:
@@ -180,22 +195,36 @@ def _distinct_form(c: Column, dtype: T.DataType) -> Column:
 
 
 def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin the input when it has fewer partitions than task slots.
+    """Spread the input when it has fewer partitions than task slots.
 
     A file with a single row group (or one small CSV) is read by one task;
     the per-value expansion and partial aggregation that follow would then
     run on one core.  At scale the input has far more splits than slots and
     this is a no-op, so no extra shuffle is ever added to a large scan.
+    Rows are hashed on ``monotonically_increasing_id()`` rather than dealt
+    round-robin: no sort before the exchange, balanced even when many rows
+    are identical, and deterministic when a lost task is recomputed (file
+    scans re-read rows in the same order).
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
-    # hash on a row id instead of round-robin: no sort before the exchange,
-    # balanced even when many rows are identical, and deterministic when a
-    # lost task is recomputed (file scans re-read rows in the same order)
-    rid = "__dqlens_row_id"
-    return (df.withColumn(rid, F.monotonically_increasing_id())
-            .repartition(slots, rid).drop(rid))
+    return df.repartition(slots, F.expr("monotonically_increasing_id()"))
+
+
+def _distinct_sql(name: str, dtype: T.DataType) -> str:
+    """SQL text of the groupable form of a column (maps -> sorted entries)."""
+    q = quote(name)
+    if isinstance(dtype, T.MapType):
+        return f"array_sort(map_entries({q}))"
+    return q
+
+
+def _groupable_type(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.MapType):
+        return T.ArrayType(T.StructType([T.StructField("key", dtype.keyType, False),
+                                         T.StructField("value", dtype.valueType, True)]), False)
+    return dtype
 
 
 def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
@@ -204,45 +233,50 @@ def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
     Returns ``(frame, slot_types)``; the frame has columns
     ``position, s0..s{k-1}, cnt`` where slot ``s{j}`` holds the values of
     columns whose (groupable) type is ``slot_types[j]``.
+
+    The expansion is one SQL expression (one call into the JVM however wide
+    the table is); a slot a column does not use holds ``if(false, x, null)``
+    with ``x`` a column of the slot's type -- a typed null folded to a
+    literal by the optimizer.
     """
     fields = df.schema.fields
-    norm = spread_if_narrow(df.select(*[_distinct_form(col(f.name), f.dataType).alias(f"c{i}")
-                                        for i, f in enumerate(fields)]))
-    ntypes = [f.dataType for f in norm.schema.fields]
+    exprs = [_distinct_sql(f.name, f.dataType) for f in fields]
     slot_types: list[T.DataType] = []
     slot_of: list[int] = []
-    for t in ntypes:
-        for j, s in enumerate(slot_types):
-            if s == t:
-                slot_of.append(j)
-                break
+    slot_rep: list[str] = []
+    for e, f in zip(exprs, fields):
+        t = _groupable_type(f.dataType)
+        if t in slot_types:
+            slot_of.append(slot_types.index(t))
         else:
             slot_types.append(t)
+            slot_rep.append(e)
             slot_of.append(len(slot_types) - 1)
     slots = [f"s{j}" for j in range(len(slot_types))]
+    nulls = [f"if(false, {rep}, null)" for rep in slot_rep]
     structs = []
-    for i in range(len(fields)):
-        members = [F.lit(i).alias(POSITION)]
-        for j, t in enumerate(slot_types):
-            v = F.col(f"c{i}") if slot_of[i] == j else F.lit(None).cast(t)
-            members.append(v.alias(slots[j]))
-        structs.append(F.struct(*members))
-    long = norm.select(F.inline(F.array(*structs)))
+    for i, e in enumerate(exprs):
+        members = [f"'{POSITION}', {i}"]
+        for j in range(len(slot_types)):
+            members.append(f"'{slots[j]}', {e if slot_of[i] == j else nulls[j]}")
+        structs.append("named_struct(" + ", ".join(members) + ")")
+    long = spread_if_narrow(df).select(F.expr("inline(array(" + ", ".join(structs) + "))"))
     counted = long.groupBy(POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
     return counted, slot_types
 
 
-def _missing_in_slots(slot_types: list[T.DataType]) -> Column:
-    all_null = None
-    for j in range(len(slot_types)):
-        c = F.col(f"s{j}").isNull()
-        all_null = c if all_null is None else (all_null & c)
-    out = all_null
+def _missing_in_slots(slot_types: list[T.DataType]) -> str:
+    """SQL text: the value of a (position, slots) row is missing.
+
+    All slots null means the value is null; a string slot (only string
+    columns use one) is also missing when blank or ``nan``.
+    """
+    parts = ["(" + " AND ".join(f"s{j} IS NULL" for j in range(len(slot_types))) + ")"]
     for j, t in enumerate(slot_types):
         if isinstance(t, T.StringType):
-            s = F.col(f"s{j}")
-            out = out | (s.isNotNull() & ((F.length(F.trim(s)) == 0) | (F.lower(s) == K.MISSING_TEXT)))
-    return out
+            parts.append(f"(s{j} IS NOT NULL AND (length(trim(s{j})) = 0 OR "
+                         f"lower(s{j}) = {sql_string(K.MISSING_TEXT)}))")
+    return " OR ".join(parts)
 
 
 def _meta_frame(df: DataFrame) -> DataFrame:
@@ -266,9 +300,9 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     if exact:
         counted, slot_types = value_counts(df)
         per_col = counted.groupBy(POSITION).agg(
-            F.count(F.lit(1)).alias("n_distinct"),
-            F.sum("cnt").alias("n_rows"),
-            F.sum(F.when(_missing_in_slots(slot_types), F.col("cnt")).otherwise(F.lit(0))).alias("n_miss"),
+            F.expr("count(1) AS n_distinct"),
+            F.expr("sum(cnt) AS n_rows"),
+            F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
         )
     else:
         aggs = [F.count(F.lit(1)).alias("rows")]
