@@ -26,6 +26,7 @@ bounded by the schema width, never by the data.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,10 @@ def schema_rows(df: DataFrame) -> list[tuple[int, str, str]]:
 def _sql_literal(v) -> str:
     if v is None:
         return "NULL"
+    if isinstance(v, _dt.datetime):
+        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
+    if isinstance(v, _dt.date):
+        return f"DATE '{v.isoformat()}'"
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, (int, float)):
@@ -83,7 +88,7 @@ def _sql_literal(v) -> str:
 def literal_frame(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A small literal table built JVM-side (no Python RDD) with one
     expression: used for per-column metadata, whose size is the schema width.
-    Values are ints, floats, strings, booleans or None."""
+    Values are ints, floats, strings, booleans, datetimes or None."""
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
                                        for f in schema.fields])
@@ -92,7 +97,7 @@ def literal_frame(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
                for r in rows]
     casts = [f"CAST({quote(f.name)} AS {f.dataType.simpleString()}) AS {quote(f.name)}"
              for f in schema.fields]
-    return (spark.range(1).selectExpr("inline(array(" + ", ".join(structs) + "))")
+    return (spark.range(0, 1, 1, 1).selectExpr("inline(array(" + ", ".join(structs) + "))")
             .selectExpr(*casts))
 
 
@@ -194,6 +199,16 @@ def _distinct_form(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return False
+    if isinstance(dtype, T.ArrayType):
+        return _hashable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(f.dataType) for f in dtype.fields)
+    return True
+
+
 def spread_if_narrow(df: DataFrame) -> DataFrame:
     """Spread the input when it has fewer partitions than task slots.
 
@@ -201,15 +216,21 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     the per-value expansion and partial aggregation that follow would then
     run on one core.  At scale the input has far more splits than slots and
     this is a no-op, so no extra shuffle is ever added to a large scan.
-    Rows are hashed on ``monotonically_increasing_id()`` rather than dealt
-    round-robin: no sort before the exchange, balanced even when many rows
-    are identical, and deterministic when a lost task is recomputed (file
-    scans re-read rows in the same order).
+
+    Rows are hash-partitioned on one ``xxhash64`` of their own content: no
+    sort before the exchange (unlike round-robin), and a recomputed task
+    (lost executor) sends every row to the same partition again whatever
+    order its input arrives in.  Identical rows share a partition, which only matters for
+    the small inputs this applies to, and the partial aggregation that
+    follows collapses them at hash-map speed.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
-    return df.repartition(slots, F.expr("monotonically_increasing_id()"))
+    keys = [col(f.name) for f in df.schema.fields if _hashable(f.dataType)]
+    if not keys:
+        return df.repartition(slots)
+    return df.repartition(slots, F.xxhash64(*keys))
 
 
 def _distinct_sql(name: str, dtype: T.DataType) -> str:

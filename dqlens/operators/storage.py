@@ -80,8 +80,9 @@ def read_table(spark: SparkSession, base: str, schema: T.StructType | None = Non
 
 def append_events(spark: SparkSession, base: str, rows: list[dict]) -> None:
     """K2/K3: append status events (a handful of driver-made rows)."""
+    from dqlens.operators.profile import literal_frame
     ordered = [tuple(r.get(f.name) for f in CATALOG_EVENT_SCHEMA.fields) for r in rows]
-    frame = spark.createDataFrame(ordered, CATALOG_EVENT_SCHEMA)
+    frame = literal_frame(spark, ordered, CATALOG_EVENT_SCHEMA)
     frame.write.mode("append").partitionBy("user_id").parquet(base)
 
 

@@ -239,6 +239,6 @@ def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: st
             _delete(spark, ST.partition_dir(root, user_id=user_id, dataset_id=dataset_id))
         except Exception as exc:  # noqa: BLE001 -- reported, not raised
             fs_error = str(exc)
-    spark.createDataFrame([(dataset_id, user_id, _now())], DELETED_SCHEMA) \
+    P.literal_frame(spark, [(dataset_id, user_id, _now())], DELETED_SCHEMA) \
         .write.mode("append").parquet(layout.deleted)
     return {"dataset_id": dataset_id, "archived": True, "fs_error": fs_error}
