@@ -248,41 +248,57 @@ def _groupable_type(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
-    """Per column, every distinct value (null included) with its frequency.
+def _slot_layout(frames: list[DataFrame]) -> list[T.DataType]:
+    """One value slot per distinct groupable data type, in order of first use."""
+    slot_types: list[T.DataType] = []
+    for df in frames:
+        for f in df.schema.fields:
+            t = _groupable_type(f.dataType)
+            if t not in slot_types:
+                slot_types.append(t)
+    return slot_types
 
-    Returns ``(frame, slot_types)``; the frame has columns
-    ``position, s0..s{k-1}, cnt`` where slot ``s{j}`` holds the values of
-    columns whose (groupable) type is ``slot_types[j]``.
+
+def _expand(df: DataFrame, slot_types: list[T.DataType], dataset: int | None = None) -> DataFrame:
+    """Each row -> one ``(position, s0..sk)`` record per column.
 
     The expansion is one SQL expression (one call into the JVM however wide
-    the table is); a slot a column does not use holds ``if(false, x, null)``
-    with ``x`` a column of the slot's type -- a typed null folded to a
-    literal by the optimizer.
+    the table is).  A slot a column does not use holds ``if(false, x, null)``
+    with ``x`` a column of the slot's type -- a typed null the optimizer
+    folds to a literal; slot types absent from ``df`` get a typed null column.
     """
     fields = df.schema.fields
     exprs = [_distinct_sql(f.name, f.dataType) for f in fields]
-    slot_types: list[T.DataType] = []
-    slot_of: list[int] = []
-    slot_rep: list[str] = []
-    for e, f in zip(exprs, fields):
-        t = _groupable_type(f.dataType)
-        if t in slot_types:
-            slot_of.append(slot_types.index(t))
-        else:
-            slot_types.append(t)
-            slot_rep.append(e)
-            slot_of.append(len(slot_types) - 1)
-    slots = [f"s{j}" for j in range(len(slot_types))]
-    nulls = [f"if(false, {rep}, null)" for rep in slot_rep]
+    slot_of = [slot_types.index(_groupable_type(f.dataType)) for f in fields]
+    rep: dict[int, str] = {}
+    for e, j in zip(exprs, slot_of):
+        rep.setdefault(j, e)
+    src = spread_if_narrow(df)
+    absent = [j for j in range(len(slot_types)) if j not in rep]
+    if absent:
+        src = src.withColumns({f"__dqlens_null{j}": F.lit(None).cast(slot_types[j]) for j in absent})
+        rep.update({j: quote(f"__dqlens_null{j}") for j in absent})
+    nulls = {j: f"if(false, {r}, null)" for j, r in rep.items()}
+    head = [] if dataset is None else [f"'dataset_idx', {dataset}"]
     structs = []
     for i, e in enumerate(exprs):
-        members = [f"'{POSITION}', {i}"]
-        for j in range(len(slot_types)):
-            members.append(f"'{slots[j]}', {e if slot_of[i] == j else nulls[j]}")
+        members = head + [f"'{POSITION}', {i}"]
+        members += [f"'s{j}', {e if slot_of[i] == j else nulls[j]}" for j in range(len(slot_types))]
         structs.append("named_struct(" + ", ".join(members) + ")")
-    long = spread_if_narrow(df).select(F.expr("inline(array(" + ", ".join(structs) + "))"))
-    counted = long.groupBy(POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
+    return src.select(F.expr("inline(array(" + ", ".join(structs) + "))"))
+
+
+def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
+    """Per column, every distinct value (null included) with its frequency.
+
+    Returns ``(frame, slot_types)``; the frame has columns
+    ``position, s0..s{k-1}, cnt`` where slot ``s{j}`` holds the values of
+    columns whose (groupable) type is ``slot_types[j]``.
+    """
+    slot_types = _slot_layout([df])
+    slots = [f"s{j}" for j in range(len(slot_types))]
+    counted = (_expand(df, slot_types).groupBy(POSITION, *slots)
+               .agg(F.count(F.lit(1)).alias("cnt")))
     return counted, slot_types
 
 
@@ -347,6 +363,58 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+MANY_SCHEMA = T.StructType([
+    T.StructField("dataset_idx", T.IntegerType(), False),
+    T.StructField("dataset", T.StringType(), False),
+    T.StructField(POSITION, T.IntegerType(), False),
+    T.StructField(NAME, T.StringType(), False),
+    T.StructField("dtype", T.StringType(), False),
+])
+
+
+def column_stats_many(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """``column_stats`` of several DataFrames of any schemas in ONE job.
+
+    All frames expand into the same ``(dataset_idx, position, slots)`` long
+    form (slots per data type across all frames), so one shuffle of distinct
+    values and one per-column merge profile every dataset: many small
+    datasets cost one job instead of one per dataset.  Output
+    ``(dataset, position, column_name, dtype, row_count, n_missing,
+    n_distinct)``; exact semantics as ``column_stats``.
+    """
+    items = [(name, df) for name, df in frames.items()]
+    if not items:
+        raise ValueError("no frames to profile")
+    spark = items[0][1].sparkSession
+    meta_rows = [(k, name, i, f.name, f.dataType.simpleString())
+                 for k, (name, df) in enumerate(items) for i, f in enumerate(df.schema.fields)]
+    meta = literal_frame(spark, meta_rows, MANY_SCHEMA)
+    with_cols = [(k, df) for k, (_, df) in enumerate(items) if df.schema.fields]
+    if not with_cols:
+        return meta.select("dataset", POSITION, NAME, "dtype",
+                           *[F.lit(0).cast("bigint").alias(c) for c in ("row_count", "n_missing", "n_distinct")])
+    slot_types = _slot_layout([df for _, df in with_cols])
+    slots = [f"s{j}" for j in range(len(slot_types))]
+    long = None
+    for k, df in with_cols:
+        part = _expand(df, slot_types, dataset=k)
+        long = part if long is None else long.unionByName(part)
+    counted = long.groupBy("dataset_idx", POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
+    per_col = counted.groupBy("dataset_idx", POSITION).agg(
+        F.expr("count(1) AS n_distinct"),
+        F.expr("sum(cnt) AS n_rows"),
+        F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
+    )
+    # both sides hold one row per column of all datasets: bounded by schemas
+    joined = meta.join(F.broadcast(per_col), ["dataset_idx", POSITION], "left")
+    return joined.select(
+        "dataset", POSITION, NAME, "dtype",
+        F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("row_count"),
+        F.coalesce(F.col("n_miss"), F.lit(0)).cast("bigint").alias("n_missing"),
+        F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct"),
+    )
+
+
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     """``(position, column_name, n_distinct)`` -- null counts as one value."""
     return column_stats(df, exact).select(POSITION, NAME, "n_distinct")

@@ -454,6 +454,19 @@ TABLE_QUERIES = {f"{n}_profile": _table_profile_query(n) for n in TABLE_COLUMNS}
 TABLE_ORACLES = {f"{n}_profile": _table_profile_sql(n) for n in TABLE_COLUMNS}
 
 
+def q_tables_profile_many(spark: SparkSession, sf: str) -> DataFrame:
+    """All the text / array / event tables profiled together in one job."""
+    frames = {n: table(spark, sf, n) for n in TABLE_COLUMNS}
+    return P.column_stats_many(frames).select(
+        "dataset", P.NAME, "dtype", "row_count", "n_missing", "n_distinct")
+
+
+TABLE_QUERIES["tables_profile_many"] = q_tables_profile_many
+TABLE_ORACLES["tables_profile_many"] = "\n UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, * FROM ({_table_profile_sql(n)}) t{k}"
+    for k, n in enumerate(TABLE_COLUMNS))
+
+
 # --------------------------------------------------------------------------
 # folder stream: every dataset folder profiled once (availableNow)
 # --------------------------------------------------------------------------

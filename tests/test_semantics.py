@@ -115,3 +115,17 @@ def test_missing_pct_half_up(spark):
     df = spark.createDataFrame([(None if i == 0 else i,) for i in range(16)], "a int")
     pct = R.missing_pct(P.column_stats(df)).first()["pct"]
     assert math.isclose(pct, 6.3)
+
+
+def test_many_frames_in_one_job(spark):
+    a = spark.createDataFrame([(1, "x"), (1, None), (2, "nan")], "k int, s string")
+    b = spark.createDataFrame([({"u": 1},), (None,)], "m map<string,int>")
+    c = spark.createDataFrame([], "z double")
+    got = {(r["dataset"], r["column_name"]): (r["row_count"], r["n_missing"], r["n_distinct"])
+           for r in P.column_stats_many({"a": a, "b": b, "c": c}).collect()}
+    assert got == {("a", "k"): (3, 0, 2), ("a", "s"): (3, 2, 3),
+                   ("b", "m"): (2, 1, 2), ("c", "z"): (0, 0, 0)}
+    for name, df in {"a": a, "b": b}.items():
+        single = {r["column_name"]: (r["row_count"], r["n_missing"], r["n_distinct"])
+                  for r in P.column_stats(df).collect()}
+        assert single == {k[1]: v for k, v in got.items() if k[0] == name}
