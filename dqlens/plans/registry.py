@@ -186,13 +186,11 @@ PROFILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def q_csv_scan_typed(spark: SparkSession, sf: str) -> DataFrame:
     path = S.write_csv(table(spark, sf, "orders"), scratch_path(spark, "orders-csv"))
-    typed = S.read_typed(spark, path)
+    typed = S.read_typed(spark, path, timestamp_ntz=True)
     return typed.select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
         F.col("o_custkey").cast("bigint").alias("o_custkey"),
-        "o_orderstatus", "o_totalprice",
-        F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"),
-        "o_orderpriority")
+        "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 def q_csv_scan_raw(spark: SparkSession, sf: str) -> DataFrame:

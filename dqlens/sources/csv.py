@@ -11,14 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqlens.functions.expressions import is_csv_file
+from dqlens.session import session_conf
 
 
-def read_typed(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Typed scan: header row, schema inferred from the whole file."""
+def read_typed(spark: SparkSession, path: str, timestamp_ntz: bool = False,
+               **options) -> DataFrame:
+    """Typed scan: header row, schema inferred from the whole file.
+
+    ``timestamp_ntz=True`` infers zone-less timestamps as TIMESTAMP_NTZ
+    (wall-clock values, independent of the session time zone; a local-time
+    ``timestamp`` shifts values that fall in a daylight-saving gap).  The
+    default keeps Spark's inference (``timestamp``), as the original does.
+    """
     reader = spark.read.option("header", True).option("inferSchema", True)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.csv(path)
+    if not timestamp_ntz:
+        return reader.csv(path)
+    with session_conf(spark, "spark.sql.timestampType", "TIMESTAMP_NTZ"):
+        return reader.csv(path)   # the schema is inferred here, eagerly
 
 
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:

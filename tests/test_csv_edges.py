@@ -113,3 +113,18 @@ def test_file_listing(spark, tmp_text_dir):
     files = S.accept_files(S.list_files(spark, tmp_text_dir))
     got = {r["name"]: r["accepted"] for r in files.collect()}
     assert got == {"x.CSV": True, "y.txt": False}
+
+
+def test_timestamp_ntz_inference_survives_dst_gap(spark, tmp_text_dir):
+    import datetime as dt
+
+    from dqlens.session import session_conf
+    path = _write(tmp_text_dir, "ts.csv", "t\n1995-10-15 00:00:00\n")
+    with session_conf(spark, "spark.sql.session.timeZone", "America/Sao_Paulo"):
+        local = S.read_typed(spark, path)
+        wall = S.read_typed(spark, path, timestamp_ntz=True)
+        assert _types(local) == ["timestamp"] and _types(wall) == ["timestamp_ntz"]
+        # midnight does not exist that day in Sao Paulo: local time moves it
+        assert wall.first()["t"] == dt.datetime(1995, 10, 15, 0, 0)
+        assert local.selectExpr("CAST(t AS timestamp_ntz) AS t").first()["t"] != dt.datetime(1995, 10, 15, 0, 0)
+    assert spark.conf.get("spark.sql.timestampType") == "TIMESTAMP_LTZ"
