@@ -130,6 +130,12 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The same frame with columns named ``c0..c{n-1}`` (one call): names
+    repeated by a join, or holding dots and backticks, become unambiguous."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
     """``(position, column_name, n_missing)`` for every column, one pass.
 
@@ -138,8 +144,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     if not fields:
         return literal_frame(df.sparkSession, [], MISSING_SCHEMA)
-    row = df.agg(*[F.expr(f"count_if({missing_sql(f.name, f.dataType)}) AS m{i}")
-                   for i, f in enumerate(fields)])
+    row = positional(df).agg(*[F.expr(f"count_if({missing_sql(f'c{i}', f.dataType)}) AS m{i}")
+                               for i, f in enumerate(fields)])
     return _unpivot_one_row(row, [(i, f.name, f"m{i}") for i, f in enumerate(fields)], "n_missing")
 
 
@@ -162,26 +168,34 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
     name -> type.  Output ``(position, column_name, n_bad)``, positions taken
     from ``wanted``; zero rows are dropped unless ``keep_zero``.
     """
-    raw_types = {f.name: f.dataType for f in raw.schema.fields}
-    checks = [(pos, name, t) for pos, name, t in _wanted_fields(raw, wanted)
-              if name in raw_types and not isinstance(t, T.StringType)
-              and raw_types[name] != t]
+    wanted_list = _wanted_fields(raw, wanted)
+    raw_fields = raw.schema.fields
+    if [n for _, n, _ in wanted_list] == [f.name for f in raw_fields]:
+        # same columns in the same order (typed vs raw scan of one file):
+        # pair by position, so repeated names are no problem
+        pairs = [(pos, name, t, pos, raw_fields[pos].dataType) for pos, name, t in wanted_list]
+    else:
+        index = {f.name: i for i, f in enumerate(raw_fields)}
+        pairs = [(pos, name, t, index[name], raw_fields[index[name]].dataType)
+                 for pos, name, t in wanted_list if name in index]
+    checks = [(pos, name, t, rpos) for pos, name, t, rpos, rt in pairs
+              if not isinstance(t, T.StringType) and rt != t]
     spark = raw.sparkSession
     if not checks:
         if keep_zero:
-            rows = [(pos, name, 0) for pos, name, _ in _wanted_fields(raw, wanted)]
+            rows = [(pos, name, 0) for pos, name, _ in wanted_list]
             return literal_frame(spark, rows, BAD_SCHEMA)
         return literal_frame(spark, [], BAD_SCHEMA)
     aggs = []
-    for j, (_, name, t) in enumerate(checks):
-        text = bad_value_sql(name, t)
+    for j, (_, _, t, rpos) in enumerate(checks):
+        text = bad_value_sql(f"c{rpos}", t)
         aggs.append(F.expr(f"count_if({text}) AS b{j}") if text is not None
-                    else F.count_if(is_bad_value(col(name), t)).alias(f"b{j}"))
-    row = raw.agg(*aggs)
-    out = _unpivot_one_row(row, [(pos, name, f"b{j}") for j, (pos, name, _) in enumerate(checks)], "n_bad")
+                    else F.count_if(is_bad_value(F.col(f"c{rpos}"), t)).alias(f"b{j}"))
+    row = positional(raw).agg(*aggs)
+    out = _unpivot_one_row(row, [(pos, name, f"b{j}") for j, (pos, name, _, _) in enumerate(checks)], "n_bad")
     if keep_zero:
-        checked = {pos for pos, _, _ in checks}
-        rest = [(pos, name, 0) for pos, name, _ in _wanted_fields(raw, wanted) if pos not in checked]
+        checked = {pos for pos, _, _, _ in checks}
+        rest = [(pos, name, 0) for pos, name, _ in wanted_list if pos not in checked]
         if rest:
             out = out.unionByName(literal_frame(spark, rest, BAD_SCHEMA))
         return out
@@ -266,7 +280,10 @@ def _expand(df: DataFrame, slot_types: list[T.DataType], dataset: int | None = N
     the table is).  A slot a column does not use holds ``if(false, x, null)``
     with ``x`` a column of the slot's type -- a typed null the optimizer
     folds to a literal; slot types absent from ``df`` get a typed null column.
+    Columns are renamed by position first (``toDF``), so repeated or odd
+    names never make a reference ambiguous.
     """
+    df = positional(df)
     fields = df.schema.fields
     exprs = [_distinct_sql(f.name, f.dataType) for f in fields]
     slot_of = [slot_types.index(_groupable_type(f.dataType)) for f in fields]

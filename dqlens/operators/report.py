@@ -76,7 +76,10 @@ def report_document(profile: DataFrame) -> DataFrame:
         item = F.struct(F.col(POSITION), F.col(NAME), F.col(value_col).alias("v"))
         picked = F.collect_list(item if cond is None else F.when(cond, item))
         ordered = F.sort_array(picked)
-        return F.map_from_entries(F.transform(ordered, lambda x: F.struct(x[NAME], x["v"])))
+        # a repeated column name keeps its last value, as a dict would
+        last = F.filter(ordered, lambda x, i: ~F.exists(
+            F.slice(ordered, i + 2, F.greatest(F.size(ordered), F.lit(1))), lambda y: y[NAME] == x[NAME]))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x[NAME], x["v"])))
 
     schema_list = F.transform(
         F.sort_array(F.collect_list(F.struct(F.col(POSITION), F.col(NAME), F.col("dtype")))),

@@ -3,6 +3,7 @@
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
@@ -129,3 +130,22 @@ def test_many_frames_in_one_job(spark):
         single = {r["column_name"]: (r["row_count"], r["n_missing"], r["n_distinct"])
                   for r in P.column_stats(df).collect()}
         assert single == {k[1]: v for k, v in got.items() if k[0] == name}
+
+
+def test_repeated_column_names(spark):
+    a = spark.createDataFrame([(1, "x")], "id int, v string")
+    b = spark.createDataFrame([(1, None), (2, "y")], "id int, v string")
+    joined = a.join(b, a.id == b.id, "right")          # columns id, v, id, v
+    st = [(r["column_name"], r["n_missing"], r["n_distinct"])
+          for r in P.column_stats(joined).orderBy("position").collect()]
+    assert st == [("id", 1, 2), ("v", 1, 2), ("id", 0, 2), ("v", 1, 2)]
+    assert [r["n_missing"] for r in P.missing_counts(joined).orderBy("position").collect()] == [1, 1, 0, 1]
+    rep = R.report_document(P.profile_columns(joined)).first()
+    assert rep["column_count"] == 4 and rep["null_counts"] == {"id": 0, "v": 1}
+
+
+def test_bad_types_with_repeated_names(spark):
+    raw = spark.createDataFrame([("1", "x"), ("y", "2")], "a string, b string").toDF("k", "k")
+    wanted = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("k", T.IntegerType())])
+    got = [(r["position"], r["n_bad"]) for r in P.bad_type_counts(raw, wanted).orderBy("position").collect()]
+    assert got == [(0, 1), (1, 1)]
