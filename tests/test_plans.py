@@ -1,5 +1,7 @@
 """Physical-plan properties that matter at scale (checked on small data)."""
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import functions as F
@@ -14,7 +16,11 @@ from dqlens.sources.tables import catalog_standin, dirty, table
 
 
 def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan text, through the public ``explain``."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 def _exchanges(plan: str) -> list[str]:
