@@ -1,11 +1,16 @@
-"""The driver's parquet tables and the fixtures Spark derives from them."""
+"""The driver's parquet tables and the fixtures Spark derives from them.
+
+Fixtures are written as SQL expressions (``selectExpr``): one parse and one
+analysis per step however many fields they derive.  Every fixture keeps
+every row of the table it reads.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from dqlens.functions import constants as K
+from dqlens.functions.expressions import sql_string
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -16,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _case(expr: str, mapping: dict, default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN {sql_string(k)} THEN {'NULL' if v is None else sql_string(v)}"
+                     for k, v in mapping.items())
+    return f"CASE {expr} {whens} ELSE {default} END"
+
+
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` with injected defects (SURVEY Appendix A ``dirty``).
 
@@ -24,24 +35,16 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     20 % of rows, cust_txt holds 'bad' words and blanks where a bigint is
     wanted, const_col is constant, empty_col is all null.
     """
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    priority = (F.when(k % 7 == 0, F.lit(None).cast("string"))
-                .when(k % 11 == 0, F.lit(""))
-                .when(k % 13 == 0, F.lit("  "))
-                .when(k % 17 == 0, F.lit("NaN"))
-                .otherwise(F.col("o_orderpriority")))
-    price = F.when(k % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("o_totalprice"))
-    cust = (F.when(k % 19 == 0, F.lit("bad"))
-            .when(k % 23 == 0, F.lit(""))
-            .otherwise(F.col("o_custkey").cast("string")))
-    return o.select(
-        k.alias("o_orderkey"),
-        priority.alias("priority_txt"),
-        price.alias("price"),
-        cust.alias("cust_txt"),
-        F.lit("K").alias("const_col"),
-        F.lit(None).cast("string").alias("empty_col"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "CASE WHEN o_orderkey % 7 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 11 = 0 THEN '' "
+        "WHEN o_orderkey % 13 = 0 THEN '  ' WHEN o_orderkey % 17 = 0 THEN 'NaN' "
+        "ELSE o_orderpriority END AS priority_txt",
+        "CASE WHEN o_orderkey % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE o_totalprice END AS price",
+        "CASE WHEN o_orderkey % 19 = 0 THEN 'bad' WHEN o_orderkey % 23 = 0 THEN '' "
+        "ELSE CAST(o_custkey AS STRING) END AS cust_txt",
+        "'K' AS const_col",
+        "CAST(NULL AS STRING) AS empty_col",
     )
 
 
@@ -64,56 +67,56 @@ PRIORITY_STATUS = {
     "5-LOW": "queued",
 }
 
+# custom names typed by the stand-in's users: whitespace only, or padded with
+# an ideographic space and a newline (Python's strip removes both)
+BLANK_CUSTOM_NAME = " \t "
+CUSTOM_NAME_PAD_LEFT = "\u3000 "
+CUSTOM_NAME_PAD_RIGHT = "\n"
 
-def _standin_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    prio = F.col("o_orderpriority")
-    mapped = None
-    for p, st in PRIORITY_STATUS.items():
-        mapped = F.when(prio == p, F.lit(st)) if mapped is None else mapped.when(prio == p, F.lit(st))
-    status = F.when(F.col("o_orderstatus") == "P", F.lit("archived")).otherwise(mapped)
-    filename = F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string"), F.lit(".csv"))
-    custom_raw = (F.when(F.col("o_orderstatus") == "F", F.lit(None).cast("string"))
-                  .when(prio == "5-LOW", F.lit(" \t "))
-                  .otherwise(F.concat(F.lit("\u3000 "), prio, F.lit("\n"))))
-    stage = (F.when(status == "queued", 0).when(status == "uploading_hdfs", 1)
-             .when(status == "analyzing", 2).otherwise(3))
-    return o.select(
-        F.col("o_orderkey").alias("dataset_id"),
-        F.col("o_custkey").alias("user_id"),
-        custom_raw.alias("custom_raw"),
-        filename.alias("filename"),
-        status.alias("final_status"),
-        stage.alias("final_stage"),
-        F.col("o_orderdate").alias("created_at"),
-        F.col("o_totalprice").alias("o_totalprice"),
-    )
-
+LANDING_PATH_SQL = ("concat('/user_datasets/', CAST(user_id AS STRING), '/', "
+                    "CAST(dataset_id AS STRING), '/raw.csv')")
 
-def _stage_fields(stage: Column, final_status: Column) -> dict[str, Column]:
-    """Catalogue fields *set* by the event of a pipeline stage (null = unset).
 
-    stage 0 registers (queued), 1 starts the upload, 2 starts the analysis and
-    records the landing path, 3 ends: done (counts), failed (message) or an
-    unknown code.
-    """
-    done = (stage == 3) & (final_status == "done")
-    return {
-        "status": (F.when(stage == 0, F.lit("queued")).when(stage == 1, F.lit("uploading_hdfs"))
-                   .when(stage == 2, F.lit("analyzing")).otherwise(final_status)),
-        "step": F.when(stage == 0, F.lit(K.STEP_INITIAL_ANALYSIS)),
-        "filename": F.when(stage == 0, F.col("filename")),
-        "custom_raw": F.when(stage == 0, F.col("custom_raw")),
-        "created_at": F.when(stage == 0, F.col("created_at")),
-        "hdfs_path": F.when(stage == 2, F.concat(
-            F.lit("/user_datasets/"), F.col("user_id").cast("string"), F.lit("/"),
-            F.col("dataset_id").cast("string"), F.lit("/raw.csv"))),
-        "row_count": F.when(done, F.floor(F.col("o_totalprice"))).cast("bigint"),
-        "column_count": F.when(done, F.lit(9)).cast("bigint"),
-        "error_message": F.when((stage == 3) & (final_status == "failed"),
-                                F.concat(F.lit("cannot read "), F.col("filename"))),
-        "updated_at": F.col("created_at") + F.make_dt_interval(mins=stage),
-    }
+def _standin_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = ("CASE WHEN o_orderstatus = 'P' THEN 'archived' ELSE "
+              + _case("o_orderpriority", PRIORITY_STATUS) + " END")
+    base = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS dataset_id",
+        "o_custkey AS user_id",
+        f"CASE WHEN o_orderstatus = 'F' THEN CAST(NULL AS STRING) "
+        f"WHEN o_orderpriority = '5-LOW' THEN {sql_string(BLANK_CUSTOM_NAME)} "
+        f"ELSE concat({sql_string(CUSTOM_NAME_PAD_LEFT)}, o_orderpriority, "
+        f"{sql_string(CUSTOM_NAME_PAD_RIGHT)}) END AS custom_raw",
+        "concat('orders_', CAST(o_orderkey AS STRING), '.csv') AS filename",
+        f"{status} AS final_status",
+        "o_orderdate AS created_at",
+        "o_totalprice",
+    )
+    return base.selectExpr(
+        "*", "CASE final_status WHEN 'queued' THEN 0 WHEN 'uploading_hdfs' THEN 1 "
+             "WHEN 'analyzing' THEN 2 ELSE 3 END AS final_stage")
+
+
+def _fields_at(stage: str) -> list[str]:
+    """Catalogue fields *set* by the event of pipeline stage ``stage``
+    (null = unset): 0 registers (queued), 1 starts the upload, 2 starts the
+    analysis and records the landing path, 3 ends: done (counts), failed
+    (message) or an unknown code."""
+    return [
+        f"CASE {stage} WHEN 0 THEN 'queued' WHEN 1 THEN 'uploading_hdfs' "
+        f"WHEN 2 THEN 'analyzing' ELSE final_status END AS status",
+        f"CASE WHEN {stage} = 0 THEN {sql_string(K.STEP_INITIAL_ANALYSIS)} END AS step",
+        f"CASE WHEN {stage} = 0 THEN filename END AS filename",
+        f"CASE WHEN {stage} = 0 THEN custom_raw END AS custom_raw",
+        f"CASE WHEN {stage} = 0 THEN created_at END AS created_at",
+        f"CASE WHEN {stage} = 2 THEN {LANDING_PATH_SQL} END AS hdfs_path",
+        f"CASE WHEN {stage} = 3 AND final_status = 'done' "
+        f"THEN CAST(FLOOR(o_totalprice) AS BIGINT) END AS row_count",
+        f"CASE WHEN {stage} = 3 AND final_status = 'done' THEN CAST(9 AS BIGINT) END AS column_count",
+        f"CASE WHEN {stage} = 3 AND final_status = 'failed' "
+        f"THEN concat('cannot read ', filename) END AS error_message",
+        f"created_at + make_dt_interval(0, 0, {stage}, 0) AS updated_at",
+    ]
 
 
 def catalog_events_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +124,9 @@ def catalog_events_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each order emits 1..4 events by a per-row ``explode(sequence(...))``.
     """
-    base = _standin_base(spark, sf_dir)
-    ev = base.withColumn("stage", F.explode(F.sequence(F.lit(0), F.col("final_stage"))))
-    fields = _stage_fields(F.col("stage"), F.col("final_status"))
-    return ev.select("dataset_id", "user_id", *[c.alias(n) for n, c in fields.items()])
+    ev = _standin_base(spark, sf_dir).selectExpr(
+        "*", "explode(sequence(0, final_stage)) AS stage")
+    return ev.selectExpr("dataset_id", "user_id", *_fields_at("stage"))
 
 
 def catalog_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,35 +135,32 @@ def catalog_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset_id = o_orderkey, user_id = o_custkey, created_at = o_orderdate.
     Status follows the order priority; orders in status 'P' carry a status
     code the catalogue does not know ('archived': progress 0, label as-is).
-    Custom names exercise the whitespace rules of the display name.
+    Custom names exercise the whitespace rules of the display name.  The
+    state equals the fold of ``catalog_events_standin`` (each field from the
+    last stage that set it).
     """
-    base = _standin_base(spark, sf_dir)
-    stage = F.col("final_stage")
-    fields = {}
-    for s in range(4):
-        for name, c in _stage_fields(F.lit(s), F.col("final_status")).items():
-            if name in ("status", "updated_at"):
-                continue
-            reached = F.when(stage >= s, c)
-            fields[name] = reached if name not in fields else F.coalesce(reached, fields[name])
-    fields["status"] = F.col("final_status")
-    fields["updated_at"] = F.col("created_at") + F.make_dt_interval(mins=stage)
-    cat = base.select("dataset_id", "user_id", *[c.alias(n) for n, c in fields.items()])
-    return _named(cat)
-
-
-def _named(frame: DataFrame) -> DataFrame:
+    cat = _standin_base(spark, sf_dir).selectExpr(
+        "dataset_id", "user_id", "custom_raw", "filename",
+        "final_status AS status",
+        f"{sql_string(K.STEP_INITIAL_ANALYSIS)} AS step",
+        "CASE WHEN final_stage = 3 AND final_status = 'done' "
+        "THEN CAST(FLOOR(o_totalprice) AS BIGINT) END AS row_count",
+        "CASE WHEN final_stage = 3 AND final_status = 'done' THEN CAST(9 AS BIGINT) END AS column_count",
+        f"CASE WHEN final_stage >= 2 THEN {LANDING_PATH_SQL} END AS hdfs_path",
+        "CASE WHEN final_stage = 3 AND final_status = 'failed' "
+        "THEN concat('cannot read ', filename) END AS error_message",
+        "created_at",
+        "created_at + make_dt_interval(0, 0, final_stage, 0) AS updated_at",
+    )
     from dqlens.operators.catalog import with_names
-    return with_names(frame).drop("custom_raw")
+    return with_names(cat).drop("custom_raw")
 
 
 def reports_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the stand-in: datasets whose analysis is done."""
-    cat = catalog_standin(spark, sf_dir)
-    return cat.where(F.col("status") == "done").select(
-        "dataset_id", "user_id", F.col("updated_at").alias("generated_at"),
-        "hdfs_path", F.col("row_count").alias("report_rows"),
-        F.col("column_count").alias("report_columns"))
+    return catalog_standin(spark, sf_dir).where("status = 'done'").selectExpr(
+        "dataset_id", "user_id", "updated_at AS generated_at", "hdfs_path",
+        "row_count AS report_rows", "column_count AS report_columns")
 
 
 # fixed mapping of the stand-in: order priority -> declared MIME type of the
@@ -178,16 +177,9 @@ STATUS_SUFFIX = {"F": ".CSV", "O": ".csv.gz", "P": ".txt"}
 
 def uploads_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload requests ``(dataset_id, filename, mime)`` derived from orders."""
-    o = table(spark, sf_dir, "orders")
-    mime = None
-    for p, m in PRIORITY_MIME.items():
-        v = F.lit(m) if m is not None else F.lit(None).cast("string")
-        mime = F.when(F.col("o_orderpriority") == p, v) if mime is None else mime.when(F.col("o_orderpriority") == p, v)
-    suffix = None
-    for s, x in STATUS_SUFFIX.items():
-        suffix = F.when(F.col("o_orderstatus") == s, F.lit(x)) if suffix is None else suffix.when(F.col("o_orderstatus") == s, F.lit(x))
-    return o.select(
-        F.col("o_orderkey").alias("dataset_id"),
-        F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string"), suffix).alias("filename"),
-        mime.alias("mime"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS dataset_id",
+        "concat('orders_', CAST(o_orderkey AS STRING), "
+        + _case("o_orderstatus", STATUS_SUFFIX) + ") AS filename",
+        _case("o_orderpriority", PRIORITY_MIME, "CAST(NULL AS STRING)") + " AS mime",
     )
