@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from dqlens.functions import constants as K
 from dqlens.functions.expressions import (clean_custom_name, display_name, progress_of,
                                           status_label, step_label)
+from dqlens.operators.profile import is_narrow
 
 CATALOG_FIELDS = ("name", "custom_name", "filename", "status", "step", "row_count",
                   "column_count", "hdfs_path", "error_message", "created_at")
@@ -103,6 +104,12 @@ def current_catalog(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
     present = [f for f in fields if f in events.columns]
     ts = F.col("updated_at")
     aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), ts)).alias(f) for f in present]
+    if is_narrow(events):
+        # few input partitions (one small file): partition by the key first,
+        # so the fold runs on every slot after a single shuffle; wide inputs
+        # keep the map-side partial aggregation that absorbs hot datasets
+        slots = events.sparkSession.sparkContext.defaultParallelism
+        events = events.repartition(slots, "dataset_id", "user_id")
     return (events.groupBy("dataset_id", "user_id")
             .agg(*aggs, F.max(ts).alias("updated_at")))
 

@@ -223,6 +223,11 @@ def _hashable(dtype: T.DataType) -> bool:
     return True
 
 
+def is_narrow(df: DataFrame) -> bool:
+    """Fewer input partitions than task slots (planning only, no job)."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread_if_narrow(df: DataFrame) -> DataFrame:
     """Spread the input when it has fewer partitions than task slots.
 
@@ -238,9 +243,9 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     the small inputs this applies to, and the partial aggregation that
     follows collapses them at hash-map speed.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if not is_narrow(df):
         return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
     keys = [col(f.name) for f in df.schema.fields if _hashable(f.dataType)]
     if not keys:
         return df.repartition(slots)
