@@ -26,7 +26,9 @@ bounded by the schema width, never by the data.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
+import io
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -223,8 +225,26 @@ def _hashable(dtype: T.DataType) -> bool:
     return True
 
 
+def physical_plan(df: DataFrame) -> str:
+    """The physical plan text, from ``explain`` (plans, runs nothing)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
 def is_narrow(df: DataFrame) -> bool:
-    """Fewer input partitions than task slots (planning only, no job)."""
+    """Fewer input partitions than task slots -- decided without running a job.
+
+    Only a plan of scans and row-wise operators is asked for its partition
+    count: asking a plan that contains an exchange (or a subquery) would make
+    adaptive execution run those stages first.  The output of a shuffle has
+    ``spark.sql.shuffle.partitions`` partitions and is never treated as
+    narrow.
+    """
+    plan = physical_plan(df)
+    if "Exchange" in plan or "Subquery" in plan:
+        return False
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 

@@ -41,13 +41,14 @@ def _folders(batch: DataFrame) -> list[str]:
 
 
 def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_id: str,
-                         checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                         checkpoint: str | None = None, max_files_per_trigger: int | None = 1000,
                          exact: bool = True, **csv_options) -> list[str]:
     """Run the folder stream until everything available now is processed.
 
     Returns the folders ingested by this run.  ``checkpoint`` defaults to a
     fresh folder below the shared checkpoint root; pass a fixed one to make
-    later runs skip what earlier runs saw.
+    later runs skip what earlier runs saw.  ``max_files_per_trigger`` bounds
+    the paths one micro-batch brings to the driver (``None``: no bound).
     """
     checkpoint = checkpoint or scratch_path(spark, "folder-stream-ckpt")
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)

@@ -93,3 +93,18 @@ def test_wide_table(spark):
     assert len(rows) == n + 1
     assert rows["c0"]["n_distinct"] == 2 and rows["c9"]["n_distinct"] == 11
     assert rows["empty"]["n_missing"] == 200 and rows["empty"]["n_distinct"] == 1
+
+
+def test_narrow_check_runs_no_job(spark):
+    li = table(spark, SF_SMALL, "lineitem")
+    o = table(spark, SF_SMALL, "orders")
+    joined = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.sum("l_quantity").alias("q"))
+    sc = spark.sparkContext
+    sc.setJobGroup("narrow-probe", "narrow-probe")
+    try:
+        assert P.is_narrow(joined) is False
+        P.column_stats(joined)                 # building the plan runs nothing either
+        assert list(sc.statusTracker().getJobIdsForGroup("narrow-probe")) == []
+    finally:
+        sc.setJobGroup(None, None)
+    assert P.is_narrow(li) is True             # one small file, scan only
