@@ -125,7 +125,8 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
     try:
         _event(layout, spark, dataset_id, user_id, "uploading_hdfs")
         raw = S.read_raw(spark, path, **csv_options)
-        ST.land_raw(raw, layout.landing, user_id, dataset_id)
+        if raw.schema.fields:            # an empty file has nothing to land
+            ST.land_raw(raw, layout.landing, user_id, dataset_id)
         landed_at = ST.partition_dir(layout.landing, user_id=user_id, dataset_id=dataset_id)
         _event(layout, spark, dataset_id, user_id, "analyzing", hdfs_path=landed_at)
 
@@ -133,7 +134,8 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
         if not typed.schema.fields:      # empty file: no header, no columns
             report = R.empty_report(spark, 0)
         else:
-            landed = spark.read.parquet(landed_at)
+            # zero data rows write no partition folder: check the raw scan then
+            landed = spark.read.parquet(landed_at) if _exists(spark, landed_at) else raw
             prof = P.profile_columns(typed, landed, typed.schema, exact=exact)
             ST.write_partition(prof, layout.columns, user_id, dataset_id)
             # the report is folded from the stored profile: lineage is cut at

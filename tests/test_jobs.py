@@ -72,3 +72,19 @@ def test_folder_stream_processes_each_folder_once(spark, store):
     assert len(ingest_folder_stream(spark, root, store, "s1", checkpoint=ck)) == 1
     names = sorted(r["filename"] for r in J.list_datasets(spark, store, "s1").collect())
     assert names == ["first", "second"]
+
+
+def test_ingest_empty_and_header_only_files(spark, store, tmp_text_dir):
+    empty = os.path.join(tmp_text_dir, "empty.csv")
+    open(empty, "w").close()
+    rep = J.ingest_and_profile(spark, store, empty, "e0", "u5").first()
+    assert rep["row_count"] == 0 and rep["column_count"] == 0 and rep["suggestions"] == []
+    header = os.path.join(tmp_text_dir, "header.csv")
+    with open(header, "w") as fh:
+        fh.write("a,b\n")
+    rep = J.ingest_and_profile(spark, store, header, "e1", "u5").first()
+    assert rep["row_count"] == 0 and rep["column_count"] == 2
+    assert rep["constant_columns"] == ["a", "b"]
+    assert rep["suggestions"] == ["Supprimer 2 colonne(s) constante(s): a, b"]
+    st = {r["dataset_id"]: (r["status"], r["row_count"]) for r in J.list_datasets(spark, store, "u5").collect()}
+    assert st == {"e0": ("done", 0), "e1": ("done", 0)}
