@@ -362,7 +362,17 @@ def _meta_frame(df: DataFrame) -> DataFrame:
     return literal_frame(df.sparkSession, schema_rows(df), SCHEMA_REPORT_SCHEMA)
 
 
-def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+def _bad_in_slots(slot_types: list[T.DataType], checks: Mapping[int, T.DataType]) -> str:
+    """SQL text: frequency of the row if its (string) value is badly typed
+    for the wanted type of its position, else 0."""
+    j = next(k for k, t in enumerate(slot_types) if isinstance(t, T.StringType))
+    whens = " ".join(f"WHEN {pos} THEN CASE WHEN {bad_value_sql(f's{j}', t)} THEN cnt ELSE 0 END"
+                     for pos, t in checks.items())
+    return f"CASE {POSITION} {whens} ELSE 0 END"
+
+
+def column_stats(df: DataFrame, exact: bool = True,
+                 bad_checks: Mapping[int, T.DataType] | None = None) -> DataFrame:
     """``(position, column_name, dtype, row_count, n_missing, n_distinct)``.
 
     ``exact=True`` (default, the reference's semantics): one scan, one
@@ -370,19 +380,29 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     NaN and 0.0 equals -0.0.  ``exact=False`` is an opt-in HyperLogLog++
     estimate (``approx_count_distinct``, plus one for null) computed without
     shuffling values -- for profiling 100 TB tables interactively.
+
+    ``bad_checks`` (exact mode, string columns, atomic wanted types): position
+    -> wanted type.  A badly typed value is a property of the value, so it is
+    counted on the distinct-value table of the same job (extra column
+    ``n_bad``) instead of by a second scan.
     """
     fields = df.schema.fields
     spark = df.sparkSession
     if not fields:
         return literal_frame(spark, [], STATS_SCHEMA)
     meta = _meta_frame(df)
+    extra = []
     if exact:
         counted, slot_types = value_counts(df)
-        per_col = counted.groupBy(POSITION).agg(
+        aggs = [
             F.expr("count(1) AS n_distinct"),
             F.expr("sum(cnt) AS n_rows"),
             F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
-        )
+        ]
+        if bad_checks:
+            aggs.append(F.expr(f"sum({_bad_in_slots(slot_types, bad_checks)}) AS n_bad_fused"))
+            extra = [F.coalesce(F.col("n_bad_fused"), F.lit(0)).cast("bigint").alias("n_bad")]
+        per_col = counted.groupBy(POSITION).agg(*aggs)
     else:
         aggs = [F.count(F.lit(1)).alias("rows")]
         items = []
@@ -402,6 +422,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
         F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("row_count"),
         F.coalesce(F.col("n_miss"), F.lit(0)).cast("bigint").alias("n_missing"),
         F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct"),
+        *extra,
     )
 
 
@@ -467,6 +488,18 @@ def constant_columns(stats: DataFrame) -> DataFrame:
     return stats.where(F.col("n_distinct") <= 1).select(POSITION, NAME)
 
 
+def _aligned_wanted(typed: DataFrame, wanted) -> list[T.DataType]:
+    """Wanted type per position of ``typed`` (its own type where unspecified)."""
+    fields = typed.schema.fields
+    if wanted is None:
+        return [f.dataType for f in fields]
+    listed = _wanted_fields(typed, wanted)
+    if [n for _, n, _ in listed] == [f.name for f in fields]:
+        return [t for _, _, t in listed]
+    by_name = {n: t for _, n, t in listed}
+    return [by_name.get(f.name, f.dataType) for f in fields]
+
+
 def profile_columns(typed: DataFrame, raw: DataFrame | None = None, wanted=None,
                     exact: bool = True) -> DataFrame:
     """Full per-column profile, long form.
@@ -475,14 +508,28 @@ def profile_columns(typed: DataFrame, raw: DataFrame | None = None, wanted=None,
     and ``wanted`` (default ``typed``'s schema) drive the bad-type count.
     Columns: position, column_name, dtype, row_count, n_missing, n_distinct,
     is_constant, n_bad.
+
+    When the raw values are ``typed`` itself, string columns wanted as
+    another atomic type are checked inside the profile's own job (on distinct
+    values); only other checks need the separate one-pass aggregate.
     """
-    stats = column_stats(typed, exact)
+    fields = typed.schema.fields
+    wanted_types = _aligned_wanted(typed, wanted)
+    fused: dict[int, T.DataType] = {}
+    if (raw is None or raw is typed) and exact:
+        for i, (f, t) in enumerate(zip(fields, wanted_types)):
+            if (isinstance(f.dataType, T.StringType) and not isinstance(t, T.StringType)
+                    and bad_value_sql("x", t) is not None):
+                fused[i] = t
+    stats = column_stats(typed, exact, bad_checks=fused or None)
     raw = typed if raw is None else raw
-    wanted = typed.schema if wanted is None else wanted
-    bad = bad_type_counts(raw, wanted).select(POSITION, "n_bad")
+    rest = T.StructType([T.StructField(f.name, f.dataType if i in fused else t)
+                         for i, (f, t) in enumerate(zip(fields, wanted_types))])
+    bad = bad_type_counts(raw, rest).select(POSITION, F.col("n_bad").alias("n_bad_scan"))
     out = stats.join(F.broadcast(bad), POSITION, "left")   # <= C rows per side
+    fused_n = F.col("n_bad") if fused else F.lit(0)
     return out.select(
         POSITION, NAME, "dtype", "row_count", "n_missing", "n_distinct",
         (F.col("n_distinct") <= 1).alias("is_constant"),
-        F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad"),
+        (fused_n + F.coalesce(F.col("n_bad_scan"), F.lit(0))).cast("bigint").alias("n_bad"),
     )

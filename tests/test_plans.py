@@ -108,3 +108,10 @@ def test_narrow_check_runs_no_job(spark):
     finally:
         sc.setJobGroup(None, None)
     assert P.is_narrow(li) is True             # one small file, scan only
+
+
+def test_declared_type_check_shares_the_profile_scan(spark):
+    from dqlens.sources.tables import DIRTY_WANTED
+    prof = P.profile_columns(dirty(spark, SF_SMALL), wanted=DIRTY_WANTED)
+    assert _plan(prof).count("FileScan parquet") == 1
+    assert {r["column_name"]: r["n_bad"] for r in prof.collect() if r["n_bad"]} == {"cust_txt": 79}
