@@ -362,13 +362,16 @@ def _meta_frame(df: DataFrame) -> DataFrame:
     return literal_frame(df.sparkSession, schema_rows(df), SCHEMA_REPORT_SCHEMA)
 
 
-def _bad_in_slots(slot_types: list[T.DataType], checks: Mapping[int, T.DataType]) -> str:
-    """SQL text: frequency of the row if its (string) value is badly typed
-    for the wanted type of its position, else 0."""
-    j = next(k for k, t in enumerate(slot_types) if isinstance(t, T.StringType))
-    whens = " ".join(f"WHEN {pos} THEN CASE WHEN {bad_value_sql(f's{j}', t)} THEN cnt ELSE 0 END"
-                     for pos, t in checks.items())
-    return f"CASE {POSITION} {whens} ELSE 0 END"
+def _bad_in_slots(df: DataFrame, slot_types: list[T.DataType],
+                  checks: Mapping[int, T.DataType]) -> str:
+    """SQL text: frequency of the row if its value is badly typed for the
+    wanted type of its position, else 0 (the value sits in its type's slot)."""
+    fields = df.schema.fields
+    whens = []
+    for pos, t in checks.items():
+        j = slot_types.index(_groupable_type(fields[pos].dataType))
+        whens.append(f"WHEN {pos} THEN CASE WHEN {bad_value_sql(f's{j}', t)} THEN cnt ELSE 0 END")
+    return f"CASE {POSITION} {' '.join(whens)} ELSE 0 END"
 
 
 def column_stats(df: DataFrame, exact: bool = True,
@@ -381,7 +384,7 @@ def column_stats(df: DataFrame, exact: bool = True,
     estimate (``approx_count_distinct``, plus one for null) computed without
     shuffling values -- for profiling 100 TB tables interactively.
 
-    ``bad_checks`` (exact mode, string columns, atomic wanted types): position
+    ``bad_checks`` (exact mode, atomic columns and wanted types): position
     -> wanted type.  A badly typed value is a property of the value, so it is
     counted on the distinct-value table of the same job (extra column
     ``n_bad``) instead of by a second scan.
@@ -400,7 +403,7 @@ def column_stats(df: DataFrame, exact: bool = True,
             F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
         ]
         if bad_checks:
-            aggs.append(F.expr(f"sum({_bad_in_slots(slot_types, bad_checks)}) AS n_bad_fused"))
+            aggs.append(F.expr(f"sum({_bad_in_slots(df, slot_types, bad_checks)}) AS n_bad_fused"))
             extra = [F.coalesce(F.col("n_bad_fused"), F.lit(0)).cast("bigint").alias("n_bad")]
         per_col = counted.groupBy(POSITION).agg(*aggs)
     else:
@@ -488,6 +491,10 @@ def constant_columns(stats: DataFrame) -> DataFrame:
     return stats.where(F.col("n_distinct") <= 1).select(POSITION, NAME)
 
 
+def _atomic(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+
 def _aligned_wanted(typed: DataFrame, wanted) -> list[T.DataType]:
     """Wanted type per position of ``typed`` (its own type where unspecified)."""
     fields = typed.schema.fields
@@ -509,7 +516,7 @@ def profile_columns(typed: DataFrame, raw: DataFrame | None = None, wanted=None,
     Columns: position, column_name, dtype, row_count, n_missing, n_distinct,
     is_constant, n_bad.
 
-    When the raw values are ``typed`` itself, string columns wanted as
+    When the raw values are ``typed`` itself, atomic columns wanted as
     another atomic type are checked inside the profile's own job (on distinct
     values); only other checks need the separate one-pass aggregate.
     """
@@ -518,8 +525,8 @@ def profile_columns(typed: DataFrame, raw: DataFrame | None = None, wanted=None,
     fused: dict[int, T.DataType] = {}
     if (raw is None or raw is typed) and exact:
         for i, (f, t) in enumerate(zip(fields, wanted_types)):
-            if (isinstance(f.dataType, T.StringType) and not isinstance(t, T.StringType)
-                    and bad_value_sql("x", t) is not None):
+            if (_atomic(f.dataType) and _atomic(t) and f.dataType != t
+                    and not isinstance(t, T.StringType)):
                 fused[i] = t
     stats = column_stats(typed, exact, bad_checks=fused or None)
     raw = typed if raw is None else raw

@@ -149,3 +149,13 @@ def test_bad_types_with_repeated_names(spark):
     wanted = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("k", T.IntegerType())])
     got = [(r["position"], r["n_bad"]) for r in P.bad_type_counts(raw, wanted).orderBy("position").collect()]
     assert got == [(0, 1), (1, 1)]
+
+
+def test_declared_types_on_non_string_columns(spark):
+    df = spark.createDataFrame([(1, 2.5, 3000000000), (2, 2.0, 5), (None, None, None)],
+                               "a int, b double, c bigint")
+    wanted = {"a": "int", "b": "int", "c": "int"}
+    fused = {r["column_name"]: r["n_bad"] for r in P.profile_columns(df, wanted=wanted).collect()}
+    scan = {r["column_name"]: r["n_bad"] for r in P.bad_type_counts(df, wanted, keep_zero=True).collect()}
+    # 2.5 -> int truncates under try_cast (not bad); 3e9 overflows int (bad)
+    assert fused == scan == {"a": 0, "b": 0, "c": 1}
