@@ -64,8 +64,16 @@ REPORT_SCHEMA_DDL = (
 )
 
 
-def report_document(profile: DataFrame) -> DataFrame:
-    """Fold the long-form profile (with ``n_bad``) into one nested row.
+def stored_report_schema() -> T.StructType:
+    """Schema of the stored reports table (partition columns last)."""
+    return T._parse_datatype_string(
+        "generated_at timestamp_ntz, hdfs_path string, " + REPORT_SCHEMA_DDL
+        + ", user_id string, dataset_id string")
+
+
+def report_document(profile: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Fold the long-form profile (with ``n_bad``) into one nested row
+    (per value of ``keys`` when given: one report per dataset).
 
     Shape of the reference's report: row_count, column_count, schema
     [{name, dtype}], null_counts {col: n}, bad_type_counts {col: n} (non-zero
@@ -86,7 +94,8 @@ def report_document(profile: DataFrame) -> DataFrame:
         lambda x: F.struct(x[NAME].alias("name"), x["dtype"].alias("dtype")))
     constant = _ordered_names(F.col("n_distinct") <= 1)
     heavy = _ordered_names(_heavy(profile))
-    return profile.agg(
+    grouped = profile.groupBy(*keys) if keys else profile
+    return grouped.agg(
         F.coalesce(F.max("row_count"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).cast("bigint").alias("column_count"),
         schema_list.alias("schema"),

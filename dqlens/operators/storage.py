@@ -49,6 +49,22 @@ def write_partition(df: DataFrame, base: str, user_id, dataset_id) -> None:
        .partitionBy("user_id", "dataset_id").parquet(base))
 
 
+def write_partitions(df: DataFrame, base: str) -> None:
+    """Replace every ``(user_id, dataset_id)`` partition present in ``df``
+    (which carries both columns) in one job; other partitions stay."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("user_id", "dataset_id").parquet(base))
+
+
+def read_partitions(spark: SparkSession, base: str, user_id, dataset_ids,
+                    schema: T.StructType) -> DataFrame:
+    """Several datasets of one owner, reading only their partition folders
+    (no listing of the whole table); ``schema`` includes the string
+    partition columns, so folder names are never type-inferred."""
+    paths = [partition_dir(base, user_id=user_id, dataset_id=d) for d in dataset_ids]
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+
 def read_partition(spark: SparkSession, base: str, user_id, dataset_id,
                    id_type: str = "string") -> DataFrame:
     """One dataset's partition, read from its folder only; the partition

@@ -244,3 +244,110 @@ def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: st
     P.literal_frame(spark, [(dataset_id, user_id, _now())], DELETED_SCHEMA) \
         .write.mode("append").parquet(layout.deleted)
     return {"dataset_id": dataset_id, "archived": True, "fs_error": fs_error}
+
+
+# --------------------------------------------------------------------------
+# R1 for a batch of uploads: a handful of jobs per batch, not per dataset
+# --------------------------------------------------------------------------
+
+def _events(spark: SparkSession, layout: Layout, rows: list[dict]) -> None:
+    if rows:
+        ST.append_events(spark, layout.events, rows)
+
+
+def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
+                exact: bool = True, **csv_options) -> DataFrame:
+    """Ingest and profile several uploads of one owner together.
+
+    ``items``: dicts with ``path``, ``dataset_id`` and optionally
+    ``filename`` / ``custom_name``.  Same tables and semantics as
+    ``ingest_and_profile``, but each status change of the whole batch is one
+    append, every dataset is profiled by ONE ``column_stats_many`` job, the
+    bad-type checks of all datasets are one job (a union of per-dataset
+    aggregates over the landed copies), and column profiles and reports are
+    written with one dynamic-overwrite job each.  What stays per dataset is
+    what depends on its own file: the landing write and the schema inference.
+    Idempotent per dataset id; on failure every dataset of the batch is
+    marked ``failed`` and the error is raised again.  Returns the stored
+    reports of the batch.
+    """
+    layout = Layout(base.rstrip("/"))
+    user_id = str(user_id)
+    items = [dict(it, dataset_id=str(it["dataset_id"])) for it in items]
+    if not items:
+        raise ValueError("nothing to ingest")
+    ids = [it["dataset_id"] for it in items]
+    now = _now()
+    regs = []
+    for it in items:
+        filename = it.get("filename") or it["path"].rstrip("/").split("/")[-1]
+        custom = (it.get("custom_name") or "").strip() or None
+        regs.append(C.status_event(it["dataset_id"], user_id, K.DEFAULT_STATUS, now,
+                                   name=custom or filename, custom_name=custom, filename=filename,
+                                   step=K.STEP_INITIAL_ANALYSIS, created_at=now))
+    _events(spark, layout, regs)
+    try:
+        _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])
+        landed_at, raws = {}, {}
+        for it in items:
+            did = it["dataset_id"]
+            raws[did] = S.read_raw(spark, it["path"], **csv_options)
+            if raws[did].schema.fields:
+                ST.land_raw(raws[did], layout.landing, user_id, did)
+            landed_at[did] = ST.partition_dir(layout.landing, user_id=user_id, dataset_id=did)
+        _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
+                                for i in ids])
+
+        typed = {it["dataset_id"]: S.read_typed(spark, it["path"], **csv_options) for it in items}
+        stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
+        bad_parts = []
+        for did, t in typed.items():
+            if not t.schema.fields:
+                continue
+            landed = (spark.read.parquet(landed_at[did]) if _exists(spark, landed_at[did])
+                      else raws[did])
+            bad_parts.append(P.bad_type_counts(landed, t.schema)
+                             .select(F.lit(did).alias("dataset_id"), P.POSITION, "n_bad"))
+        prof = stats
+        if bad_parts:
+            bad = bad_parts[0]
+            for part in bad_parts[1:]:
+                bad = bad.unionByName(part)
+            # one row per badly typed column of the batch: bounded by schemas
+            prof = stats.join(F.broadcast(bad), ["dataset_id", P.POSITION], "left")
+        else:
+            prof = stats.withColumn("n_bad", F.lit(None).cast("bigint"))
+        prof = prof.select(
+            P.POSITION, P.NAME, "dtype", "row_count", "n_missing", "n_distinct",
+            (F.col("n_distinct") <= 1).alias("is_constant"),
+            F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad"),
+            F.lit(user_id).alias("user_id"), "dataset_id")
+        ST.write_partitions(prof, layout.columns)
+
+        profiled = [did for did, t in typed.items() if t.schema.fields]
+        stored = (ST.read_partitions(spark, layout.columns, user_id, profiled, COLUMNS_SCHEMA)
+                  if profiled else spark.createDataFrame([], COLUMNS_SCHEMA))
+        reports = R.report_document(stored, ["user_id", "dataset_id"])
+        empty = [did for did, t in typed.items() if not t.schema.fields]
+        if empty:
+            blank = R.empty_report(spark, 0)
+            for did in empty:
+                reports = reports.unionByName(blank.select(F.lit(user_id).alias("user_id"),
+                                                           F.lit(did).alias("dataset_id"), "*"))
+        path_of = F.element_at(F.create_map(*[v for did in ids for v in (F.lit(did), F.lit(landed_at[did]))]),
+                               F.col("dataset_id"))
+        reports = reports.select(F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
+                                 path_of.alias("hdfs_path"), *[c for c in reports.columns])
+        ST.write_partitions(reports, layout.reports)
+
+        stored_reports = ST.read_partitions(spark, layout.reports, user_id, ids,
+                                            R.stored_report_schema())
+        counts = stored_reports.select("dataset_id", "row_count", "column_count").collect()
+        _events(spark, layout, [C.status_event(r["dataset_id"], user_id, "done", _now(),
+                                               row_count=int(r["row_count"]),
+                                               column_count=int(r["column_count"])) for r in counts])
+        return stored_reports
+    except Exception as exc:
+        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(exc)[:2000])
+                                for i in ids])
+        raise

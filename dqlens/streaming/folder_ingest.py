@@ -3,8 +3,8 @@
 A dataset is a folder of CSV files (one uploaded file, or the part files a
 Spark job wrote).  The file stream (``binaryFile`` without its ``content``
 column, so no bytes are read by the listing) yields new file paths; each
-micro-batch profiles the folders those files belong to with the batch job
-``ingest_and_profile``.  The stream's checkpoint remembers which files were
+micro-batch ingests the folders those files belong to together with
+``ingest_many`` (one profile job for the whole batch).  The stream's checkpoint remembers which files were
 seen, so a restart processes only new ones; the dataset id is derived from
 the folder path, so a folder that receives more files later, or a batch that
 is retried, overwrites the same report partition instead of adding one.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqlens.functions.expressions import is_csv_file
-from dqlens.plans.jobs import ingest_and_profile
+from dqlens.plans.jobs import ingest_many
 from dqlens.session import scratch_path
 
 
@@ -59,11 +59,13 @@ def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_i
     seen: list[str] = []
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        for folder in _folders(batch):
-            ingest_and_profile(spark, base, folder, dataset_id_for(folder), user_id,
-                               filename=folder.rstrip("/").split("/")[-1], exact=exact,
-                               **csv_options)
-            seen.append(folder)
+        folders = _folders(batch)
+        if not folders:
+            return
+        items = [{"path": f, "dataset_id": dataset_id_for(f), "filename": f.rstrip("/").split("/")[-1]}
+                 for f in folders]
+        ingest_many(spark, base, items, user_id, exact=exact, **csv_options)
+        seen.extend(folders)
 
     query = (files.writeStream.foreachBatch(per_batch)
              .option("checkpointLocation", checkpoint)

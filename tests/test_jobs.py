@@ -88,3 +88,28 @@ def test_ingest_empty_and_header_only_files(spark, store, tmp_text_dir):
     assert rep["suggestions"] == ["Supprimer 2 colonne(s) constante(s): a, b"]
     st = {r["dataset_id"]: (r["status"], r["row_count"]) for r in J.list_datasets(spark, store, "u5").collect()}
     assert st == {"e0": ("done", 0), "e1": ("done", 0)}
+
+
+def test_ingest_many_matches_one_by_one(spark, tmp_text_dir):
+    from dqlens.sources.tables import table
+    root = scratch_path(spark, "many-src")
+    S.write_csv(dirty(spark, SF_SMALL), f"{root}/dirty")
+    S.write_csv(table(spark, SF_SMALL, "customer"), f"{root}/customer")
+    empty = os.path.join(tmp_text_dir, "empty.csv")
+    open(empty, "w").close()
+    items = [{"path": f"{root}/dirty", "dataset_id": "m1", "custom_name": " Dirty "},
+             {"path": f"{root}/customer", "dataset_id": "m2"},
+             {"path": empty, "dataset_id": "m3"}]
+    many_store, one_store = scratch_path(spark, "many"), scratch_path(spark, "one")
+    keep = ["dataset_id", "row_count", "column_count", "schema", "null_counts", "bad_type_counts",
+            "distinct_counts", "constant_columns", "suggestions"]
+    got = {r["dataset_id"]: r for r in J.ingest_many(spark, many_store, items, "u7").select(*keep).collect()}
+    for it in items:
+        one = J.ingest_and_profile(spark, one_store, it["path"], it["dataset_id"], "u7",
+                                   custom_name=it.get("custom_name")).first()
+        assert {k: one[k] for k in keep if k != "dataset_id"} == \
+            {k: got[it["dataset_id"]][k] for k in keep if k != "dataset_id"}
+    lst = {r["dataset_id"]: (r["name"], r["status"], r["row_count"])
+           for r in J.list_datasets(spark, many_store, "u7").collect()}
+    assert lst == {"m1": ("Dirty", "done", 1500), "m2": ("customer", "done", 150),
+                   "m3": ("empty.csv", "done", 0)}
