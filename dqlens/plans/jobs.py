@@ -299,7 +299,14 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                                 for i in ids])
 
         typed = {it["dataset_id"]: S.read_typed(spark, it["path"], **csv_options) for it in items}
-        stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
+        if exact:
+            stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
+        else:       # estimates need no value shuffle: one aggregate per dataset
+            parts = [P.column_stats(t, exact=False).select(F.lit(did).alias("dataset_id"), "*")
+                     for did, t in typed.items() if t.schema.fields]
+            stats = parts[0]
+            for part in parts[1:]:
+                stats = stats.unionByName(part)
         bad_parts = []
         for did, t in typed.items():
             if not t.schema.fields:

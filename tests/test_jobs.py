@@ -113,3 +113,10 @@ def test_ingest_many_matches_one_by_one(spark, tmp_text_dir):
            for r in J.list_datasets(spark, many_store, "u7").collect()}
     assert lst == {"m1": ("Dirty", "done", 1500), "m2": ("customer", "done", 150),
                    "m3": ("empty.csv", "done", 0)}
+
+
+def test_ingest_many_approximate(spark, store):
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    rep = J.ingest_many(spark, store, [{"path": src, "dataset_id": "x1"}], "u8", exact=False).first()
+    assert rep["row_count"] == 1500 and rep["null_counts"]["price"] == 300
+    assert abs(rep["distinct_counts"]["o_orderkey"] - 1500) <= 60
