@@ -104,7 +104,7 @@ def profile_csv(spark: SparkSession, path: str, raw: DataFrame | None = None,
 def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: str,
                        user_id: str, filename: str | None = None,
                        custom_name: str | None = None, max_rows: int | None = None,
-                       exact: bool = True, register: bool = True,
+                       exact: bool = True, register: bool = True, schema=None,
                        **csv_options) -> DataFrame:
     """R1: gate -> register -> land -> profile -> store -> catalogue update.
 
@@ -112,6 +112,7 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
     partition overwrites.  On failure the catalogue records ``failed`` with
     the message and the error is raised again.  Returns the stored report
     (lazy: a later run for the same dataset replaces the files it reads).
+    ``schema`` (known layout) skips the inference pass of the typed scan.
     """
     layout = Layout(base.rstrip("/"))
     dataset_id, user_id = str(dataset_id), str(user_id)
@@ -130,7 +131,7 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
         landed_at = ST.partition_dir(layout.landing, user_id=user_id, dataset_id=dataset_id)
         _event(layout, spark, dataset_id, user_id, "analyzing", hdfs_path=landed_at)
 
-        typed = S.read_typed(spark, path, **csv_options)
+        typed = S.read_typed(spark, path, schema=schema, **csv_options)
         if not typed.schema.fields:      # empty file: no header, no columns
             report = R.empty_report(spark, 0)
         else:
@@ -260,7 +261,7 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     """Ingest and profile several uploads of one owner together.
 
     ``items``: dicts with ``path``, ``dataset_id`` and optionally
-    ``filename`` / ``custom_name``.  Same tables and semantics as
+    ``filename`` / ``custom_name`` / ``schema`` (skips inference).  Same tables and semantics as
     ``ingest_and_profile``, but each status change of the whole batch is one
     append, every dataset is profiled by ONE ``column_stats_many`` job, the
     bad-type checks of all datasets are one job (a union of per-dataset
@@ -298,7 +299,8 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
                                 for i in ids])
 
-        typed = {it["dataset_id"]: S.read_typed(spark, it["path"], **csv_options) for it in items}
+        typed = {it["dataset_id"]: S.read_typed(spark, it["path"], schema=it.get("schema"), **csv_options)
+                 for it in items}
         if exact:
             stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
         else:       # estimates need no value shuffle: one aggregate per dataset

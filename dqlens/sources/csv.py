@@ -15,15 +15,21 @@ from dqlens.session import session_conf
 
 
 def read_typed(spark: SparkSession, path: str, timestamp_ntz: bool = False,
-               **options) -> DataFrame:
+               schema=None, **options) -> DataFrame:
     """Typed scan: header row, schema inferred from the whole file.
 
     ``timestamp_ntz=True`` infers zone-less timestamps as TIMESTAMP_NTZ
     (wall-clock values, independent of the session time zone; a local-time
     ``timestamp`` shifts values that fall in a daylight-saving gap).  The
     default keeps Spark's inference (``timestamp``), as the original does.
+    ``schema`` (a StructType or DDL string) skips the inference pass -- one
+    full read less when the layout is known.
     """
-    reader = spark.read.option("header", True).option("inferSchema", True)
+    reader = spark.read.option("header", True)
+    if schema is not None:
+        reader = reader.schema(schema)
+    else:
+        reader = reader.option("inferSchema", True)
     for k, v in options.items():
         reader = reader.option(k, v)
     if not timestamp_ntz:

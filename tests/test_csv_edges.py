@@ -128,3 +128,15 @@ def test_timestamp_ntz_inference_survives_dst_gap(spark, tmp_text_dir):
         assert wall.first()["t"] == dt.datetime(1995, 10, 15, 0, 0)
         assert local.selectExpr("CAST(t AS timestamp_ntz) AS t").first()["t"] != dt.datetime(1995, 10, 15, 0, 0)
     assert spark.conf.get("spark.sql.timestampType") == "TIMESTAMP_LTZ"
+
+
+def test_known_schema_skips_inference(spark, tmp_text_dir):
+    path = _write(tmp_text_dir, "k.csv", "a,b\n1,x\n2,y\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("known-schema", "known-schema")
+    try:
+        df = S.read_typed(spark, path, schema="a bigint, b string")
+        assert list(sc.statusTracker().getJobIdsForGroup("known-schema")) == []
+    finally:
+        sc.setJobGroup(None, None)
+    assert _types(df) == ["bigint", "string"] and df.count() == 2
