@@ -18,7 +18,11 @@ typed values), each re-reading the input.  Here:
   ``count_if`` per column (partial aggregation, one row per task).
 * ``bad_type_counts`` is one ``agg`` over the raw string scan, restricted to
   the columns whose wanted type differs from the raw type (a cast to string
-  never fails), so string-only tables cost no job.
+  never fails), so string-only tables cost no job.  When the raw values are
+  the profiled frame itself, ``profile_columns`` counts them on the
+  distinct-value table of the same job instead (one scan in total).
+* ``column_stats_many`` profiles frames of different schemas in one job by
+  giving them one common long form.
 
 Every per-column result is long form ``(position, column_name, ...)``: C rows,
 bounded by the schema width, never by the data.
@@ -36,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions import constants as K
-from dqlens.functions.expressions import (bad_value_sql, col, is_bad_value, is_missing, missing_sql, quote,
-                                          sql_string)
+from dqlens.functions.expressions import (bad_value_sql, col, is_bad_value, is_missing,
+                                          missing_sql, quote, sql_string)
 
 POSITION = "position"
 NAME = "column_name"
@@ -407,16 +411,17 @@ def column_stats(df: DataFrame, exact: bool = True,
             extra = [F.coalesce(F.col("n_bad_fused"), F.lit(0)).cast("bigint").alias("n_bad")]
         per_col = counted.groupBy(POSITION).agg(*aggs)
     else:
+        pdf = positional(df)
         aggs = [F.count(F.lit(1)).alias("rows")]
         items = []
         for i, f in enumerate(fields):
-            c = _distinct_form(col(f.name), f.dataType)
-            aggs.append(F.count_if(is_missing(col(f.name), f.dataType)).alias(f"m{i}"))
+            c = _distinct_form(F.col(f"c{i}"), f.dataType)
+            aggs.append(F.count_if(is_missing(F.col(f"c{i}"), f.dataType)).alias(f"m{i}"))
             aggs.append((F.approx_count_distinct(c)
                          + F.max(F.when(c.isNull(), 1).otherwise(0))).alias(f"d{i}"))
             items.append(F.struct(F.lit(i).alias(POSITION), F.col(f"d{i}").cast("bigint").alias("n_distinct"),
                                   F.col("rows").alias("n_rows"), F.col(f"m{i}").cast("bigint").alias("n_miss")))
-        per_col = df.agg(*aggs).select(F.inline(F.array(*items)))
+        per_col = pdf.agg(*aggs).select(F.inline(F.array(*items)))
     # both sides hold at most C rows (one per column): broadcasting is bounded
     # by the schema width, never by the data.
     joined = meta.join(F.broadcast(per_col), POSITION, "left")
