@@ -72,12 +72,6 @@ def _now() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
-def _event(layout: Layout, spark: SparkSession, dataset_id: str, user_id: str,
-           status: str, **extra) -> None:
-    ST.append_events(spark, layout.events,
-                     [C.status_event(dataset_id, user_id, status, _now(), **extra)])
-
-
 def register_dataset(spark: SparkSession, layout: Layout, dataset_id: str, user_id: str,
                      filename: str, custom_name: str | None = None) -> None:
     """K2: the first catalogue event (status queued, counts unknown)."""
@@ -112,49 +106,19 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
     partition overwrites.  On failure the catalogue records ``failed`` with
     the message and the error is raised again.  Returns the stored report
     (lazy: a later run for the same dataset replaces the files it reads).
-    ``schema`` (known layout) skips the inference pass of the typed scan.
+    ``max_rows`` rejects the upload before it is registered (physical lines
+    minus the header, as the original gate); ``schema`` (known layout) skips
+    the inference pass of the typed scan.  The work is ``ingest_many`` on a
+    batch of one.
     """
-    layout = Layout(base.rstrip("/"))
-    dataset_id, user_id = str(dataset_id), str(user_id)
-    filename = filename or path.rstrip("/").split("/")[-1]
     if max_rows is not None:
         gate = S.row_limit_gate(spark, path, max_rows).first()
         if not gate["accepted"]:
             raise ValueError(f"CSV exceeds the limit of {max_rows} rows ({gate['n_rows']})")
-    if register:
-        register_dataset(spark, layout, dataset_id, user_id, filename, custom_name)
-    try:
-        _event(layout, spark, dataset_id, user_id, "uploading_hdfs")
-        raw = S.read_raw(spark, path, **csv_options)
-        if raw.schema.fields:            # an empty file has nothing to land
-            ST.land_raw(raw, layout.landing, user_id, dataset_id)
-        landed_at = ST.partition_dir(layout.landing, user_id=user_id, dataset_id=dataset_id)
-        _event(layout, spark, dataset_id, user_id, "analyzing", hdfs_path=landed_at)
-
-        typed = S.read_typed(spark, path, schema=schema, **csv_options)
-        if not typed.schema.fields:      # empty file: no header, no columns
-            report = R.empty_report(spark, 0)
-        else:
-            # zero data rows write no partition folder: check the raw scan then
-            landed = spark.read.parquet(landed_at) if _exists(spark, landed_at) else raw
-            prof = P.profile_columns(typed, landed, typed.schema, exact=exact)
-            ST.write_partition(prof, layout.columns, user_id, dataset_id)
-            # the report is folded from the stored profile: lineage is cut at
-            # the written table, the scans are not re-run
-            stored = spark.read.parquet(
-                ST.partition_dir(layout.columns, user_id=user_id, dataset_id=dataset_id))
-            report = R.report_document(stored)
-        report = report.select(F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
-                               F.lit(landed_at).alias("hdfs_path"), "*")
-        ST.write_partition(report, layout.reports, user_id, dataset_id)
-        stored_report = ST.read_partition(spark, layout.reports, user_id, dataset_id)
-        counts = stored_report.select("row_count", "column_count").first()
-        _event(layout, spark, dataset_id, user_id, "done",
-               row_count=int(counts["row_count"]), column_count=int(counts["column_count"]))
-        return stored_report
-    except Exception as exc:
-        _event(layout, spark, dataset_id, user_id, "failed", error_message=str(exc)[:2000])
-        raise
+    item = {"path": path, "dataset_id": dataset_id, "filename": filename,
+            "custom_name": custom_name, "schema": schema}
+    return ingest_many(spark, base, [item], user_id, exact=exact, register=register,
+                       **csv_options)
 
 
 # --------------------------------------------------------------------------
@@ -257,7 +221,7 @@ def _events(spark: SparkSession, layout: Layout, rows: list[dict]) -> None:
 
 
 def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
-                exact: bool = True, **csv_options) -> DataFrame:
+                exact: bool = True, register: bool = True, **csv_options) -> DataFrame:
     """Ingest and profile several uploads of one owner together.
 
     ``items``: dicts with ``path``, ``dataset_id`` and optionally
@@ -270,7 +234,8 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     what depends on its own file: the landing write and the schema inference.
     Idempotent per dataset id; on failure every dataset of the batch is
     marked ``failed`` and the error is raised again.  Returns the stored
-    reports of the batch.
+    reports of the batch.  ``register=False`` re-runs already registered
+    datasets (no new ``queued`` event).
     """
     layout = Layout(base.rstrip("/"))
     user_id = str(user_id)
@@ -286,7 +251,8 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         regs.append(C.status_event(it["dataset_id"], user_id, K.DEFAULT_STATUS, now,
                                    name=custom or filename, custom_name=custom, filename=filename,
                                    step=K.STEP_INITIAL_ANALYSIS, created_at=now))
-    _events(spark, layout, regs)
+    if register:
+        _events(spark, layout, regs)
     try:
         _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])
         landed_at, raws = {}, {}
