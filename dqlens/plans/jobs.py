@@ -8,6 +8,7 @@ schema, a handful of status events, two counts for the catalogue.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -220,8 +221,18 @@ def _events(spark: SparkSession, layout: Layout, rows: list[dict]) -> None:
         ST.append_events(spark, layout.events, rows)
 
 
+def _in_parallel(fn, items: list, parallel: int) -> list:
+    """``fn`` over ``items`` from up to ``parallel`` driver threads (each
+    submits its own Spark jobs), results in input order."""
+    if parallel <= 1 or len(items) <= 1:
+        return [fn(it) for it in items]
+    with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
 def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
-                exact: bool = True, register: bool = True, **csv_options) -> DataFrame:
+                exact: bool = True, register: bool = True, parallel: int = 8,
+                **csv_options) -> DataFrame:
     """Ingest and profile several uploads of one owner together.
 
     ``items``: dicts with ``path``, ``dataset_id`` and optionally
@@ -235,7 +246,8 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     Idempotent per dataset id; on failure every dataset of the batch is
     marked ``failed`` and the error is raised again.  Returns the stored
     reports of the batch.  ``register=False`` re-runs already registered
-    datasets (no new ``queued`` event).
+    datasets (no new ``queued`` event).  ``parallel`` driver threads submit
+    the per-file landing and inference jobs concurrently.
     """
     layout = Layout(base.rstrip("/"))
     user_id = str(user_id)
@@ -255,18 +267,25 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         _events(spark, layout, regs)
     try:
         _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])
-        landed_at, raws = {}, {}
-        for it in items:
-            did = it["dataset_id"]
-            raws[did] = S.read_raw(spark, it["path"], **csv_options)
-            if raws[did].schema.fields:
-                ST.land_raw(raws[did], layout.landing, user_id, did)
-            landed_at[did] = ST.partition_dir(layout.landing, user_id=user_id, dataset_id=did)
+        landed_at = {i: ST.partition_dir(layout.landing, user_id=user_id, dataset_id=i) for i in ids}
+
+        def land(it: dict) -> tuple[str, DataFrame]:
+            raw = S.read_raw(spark, it["path"], **csv_options)
+            if raw.schema.fields:
+                ST.land_raw(raw, layout.landing, user_id, it["dataset_id"])
+            return it["dataset_id"], raw
+
+        # per-file jobs are independent (own partition folder, own staging
+        # folder): submitted together, the scheduler interleaves them
+        raws = dict(_in_parallel(land, items, parallel))
         _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
                                 for i in ids])
 
-        typed = {it["dataset_id"]: S.read_typed(spark, it["path"], schema=it.get("schema"), **csv_options)
-                 for it in items}
+        def infer(it: dict) -> tuple[str, DataFrame]:
+            return it["dataset_id"], S.read_typed(spark, it["path"], schema=it.get("schema"),
+                                                  **csv_options)
+
+        typed = dict(_in_parallel(infer, items, parallel))
         if exact:
             stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
         else:       # estimates need no value shuffle: one aggregate per dataset
