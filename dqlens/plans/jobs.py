@@ -230,14 +230,67 @@ def _in_parallel(fn, items: list, parallel: int) -> list:
         return list(pool.map(fn, items))
 
 
+def _profile_batch(spark: SparkSession, typed: dict, raws: dict, landed_at: dict,
+                   exact: bool) -> DataFrame:
+    """Long-form profiles of a batch (``dataset_id`` column): one
+    ``column_stats_many`` job, plus one job of per-dataset bad-type
+    aggregates over the landed raw strings."""
+    with_cols = {did: t for did, t in typed.items() if t.schema.fields}
+    if exact or not with_cols:
+        stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
+    else:       # estimates need no value shuffle: one aggregate per dataset
+        parts = [P.column_stats(t, exact=False).select(F.lit(did).alias("dataset_id"), "*")
+                 for did, t in with_cols.items()]
+        stats = parts[0]
+        for part in parts[1:]:
+            stats = stats.unionByName(part)
+    bad = None
+    for did, t in with_cols.items():
+        landed = (spark.read.parquet(landed_at[did]) if _exists(spark, landed_at[did])
+                  else raws[did])           # zero data rows leave no landed folder
+        part = P.bad_type_counts(landed, t.schema).select(
+            F.lit(did).alias("dataset_id"), P.POSITION, "n_bad")
+        bad = part if bad is None else bad.unionByName(part)
+    if bad is not None:
+        # one row per badly typed column of the batch: bounded by the schemas
+        stats = stats.join(F.broadcast(bad), ["dataset_id", P.POSITION], "left")
+    else:
+        stats = stats.withColumn("n_bad", F.lit(None).cast("bigint"))
+    return stats.select(
+        P.POSITION, P.NAME, "dtype", "row_count", "n_missing", "n_distinct",
+        (F.col("n_distinct") <= 1).alias("is_constant"),
+        F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad"), "dataset_id")
+
+
+def _store_reports(spark: SparkSession, layout: Layout, user_id: str, typed: dict,
+                   landed_at: dict) -> None:
+    """Fold the stored column profiles of a batch into one report per
+    dataset (one job), written with one dynamic-overwrite job."""
+    profiled = [did for did, t in typed.items() if t.schema.fields]
+    stored = (ST.read_partitions(spark, layout.columns, user_id, profiled, COLUMNS_SCHEMA)
+              if profiled else spark.createDataFrame([], COLUMNS_SCHEMA))
+    reports = R.report_document(stored, ["user_id", "dataset_id"])
+    empty = [did for did, t in typed.items() if not t.schema.fields]
+    if empty:
+        blank = R.empty_report(spark, 0)
+        for did in empty:
+            reports = reports.unionByName(blank.select(F.lit(user_id).alias("user_id"),
+                                                       F.lit(did).alias("dataset_id"), "*"))
+    pairs = [v for did in typed for v in (F.lit(did), F.lit(landed_at[did]))]
+    path_of = F.element_at(F.create_map(*pairs), F.col("dataset_id"))
+    reports = reports.select(F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
+                             path_of.alias("hdfs_path"), *reports.columns)
+    ST.write_partitions(reports, layout.reports)
+
+
 def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                 exact: bool = True, register: bool = True, parallel: int = 8,
                 **csv_options) -> DataFrame:
     """Ingest and profile several uploads of one owner together.
 
     ``items``: dicts with ``path``, ``dataset_id`` and optionally
-    ``filename`` / ``custom_name`` / ``schema`` (skips inference).  Same tables and semantics as
-    ``ingest_and_profile``, but each status change of the whole batch is one
+    ``filename`` / ``custom_name`` / ``schema`` (skips inference).  Same
+    tables and semantics as ``ingest_and_profile``, but each status change of the whole batch is one
     append, every dataset is profiled by ONE ``column_stats_many`` job, the
     bad-type checks of all datasets are one job (a union of per-dataset
     aggregates over the landed copies), and column profiles and reports are
@@ -286,53 +339,9 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                                                   **csv_options)
 
         typed = dict(_in_parallel(infer, items, parallel))
-        if exact:
-            stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
-        else:       # estimates need no value shuffle: one aggregate per dataset
-            parts = [P.column_stats(t, exact=False).select(F.lit(did).alias("dataset_id"), "*")
-                     for did, t in typed.items() if t.schema.fields]
-            stats = parts[0]
-            for part in parts[1:]:
-                stats = stats.unionByName(part)
-        bad_parts = []
-        for did, t in typed.items():
-            if not t.schema.fields:
-                continue
-            landed = (spark.read.parquet(landed_at[did]) if _exists(spark, landed_at[did])
-                      else raws[did])
-            bad_parts.append(P.bad_type_counts(landed, t.schema)
-                             .select(F.lit(did).alias("dataset_id"), P.POSITION, "n_bad"))
-        prof = stats
-        if bad_parts:
-            bad = bad_parts[0]
-            for part in bad_parts[1:]:
-                bad = bad.unionByName(part)
-            # one row per badly typed column of the batch: bounded by schemas
-            prof = stats.join(F.broadcast(bad), ["dataset_id", P.POSITION], "left")
-        else:
-            prof = stats.withColumn("n_bad", F.lit(None).cast("bigint"))
-        prof = prof.select(
-            P.POSITION, P.NAME, "dtype", "row_count", "n_missing", "n_distinct",
-            (F.col("n_distinct") <= 1).alias("is_constant"),
-            F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad"),
-            F.lit(user_id).alias("user_id"), "dataset_id")
-        ST.write_partitions(prof, layout.columns)
-
-        profiled = [did for did, t in typed.items() if t.schema.fields]
-        stored = (ST.read_partitions(spark, layout.columns, user_id, profiled, COLUMNS_SCHEMA)
-                  if profiled else spark.createDataFrame([], COLUMNS_SCHEMA))
-        reports = R.report_document(stored, ["user_id", "dataset_id"])
-        empty = [did for did, t in typed.items() if not t.schema.fields]
-        if empty:
-            blank = R.empty_report(spark, 0)
-            for did in empty:
-                reports = reports.unionByName(blank.select(F.lit(user_id).alias("user_id"),
-                                                           F.lit(did).alias("dataset_id"), "*"))
-        path_of = F.element_at(F.create_map(*[v for did in ids for v in (F.lit(did), F.lit(landed_at[did]))]),
-                               F.col("dataset_id"))
-        reports = reports.select(F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
-                                 path_of.alias("hdfs_path"), *[c for c in reports.columns])
-        ST.write_partitions(reports, layout.reports)
+        prof = _profile_batch(spark, typed, raws, landed_at, exact)
+        ST.write_partitions(prof.withColumn("user_id", F.lit(user_id)), layout.columns)
+        _store_reports(spark, layout, user_id, typed, landed_at)
 
         stored_reports = ST.read_partitions(spark, layout.reports, user_id, ids,
                                             R.stored_report_schema())

@@ -120,3 +120,10 @@ def test_ingest_many_approximate(spark, store):
     rep = J.ingest_many(spark, store, [{"path": src, "dataset_id": "x1"}], "u8", exact=False).first()
     assert rep["row_count"] == 1500 and rep["null_counts"]["price"] == 300
     assert abs(rep["distinct_counts"]["o_orderkey"] - 1500) <= 60
+
+
+def test_ingest_many_approximate_only_empty_files(spark, store, tmp_text_dir):
+    empty = os.path.join(tmp_text_dir, "e.csv")
+    open(empty, "w").close()
+    rep = J.ingest_many(spark, store, [{"path": empty, "dataset_id": "z"}], "u9", exact=False).first()
+    assert rep["row_count"] == 0 and rep["column_count"] == 0
