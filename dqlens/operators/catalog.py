@@ -56,6 +56,15 @@ def catalog_list(catalog: DataFrame, user_id) -> DataFrame:
             .orderBy(F.col("created_at").desc(), F.col("dataset_id").desc()))
 
 
+def catalog_list_all(catalog: DataFrame) -> DataFrame:
+    """Every owner's listing at once: by owner, newest first (ties: higher
+    id first).  One global sort: the range partitioner samples the whole
+    key, so an owner with a third of all datasets spans many tasks instead
+    of landing in one."""
+    return (catalog.select("user_id", *LISTING_FIELDS)
+            .orderBy(F.col("user_id"), F.col("created_at").desc(), F.col("dataset_id").desc()))
+
+
 def dataset_detail(catalog: DataFrame, reports: DataFrame, dataset_id=None,
                    user_id=None, report_cols: list[str] | None = None) -> DataFrame:
     """Catalogue rows with their report attached when one exists.

@@ -307,6 +307,10 @@ def q_catalog_list(spark: SparkSession, sf: str) -> DataFrame:
     return C.catalog_list(catalog_standin(spark, sf), LIST_OWNER)
 
 
+def q_catalog_list_all(spark: SparkSession, sf: str) -> DataFrame:
+    return C.catalog_list_all(catalog_standin(spark, sf))
+
+
 def q_dataset_detail(spark: SparkSession, sf: str) -> DataFrame:
     d = C.dataset_detail(catalog_standin(spark, sf), reports_standin(spark, sf))
     return d.select("dataset_id", "user_id", "name", "status", "hdfs_path",
@@ -350,6 +354,7 @@ def q_archive_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 CATALOG_QUERIES = {
     "catalog_list": q_catalog_list,
+    "catalog_list_all": q_catalog_list_all,
     "dataset_detail": q_dataset_detail,
     "catalog_current": q_catalog_current,
     "status_progress": q_status_progress,
@@ -388,6 +393,9 @@ CATALOG_ORACLES = {
     "catalog_list": CATALOG_SQL + (
         f"SELECT dataset_id, name, filename, custom_name, row_count, column_count, step, status, created_at "
         f"FROM cat WHERE user_id = {LIST_OWNER} ORDER BY created_at DESC, dataset_id DESC"),
+    "catalog_list_all": CATALOG_SQL + (
+        "SELECT user_id, dataset_id, name, filename, custom_name, row_count, column_count, step, status,"
+        " created_at FROM cat ORDER BY user_id, created_at DESC, dataset_id DESC"),
     "dataset_detail": CATALOG_SQL + (
         "SELECT c.dataset_id, c.user_id, c.name, c.status, c.hdfs_path, r.generated_at, r.report_rows,"
         " r.report_columns FROM cat c LEFT JOIN reports r ON c.dataset_id = r.dataset_id AND c.user_id = r.user_id"),
