@@ -290,17 +290,22 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
 
     ``items``: dicts with ``path``, ``dataset_id`` and optionally
     ``filename`` / ``custom_name`` / ``schema`` (skips inference).  Same
-    tables and semantics as ``ingest_and_profile``, but each status change of the whole batch is one
-    append, every dataset is profiled by ONE ``column_stats_many`` job, the
-    bad-type checks of all datasets are one job (a union of per-dataset
-    aggregates over the landed copies), and column profiles and reports are
-    written with one dynamic-overwrite job each.  What stays per dataset is
-    what depends on its own file: the landing write and the schema inference.
-    Idempotent per dataset id; on failure every dataset of the batch is
-    marked ``failed`` and the error is raised again.  Returns the stored
-    reports of the batch.  ``register=False`` re-runs already registered
-    datasets (no new ``queued`` event).  ``parallel`` driver threads submit
-    the per-file landing and inference jobs concurrently.
+    tables and semantics as ``ingest_and_profile``, but each status change of
+    the whole batch is one append, every dataset is profiled by ONE
+    ``column_stats_many`` job, the bad-type checks of all datasets are one job
+    (a union of per-dataset aggregates over the landed copies), and column
+    profiles and reports are written with one dynamic-overwrite job each.
+    What stays per dataset is what depends on its own file -- the landing
+    write and the schema inference -- and those jobs are submitted from
+    ``parallel`` driver threads so the scheduler interleaves them.
+
+    Idempotent per dataset id.  A file that cannot be read or landed fails
+    alone (its own ``failed`` event and message); the others go on.  If the
+    shared profile step fails, the remaining datasets are marked ``failed``
+    and the error is raised again, as it is when every file failed.
+    ``register=False`` re-runs already registered datasets (no new
+    ``queued`` event).  Returns the stored reports of the datasets that
+    succeeded.
     """
     layout = Layout(base.rstrip("/"))
     user_id = str(user_id)
@@ -318,32 +323,53 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                                    step=K.STEP_INITIAL_ANALYSIS, created_at=now))
     if register:
         _events(spark, layout, regs)
+    failed: dict[str, Exception] = {}
     try:
         _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])
         landed_at = {i: ST.partition_dir(layout.landing, user_id=user_id, dataset_id=i) for i in ids}
 
-        def land(it: dict) -> tuple[str, DataFrame]:
-            raw = S.read_raw(spark, it["path"], **csv_options)
-            if raw.schema.fields:
-                ST.land_raw(raw, layout.landing, user_id, it["dataset_id"])
-            return it["dataset_id"], raw
+        def land(it: dict):
+            try:
+                raw = S.read_raw(spark, it["path"], **csv_options)
+                if raw.schema.fields:
+                    ST.land_raw(raw, layout.landing, user_id, it["dataset_id"])
+                return it["dataset_id"], raw, None
+            except Exception as exc:  # noqa: BLE001 -- this upload fails alone
+                return it["dataset_id"], None, exc
 
         # per-file jobs are independent (own partition folder, own staging
         # folder): submitted together, the scheduler interleaves them
-        raws = dict(_in_parallel(land, items, parallel))
+        landed = _in_parallel(land, items, parallel)
+        failed.update({did: exc for did, _, exc in landed if exc is not None})
+        raws = {did: raw for did, raw, exc in landed if exc is None}
         _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
-                                for i in ids])
-
-        def infer(it: dict) -> tuple[str, DataFrame]:
-            return it["dataset_id"], S.read_typed(spark, it["path"], schema=it.get("schema"),
-                                                  **csv_options)
-
-        typed = dict(_in_parallel(infer, items, parallel))
+                                for i in ids if i not in failed])
+
+        def infer(it: dict):
+            try:
+                return it["dataset_id"], S.read_typed(spark, it["path"], schema=it.get("schema"),
+                                                      **csv_options), None
+            except Exception as exc:  # noqa: BLE001 -- this upload fails alone
+                return it["dataset_id"], None, exc
+
+        inferred = _in_parallel(infer, [it for it in items if it["dataset_id"] not in failed], parallel)
+        failed.update({did: exc for did, _, exc in inferred if exc is not None})
+        typed = {did: t for did, t, exc in inferred if exc is None}
+        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(e)[:2000])
+                                for i, e in failed.items()])
+        ok = [i for i in ids if i not in failed]
+        if not ok:
+            raise next(iter(failed.values()))
+    except Exception as exc:
+        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(exc)[:2000])
+                                for i in ids if i not in failed])
+        raise
+    try:
         prof = _profile_batch(spark, typed, raws, landed_at, exact)
         ST.write_partitions(prof.withColumn("user_id", F.lit(user_id)), layout.columns)
         _store_reports(spark, layout, user_id, typed, landed_at)
 
-        stored_reports = ST.read_partitions(spark, layout.reports, user_id, ids,
+        stored_reports = ST.read_partitions(spark, layout.reports, user_id, ok,
                                             R.stored_report_schema())
         counts = stored_reports.select("dataset_id", "row_count", "column_count").collect()
         _events(spark, layout, [C.status_event(r["dataset_id"], user_id, "done", _now(),
@@ -352,5 +378,5 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         return stored_reports
     except Exception as exc:
         _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(exc)[:2000])
-                                for i in ids])
+                                for i in ok])
         raise

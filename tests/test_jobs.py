@@ -127,3 +127,15 @@ def test_ingest_many_approximate_only_empty_files(spark, store, tmp_text_dir):
     open(empty, "w").close()
     rep = J.ingest_many(spark, store, [{"path": empty, "dataset_id": "z"}], "u9", exact=False).first()
     assert rep["row_count"] == 0 and rep["column_count"] == 0
+
+
+def test_ingest_many_isolates_a_failing_file(spark, store):
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    items = [{"path": src, "dataset_id": "g1"},
+             {"path": f"{store}/no-such-file.csv", "dataset_id": "g2"}]
+    got = [r["dataset_id"] for r in J.ingest_many(spark, store, items, "u10").collect()]
+    assert got == ["g1"]
+    st = {r["dataset_id"]: (r["status"], r["error_message"] is not None)
+          for r in J.list_datasets(spark, store, "u10").join(
+              J.current_catalog(spark, store, "u10").select("dataset_id", "error_message"), "dataset_id").collect()}
+    assert st == {"g1": ("done", False), "g2": ("failed", True)}
