@@ -27,11 +27,9 @@ def _print(df: DataFrame) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from dqlens.operators import profile as P
     from dqlens.operators import report as R
     from dqlens.plans import jobs as J
     from dqlens.session import get_spark
-    from dqlens.sources import csv as S
 
     parser = argparse.ArgumentParser(prog="dqlens")
     sub = parser.add_subparsers(dest="cmd", required=True)
@@ -53,8 +51,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_spark()
     if args.cmd == "profile":
-        typed = S.read_typed(spark, args.path)
-        _print(R.report_document(P.profile_columns(typed, S.read_raw(spark, args.path), typed.schema)))
+        _print(R.report_document(J.profile_csv(spark, args.path)))
     elif args.cmd == "ingest":
         _print(J.ingest_and_profile(spark, args.base, args.path, args.dataset, args.user,
                                     custom_name=args.name, max_rows=args.max_rows))

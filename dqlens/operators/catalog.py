@@ -31,10 +31,6 @@ CATALOG_FIELDS = ("name", "custom_name", "filename", "status", "step", "row_coun
 LISTING_FIELDS = ("dataset_id", "name", "filename", "custom_name", "row_count",
                   "column_count", "step", "status", "created_at")
 
-DETAIL_FIELDS = ("dataset_id", "name", "custom_name", "filename", "status", "step",
-                 "row_count", "column_count", "hdfs_path", "error_message",
-                 "created_at", "updated_at")
-
 
 def with_names(frame: DataFrame, custom_col: str = "custom_raw",
                filename_col: str = "filename") -> DataFrame:

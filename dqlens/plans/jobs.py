@@ -73,14 +73,21 @@ def _now() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
+def registration_event(dataset_id: str, user_id: str, filename: str,
+                       custom_name: str | None, at: _dt.datetime) -> dict:
+    """K2's first catalogue event: status queued, display name (custom name
+    stripped, else the file name), counts unknown."""
+    custom = (custom_name or "").strip() or None
+    return C.status_event(dataset_id, user_id, K.DEFAULT_STATUS, at, name=custom or filename,
+                          custom_name=custom, filename=filename, step=K.STEP_INITIAL_ANALYSIS,
+                          created_at=at)
+
+
 def register_dataset(spark: SparkSession, layout: Layout, dataset_id: str, user_id: str,
                      filename: str, custom_name: str | None = None) -> None:
-    """K2: the first catalogue event (status queued, counts unknown)."""
-    custom = (custom_name or "").strip() or None
-    now = _now()
-    ST.append_events(spark, layout.events, [C.status_event(
-        dataset_id, user_id, K.DEFAULT_STATUS, now, name=custom or filename,
-        custom_name=custom, filename=filename, step=K.STEP_INITIAL_ANALYSIS, created_at=now)])
+    """K2: register one dataset without processing it."""
+    ST.append_events(spark, layout.events,
+                     [registration_event(dataset_id, user_id, filename, custom_name, _now())])
 
 
 def profile_csv(spark: SparkSession, path: str, raw: DataFrame | None = None,
@@ -314,15 +321,11 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         raise ValueError("nothing to ingest")
     ids = [it["dataset_id"] for it in items]
     now = _now()
-    regs = []
-    for it in items:
-        filename = it.get("filename") or it["path"].rstrip("/").split("/")[-1]
-        custom = (it.get("custom_name") or "").strip() or None
-        regs.append(C.status_event(it["dataset_id"], user_id, K.DEFAULT_STATUS, now,
-                                   name=custom or filename, custom_name=custom, filename=filename,
-                                   step=K.STEP_INITIAL_ANALYSIS, created_at=now))
     if register:
-        _events(spark, layout, regs)
+        _events(spark, layout, [
+            registration_event(it["dataset_id"], user_id,
+                               it.get("filename") or it["path"].rstrip("/").split("/")[-1],
+                               it.get("custom_name"), now) for it in items])
     failed: dict[str, Exception] = {}
     try:
         _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])

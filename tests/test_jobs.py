@@ -139,3 +139,11 @@ def test_ingest_many_isolates_a_failing_file(spark, store):
           for r in J.list_datasets(spark, store, "u10").join(
               J.current_catalog(spark, store, "u10").select("dataset_id", "error_message"), "dataset_id").collect()}
     assert st == {"g1": ("done", False), "g2": ("failed", True)}
+
+
+def test_register_only(spark, store):
+    J.register_dataset(spark, J.Layout(store), "r1", "u11", "f.csv", custom_name="  ")
+    row = J.get_status(spark, store, "r1", "u11").first()
+    assert (row["status"], row["progress"], row["status_label"]) == ("queued", 0, "En file d’attente")
+    lst = J.list_datasets(spark, store, "u11").first()
+    assert (lst["name"], lst["custom_name"], lst["row_count"]) == ("f.csv", None, None)
