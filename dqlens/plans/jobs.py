@@ -11,6 +11,7 @@ import datetime as _dt
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,13 +229,15 @@ def _events(spark: SparkSession, layout: Layout, rows: list[dict]) -> None:
         ST.append_events(spark, layout.events, rows)
 
 
-def _in_parallel(fn, items: list, parallel: int) -> list:
+def _in_parallel(spark: SparkSession, fn, items: list, parallel: int) -> list:
     """``fn`` over ``items`` from up to ``parallel`` driver threads (each
     submits its own Spark jobs), results in input order."""
     if parallel <= 1 or len(items) <= 1:
         return [fn(it) for it in items]
+    # threads inherit the caller's local properties (job group, pool), so
+    # cancelling the caller's job group also cancels these jobs
     with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
-        return list(pool.map(fn, items))
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
 def _profile_batch(spark: SparkSession, typed: dict, raws: dict, landed_at: dict,
@@ -342,7 +345,7 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
 
         # per-file jobs are independent (own partition folder, own staging
         # folder): submitted together, the scheduler interleaves them
-        landed = _in_parallel(land, items, parallel)
+        landed = _in_parallel(spark, land, items, parallel)
         failed.update({did: exc for did, _, exc in landed if exc is not None})
         raws = {did: raw for did, raw, exc in landed if exc is None}
         _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
@@ -355,7 +358,8 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
             except Exception as exc:  # noqa: BLE001 -- this upload fails alone
                 return it["dataset_id"], None, exc
 
-        inferred = _in_parallel(infer, [it for it in items if it["dataset_id"] not in failed], parallel)
+        inferred = _in_parallel(spark, infer, [it for it in items if it["dataset_id"] not in failed],
+                                parallel)
         failed.update({did: exc for did, _, exc in inferred if exc is not None})
         typed = {did: t for did, t, exc in inferred if exc is None}
         _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(e)[:2000])

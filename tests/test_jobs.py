@@ -147,3 +147,17 @@ def test_register_only(spark, store):
     assert (row["status"], row["progress"], row["status_label"]) == ("queued", 0, "En file d’attente")
     lst = J.list_datasets(spark, store, "u11").first()
     assert (lst["name"], lst["custom_name"], lst["row_count"]) == ("f.csv", None, None)
+
+
+def test_batch_jobs_inherit_the_job_group(spark, store):
+    root = scratch_path(spark, "grp")
+    for name in ("a", "b"):
+        S.write_csv(dirty(spark, SF_SMALL), f"{root}/{name}")
+    sc = spark.sparkContext
+    sc.setJobGroup("batch-group", "batch-group")
+    try:
+        J.ingest_many(spark, store, [{"path": f"{root}/{n}", "dataset_id": n} for n in ("a", "b")], "u12")
+        jobs = set(sc.statusTracker().getJobIdsForGroup("batch-group"))
+    finally:
+        sc.setJobGroup(None, None)
+    assert len(jobs) >= 10        # every job of the batch, threads included
