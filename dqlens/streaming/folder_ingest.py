@@ -1,7 +1,7 @@
 """Profile every new dataset folder that lands in a directory, exactly once.
 
-A dataset is a folder of CSV files (one uploaded file, or the part files a
-Spark job wrote).  The file stream (``binaryFile`` without its ``content``
+A dataset is what sits directly in the watched folder: a CSV file, or a
+folder of CSV part files (what a Spark job writes).  The file stream (``binaryFile`` without its ``content``
 column, so no bytes are read by the listing) yields new file paths; each
 micro-batch ingests the folders those files belong to together with
 ``ingest_many`` (one profile job for the whole batch).  The stream's checkpoint remembers which files were
@@ -32,12 +32,23 @@ def dataset_id_for(folder: str) -> str:
     return hashlib.sha1(folder.encode("utf-8")).hexdigest()[:24]
 
 
-def _folders(batch: DataFrame) -> list[str]:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as the file source reports it (scheme and authority added)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(fs.makeQualified(p).toString()).rstrip("/")
+
+
+def _datasets(batch: DataFrame, root: str) -> list[str]:
+    """The datasets new files belong to: the first path component below the
+    watched folder -- a CSV file placed there, or a folder of part files."""
     name = F.element_at(F.split("path", "/"), -1)
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    rows = (batch.where(is_csv_file(name))
-            .select(parent.alias("folder")).distinct().orderBy("folder").collect())
-    return [r["folder"] for r in rows]
+    rel = F.expr(f"substring(path, {len(root) + 2})")
+    dataset = F.concat(F.lit(root + "/"), F.element_at(F.split(rel, "/"), 1))
+    rows = (batch.where(is_csv_file(name) & F.col("path").startswith(root + "/"))
+            .select(dataset.alias("dataset")).distinct().orderBy("dataset").collect())
+    return [r["dataset"] for r in rows]
 
 
 def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_id: str,
@@ -58,8 +69,10 @@ def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_i
     files = reader.load(source_dir).select("path")
     seen: list[str] = []
 
+    root = _qualified(spark, source_dir)
+
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        folders = _folders(batch)
+        folders = _datasets(batch, root)
         if not folders:
             return
         items = [{"path": f, "dataset_id": dataset_id_for(f), "filename": f.rstrip("/").split("/")[-1]}

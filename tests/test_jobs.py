@@ -161,3 +161,17 @@ def test_batch_jobs_inherit_the_job_group(spark, store):
     finally:
         sc.setJobGroup(None, None)
     assert len(jobs) >= 10        # every job of the batch, threads included
+
+
+def test_folder_stream_file_and_folder_datasets(spark, store):
+    root = scratch_path(spark, "incoming-mixed")
+    S.write_csv(dirty(spark, SF_SMALL), f"{root}/orders_folder")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    with open(os.path.join(local, "one.csv"), "w") as fh:
+        fh.write("a,b\n1,x\n2,y\n")
+    with open(os.path.join(local, "two.CSV"), "w") as fh:
+        fh.write("c\n1\n")
+    got = ingest_folder_stream(spark, root, store, "s2")
+    assert sorted(p.rsplit("/", 1)[-1] for p in got) == ["one.csv", "orders_folder", "two.CSV"]
+    rows = {r["filename"]: r["row_count"] for r in J.list_datasets(spark, store, "s2").collect()}
+    assert rows == {"one.csv": 2, "orders_folder": 1500, "two.CSV": 1}
