@@ -115,3 +115,9 @@ def test_declared_type_check_shares_the_profile_scan(spark):
     prof = P.profile_columns(dirty(spark, SF_SMALL), wanted=DIRTY_WANTED)
     assert _plan(prof).count("FileScan parquet") == 1
     assert {r["column_name"]: r["n_bad"] for r in prof.collect() if r["n_bad"]} == {"cust_txt": 79}
+
+
+def test_all_owner_listing_is_one_range_sort(spark):
+    plan = _plan(C.catalog_list_all(catalog_standin(spark, SF_SMALL)))
+    assert "rangepartitioning(user_id" in plan
+    assert "Window" not in plan
