@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from dqlens.llm import byte_bpe as BPE
 from dqlens.llm import chat_format as CHAT
 from dqlens.llm import fingerprint as FP
+from dqlens.llm import jaccard_join as JJ
 from dqlens.llm import language_id as LID
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm import quality_rules as QR
 from dqlens.llm import source_mixing as MX
+from dqlens.llm import substring_dedup as SUB
 from dqlens.llm.common import fold, read_table
 
 #: vocabulary file of the installed public tokenizers; a path, never a copy
@@ -66,6 +68,11 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = SUB.remove_repeats(read_table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     rows = FP.fingerprint_edits(read_table(spark, sf, "documents"))
     return rows.select(
@@ -76,9 +83,14 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         FP.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return JJ.jaccard_components(read_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_pii_surrogates, op5_chat_format,
-                            op6_mix_sources, op7_byte_bpe, op9_fingerprints)
+                            op6_mix_sources, op7_byte_bpe, op8_substring_dedup, op9_fingerprints,
+                            op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {}
