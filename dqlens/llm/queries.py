@@ -16,6 +16,7 @@ from dqlens.llm import byte_bpe as BPE
 from dqlens.llm import chat_format as CHAT
 from dqlens.llm import fingerprint as FP
 from dqlens.llm import jaccard_join as JJ
+from dqlens.llm import katz_lm as LM
 from dqlens.llm import language_id as LID
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm import quality_rules as QR
@@ -41,6 +42,13 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("found.score").alias("score"))
 
 
+def op3_katz_lm(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10) == 0
+    scored = LM.score_texts(read_table(spark, sf, "documents"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op4_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     clean = PII.surrogates(docs)
@@ -88,7 +96,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_pii_surrogates, op5_chat_format,
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_katz_lm, op4_pii_surrogates, op5_chat_format,
                             op6_mix_sources, op7_byte_bpe, op8_substring_dedup, op9_fingerprints,
                             op10_jaccard_join)
 }
