@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -45,16 +46,17 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is the only place scratch output may go (every executor
-    and the driver see it).  Only when the setting is unset -- local tests --
-    do we pick a folder of our own and register it as the checkpoint dir.
+    and the driver see it); a cluster session without the setting is an
+    error.  Only a local session, as in tests, may go without: it has one
+    machine, so its context gets a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="dqlens-ckpt-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dqlens-ckpt-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -63,15 +65,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/dqlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_CONF_LOCK = threading.RLock()
+
+
 @contextmanager
 def session_conf(spark: SparkSession, key: str, value: str):
-    """Set a SQL conf for the duration of a block, then restore it."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+    """Set a SQL conf for the duration of a block, then restore it.  One block
+    at a time: threads that changed the same setting in turns could otherwise
+    restore each other's value."""
+    with _CONF_LOCK:
+        old = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            if old is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, old)
