@@ -26,6 +26,21 @@ def _print(df: DataFrame) -> None:
         print(row["j"])
 
 
+def _found(answer) -> int:
+    """Print an answer about one dataset, or that it is not there."""
+    from dqlens.plans.jobs import DatasetNotFound
+    try:
+        got = answer()
+    except DatasetNotFound as exc:
+        print(json.dumps({"error": str(exc)}))
+        return 1
+    if isinstance(got, DataFrame):
+        _print(got)
+    else:
+        print(json.dumps(got))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     from dqlens.operators import report as R
     from dqlens.plans import jobs as J
@@ -58,11 +73,11 @@ def main(argv: list[str] | None = None) -> int:
     elif args.cmd == "list":
         _print(J.list_datasets(spark, args.base, args.user))
     elif args.cmd == "detail":
-        _print(J.get_dataset(spark, args.base, args.dataset, args.user))
+        return _found(lambda: J.get_dataset(spark, args.base, args.dataset, args.user))
     elif args.cmd == "status":
-        _print(J.get_status(spark, args.base, args.dataset, args.user))
+        return _found(lambda: J.get_status(spark, args.base, args.dataset, args.user))
     elif args.cmd == "archive":
-        print(json.dumps(J.archive_dataset(spark, args.base, args.dataset, args.user)))
+        return _found(lambda: J.archive_dataset(spark, args.base, args.dataset, args.user))
     return 0
 
 

@@ -6,7 +6,7 @@ Storage model (Parquet has no in-place update):
   status, <other catalogue fields or null>)``.  Registering a dataset appends
   its first event; every status change appends one with only the fields it
   sets.  The current catalogue is a fold of the events: for every field, the
-  value of the latest event that set it (``max_by`` with a partial aggregate,
+  value of the latest event that set it (a partial aggregate,
   so a dataset with many events never gathers them in one task).
 * ``reports``: one row per dataset, partitioned by ``user_id``; storing a
   report overwrites its partition dynamically, so redelivery is idempotent.
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from dqlens.functions import constants as K
 from dqlens.functions.expressions import (clean_custom_name, display_name, progress_of,
                                           status_label, step_label)
-from dqlens.operators.profile import is_narrow
 
 CATALOG_FIELDS = ("name", "custom_name", "filename", "status", "step", "row_count",
                   "column_count", "hdfs_path", "error_message", "created_at")
@@ -100,23 +99,46 @@ def status_view(catalog: DataFrame) -> DataFrame:
     )
 
 
-def current_catalog(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
-    """Fold status events into the current catalogue row per dataset.
+def fold_events(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
+    """Fold status events into one row per dataset.
 
     For each field: the value carried by the latest event that set it (null
-    values mean "not set").  ``updated_at`` is the latest event time.
+    values mean "not set").  ``updated_at`` is the latest event time.  A
+    removal (``deleted_at``) is an event too: fields set up to the latest
+    removal are forgotten, so a dataset that is ingested again starts afresh.
+    The fold of folded rows and newer events is the fold of all events, which
+    is what a compacted catalogue relies on.  Partial aggregation first: a
+    dataset with many events crosses the shuffle once per task.
     """
     present = [f for f in fields if f in events.columns]
     ts = F.col("updated_at")
-    aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), ts)).alias(f) for f in present]
-    if is_narrow(events):
-        # few input partitions (one small file): partition by the key first,
-        # so the fold runs on every slot after a single shuffle; wide inputs
-        # keep the map-side partial aggregation that absorbs hot datasets
-        slots = events.sparkSession.sparkContext.defaultParallelism
-        events = events.repartition(slots, "dataset_id", "user_id")
-    return (events.groupBy("dataset_id", "user_id")
-            .agg(*aggs, F.max(ts).alias("updated_at")))
+    aggs = [F.max(F.when(F.col(f).isNotNull(), F.struct(ts.alias("at"), F.col(f).alias("v")))).alias(f)
+            for f in present]
+    if "deleted_at" in events.columns:
+        aggs.append(F.max("deleted_at").alias("deleted_at"))
+    folded = events.groupBy("dataset_id", "user_id").agg(*aggs, F.max(ts).alias("updated_at"))
+    if "deleted_at" not in events.columns:
+        return folded.select("dataset_id", "user_id", *[F.col(f)["v"].alias(f) for f in present], "updated_at")
+    alive = lambda f: F.col("deleted_at").isNull() | (F.col(f)["at"] > F.col("deleted_at"))
+    return folded.select("dataset_id", "user_id", *[F.when(alive(f), F.col(f)["v"]).alias(f) for f in present],
+                         "updated_at", "deleted_at")
+
+
+def current_catalog(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
+    """The current catalogue row of every dataset that is registered and not
+    removed since."""
+    folded = fold_events(events, fields)
+    if "deleted_at" not in folded.columns:
+        return folded
+    # a late status of a removed dataset does not bring it back: a registration does
+    return folded.where(F.col("deleted_at").isNull() | F.col("created_at").isNotNull()).drop("deleted_at")
+
+
+def name_of(ids: DataFrame, catalog: DataFrame, default: str) -> DataFrame:
+    """``(dataset_id, name)``: the catalogue name of each id, else ``default``."""
+    names = catalog.groupBy("dataset_id").agg(F.min("name").alias("name"))
+    return ids.select("dataset_id").join(names, "dataset_id", "left").select(
+        "dataset_id", F.coalesce("name", F.lit(default)).alias("name"))
 
 
 def status_event(dataset_id, user_id, status: str, at, **extra) -> dict:

@@ -40,8 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions import constants as K
-from dqlens.functions.expressions import (bad_value_sql, col, is_bad_value, is_missing,
-                                          missing_sql, quote, sql_string)
+from dqlens.functions.expressions import bad_value, missing_sql, quote, sql_string
 
 POSITION = "position"
 NAME = "column_name"
@@ -182,8 +181,10 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
         pairs = [(pos, name, t, pos, raw_fields[pos].dataType) for pos, name, t in wanted_list]
     else:
         index = {f.name: i for i, f in enumerate(raw_fields)}
+        if absent := [name for _, name, _ in wanted_list if name not in index]:
+            raise ValueError(f"no such column to check: {', '.join(absent)}")
         pairs = [(pos, name, t, index[name], raw_fields[index[name]].dataType)
-                 for pos, name, t in wanted_list if name in index]
+                 for pos, name, t in wanted_list]
     checks = [(pos, name, t, rpos) for pos, name, t, rpos, rt in pairs
               if not isinstance(t, T.StringType) and rt != t]
     spark = raw.sparkSession
@@ -192,11 +193,8 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
             rows = [(pos, name, 0) for pos, name, _ in wanted_list]
             return literal_frame(spark, rows, BAD_SCHEMA)
         return literal_frame(spark, [], BAD_SCHEMA)
-    aggs = []
-    for j, (_, _, t, rpos) in enumerate(checks):
-        text = bad_value_sql(f"c{rpos}", t)
-        aggs.append(F.expr(f"count_if({text}) AS b{j}") if text is not None
-                    else F.count_if(is_bad_value(F.col(f"c{rpos}"), t)).alias(f"b{j}"))
+    aggs = [F.count_if(bad_value(F.col(f"c{rpos}"), t)).alias(f"b{j}")
+            for j, (_, _, t, rpos) in enumerate(checks)]
     row = positional(raw).agg(*aggs)
     out = _unpivot_one_row(row, [(pos, name, f"b{j}") for j, (pos, name, _, _) in enumerate(checks)], "n_bad")
     if keep_zero:
@@ -219,16 +217,6 @@ def _distinct_form(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def _hashable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.MapType):
-        return False
-    if isinstance(dtype, T.ArrayType):
-        return _hashable(dtype.elementType)
-    if isinstance(dtype, T.StructType):
-        return all(_hashable(f.dataType) for f in dtype.fields)
-    return True
-
-
 def physical_plan(df: DataFrame) -> str:
     """The physical plan text, from ``explain`` (plans, runs nothing)."""
     buf = io.StringIO()
@@ -237,45 +225,6 @@ def physical_plan(df: DataFrame) -> str:
     return buf.getvalue()
 
 
-def is_narrow(df: DataFrame) -> bool:
-    """Fewer input partitions than task slots -- decided without running a job.
-
-    Only a plan of scans and row-wise operators is asked for its partition
-    count: asking a plan that contains an exchange (or a subquery) would make
-    adaptive execution run those stages first.  The output of a shuffle has
-    ``spark.sql.shuffle.partitions`` partitions and is never treated as
-    narrow.
-    """
-    plan = physical_plan(df)
-    if "Exchange" in plan or "Subquery" in plan:
-        return False
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Spread the input when it has fewer partitions than task slots.
-
-    A file with a single row group (or one small CSV) is read by one task;
-    the per-value expansion and partial aggregation that follow would then
-    run on one core.  At scale the input has far more splits than slots and
-    this is a no-op, so no extra shuffle is ever added to a large scan.
-
-    Rows are hash-partitioned on one ``xxhash64`` of their own content: no
-    sort before the exchange (unlike round-robin), and a recomputed task
-    (lost executor) sends every row to the same partition again whatever
-    order its input arrives in.  Identical rows share a partition, which only matters for
-    the small inputs this applies to, and the partial aggregation that
-    follows collapses them at hash-map speed.
-    """
-    if not is_narrow(df):
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    keys = [col(f.name) for f in df.schema.fields if _hashable(f.dataType)]
-    if not keys:
-        return df.repartition(slots)
-    return df.repartition(slots, F.xxhash64(*keys))
-
-
 def _distinct_sql(name: str, dtype: T.DataType) -> str:
     """SQL text of the groupable form of a column (maps -> sorted entries)."""
     q = quote(name)
@@ -291,41 +240,44 @@ def _groupable_type(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def _slot_layout(frames: list[DataFrame]) -> list[T.DataType]:
+def _slots_of(fields: list[T.StructField]) -> list[T.DataType]:
     """One value slot per distinct groupable data type, in order of first use."""
     slot_types: list[T.DataType] = []
-    for df in frames:
-        for f in df.schema.fields:
-            t = _groupable_type(f.dataType)
-            if t not in slot_types:
-                slot_types.append(t)
+    for f in fields:
+        t = _groupable_type(f.dataType)
+        if t not in slot_types:
+            slot_types.append(t)
     return slot_types
 
 
-def _expand(df: DataFrame, slot_types: list[T.DataType], dataset: int | None = None) -> DataFrame:
-    """Each row -> one ``(position, s0..sk)`` record per column.
+def _slot_layout(frames: list[DataFrame]) -> list[T.DataType]:
+    return _slots_of([f for df in frames for f in df.schema.fields])
+
+
+def _expand(df: DataFrame, slot_types: list[T.DataType], keys: list[str] = ()) -> DataFrame:
+    """Each row -> one ``(*keys, position, s0..sk)`` record per other column.
 
     The expansion is one SQL expression (one call into the JVM however wide
     the table is).  A slot a column does not use holds ``if(false, x, null)``
     with ``x`` a column of the slot's type -- a typed null the optimizer
     folds to a literal; slot types absent from ``df`` get a typed null column.
     Columns are renamed by position first (``toDF``), so repeated or odd
-    names never make a reference ambiguous.
+    names never make a reference ambiguous; ``keys`` are the last columns.
+    Rows stay where the reader put them.
     """
-    df = positional(df)
-    fields = df.schema.fields
-    exprs = [_distinct_sql(f.name, f.dataType) for f in fields]
+    fields = df.schema.fields[:len(df.columns) - len(keys)]
+    src = df.toDF(*[f"c{i}" for i in range(len(fields))], *[f"k{i}" for i in range(len(keys))])
+    exprs = [_distinct_sql(f"c{i}", f.dataType) for i, f in enumerate(fields)]
     slot_of = [slot_types.index(_groupable_type(f.dataType)) for f in fields]
     rep: dict[int, str] = {}
     for e, j in zip(exprs, slot_of):
         rep.setdefault(j, e)
-    src = spread_if_narrow(df)
     absent = [j for j in range(len(slot_types)) if j not in rep]
     if absent:
         src = src.withColumns({f"__dqlens_null{j}": F.lit(None).cast(slot_types[j]) for j in absent})
         rep.update({j: quote(f"__dqlens_null{j}") for j in absent})
     nulls = {j: f"if(false, {r}, null)" for j, r in rep.items()}
-    head = [] if dataset is None else [f"'dataset_idx', {dataset}"]
+    head = [f"'{k}', k{i}" for i, k in enumerate(keys)]
     structs = []
     for i, e in enumerate(exprs):
         members = head + [f"'{POSITION}', {i}"]
@@ -352,13 +304,11 @@ def _missing_in_slots(slot_types: list[T.DataType]) -> str:
     """SQL text: the value of a (position, slots) row is missing.
 
     All slots null means the value is null; a string slot (only string
-    columns use one) is also missing when blank or ``nan``.
+    columns use one) follows the string rule.
     """
     parts = ["(" + " AND ".join(f"s{j} IS NULL" for j in range(len(slot_types))) + ")"]
-    for j, t in enumerate(slot_types):
-        if isinstance(t, T.StringType):
-            parts.append(f"(s{j} IS NOT NULL AND (length(trim(s{j})) = 0 OR "
-                         f"lower(s{j}) = {sql_string(K.MISSING_TEXT)}))")
+    parts += [f"(s{j} IS NOT NULL AND {missing_sql(f's{j}', t)})"
+              for j, t in enumerate(slot_types) if isinstance(t, T.StringType)]
     return " OR ".join(parts)
 
 
@@ -367,15 +317,15 @@ def _meta_frame(df: DataFrame) -> DataFrame:
 
 
 def _bad_in_slots(df: DataFrame, slot_types: list[T.DataType],
-                  checks: Mapping[int, T.DataType]) -> str:
-    """SQL text: frequency of the row if its value is badly typed for the
-    wanted type of its position, else 0 (the value sits in its type's slot)."""
+                  checks: Mapping[int, T.DataType]) -> Column:
+    """Frequency of the row if its value is badly typed for the wanted type of
+    its position, else 0 (the value sits in its type's slot)."""
     fields = df.schema.fields
-    whens = []
+    out = F.lit(0)
     for pos, t in checks.items():
-        j = slot_types.index(_groupable_type(fields[pos].dataType))
-        whens.append(f"WHEN {pos} THEN CASE WHEN {bad_value_sql(f's{j}', t)} THEN cnt ELSE 0 END")
-    return f"CASE {POSITION} {' '.join(whens)} ELSE 0 END"
+        slot = F.col(f"s{slot_types.index(_groupable_type(fields[pos].dataType))}")
+        out = F.when((F.col(POSITION) == pos) & bad_value(slot, t), F.col("cnt")).otherwise(out)
+    return out
 
 
 def column_stats(df: DataFrame, exact: bool = True,
@@ -407,7 +357,7 @@ def column_stats(df: DataFrame, exact: bool = True,
             F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
         ]
         if bad_checks:
-            aggs.append(F.expr(f"sum({_bad_in_slots(df, slot_types, bad_checks)}) AS n_bad_fused"))
+            aggs.append(F.sum(_bad_in_slots(df, slot_types, bad_checks)).alias("n_bad_fused"))
             extra = [F.coalesce(F.col("n_bad_fused"), F.lit(0)).cast("bigint").alias("n_bad")]
         per_col = counted.groupBy(POSITION).agg(*aggs)
     else:
@@ -416,7 +366,7 @@ def column_stats(df: DataFrame, exact: bool = True,
         items = []
         for i, f in enumerate(fields):
             c = _distinct_form(F.col(f"c{i}"), f.dataType)
-            aggs.append(F.count_if(is_missing(F.col(f"c{i}"), f.dataType)).alias(f"m{i}"))
+            aggs.append(F.expr(f"count_if({missing_sql(f'c{i}', f.dataType)}) AS m{i}"))
             aggs.append((F.approx_count_distinct(c)
                          + F.max(F.when(c.isNull(), 1).otherwise(0))).alias(f"d{i}"))
             items.append(F.struct(F.lit(i).alias(POSITION), F.col(f"d{i}").cast("bigint").alias("n_distinct"),
@@ -434,8 +384,39 @@ def column_stats(df: DataFrame, exact: bool = True,
     )
 
 
+def keyed_stats(df: DataFrame, key: str) -> DataFrame:
+    """``(key, position, n_rows, n_miss, n_distinct)`` of the columns of many
+    datasets of one schema that share a frame; ``key`` is its last column.
+    Datasets without rows have no result rows."""
+    fields = df.schema.fields[:-1]
+    slot_types = _slots_of(fields)
+    slots = [f"s{j}" for j in range(len(slot_types))]
+    counted = _expand(df, slot_types, [key]).groupBy(key, POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
+    return _merged(counted, [key], slot_types)
+
+
+def keyed_estimates(df: DataFrame, key: str) -> DataFrame:
+    """``keyed_stats`` with estimated distinct counts and no value shuffle."""
+    fields = df.schema.fields[:-1]
+    src = df.toDF(*[f"c{i}" for i in range(len(fields))], key)
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, f in enumerate(fields):
+        c = _distinct_form(F.col(f"c{i}"), f.dataType)
+        aggs += [F.expr(f"count_if({missing_sql(f'c{i}', f.dataType)}) AS m{i}"),
+                 (F.approx_count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))).alias(f"d{i}")]
+    structs = ", ".join(f"named_struct('{POSITION}', {i}, 'n_distinct', CAST(d{i} AS BIGINT), 'n_rows', n_rows, "
+                        f"'n_miss', CAST(m{i} AS BIGINT))" for i in range(len(fields)))
+    return src.groupBy(key).agg(*aggs).selectExpr(key, f"inline(array({structs}))")
+
+
+def _merged(counted: DataFrame, keys: list[str], slot_types: list[T.DataType]) -> DataFrame:
+    return counted.groupBy(*keys, POSITION).agg(
+        F.expr("count(1) AS n_distinct"),
+        F.expr("sum(cnt) AS n_rows"),
+        F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"))
+
+
 MANY_SCHEMA = T.StructType([
-    T.StructField("dataset_idx", T.IntegerType(), False),
     T.StructField("dataset", T.StringType(), False),
     T.StructField(POSITION, T.IntegerType(), False),
     T.StructField(NAME, T.StringType(), False),
@@ -446,44 +427,37 @@ MANY_SCHEMA = T.StructType([
 def column_stats_many(frames: Mapping[str, DataFrame]) -> DataFrame:
     """``column_stats`` of several DataFrames of any schemas in ONE job.
 
-    All frames expand into the same ``(dataset_idx, position, slots)`` long
-    form (slots per data type across all frames), so one shuffle of distinct
-    values and one per-column merge profile every dataset: many small
-    datasets cost one job instead of one per dataset.  Output
-    ``(dataset, position, column_name, dtype, row_count, n_missing,
-    n_distinct)``; exact semantics as ``column_stats``.
+    All frames expand into the same ``(dataset, position, slots)`` long form
+    (slots per data type across all frames), so one shuffle of distinct values
+    and one per-column merge profile every table.  One plan branch per frame:
+    for tables of different schemas; many files of one schema are one frame
+    with a key column (``keyed_stats``).  Output ``(dataset, position,
+    column_name, dtype, row_count, n_missing, n_distinct)``.
     """
-    items = [(name, df) for name, df in frames.items()]
-    if not items:
+    if not frames:
         raise ValueError("no frames to profile")
-    spark = items[0][1].sparkSession
-    meta_rows = [(k, name, i, f.name, f.dataType.simpleString())
-                 for k, (name, df) in enumerate(items) for i, f in enumerate(df.schema.fields)]
-    meta = literal_frame(spark, meta_rows, MANY_SCHEMA)
-    with_cols = [(k, df) for k, (_, df) in enumerate(items) if df.schema.fields]
-    if not with_cols:
-        return meta.select("dataset", POSITION, NAME, "dtype",
-                           *[F.lit(0).cast("bigint").alias(c) for c in ("row_count", "n_missing", "n_distinct")])
-    slot_types = _slot_layout([df for _, df in with_cols])
-    slots = [f"s{j}" for j in range(len(slot_types))]
-    long = None
-    for k, df in with_cols:
-        part = _expand(df, slot_types, dataset=k)
-        long = part if long is None else long.unionByName(part)
-    counted = long.groupBy("dataset_idx", POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
-    per_col = counted.groupBy("dataset_idx", POSITION).agg(
-        F.expr("count(1) AS n_distinct"),
-        F.expr("sum(cnt) AS n_rows"),
-        F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
-    )
-    # both sides hold one row per column of all datasets: bounded by schemas
-    joined = meta.join(F.broadcast(per_col), ["dataset_idx", POSITION], "left")
-    return joined.select(
-        "dataset", POSITION, NAME, "dtype",
-        F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("row_count"),
-        F.coalesce(F.col("n_miss"), F.lit(0)).cast("bigint").alias("n_missing"),
-        F.coalesce(F.col("n_distinct"), F.lit(0)).cast("bigint").alias("n_distinct"),
-    )
+    spark = next(iter(frames.values())).sparkSession
+    meta = spark.createDataFrame([(name, i, f.name, f.dataType.simpleString()) for name, df in frames.items()
+                                  for i, f in enumerate(df.schema.fields)], MANY_SCHEMA)
+    with_cols = {name: df for name, df in frames.items() if df.schema.fields}
+    per_col = spark.createDataFrame([], f"dataset string, {POSITION} int, n_distinct bigint, n_rows bigint, n_miss bigint")
+    if with_cols:
+        slot_types = _slot_layout(list(with_cols.values()))
+        slots = [f"s{j}" for j in range(len(slot_types))]
+        long = None
+        for name, df in with_cols.items():
+            part = _expand(positional(df).withColumn("dataset", F.lit(name)), slot_types, ["dataset"])
+            long = part if long is None else long.unionByName(part)
+        counted = long.groupBy("dataset", POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
+        per_col = _merged(counted, ["dataset"], slot_types)
+    joined = meta.join(per_col, ["dataset", POSITION], "left")
+    return joined.select("dataset", POSITION, NAME, "dtype", *_counts())
+
+
+def _counts() -> list[Column]:
+    zero = F.lit(0)
+    return [F.coalesce(F.col(c), zero).cast("bigint").alias(out) for c, out in
+            (("n_rows", "row_count"), ("n_miss", "n_missing"), ("n_distinct", "n_distinct"))]
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ so the single-group aggregations below never gather data rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,14 +80,15 @@ def report_document(profile: DataFrame, keys: list[str] | None = None) -> DataFr
     only), distinct_counts {col: n}, constant_columns [..], suggestions [..];
     maps and lists in schema order.
     """
+    # a repeated column name keeps its last value, as a dict would
+    same_name = Window.partitionBy(*(keys or []), NAME)
+    profile = profile.withColumn("_last", F.col(POSITION) == F.max(POSITION).over(same_name))
+    last = F.col("_last")
+
     def entries(value_col: str, cond=None):
         item = F.struct(F.col(POSITION), F.col(NAME), F.col(value_col).alias("v"))
-        picked = F.collect_list(item if cond is None else F.when(cond, item))
-        ordered = F.sort_array(picked)
-        # a repeated column name keeps its last value, as a dict would
-        last = F.filter(ordered, lambda x, i: ~F.exists(
-            F.slice(ordered, i + 2, F.greatest(F.size(ordered), F.lit(1))), lambda y: y[NAME] == x[NAME]))
-        return F.map_from_entries(F.transform(last, lambda x: F.struct(x[NAME], x["v"])))
+        picked = F.collect_list(F.when(last if cond is None else last & cond, item))
+        return F.map_from_entries(F.transform(F.sort_array(picked), lambda x: F.struct(x[NAME], x["v"])))
 
     schema_list = F.transform(
         F.sort_array(F.collect_list(F.struct(F.col(POSITION), F.col(NAME), F.col("dtype")))),
@@ -107,7 +108,8 @@ def report_document(profile: DataFrame, keys: list[str] | None = None) -> DataFr
     )
 
 
-def empty_report(spark, row_count: int) -> DataFrame:
-    """Report of a table without columns (an empty CSV file)."""
-    schema = T._parse_datatype_string(REPORT_SCHEMA_DDL)
-    return spark.createDataFrame([(row_count, 0, [], {}, {}, {}, [], [])], schema)
+def empty_reports(spark, owners: list[tuple[str, str]]) -> DataFrame:
+    """Reports of tables without columns (empty CSV files), one per
+    ``(user_id, dataset_id)``."""
+    return spark.createDataFrame([(u, d, 0, 0, [], {}, {}, {}, [], []) for u, d in owners],
+                                 "user_id string, dataset_id string, " + REPORT_SCHEMA_DDL)

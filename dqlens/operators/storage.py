@@ -2,15 +2,15 @@
 
 Layout below one base folder (any Hadoop path: HDFS, object store, local):
 
-    <base>/landing/user_id=<u>/dataset_id=<d>/part-*.parquet   raw strings
+    <base>/landing/user_id=<u>/dataset_id=<d>/part-*.parquet   raw lines
     <base>/reports/user_id=<u>/dataset_id=<d>/part-*.parquet   one report row
     <base>/columns/user_id=<u>/dataset_id=<d>/part-*.parquet   long-form profile
     <base>/catalog_events/user_id=<u>/part-*.parquet           status events
 
-Writes of one dataset use dynamic partition overwrite, so re-running a job
-for the same dataset replaces its partition instead of duplicating it (a
-redelivered task is idempotent), and Spark's commit protocol makes a retried
-task (lost executor) invisible.  Reads of one dataset address its partition
+Folder names are escaped with Spark's own rules, so any id is one path
+component.  Writes of one dataset replace its folder, so re-running a job for
+the same dataset does not duplicate it, and Spark's commit protocol makes a
+retried task (lost executor) invisible.  Reads of one dataset address its
 folder directly: no listing of the whole table.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 CATALOG_EVENT_SCHEMA = T.StructType([
     T.StructField("dataset_id", T.StringType(), False),
-    T.StructField("user_id", T.StringType(), False),
     T.StructField("updated_at", T.TimestampNTZType(), False),
     T.StructField("status", T.StringType(), True),
     T.StructField("name", T.StringType(), True),
@@ -34,19 +33,55 @@ CATALOG_EVENT_SCHEMA = T.StructType([
     T.StructField("hdfs_path", T.StringType(), True),
     T.StructField("error_message", T.StringType(), True),
     T.StructField("created_at", T.TimestampNTZType(), True),
+    T.StructField("deleted_at", T.TimestampNTZType(), True),
+    T.StructField("user_id", T.StringType(), False),
 ])
 
+LANDED_SCHEMA = "file string, file_size bigint, block bigint, seq bigint, line string"
 
-def partition_dir(base: str, **keys) -> str:
-    return base.rstrip("/") + "".join(f"/{k}={v}" for k, v in keys.items())
 
+def checked_id(value) -> str:
+    """An id as text; empty ids have no folder of their own."""
+    text = str(value)
+    if not text:
+        raise ValueError("an id must not be empty")
+    return text
+
+
+def partition_dir(spark: SparkSession, base: str, **keys) -> str:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return base.rstrip("/") + "".join(f"/{k}={escape(checked_id(v))}" for k, v in keys.items())
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
 
-def write_partition(df: DataFrame, base: str, user_id, dataset_id) -> None:
-    """Replace the ``(user_id, dataset_id)`` partition of ``base`` with ``df``."""
-    (df.withColumn("user_id", F.lit(str(user_id)))
-       .withColumn("dataset_id", F.lit(str(dataset_id)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("user_id", "dataset_id").parquet(base))
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p)) and bool(fs.getFileStatus(p).isDirectory())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as Spark's file metadata spells it (scheme added, encoded)."""
+    p, fs = _fs(spark, path)
+    return str(fs.makeQualified(p).toUri().toString()).rstrip("/")
+
+
+def delete_dataset_dir(spark: SparkSession, root: str, user_id, dataset_id) -> bool:
+    """Delete one dataset's folder of a table; refuses any path whose parent is
+    not the owner's folder.  A missing folder is not an error."""
+    owner, fs = _fs(spark, partition_dir(spark, root, user_id=user_id))
+    target, _ = _fs(spark, partition_dir(spark, root, user_id=user_id, dataset_id=dataset_id))
+    if not fs.makeQualified(target).getParent().equals(fs.makeQualified(owner)):
+        raise ValueError(f"{target} is not a dataset folder of its owner")
+    return bool(fs.delete(target, True))
 
 
 def write_partitions(df: DataFrame, base: str) -> None:
@@ -61,46 +96,79 @@ def read_partitions(spark: SparkSession, base: str, user_id, dataset_ids,
     """Several datasets of one owner, reading only their partition folders
     (no listing of the whole table); ``schema`` includes the string
     partition columns, so folder names are never type-inferred."""
-    paths = [partition_dir(base, user_id=user_id, dataset_id=d) for d in dataset_ids]
+    paths = [partition_dir(spark, base, user_id=user_id, dataset_id=d) for d in dataset_ids]
     return spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
 
-def read_partition(spark: SparkSession, base: str, user_id, dataset_id,
-                   id_type: str = "string") -> DataFrame:
-    """One dataset's partition, read from its folder only; the partition
-    columns come back as literals of ``id_type`` (not path inference)."""
-    path = partition_dir(base, user_id=user_id, dataset_id=dataset_id)
-    df = spark.read.parquet(path)
-    return (df.withColumn("user_id", F.lit(user_id).cast(id_type))
-              .withColumn("dataset_id", F.lit(dataset_id).cast(id_type)))
+# --------------------------------------------------------------------------
+# landing: the raw lines
+# --------------------------------------------------------------------------
 
+def land_raw(spark: SparkSession, path: str, base: str, user_id, dataset_id) -> str:
+    """K1: keep every line of the upload (a file or a folder of part files)
+    as it is, under the dataset's folder, with its file and place.
 
-def land_raw(raw: DataFrame, base: str, user_id, dataset_id) -> None:
-    """K1: keep the dataset's raw strings under ``<base>/user_id=/dataset_id=``."""
-    write_partition(raw, base, user_id, dataset_id)
+    A line is what stands before a ``\\n``; carriage returns, quotes, blank
+    lines and fields too many stay in it.  ``file_size`` tells whether the last
+    line had its ``\\n``.  Nothing of the content becomes a column, so no
+    header can clash with a column of the store."""
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_path"].alias("file"), meta["file_size"].alias("file_size"),
+        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("line"))
+    target = partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id)
+    lines.write.mode("overwrite").parquet(target)
+    return target
 
 
 def read_landed(spark: SparkSession, base: str, user_id, dataset_id) -> DataFrame:
-    return read_partition(spark, base, user_id, dataset_id,
-                          id_type="int" if isinstance(user_id, int) else "string")
-
+    """The landed lines of a dataset (``file, file_size, block, seq, line``);
+    sorted by the first, third and fourth column they are the files again."""
+    return spark.read.schema(LANDED_SCHEMA).parquet(partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id))
 
-def read_table(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame:
-    """A whole partitioned table; ids stay strings (no type inference on
-    folder names such as ``1e5``)."""
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(base)
 
+# --------------------------------------------------------------------------
+# catalogue events
+# --------------------------------------------------------------------------
 
 def append_events(spark: SparkSession, base: str, rows: list[dict]) -> None:
-    """K2/K3: append status events (a handful of driver-made rows)."""
-    from dqlens.operators.profile import literal_frame
-    ordered = [tuple(r.get(f.name) for f in CATALOG_EVENT_SCHEMA.fields) for r in rows]
-    frame = literal_frame(spark, ordered, CATALOG_EVENT_SCHEMA)
-    frame.write.mode("append").partitionBy("user_id").parquet(base)
-
-
-def read_events(spark: SparkSession, base: str) -> DataFrame:
-    return read_table(spark, base, CATALOG_EVENT_SCHEMA)
+    """K2/K3: append status events (driver-made rows, one or two per upload)."""
+    if rows:
+        ordered = [tuple(r.get(f.name) for f in CATALOG_EVENT_SCHEMA.fields) for r in rows]
+        append_event_frame(spark.createDataFrame(ordered, CATALOG_EVENT_SCHEMA).coalesce(1), base)
+
+
+def append_event_frame(events: DataFrame, base: str) -> None:
+    """Append events made by Spark; columns that are missing are not set."""
+    full = events.select(*[(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in CATALOG_EVENT_SCHEMA.fields])
+    full.write.mode("append").partitionBy("user_id").parquet(base)
+
+
+def read_events(spark: SparkSession, base: str, user_id=None) -> DataFrame:
+    """All events, or one owner's (only that folder is listed)."""
+    reader = spark.read.schema(CATALOG_EVENT_SCHEMA)
+    if user_id is None:
+        return reader.parquet(base)
+    folder = partition_dir(spark, base, user_id=user_id)
+    if not exists(spark, folder):
+        return spark.createDataFrame([], CATALOG_EVENT_SCHEMA)
+    return reader.option("basePath", base).parquet(folder)
+
+
+def compact_events(spark: SparkSession, base: str, user_id) -> int:
+    """Fold an owner's events into one file and remove the files it was made
+    from; events appended meanwhile stay.  Folding twice changes nothing, so
+    a crash between the two steps is harmless.  Returns the files removed."""
+    from dqlens.operators.catalog import fold_events
+    old = read_events(spark, base, user_id)
+    files = old.inputFiles()
+    if len(files) < 2:
+        return 0
+    folded = fold_events(old).coalesce(1)
+    append_event_frame(folded, base)
+    for f in files:
+        p, fs = _fs(spark, f)
+        fs.delete(p, False)
+    return len(files)

@@ -1,8 +1,8 @@
 """Composite batch jobs: ingest-and-profile (R1), reads (R2), archive (R3).
 
 A job is a short driver function that chains DataFrame operators; all data
-work runs on the executors.  What crosses the driver is metadata only: a
-schema, a handful of status events, two counts for the catalogue.
+work runs on the executors.  What crosses the driver is metadata only: the
+uploads it was given, their schemas and their verdicts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions import constants as K
+from dqlens.functions.expressions import bad_value
 from dqlens.operators import catalog as C
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
@@ -24,6 +25,18 @@ from dqlens.operators import storage as ST
 from dqlens.sources import csv as S
 
 
+class DatasetNotFound(LookupError):
+    """The owner has no such dataset."""
+
+
+class UploadRejected(ValueError):
+    """The gate turned every upload down; ``reasons`` maps id to reason."""
+
+    def __init__(self, reasons: dict[str, str]):
+        super().__init__("; ".join(f"{k}: {v}" for k, v in reasons.items()))
+        self.reasons = reasons
+
+
 @dataclass(frozen=True)
 class Layout:
     """Table folders below one shared base path."""
@@ -45,16 +58,10 @@ class Layout:
     def events(self) -> str:
         return f"{self.base}/catalog_events"
 
-    @property
-    def deleted(self) -> str:
-        return f"{self.base}/deleted"
 
+def _layout(base: str) -> Layout:
+    return Layout(base.rstrip("/"))
 
-DELETED_SCHEMA = T.StructType([
-    T.StructField("dataset_id", T.StringType(), False),
-    T.StructField("user_id", T.StringType(), False),
-    T.StructField("deleted_at", T.TimestampNTZType(), False),
-])
 
 COLUMNS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType(), True),
@@ -91,43 +98,14 @@ def register_dataset(spark: SparkSession, layout: Layout, dataset_id: str, user_
                      [registration_event(dataset_id, user_id, filename, custom_name, _now())])
 
 
-def profile_csv(spark: SparkSession, path: str, raw: DataFrame | None = None,
-                exact: bool = True, **csv_options) -> DataFrame:
+def profile_csv(spark: SparkSession, path: str, exact: bool = True, **csv_options) -> DataFrame:
     """A8 on a CSV file or folder: long-form profile (one row per column).
 
     The typed scan (schema inferred by a full pass) drives row, missing and
-    distinct counts; the raw strings -- the landed copy when given, else a
-    raw scan -- are checked against the inferred types.
+    distinct counts; the raw strings are checked against the inferred types.
     """
     typed = S.read_typed(spark, path, **csv_options)
-    raw = raw if raw is not None else S.read_raw(spark, path, **csv_options)
-    return P.profile_columns(typed, raw, typed.schema, exact=exact)
-
-
-def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: str,
-                       user_id: str, filename: str | None = None,
-                       custom_name: str | None = None, max_rows: int | None = None,
-                       exact: bool = True, register: bool = True, schema=None,
-                       **csv_options) -> DataFrame:
-    """R1: gate -> register -> land -> profile -> store -> catalogue update.
-
-    Idempotent per ``dataset_id``: landing, column profile and report are
-    partition overwrites.  On failure the catalogue records ``failed`` with
-    the message and the error is raised again.  Returns the stored report
-    (lazy: a later run for the same dataset replaces the files it reads).
-    ``max_rows`` rejects the upload before it is registered (physical lines
-    minus the header, as the original gate); ``schema`` (known layout) skips
-    the inference pass of the typed scan.  The work is ``ingest_many`` on a
-    batch of one.
-    """
-    if max_rows is not None:
-        gate = S.row_limit_gate(spark, path, max_rows).first()
-        if not gate["accepted"]:
-            raise ValueError(f"CSV exceeds the limit of {max_rows} rows ({gate['n_rows']})")
-    item = {"path": path, "dataset_id": dataset_id, "filename": filename,
-            "custom_name": custom_name, "schema": schema}
-    return ingest_many(spark, base, [item], user_id, exact=exact, register=register,
-                       **csv_options)
+    return P.profile_columns(typed, S.read_raw(spark, path, **csv_options), typed.schema, exact=exact)
 
 
 # --------------------------------------------------------------------------
@@ -135,39 +113,27 @@ def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: st
 # --------------------------------------------------------------------------
 
 def current_catalog(spark: SparkSession, base: str, user_id: str | None = None) -> DataFrame:
-    """The catalogue now: folded events minus archived datasets.
+    """The catalogue now: folded events without removed datasets.  With
+    ``user_id`` only that owner's folder is listed and read."""
+    return C.current_catalog(ST.read_events(spark, _layout(base).events, user_id))
 
-    With ``user_id`` the scan is pruned to that owner's partition.
-    """
-    layout = Layout(base.rstrip("/"))
-    events = ST.read_events(spark, layout.events)
-    if user_id is not None:
-        events = events.where(F.col("user_id") == F.lit(str(user_id)))
-    cur = C.current_catalog(events)
-    deleted = _deleted(spark, layout)
-    if deleted is not None:
-        cur = cur.join(deleted.select("dataset_id", "user_id"), ["dataset_id", "user_id"], "left_anti")
-    return cur
-
-
-def _deleted(spark: SparkSession, layout: Layout) -> DataFrame | None:
-    if not _exists(spark, layout.deleted):
-        return None
-    return spark.read.schema(DELETED_SCHEMA).parquet(layout.deleted)
 
+def compact_catalog(spark: SparkSession, base: str, user_id: str) -> int:
+    """Replace an owner's many small event files by one folded file."""
+    return ST.compact_events(spark, _layout(base).events, user_id)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
 
+def _dataset(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> DataFrame:
+    """The catalogue row of one dataset; the id filter reaches the scan."""
+    events = ST.read_events(spark, _layout(base).events, user_id)
+    return C.current_catalog(events.where(F.col("dataset_id") == F.lit(ST.checked_id(dataset_id))))
 
-def _delete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(p, True))
+
+def _require(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> DataFrame:
+    row = _dataset(spark, base, dataset_id, user_id)
+    if row.isEmpty():
+        raise DatasetNotFound(f"user {user_id!r} has no dataset {dataset_id!r}")
+    return row
 
 
 def list_datasets(spark: SparkSession, base: str, user_id: str) -> DataFrame:
@@ -175,24 +141,22 @@ def list_datasets(spark: SparkSession, base: str, user_id: str) -> DataFrame:
 
 
 def reports_table(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(Layout(base.rstrip("/")).reports)
+    return spark.read.schema(R.stored_report_schema()).parquet(_layout(base).reports)
 
 
 def get_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> DataFrame:
     """Detail of one dataset with its report (``analysis``) when stored."""
-    layout = Layout(base.rstrip("/"))
-    cat = current_catalog(spark, base, user_id)
-    rep_dir = ST.partition_dir(layout.reports, user_id=user_id, dataset_id=dataset_id)
-    if _exists(spark, rep_dir):
-        rep = ST.read_partition(spark, layout.reports, str(user_id), str(dataset_id))
+    row = _require(spark, base, dataset_id, user_id)
+    reports = _layout(base).reports
+    if ST.exists(spark, ST.partition_dir(spark, reports, user_id=user_id, dataset_id=dataset_id)):
+        rep = ST.read_partitions(spark, reports, user_id, [dataset_id], R.stored_report_schema())
     else:
-        rep = spark.createDataFrame([], "dataset_id string, user_id string, generated_at timestamp_ntz")
-    return C.dataset_detail(cat, rep, str(dataset_id), str(user_id))
+        rep = spark.createDataFrame([], R.stored_report_schema())
+    return C.dataset_detail(row, rep)
 
 
 def get_status(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> DataFrame:
-    cat = current_catalog(spark, base, user_id).where(F.col("dataset_id") == F.lit(str(dataset_id)))
-    return C.status_view(cat)
+    return C.status_view(_require(spark, base, dataset_id, user_id))
 
 
 # --------------------------------------------------------------------------
@@ -200,190 +164,243 @@ def get_status(spark: SparkSession, base: str, dataset_id: str, user_id: str) ->
 # --------------------------------------------------------------------------
 
 def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> dict:
-    """K5: drop the dataset's files, report and catalogue entry.
+    """K5: drop a dataset of its owner: files, report and catalogue entry.
 
-    Files (landing, column profile, report) are removed partition by
-    partition through the Hadoop FS API; a missing folder is not an error.
-    The catalogue is append-only, so removal is a tombstone row that the
-    catalogue view anti-joins away.
+    The dataset is looked up first (``DatasetNotFound`` otherwise).  Landing,
+    column profile and report are removed folder by folder; the removal is an
+    event, so a later registration of the same id starts afresh.
     """
-    layout = Layout(base.rstrip("/"))
-    dataset_id, user_id = str(dataset_id), str(user_id)
+    layout, dataset_id, user_id = _layout(base), ST.checked_id(dataset_id), ST.checked_id(user_id)
+    _require(spark, base, dataset_id, user_id)
     fs_error = None
     for root in (layout.landing, layout.columns, layout.reports):
         try:
-            _delete(spark, ST.partition_dir(root, user_id=user_id, dataset_id=dataset_id))
+            ST.delete_dataset_dir(spark, root, user_id, dataset_id)
         except Exception as exc:  # noqa: BLE001 -- reported, not raised
             fs_error = str(exc)
-    P.literal_frame(spark, [(dataset_id, user_id, _now())], DELETED_SCHEMA) \
-        .write.mode("append").parquet(layout.deleted)
+    now = _now()
+    ST.append_events(spark, layout.events, [C.status_event(dataset_id, user_id, None, now, deleted_at=now)])
     return {"dataset_id": dataset_id, "archived": True, "fs_error": fs_error}
 
 
 # --------------------------------------------------------------------------
-# R1 for a batch of uploads: a handful of jobs per batch, not per dataset
+# R1: gate
+# --------------------------------------------------------------------------
+
+def _file_name(item: dict) -> str:
+    return item.get("filename") or item["path"].rstrip("/").split("/")[-1]
+
+
+def gate_upload(spark: SparkSession, item: dict, max_rows: int | None = None) -> str | None:
+    """Why an upload is turned down, or None: neither a CSV name nor a CSV MIME
+    type (a folder of part files without a given name has none to check), or
+    more than ``max_rows`` physical lines after the headers."""
+    named = item.get("filename") or item.get("mime") or not ST.is_folder(spark, item["path"])
+    if named and not _file_name(item).lower().endswith(K.CSV_SUFFIX) and item.get("mime") not in K.ALLOWED_MIME:
+        return "not a CSV file"
+    if max_rows is not None and ST.exists(spark, item["path"]):
+        gate = S.row_limit_gate(spark, item["path"], max_rows).first()
+        if not gate["accepted"]:
+            return f"more than {max_rows} rows ({gate['n_rows']})"
+    return None
+
+
+# --------------------------------------------------------------------------
+# R1: ingest and profile
 # --------------------------------------------------------------------------
 
-def _events(spark: SparkSession, layout: Layout, rows: list[dict]) -> None:
-    if rows:
-        ST.append_events(spark, layout.events, rows)
+def ingest_and_profile(spark: SparkSession, base: str, path: str, dataset_id: str,
+                       user_id: str, filename: str | None = None,
+                       custom_name: str | None = None, max_rows: int | None = None,
+                       exact: bool = True, register: bool = True, schema=None, wanted=None,
+                       mime: str | None = None, **csv_options) -> DataFrame:
+    """R1: gate -> register -> land -> profile -> store -> catalogue update of
+    one upload: ``ingest_many`` on a batch of one."""
+    item = {"path": path, "dataset_id": dataset_id, "filename": filename, "custom_name": custom_name,
+            "schema": schema, "wanted": wanted, "mime": mime}
+    return ingest_many(spark, base, [item], user_id, exact=exact, register=register, max_rows=max_rows,
+                       **csv_options)
 
 
 def _in_parallel(spark: SparkSession, fn, items: list, parallel: int) -> list:
     """``fn`` over ``items`` from up to ``parallel`` driver threads (each
-    submits its own Spark jobs), results in input order."""
+    submits its own Spark jobs); per item (result, None) or (None, error)."""
+    def one(item):
+        try:
+            return fn(item), None
+        except Exception as exc:  # noqa: BLE001 -- this upload fails alone
+            return None, exc
     if parallel <= 1 or len(items) <= 1:
-        return [fn(it) for it in items]
+        return [one(it) for it in items]
     # threads inherit the caller's local properties (job group, pool), so
     # cancelling the caller's job group also cancels these jobs
     with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(fn), items))
-
-
-def _profile_batch(spark: SparkSession, typed: dict, raws: dict, landed_at: dict,
-                   exact: bool) -> DataFrame:
-    """Long-form profiles of a batch (``dataset_id`` column): one
-    ``column_stats_many`` job, plus one job of per-dataset bad-type
-    aggregates over the landed raw strings."""
-    with_cols = {did: t for did, t in typed.items() if t.schema.fields}
-    if exact or not with_cols:
-        stats = P.column_stats_many(typed).withColumnRenamed("dataset", "dataset_id")
-    else:       # estimates need no value shuffle: one aggregate per dataset
-        parts = [P.column_stats(t, exact=False).select(F.lit(did).alias("dataset_id"), "*")
-                 for did, t in with_cols.items()]
-        stats = parts[0]
-        for part in parts[1:]:
-            stats = stats.unionByName(part)
-    bad = None
-    for did, t in with_cols.items():
-        landed = (spark.read.parquet(landed_at[did]) if _exists(spark, landed_at[did])
-                  else raws[did])           # zero data rows leave no landed folder
-        part = P.bad_type_counts(landed, t.schema).select(
-            F.lit(did).alias("dataset_id"), P.POSITION, "n_bad")
-        bad = part if bad is None else bad.unionByName(part)
-    if bad is not None:
-        # one row per badly typed column of the batch: bounded by the schemas
-        stats = stats.join(F.broadcast(bad), ["dataset_id", P.POSITION], "left")
+        return list(pool.map(inheritable_thread_target(spark)(one), items))
+
+
+def _keyed_scan(spark: SparkSession, roots: dict[str, str], folders: bool, schema: T.StructType,
+                csv_options: dict) -> DataFrame:
+    """One CSV scan of many uploads of one schema -- all of them files, or all
+    folders of part files -- with the dataset id as last column."""
+    reader = spark.read.option("header", True).schema(schema)
+    for k, v in csv_options.items():
+        reader = reader.option(k, v)
+    frame = reader.csv(list(roots.values()))
+    names = [f"c{i}" for i in range(len(schema.fields))]
+    if len(roots) == 1:
+        return frame.toDF(*names).withColumn("_id", F.lit(next(iter(roots))))
+    # "file:/x" and "file:///x" are one place
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    frame = frame.select("*", plain(F.col("_metadata.file_path")).alias("_root")).toDF(*names, "_root")
+    if folders:
+        frame = frame.withColumn("_root", F.expr("substring_index(_root, '/', size(split(_root, '/')) - 1)"))
+    owner = spark.createDataFrame([(ST.qualified(spark, p), d) for d, p in roots.items()], "_root string, _id string")
+    owner = owner.withColumn("_root", plain(F.col("_root")))
+    unknown = F.raise_error(F.concat(F.lit("file of no upload: "), F.col("_root"))).cast("string")
+    return frame.join(owner, "_root", "left").select(*names, F.coalesce("_id", unknown).alias("_id"))
+
+
+def _wanted_type(t) -> T.DataType:
+    return T._parse_datatype_string(t) if isinstance(t, str) else t
+
+
+def _bad_counts(raw: DataFrame, wanted: list[T.DataType]) -> DataFrame | None:
+    """``(_id, position, n_bad)`` of a keyed scan of strings."""
+    checks = [(i, t) for i, t in enumerate(wanted) if not isinstance(t, T.StringType)]
+    if not checks:
+        return None
+    row = raw.groupBy("_id").agg(*[F.count_if(bad_value(F.col(f"c{i}"), t)).alias(f"b{i}") for i, t in checks])
+    structs = ", ".join(f"named_struct('{P.POSITION}', {i}, 'n_bad', b{i})" for i, _ in checks)
+    return row.selectExpr("_id", f"inline(array({structs}))")
+
+
+def _profiles(spark: SparkSession, uploads: dict[str, dict], exact: bool, csv_options: dict) -> DataFrame:
+    """Long-form profiles of a batch (``dataset_id`` column).  Uploads of one
+    schema are one scan with the dataset as key, so the plan grows with the
+    number of different schemas, not of uploads."""
+    groups: dict[tuple, list[str]] = {}
+    for d, u in uploads.items():
+        if u["schema"].fields:
+            groups.setdefault((u["folder"], u["schema"].json(), *(t.json() for t in u["wanted"])), []).append(d)
+    meta = spark.createDataFrame([(d, i, f.name, f.dataType.simpleString()) for d, u in uploads.items()
+                                  for i, f in enumerate(u["schema"].fields)],
+                                 f"_id string, {P.POSITION} int, {P.NAME} string, dtype string")
+    stats = bad = None
+    for (folders, *_), ids in groups.items():
+        schema, wanted = uploads[ids[0]]["schema"], uploads[ids[0]]["wanted"]
+        roots = {d: uploads[d]["path"] for d in ids}
+        typed = _keyed_scan(spark, roots, folders, schema, csv_options)
+        if exact:
+            part = P.keyed_stats(typed, "_id")
+        else:       # estimates need no value shuffle: one aggregate per dataset
+            part = P.keyed_estimates(typed, "_id")
+        stats = part if stats is None else stats.unionByName(part)
+        strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        checked = _bad_counts(_keyed_scan(spark, roots, folders, strings, csv_options), wanted)
+        if checked is not None:
+            bad = checked if bad is None else bad.unionByName(checked)
+    if stats is None:
+        stats = spark.createDataFrame([], f"_id string, {P.POSITION} int, n_distinct bigint, n_rows bigint, n_miss bigint")
+    out = meta.join(stats, ["_id", P.POSITION], "left")
+    if bad is None:
+        out = out.withColumn("n_bad", F.lit(0))
     else:
-        stats = stats.withColumn("n_bad", F.lit(None).cast("bigint"))
-    return stats.select(
-        P.POSITION, P.NAME, "dtype", "row_count", "n_missing", "n_distinct",
-        (F.col("n_distinct") <= 1).alias("is_constant"),
-        F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad"), "dataset_id")
-
-
-def _store_reports(spark: SparkSession, layout: Layout, user_id: str, typed: dict,
-                   landed_at: dict) -> None:
-    """Fold the stored column profiles of a batch into one report per
-    dataset (one job), written with one dynamic-overwrite job."""
-    profiled = [did for did, t in typed.items() if t.schema.fields]
+        out = out.join(bad, ["_id", P.POSITION], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return out.select(P.POSITION, P.NAME, "dtype", count("n_rows").alias("row_count"),
+                      count("n_miss").alias("n_missing"), count("n_distinct").alias("n_distinct"),
+                      (count("n_distinct") <= 1).alias("is_constant"), count("n_bad").alias("n_bad"),
+                      F.col("_id").alias("dataset_id"))
+
+
+def _store_reports(spark: SparkSession, layout: Layout, user_id: str, uploads: dict[str, dict]) -> None:
+    """Fold the stored column profiles of a batch into one report per dataset,
+    written with one dynamic-overwrite job."""
+    profiled = [d for d, u in uploads.items() if u["schema"].fields]
     stored = (ST.read_partitions(spark, layout.columns, user_id, profiled, COLUMNS_SCHEMA)
               if profiled else spark.createDataFrame([], COLUMNS_SCHEMA))
     reports = R.report_document(stored, ["user_id", "dataset_id"])
-    empty = [did for did, t in typed.items() if not t.schema.fields]
+    empty = [(user_id, d) for d, u in uploads.items() if not u["schema"].fields]
     if empty:
-        blank = R.empty_report(spark, 0)
-        for did in empty:
-            reports = reports.unionByName(blank.select(F.lit(user_id).alias("user_id"),
-                                                       F.lit(did).alias("dataset_id"), "*"))
-    pairs = [v for did in typed for v in (F.lit(did), F.lit(landed_at[did]))]
-    path_of = F.element_at(F.create_map(*pairs), F.col("dataset_id"))
-    reports = reports.select(F.current_timestamp().cast("timestamp_ntz").alias("generated_at"),
-                             path_of.alias("hdfs_path"), *reports.columns)
+        reports = reports.unionByName(R.empty_reports(spark, empty))
+    places = spark.createDataFrame([(d, u["landed"]) for d, u in uploads.items()], "dataset_id string, hdfs_path string")
+    reports = reports.join(places, "dataset_id").select(
+        F.current_timestamp().cast("timestamp_ntz").alias("generated_at"), "hdfs_path", *reports.columns)
     ST.write_partitions(reports, layout.reports)
 
 
 def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                 exact: bool = True, register: bool = True, parallel: int = 8,
-                **csv_options) -> DataFrame:
+                max_rows: int | None = None, **csv_options) -> DataFrame:
     """Ingest and profile several uploads of one owner together.
 
-    ``items``: dicts with ``path``, ``dataset_id`` and optionally
-    ``filename`` / ``custom_name`` / ``schema`` (skips inference).  Same
-    tables and semantics as ``ingest_and_profile``, but each status change of
-    the whole batch is one append, every dataset is profiled by ONE
-    ``column_stats_many`` job, the bad-type checks of all datasets are one job
-    (a union of per-dataset aggregates over the landed copies), and column
-    profiles and reports are written with one dynamic-overwrite job each.
-    What stays per dataset is what depends on its own file -- the landing
-    write and the schema inference -- and those jobs are submitted from
-    ``parallel`` driver threads so the scheduler interleaves them.
+    ``items``: dicts with ``path``, ``dataset_id`` and optionally ``filename``,
+    ``custom_name``, ``mime``, ``schema`` (a known layout skips inference) and
+    ``wanted`` (name -> type to check the raw values against; default the
+    schema).  Uploads that the gate turns down are not registered; if it turns
+    all down, ``UploadRejected`` is raised.  Each status change of the batch is
+    one append; profiles and reports are written with one job each.  What stays
+    per upload is what depends on its own file -- the gate, the landing and
+    the schema inference -- submitted from ``parallel`` driver threads.
 
     Idempotent per dataset id.  A file that cannot be read or landed fails
-    alone (its own ``failed`` event and message); the others go on.  If the
-    shared profile step fails, the remaining datasets are marked ``failed``
-    and the error is raised again, as it is when every file failed.
-    ``register=False`` re-runs already registered datasets (no new
-    ``queued`` event).  Returns the stored reports of the datasets that
-    succeeded.
+    alone (its own ``failed`` event with the whole message); the others go on.
+    If the shared profile step fails, the remaining datasets are marked
+    ``failed`` and the error is raised again, as it is when every file failed.
+    ``register=False`` re-runs already registered datasets.  Returns the stored
+    reports of the datasets that succeeded.
     """
-    layout = Layout(base.rstrip("/"))
-    user_id = str(user_id)
-    items = [dict(it, dataset_id=str(it["dataset_id"])) for it in items]
+    layout, user_id = _layout(base), ST.checked_id(user_id)
+    items = [dict(it, dataset_id=ST.checked_id(it["dataset_id"])) for it in items]
     if not items:
         raise ValueError("nothing to ingest")
-    ids = [it["dataset_id"] for it in items]
+
+    def event(dataset_id: str, status: str, **extra) -> dict:
+        return C.status_event(dataset_id, user_id, status, _now(), **extra)
+
+    verdicts = _in_parallel(spark, lambda it: gate_upload(spark, it, max_rows), items, parallel)
+    reasons = {it["dataset_id"]: why for it, (why, exc) in zip(items, verdicts) if exc is None and why}
+    items = [it for it in items if it["dataset_id"] not in reasons]
+    if not items:
+        raise UploadRejected(reasons)
     now = _now()
     if register:
-        _events(spark, layout, [
-            registration_event(it["dataset_id"], user_id,
-                               it.get("filename") or it["path"].rstrip("/").split("/")[-1],
-                               it.get("custom_name"), now) for it in items])
+        ST.append_events(spark, layout.events, [
+            registration_event(it["dataset_id"], user_id, _file_name(it), it.get("custom_name"), now) for it in items])
     failed: dict[str, Exception] = {}
+
+    def step(fn, todo: list[dict]) -> dict:
+        done = _in_parallel(spark, fn, todo, parallel)
+        failed.update({it["dataset_id"]: exc for it, (_, exc) in zip(todo, done) if exc is not None})
+        return {it["dataset_id"]: got for it, (got, exc) in zip(todo, done) if exc is None}
+
+    def infer(it: dict) -> dict:
+        schema = S.read_typed(spark, it["path"], schema=it.get("schema"), **csv_options).schema
+        wanted = {n: _wanted_type(t) for n, t in (it.get("wanted") or {}).items()}
+        if absent := set(wanted) - set(schema.names):
+            raise ValueError(f"no such column to check: {', '.join(sorted(absent))}")
+        return {"path": it["path"], "schema": schema, "folder": ST.is_folder(spark, it["path"]),
+                "wanted": [wanted.get(f.name, f.dataType) for f in schema.fields]}
+
+    ids = [it["dataset_id"] for it in items]
     try:
-        _events(spark, layout, [C.status_event(i, user_id, "uploading_hdfs", _now()) for i in ids])
-        landed_at = {i: ST.partition_dir(layout.landing, user_id=user_id, dataset_id=i) for i in ids}
-
-        def land(it: dict):
-            try:
-                raw = S.read_raw(spark, it["path"], **csv_options)
-                if raw.schema.fields:
-                    ST.land_raw(raw, layout.landing, user_id, it["dataset_id"])
-                return it["dataset_id"], raw, None
-            except Exception as exc:  # noqa: BLE001 -- this upload fails alone
-                return it["dataset_id"], None, exc
-
-        # per-file jobs are independent (own partition folder, own staging
-        # folder): submitted together, the scheduler interleaves them
-        landed = _in_parallel(spark, land, items, parallel)
-        failed.update({did: exc for did, _, exc in landed if exc is not None})
-        raws = {did: raw for did, raw, exc in landed if exc is None}
-        _events(spark, layout, [C.status_event(i, user_id, "analyzing", _now(), hdfs_path=landed_at[i])
-                                for i in ids if i not in failed])
-
-        def infer(it: dict):
-            try:
-                return it["dataset_id"], S.read_typed(spark, it["path"], schema=it.get("schema"),
-                                                      **csv_options), None
-            except Exception as exc:  # noqa: BLE001 -- this upload fails alone
-                return it["dataset_id"], None, exc
-
-        inferred = _in_parallel(spark, infer, [it for it in items if it["dataset_id"] not in failed],
-                                parallel)
-        failed.update({did: exc for did, _, exc in inferred if exc is not None})
-        typed = {did: t for did, t, exc in inferred if exc is None}
-        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(e)[:2000])
-                                for i, e in failed.items()])
-        ok = [i for i in ids if i not in failed]
-        if not ok:
+        ST.append_events(spark, layout.events, [event(i, "uploading_hdfs") for i in ids])
+        landed = step(lambda it: ST.land_raw(spark, it["path"], layout.landing, user_id, it["dataset_id"]), items)
+        ST.append_events(spark, layout.events, [event(i, "analyzing", hdfs_path=p) for i, p in landed.items()])
+        uploads = step(infer, [it for it in items if it["dataset_id"] in landed])
+        uploads = {d: u | {"landed": landed[d]} for d, u in uploads.items()}
+        if not uploads:
             raise next(iter(failed.values()))
-    except Exception as exc:
-        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(exc)[:2000])
-                                for i in ids if i not in failed])
-        raise
-    try:
-        prof = _profile_batch(spark, typed, raws, landed_at, exact)
+        ST.append_events(spark, layout.events, [event(i, "failed", error_message=str(e)) for i, e in failed.items()])
+        prof = _profiles(spark, uploads, exact, csv_options)
         ST.write_partitions(prof.withColumn("user_id", F.lit(user_id)), layout.columns)
-        _store_reports(spark, layout, user_id, typed, landed_at)
-
-        stored_reports = ST.read_partitions(spark, layout.reports, user_id, ok,
-                                            R.stored_report_schema())
-        counts = stored_reports.select("dataset_id", "row_count", "column_count").collect()
-        _events(spark, layout, [C.status_event(r["dataset_id"], user_id, "done", _now(),
-                                               row_count=int(r["row_count"]),
-                                               column_count=int(r["column_count"])) for r in counts])
-        return stored_reports
+        _store_reports(spark, layout, user_id, uploads)
+        stored = ST.read_partitions(spark, layout.reports, user_id, list(uploads), R.stored_report_schema())
+        ST.append_event_frame(stored.select(
+            "dataset_id", "user_id", F.lit(_now()).cast("timestamp_ntz").alias("updated_at"),
+            F.lit("done").alias("status"), "row_count", "column_count"), layout.events)
+        return stored
     except Exception as exc:
-        _events(spark, layout, [C.status_event(i, user_id, "failed", _now(), error_message=str(exc)[:2000])
-                                for i in ok])
+        ST.append_events(spark, layout.events,
+                         [event(i, "failed", error_message=str(failed.get(i, exc))) for i in ids])
         raise

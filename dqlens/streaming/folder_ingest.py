@@ -1,87 +1,94 @@
-"""Profile every new dataset folder that lands in a directory, exactly once.
+"""Profile every dataset that lands in a directory, once per run.
 
 A dataset is what sits directly in the watched folder: a CSV file, or a
-folder of CSV part files (what a Spark job writes).  The file stream (``binaryFile`` without its ``content``
-column, so no bytes are read by the listing) yields new file paths; each
-micro-batch ingests the folders those files belong to together with
-``ingest_many`` (one profile job for the whole batch).  The stream's checkpoint remembers which files were
-seen, so a restart processes only new ones; the dataset id is derived from
-the folder path, so a folder that receives more files later, or a batch that
-is retried, overwrites the same report partition instead of adding one.
-
-Only folder paths (bounded by ``maxFilesPerTrigger``) cross the driver.
+folder of CSV part files (what a Spark job writes).  The file stream
+(``binaryFile`` without its ``content`` column, so no bytes are read by the
+listing) only writes down which files are new, in a table below the stream's
+checkpoint; ``max_files_per_trigger`` bounds one listing step and nothing
+else.  When the stream has seen everything available, the datasets with new
+files are grouped by Spark, each is ingested once (however many steps its
+files came in), and a second table says up to which step it is done.  A run
+that dies in between leaves its datasets pending for the next one.
+
+Dataset ids are the SHA-256 of the path, so a folder that receives more files
+later, or a batch that is retried, replaces the same report.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqlens.functions.expressions import is_csv_file
+from dqlens.operators import storage as ST
 from dqlens.plans.jobs import ingest_many
 from dqlens.session import scratch_path
 
-
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+NEW_SCHEMA = "dataset string, step bigint"
+BATCH = 256      # datasets that one ingest job takes together
 
 
 def dataset_id_for(folder: str) -> str:
-    """Stable id of a dataset folder (first 24 hex digits of its SHA-1)."""
-    return hashlib.sha1(folder.encode("utf-8")).hexdigest()[:24]
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """``path`` as the file source reports it (scheme and authority added)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(p).toString()).rstrip("/")
+    """Stable id of a dataset path."""
+    return hashlib.sha256(folder.encode("utf-8")).hexdigest()
 
 
-def _datasets(batch: DataFrame, root: str) -> list[str]:
-    """The datasets new files belong to: the first path component below the
-    watched folder -- a CSV file placed there, or a folder of part files."""
+def _datasets(files: DataFrame, root: str) -> DataFrame:
+    """The datasets of CSV files below ``root``: their first path component."""
     name = F.element_at(F.split("path", "/"), -1)
     rel = F.expr(f"substring(path, {len(root) + 2})")
     dataset = F.concat(F.lit(root + "/"), F.element_at(F.split(rel, "/"), 1))
-    rows = (batch.where(is_csv_file(name) & F.col("path").startswith(root + "/"))
-            .select(dataset.alias("dataset")).distinct().orderBy("dataset").collect())
-    return [r["dataset"] for r in rows]
+    return files.where(is_csv_file(name) & F.col("path").startswith(root + "/")) \
+        .select(dataset.alias("dataset")).distinct()
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NEW_SCHEMA).parquet(path) if ST.exists(spark, path) else \
+        spark.createDataFrame([], NEW_SCHEMA)
 
 
 def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_id: str,
-                         checkpoint: str | None = None, max_files_per_trigger: int | None = 1000,
-                         exact: bool = True, **csv_options) -> list[str]:
+                         checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                         exact: bool = True, **csv_options) -> DataFrame:
     """Run the folder stream until everything available now is processed.
 
-    Returns the folders ingested by this run.  ``checkpoint`` defaults to a
-    fresh folder below the shared checkpoint root; pass a fixed one to make
-    later runs skip what earlier runs saw.  ``max_files_per_trigger`` bounds
-    the paths one micro-batch brings to the driver (``None``: no bound).
+    Returns the datasets ingested by this run (column ``dataset``).
+    ``checkpoint`` defaults to a fresh folder below the shared checkpoint
+    root; pass a fixed one to make later runs skip what earlier runs saw.
     """
-    checkpoint = checkpoint or scratch_path(spark, "folder-stream-ckpt")
+    checkpoint = (checkpoint or scratch_path(spark, "folder-stream-ckpt")).rstrip("/")
+    new_path, done_path = f"{checkpoint}-new", f"{checkpoint}-done"
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("recursiveFileLookup", True))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    files = reader.load(source_dir).select("path")
-    seen: list[str] = []
+    p, fs = ST._fs(spark, source_dir)
+    root = str(fs.makeQualified(p).toString()).rstrip("/")
 
-    root = _qualified(spark, source_dir)
+    def note(batch: DataFrame, step: int) -> None:
+        # a step that is repeated writes the same folder again
+        _datasets(batch, root).select("dataset", F.lit(step).cast("bigint").alias("step")) \
+            .write.mode("overwrite").parquet(f"{new_path}/at={step}")
 
-    def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        folders = _datasets(batch, root)
-        if not folders:
-            return
-        items = [{"path": f, "dataset_id": dataset_id_for(f), "filename": f.rstrip("/").split("/")[-1]}
-                 for f in folders]
-        ingest_many(spark, base, items, user_id, exact=exact, **csv_options)
-        seen.extend(folders)
-
-    query = (files.writeStream.foreachBatch(per_batch)
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+    query = (reader.load(source_dir).select("path").writeStream.foreachBatch(note)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    return seen
+
+    new = _table(spark, new_path).groupBy("dataset").agg(F.max("step").alias("step"))
+    done = _table(spark, done_path).groupBy("dataset").agg(F.max("step").alias("done"))
+    pending_path = scratch_path(spark, "folder-stream-pending")
+    new.join(done, "dataset", "left").where("done IS NULL OR done < step").select("dataset", "step") \
+        .write.parquet(pending_path)
+    pending = spark.read.schema(NEW_SCHEMA).parquet(pending_path)
+    rows = pending.orderBy("dataset").toLocalIterator()
+    while batch := list(islice(rows, BATCH)):
+        items = [{"path": r["dataset"], "dataset_id": dataset_id_for(r["dataset"]),
+                  "filename": r["dataset"].split("/")[-1], "mime": "text/csv"} for r in batch]
+        ingest_many(spark, base, items, user_id, exact=exact, **csv_options)
+        spark.createDataFrame([(r["dataset"], r["step"]) for r in batch], NEW_SCHEMA).coalesce(1) \
+            .write.mode("append").parquet(done_path)
+    return pending.select("dataset")
