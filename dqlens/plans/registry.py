@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from dqlens.operators import catalog as C
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
+from dqlens.operators import storage as ST
+from dqlens.plans import jobs as J
 from dqlens.sources import csv as S
 from dqlens.functions import constants as K
 from dqlens.sources.tables import (DIRTY_WANTED, catalog_events_standin, catalog_standin,
@@ -75,8 +77,19 @@ def q_lineitem_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_report_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with its lists and maps written out in order."""
     d = dirty(spark, sf)
-    return R.report_document(P.profile_columns(d, wanted=DIRTY_WANTED))
+    doc = R.report_document(P.profile_columns(d, wanted=DIRTY_WANTED))
+
+    def pairs(name: str):
+        return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    return doc.select(
+        "row_count", "column_count",
+        F.array_join(F.transform("schema", lambda e: F.concat_ws("=", e["name"], e["dtype"])), ";").alias("schema"),
+        pairs("null_counts").alias("null_counts"), pairs("bad_type_counts").alias("bad_type_counts"),
+        pairs("distinct_counts").alias("distinct_counts"),
+        F.array_join("constant_columns", ";").alias("constant_columns"),
+        F.array_join("suggestions", ";").alias("suggestions"))
 
 
 DIRTY_SQL = """WITH dirty AS (
@@ -136,7 +149,19 @@ texts AS (
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY k) AS INTEGER) AS suggestion_no, suggestion FROM texts WHERE n > 0
 """
 
+_DTYPE = "CASE column_name WHEN 'o_orderkey' THEN 'bigint' WHEN 'price' THEN 'double' ELSE 'string' END"
+REPORT_SQL = SUGGESTIONS_SQL.replace("\nSELECT CAST(ROW_NUMBER()", ", sugg AS (\nSELECT CAST(ROW_NUMBER()", 1).rstrip() + f""")
+SELECT MAX(row_count) AS row_count, COUNT(*) AS column_count,
+ string_agg(column_name || '=' || {_DTYPE}, ';' ORDER BY position) AS schema,
+ string_agg(column_name || '=' || CAST(n_missing AS VARCHAR), ';' ORDER BY position) AS null_counts,
+ COALESCE(string_agg(column_name || '=' || CAST(n_bad AS VARCHAR), ';' ORDER BY position) FILTER (WHERE n_bad > 0), '') AS bad_type_counts,
+ string_agg(column_name || '=' || CAST(n_distinct AS VARCHAR), ';' ORDER BY position) AS distinct_counts,
+ COALESCE(string_agg(column_name, ';' ORDER BY position) FILTER (WHERE is_constant), '') AS constant_columns,
+ (SELECT string_agg(suggestion, ';' ORDER BY suggestion_no) FROM sugg) AS suggestions FROM prof
+"""
+
 PROFILE_ORACLES = {
+    "report_document": REPORT_SQL,
     "row_count": DIRTY_SQL + "SELECT COUNT(*) AS row_count FROM dirty",
     "missing_counts": DIRTY_SQL + ", " + MISSING_SQL + "SELECT column_name, n_missing FROM missing",
     "distinct_counts": DIRTY_SQL + ", " + DISTINCT_SQL + "SELECT column_name, n_distinct FROM distinct_n",
@@ -232,16 +257,57 @@ def q_csv_profile(spark: SparkSession, sf: str) -> DataFrame:
         P.NAME, "dtype", "row_count", "n_missing", "n_distinct", "is_constant", "n_bad")
 
 
+def _parsed(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """Landed lines of a CSV with the given columns, headers taken out."""
+    header = ",".join(n for n, _ in columns)
+    ddl = ", ".join(f"`{n}` {t}" for n, t in columns)
+    form = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return lines.where(F.col("line") != header).select(F.from_csv("line", ddl, form).alias("r")).select("r.*")
+
+
 def q_landing_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    from dqlens.operators.storage import land_raw, read_landed
     base = scratch_path(spark, "landing")
     orders = table(spark, sf, "orders")
-    raw = orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
+    path = S.write_csv(orders, scratch_path(spark, "orders-csv"))
     for _ in range(2):          # landing twice must leave one copy
-        land_raw(raw, base, user_id=42, dataset_id=1)
-    back = read_landed(spark, base, user_id=42, dataset_id=1)
-    return back.select(*[F.col(c).try_cast(t).alias(c) for c, t in orders.dtypes],
-                       "user_id", "dataset_id")
+        ST.land_raw(spark, path, base, user_id="a:b/..", dataset_id="x=1%")
+    back = _parsed(ST.read_landed(spark, base, user_id="a:b/..", dataset_id="x=1%"), orders.dtypes)
+    return back.withColumn("user_id", F.lit(42)).withColumn("dataset_id", F.lit(1))
+
+
+DECLARED = {"event_type": "bigint", "user_id": "tinyint"}
+
+
+def _ingested_events(spark: SparkSession, sf: str) -> str:
+    """Store with one upload: the ``events`` table, whose header has the
+    store's own column name ``user_id``, checked against declared types."""
+    base = scratch_path(spark, "declared")
+    path = S.write_csv(table(spark, sf, "events"), scratch_path(spark, "events-csv"))
+    J.ingest_and_profile(spark, base, path, "events:1", "owner/../x", filename="events.csv", wanted=DECLARED)
+    return base
+
+
+def q_ingest_declared(spark: SparkSession, sf: str) -> DataFrame:
+    base = _ingested_events(spark, sf)
+    return ST.read_partitions(spark, J.Layout(base).columns, "owner/../x", ["events:1"], J.COLUMNS_SCHEMA).select(
+        P.NAME, "row_count", "n_missing", "n_bad")
+
+
+def q_landed_values(spark: SparkSession, sf: str) -> DataFrame:
+    base = _ingested_events(spark, sf)
+    lines = ST.read_landed(spark, J.Layout(base).landing, "owner/../x", "events:1")
+    return _parsed(lines, table(spark, sf, "events").dtypes).select("event_id", "user_id", "event_type")
+
+
+def q_upload_gate(spark: SparkSession, sf: str) -> DataFrame:
+    items = []
+    for name, filename, mime in (("orders", "orders.CSV", None), ("lineitem", "lineitem.csv", "text/csv"),
+                                 ("customer", "customer.pdf", "application/pdf"), ("part", "part.txt", "text/plain")):
+        path = S.write_csv(table(spark, sf, name), scratch_path(spark, f"{name}-csv"))
+        items.append({"path": path, "dataset_id": name, "filename": filename, "mime": mime})
+    rows = [(it["dataset_id"], J.gate_upload(spark, it, K.DEFAULT_MAX_CSV_ROWS)) for it in items]
+    return spark.createDataFrame(rows, "dataset_id string, reason string").withColumn(
+        "accepted", F.col("reason").isNull())
 
 
 CSV_QUERIES = {
@@ -253,6 +319,9 @@ CSV_QUERIES = {
     "accept_file": q_accept_file,
     "csv_profile": q_csv_profile,
     "landing_roundtrip": q_landing_roundtrip,
+    "ingest_declared": q_ingest_declared,
+    "landed_values": q_landed_values,
+    "upload_gate": q_upload_gate,
 }
 
 _INT_OR_BIG = ("CASE WHEN (SELECT MAX(o_orderkey) FROM orders) <= 2147483647 "
@@ -293,6 +362,21 @@ SELECT m.column_name, CASE m.column_name WHEN 'o_orderkey' THEN {_INT_OR_BIG} WH
   CAST(0 AS BIGINT) AS n_bad
 FROM missing m JOIN distinct_n d USING (position, column_name)""",
     "landing_roundtrip": "SELECT *, 42 AS user_id, 1 AS dataset_id FROM orders",
+    "ingest_declared": "\n UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, CAST(SUM(CASE WHEN {c} IS NULL"
+        + (f" OR LENGTH(TRIM({c})) = 0 OR LOWER({c}) = 'nan'" if c in ("event_type", "props") else "")
+        + " THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, CAST(SUM(CASE WHEN "
+        + (f"LENGTH(TRIM(CAST({c} AS VARCHAR))) > 0 AND TRY_CAST({c} AS {t}) IS NULL" if t else "FALSE")
+        + " THEN 1 ELSE 0 END) AS BIGINT) AS n_bad FROM events"
+        for c, t in (("event_id", None), ("ts", None), ("user_id", "TINYINT"), ("event_type", "BIGINT"),
+                     ("value", None), ("props", None))),
+    "landed_values": "SELECT event_id, user_id, event_type FROM events",
+    "upload_gate": (
+        "SELECT dataset_id, reason, reason IS NULL AS accepted FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{n}' AS dataset_id, CASE WHEN COUNT(*) > 20000 THEN 'more than 20000 rows (' || "
+            f"CAST(COUNT(*) AS VARCHAR) || ')' END AS reason FROM {n}" for n in ("orders", "lineitem", "part"))
+        + " UNION ALL SELECT 'customer', 'not a CSV file') t"),
 }
 
 
@@ -352,7 +436,69 @@ def q_archive_reports(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("dataset_id", "user_id", "generated_at")
 
 
+STORE_OWNER = "3"
+
+
+def _event_store(spark: SparkSession, sf: str) -> str:
+    """A store whose catalogue events are those of the stand-in, for ten owners."""
+    base = scratch_path(spark, "catalogue")
+    ev = C.with_names(catalog_events_standin(spark, sf))
+    # an event that sets neither name nor file name sets no display name
+    ev = ev.withColumn("user_id", (F.col("user_id") % 10).cast("string"))
+    ST.append_event_frame(ev, J.Layout(base).events)
+    J.compact_catalog(spark, base, STORE_OWNER)
+    return base
+
+
+def _owner_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog_standin(spark, sf).where(f"CAST(user_id % 10 AS STRING) = '{STORE_OWNER}'")
+
+
+def _first_done(spark: SparkSession, sf: str) -> str:
+    return str(_owner_ids(spark, sf).where("status = 'done'").agg(F.min("dataset_id")).first()[0])
+
+
+def q_list_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return J.list_datasets(spark, _event_store(spark, sf), STORE_OWNER)
+
+
+def q_get_status(spark: SparkSession, sf: str) -> DataFrame:
+    return J.get_status(spark, _event_store(spark, sf), _first_done(spark, sf), STORE_OWNER)
+
+
+def q_get_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    base, dataset = _event_store(spark, sf), _first_done(spark, sf)
+    report = R.report_document(P.profile_columns(dirty(spark, sf), wanted=DIRTY_WANTED)).select(
+        F.lit(None).cast("timestamp_ntz").alias("generated_at"), F.lit("place").alias("hdfs_path"), "*",
+        F.lit(STORE_OWNER).alias("user_id"), F.lit(dataset).alias("dataset_id"))
+    ST.write_partitions(report, J.Layout(base).reports)
+    return J.get_dataset(spark, base, dataset, STORE_OWNER).select(
+        "dataset_id", *C.CATALOG_FIELDS, "updated_at", F.col("analysis.row_count").alias("report_rows"),
+        F.col("analysis.hdfs_path").alias("report_path"))
+
+
+def q_archive_job(spark: SparkSession, sf: str) -> DataFrame:
+    """What the owner has left after one dataset was archived by the job and
+    another was archived and registered again."""
+    base = _event_store(spark, sf)
+    low, high = _owner_ids(spark, sf).agg(F.min("dataset_id"), F.max("dataset_id")).first()
+    for dataset in (str(low), str(high)):
+        J.archive_dataset(spark, base, dataset, STORE_OWNER)
+    J.register_dataset(spark, J.Layout(base), str(high), STORE_OWNER, "again.csv")
+    return J.list_datasets(spark, base, STORE_OWNER).select("dataset_id", "name", "status", "row_count")
+
+
+def q_dataset_names(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dataset_id")).distinct()
+    return C.name_of(ids, catalog_standin(spark, sf).where("status <> 'failed'"), K.UNKNOWN_DATASET_NAME)
+
+
 CATALOG_QUERIES = {
+    "list_datasets": q_list_datasets,
+    "get_status": q_get_status,
+    "get_dataset": q_get_dataset,
+    "archive_job": q_archive_job,
+    "dataset_names": q_dataset_names,
     "catalog_list": q_catalog_list,
     "catalog_list_all": q_catalog_list_all,
     "dataset_detail": q_dataset_detail,
@@ -389,7 +535,28 @@ reports AS (
         column_count AS report_columns FROM cat WHERE status = 'done')
 """
 
+_MINE = ", mine AS (SELECT * FROM cat WHERE user_id % 10 = 3)\n"
+_DONE = "dataset_id = (SELECT MIN(dataset_id) FROM mine WHERE status = 'done')"
+
 CATALOG_ORACLES = {
+    "list_datasets": CATALOG_SQL + _MINE + (
+        "SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, name, filename, custom_name, row_count, column_count,"
+        " step, status, created_at FROM mine"),
+    "get_status": CATALOG_SQL + _MINE + (
+        "SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, status, step, 100 AS progress, error_message, updated_at,"
+        f" 'Terminé' AS status_label, 'Analyse préliminaire' AS step_label FROM mine WHERE {_DONE}"),
+    "get_dataset": CATALOG_SQL + _MINE + (
+        "SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, name, custom_name, filename, status, step, row_count,"
+        " column_count, hdfs_path, error_message, created_at, updated_at,"
+        f" (SELECT COUNT(*) FROM orders) AS report_rows, 'place' AS report_path FROM mine WHERE {_DONE}"),
+    "archive_job": CATALOG_SQL + _MINE + (
+        "SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, name, status, row_count FROM mine"
+        " WHERE dataset_id NOT IN ((SELECT MIN(dataset_id) FROM mine), (SELECT MAX(dataset_id) FROM mine))"
+        " UNION ALL SELECT CAST(MAX(dataset_id) AS VARCHAR), 'again.csv', 'queued', NULL FROM mine"),
+    "dataset_names": CATALOG_SQL + (
+        f"SELECT i.dataset_id, COALESCE(c.name, '{K.UNKNOWN_DATASET_NAME}') AS name FROM"
+        " (SELECT DISTINCT l_orderkey AS dataset_id FROM lineitem) i"
+        " LEFT JOIN cat c ON c.dataset_id = i.dataset_id AND c.status <> 'failed'"),
     "catalog_list": CATALOG_SQL + (
         f"SELECT dataset_id, name, filename, custom_name, row_count, column_count, step, status, created_at "
         f"FROM cat WHERE user_id = {LIST_OWNER} ORDER BY created_at DESC, dataset_id DESC"),
@@ -478,14 +645,13 @@ TABLE_ORACLES["tables_profile_many"] = "\n UNION ALL ".join(
 # --------------------------------------------------------------------------
 
 def q_stream_profile(spark: SparkSession, sf: str) -> DataFrame:
-    from dqlens.plans.jobs import Layout, current_catalog
     from dqlens.streaming.folder_ingest import ingest_folder_stream
     root = scratch_path(spark, "stream")
     for name in ("orders", "lineitem"):
         S.write_csv(table(spark, sf, name), f"{root}/incoming/{name}")
     ingest_folder_stream(spark, f"{root}/incoming", f"{root}/store", "streamer")
-    cols = spark.read.parquet(Layout(f"{root}/store").columns)
-    cat = current_catalog(spark, f"{root}/store", "streamer").select(
+    cols = spark.read.schema(J.COLUMNS_SCHEMA).parquet(J.Layout(f"{root}/store").columns)
+    cat = J.current_catalog(spark, f"{root}/store", "streamer").select(
         "dataset_id", "user_id", F.col("filename").alias("dataset_name"))
     return cols.join(cat, ["dataset_id", "user_id"]).select(
         "dataset_name", P.NAME, "row_count", "n_missing", "n_distinct", "n_bad")

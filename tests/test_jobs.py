@@ -59,17 +59,19 @@ def test_archive(spark, store):
     assert out["archived"] and out["fs_error"] is None
     assert [r["dataset_id"] for r in J.list_datasets(spark, store, "u3").collect()] == ["a2"]
     assert [r["dataset_id"] for r in J.reports_table(spark, store).collect()] == ["a2"]
-    assert J.get_dataset(spark, store, "a1", "u3").count() == 0
+    for call in (J.get_dataset, J.get_status, J.archive_dataset):
+        with pytest.raises(J.DatasetNotFound):
+            call(spark, store, "a1", "u3")
 
 
 def test_folder_stream_processes_each_folder_once(spark, store):
     root = scratch_path(spark, "incoming")
     S.write_csv(dirty(spark, SF_SMALL), f"{root}/first")
     ck = scratch_path(spark, "ck")
-    assert len(ingest_folder_stream(spark, root, store, "s1", checkpoint=ck)) == 1
-    assert ingest_folder_stream(spark, root, store, "s1", checkpoint=ck) == []
+    assert ingest_folder_stream(spark, root, store, "s1", checkpoint=ck).count() == 1
+    assert ingest_folder_stream(spark, root, store, "s1", checkpoint=ck).count() == 0
     S.write_csv(dirty(spark, SF_SMALL), f"{root}/second")
-    assert len(ingest_folder_stream(spark, root, store, "s1", checkpoint=ck)) == 1
+    assert ingest_folder_stream(spark, root, store, "s1", checkpoint=ck).count() == 1
     names = sorted(r["filename"] for r in J.list_datasets(spark, store, "s1").collect())
     assert names == ["first", "second"]
 
@@ -172,6 +174,121 @@ def test_folder_stream_file_and_folder_datasets(spark, store):
     with open(os.path.join(local, "two.CSV"), "w") as fh:
         fh.write("c\n1\n")
     got = ingest_folder_stream(spark, root, store, "s2")
-    assert sorted(p.rsplit("/", 1)[-1] for p in got) == ["one.csv", "orders_folder", "two.CSV"]
+    assert sorted(r["dataset"].rsplit("/", 1)[-1] for r in got.collect()) == ["one.csv", "orders_folder", "two.CSV"]
     rows = {r["filename"]: r["row_count"] for r in J.list_datasets(spark, store, "s2").collect()}
     assert rows == {"one.csv": 2, "orders_folder": 1500, "two.CSV": 1}
+
+
+def test_stream_profiles_a_folder_once_whatever_the_trigger_bound(spark, store):
+    root = scratch_path(spark, "incoming-parts")
+    S.write_csv(dirty(spark, SF_SMALL).repartition(5), f"{root}/parts")
+    got = ingest_folder_stream(spark, root, store, "s3", max_files_per_trigger=1)
+    assert got.count() == 1
+    events = J.ST.read_events(spark, f"{store}/catalog_events", "s3").collect()
+    assert [e["status"] for e in events].count("queued") == 1
+    assert J.list_datasets(spark, store, "s3").first()["row_count"] == 1500
+
+
+ODD_IDS = ["x/../..", "a:b", "..", "p=1%2F", "é {[*]}"]
+
+
+@pytest.mark.parametrize("odd", ODD_IDS)
+def test_odd_ids_stay_in_their_owners_folder(spark, store, odd):
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    J.ingest_and_profile(spark, store, src, "keep", "eve")
+    J.ingest_and_profile(spark, store, src, "keep", "bob")
+    with pytest.raises(J.DatasetNotFound):
+        J.archive_dataset(spark, store, odd, "eve")
+    assert J.ingest_and_profile(spark, store, src, odd, "eve").first()["row_count"] == 1500
+    assert J.get_dataset(spark, store, odd, "eve").first()["analysis"]["null_counts"]["price"] == 300
+    with pytest.raises(J.DatasetNotFound):
+        J.archive_dataset(spark, store, odd, "bob")
+    assert J.archive_dataset(spark, store, odd, "eve")["fs_error"] is None
+    left = {(r["user_id"], r["dataset_id"]) for r in J.reports_table(spark, store).collect()}
+    assert left == {("eve", "keep"), ("bob", "keep")}
+    assert J.ST.read_landed(spark, f"{store}/landing", "bob", "keep").count() > 1500
+
+
+def test_empty_ids_are_refused(spark, store):
+    with pytest.raises(ValueError):
+        J.archive_dataset(spark, store, "", "eve")
+
+
+def test_archived_then_ingested_again(spark, store):
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    J.ingest_and_profile(spark, store, src, "d", "u20", custom_name="old")
+    J.archive_dataset(spark, store, "d", "u20")
+    assert J.list_datasets(spark, store, "u20").count() == 0
+    J.register_dataset(spark, J.Layout(store), "d", "u20", "new.csv")
+    row = J.list_datasets(spark, store, "u20").first()
+    assert (row["name"], row["custom_name"], row["row_count"], row["status"]) == ("new.csv", None, None, "queued")
+    J.ingest_and_profile(spark, store, src, "d", "u20")
+    assert J.list_datasets(spark, store, "u20").first()["row_count"] == 1500
+
+
+def test_compaction_keeps_the_catalogue(spark, store):
+    for i in range(3):
+        J.register_dataset(spark, J.Layout(store), f"d{i}", "u21", f"f{i}.csv")
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    J.ingest_and_profile(spark, store, src, "d3", "u21")
+    J.archive_dataset(spark, store, "d1", "u21")
+    J.register_dataset(spark, J.Layout(store), "other", "u22", "o.csv")
+    before = sorted(map(tuple, J.current_catalog(spark, store, "u21").collect()), key=str)
+    assert J.compact_catalog(spark, store, "u21") > 1
+    assert sorted(map(tuple, J.current_catalog(spark, store, "u21").collect()), key=str) == before
+    assert len(J.ST.read_events(spark, f"{store}/catalog_events", "u21").inputFiles()) == 1
+    J.archive_dataset(spark, store, "d0", "u21")
+    assert {r["dataset_id"] for r in J.list_datasets(spark, store, "u21").collect()} == {"d2", "d3"}
+    assert J.list_datasets(spark, store, "u22").count() == 1
+
+
+def test_landing_is_lossless(spark, store, tmp_text_dir):
+    text = 'a,user_id,dataset_id\r\n1,x,y,EXTRA\n\n"q ""z""", ,\n4'
+    path = os.path.join(tmp_text_dir, "odd.csv")
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+    rep = J.ingest_and_profile(spark, store, path, "d1", "u23", wanted={"user_id": "int"}).first()
+    lines = J.ST.read_landed(spark, f"{store}/landing", "u23", "d1").orderBy("file", "block", "seq").collect()
+    back = "\n".join(r["line"] for r in lines)
+    assert back == text and lines[0]["file_size"] == len(text)
+    assert [c["name"] for c in rep["schema"]] == ["a", "user_id", "dataset_id"]
+    assert rep["bad_type_counts"] == {"user_id": 1}
+
+
+def test_a_wanted_column_that_is_absent_is_an_error(spark, store):
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    with pytest.raises(ValueError, match="nope"):
+        J.ingest_and_profile(spark, store, src, "d1", "u24", wanted={"nope": "int"})
+
+
+def test_gate_of_single_and_batch(spark, store, tmp_text_dir):
+    path = os.path.join(tmp_text_dir, "a.pdf")
+    with open(path, "w") as fh:
+        fh.write("a\n1\n2\n")
+    with pytest.raises(J.UploadRejected):
+        J.ingest_and_profile(spark, store, path, "d1", "u25")
+    src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
+    items = [{"path": path, "dataset_id": "pdf"}, {"path": path, "dataset_id": "mime", "mime": "text/csv"},
+             {"path": src, "dataset_id": "long"}]
+    got = J.ingest_many(spark, store, items, "u25", max_rows=100).collect()
+    assert [r["dataset_id"] for r in got] == ["mime"]
+    assert [r["dataset_id"] for r in J.list_datasets(spark, store, "u25").collect()] == ["mime"]
+
+
+def test_long_error_is_stored_whole(spark, store):
+    path = f"{store}/{'x' * 60}/" + "/".join("y" * 200 for _ in range(12)) + ".csv"
+    with pytest.raises(Exception):
+        J.ingest_and_profile(spark, store, path, "d", "u26")
+    assert len(J.get_status(spark, store, "d", "u26").first()["error_message"]) > 2400
+
+
+def test_batch_of_many_datasets_of_one_schema_is_one_scan(spark, store, tmp_text_dir):
+    items = []
+    for i in range(40):
+        path = os.path.join(tmp_text_dir, f"f{i}.csv")
+        with open(path, "w") as fh:
+            fh.write("a,b\n" + "".join(f"{k},v{k % (i + 1)}\n" for k in range(30)))
+        items.append({"path": path, "dataset_id": f"n{i}", "schema": "a int, b string"})
+    got = {r["dataset_id"]: r for r in J.ingest_many(spark, store, items, "u27").collect()}
+    assert len(got) == 40
+    assert all(got[f"n{i}"]["distinct_counts"] == {"a": 30, "b": min(30, i + 1)} for i in range(40))
