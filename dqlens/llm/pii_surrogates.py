@@ -280,12 +280,10 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.where(may_have(text)).withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), text))
     found = stored(detect(marked.select(F.col(row).alias("row"), text.alias("text"))).distinct(), "pii-found")
     table = assign(found, key)
-    known = found.join(table, ["kind", "entity"]).groupBy("row").agg(
-        F.collect_list(F.struct("kind", "entity", "new")).alias("known")).withColumnRenamed("row", "known_row")
-    joined = marked.join(known, marked[row] == known["known_row"], "left").drop("known_row")
-    known_name = free_name(docs, "known")
-    if known_name != "known":
-        joined = joined.select(*[F.col(f"`{c}`") for c in cols], F.col(row), known["known"].alias(known_name))
+    known_row, known_name = free_name(marked, "known_row"), free_name(marked, "known")
+    known = found.join(table, ["kind", "entity"]).groupBy(F.col("row").alias(known_row)).agg(
+        F.collect_list(F.struct("kind", "entity", "new")).alias(known_name))
+    joined = marked.join(known, marked[row] == known[known_row], "left")
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", spans)]))
     def replaced(texts: pd.Series, knowns: pd.Series) -> pd.DataFrame:
