@@ -31,6 +31,9 @@ STEP_LABELS = {
     "initial_analysis": "Analyse préliminaire",
 }
 
+# --- fixed values: name shown for an id without a catalogue row -------------
+UNKNOWN_DATASET_NAME = "ce dataset"
+
 # --- fixed values: file acceptance ------------------------------------------
 ALLOWED_MIME = ("text/csv", "application/vnd.ms-excel", "application/csv", "text/plain")
 CSV_SUFFIX = ".csv"

@@ -23,30 +23,19 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
-def is_blank(c: Column) -> Column:
-    """Null, or only spaces (``trim`` strips spaces, not tabs)."""
-    return c.isNull() | (F.length(F.trim(c)) == 0)
-
-
-def is_missing(c: Column, dtype: T.DataType) -> Column:
-    """Missing-value predicate.
-
-    String columns: null, blank, or exactly ``nan`` in any case (not trimmed).
-    Every other type: null only -- a floating ``NaN`` is a value.
-    """
-    if isinstance(dtype, T.StringType):
-        return is_blank(c) | (F.lower(c) == F.lit(K.MISSING_TEXT))
-    return c.isNull()
-
-
 def sql_string(text: str) -> str:
     """A SQL string literal for ``text`` (backslash escapes, Spark's default)."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def missing_sql(name: str, dtype: T.DataType) -> str:
-    """SQL text of ``is_missing`` for a column, for building wide aggregates
-    in one call (one JVM round trip instead of several per column)."""
+    """SQL text of the missing-value predicate of a column.
+
+    String columns: null, only spaces (``trim`` strips spaces, not tabs), or
+    exactly ``nan`` in any case (not trimmed).  Every other type: null only --
+    a floating ``NaN`` is a value.  SQL text, so that a wide aggregate is built
+    in one call.
+    """
     q = quote(name)
     if isinstance(dtype, T.StringType):
         return (f"({q} IS NULL OR length(trim({q})) = 0 OR lower({q}) = "
@@ -54,30 +43,10 @@ def missing_sql(name: str, dtype: T.DataType) -> str:
     return f"({q} IS NULL)"
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(is_blank(c), F.lit(None)).otherwise(c)
-
-
-def cast_or_null(raw: Column, wanted: T.DataType) -> Column:
-    """Cast that yields null instead of failing (ANSI mode is on in Spark 4)."""
-    return blank_to_null(raw).try_cast(wanted)
-
-
-def is_bad_value(raw: Column, wanted: T.DataType) -> Column:
-    """A non-blank raw value that does not convert to ``wanted``."""
-    return (cast_or_null(raw, wanted).isNull() & raw.isNotNull()
-            & (F.length(F.trim(raw)) > 0))
-
-
-def bad_value_sql(name: str, wanted: T.DataType) -> str | None:
-    """SQL text of ``is_bad_value`` when ``wanted`` has a plain DDL name
-    (atomic types); ``None`` for nested types, which use the Column form."""
-    if isinstance(wanted, (T.StructType, T.ArrayType, T.MapType)):
-        return None
-    q = quote(name)
-    blank = f"({q} IS NULL OR length(trim({q})) = 0)"
-    return (f"(try_cast(CASE WHEN {blank} THEN NULL ELSE {q} END AS {wanted.simpleString()}) IS NULL"
-            f" AND {q} IS NOT NULL AND length(trim({q})) > 0)")
+def bad_value(raw: Column, wanted: T.DataType) -> Column:
+    """A non-blank value that does not convert to ``wanted``.  (Null and blank
+    values are not bad, whatever they convert to.)"""
+    return (F.length(F.trim(raw)) > 0) & raw.try_cast(wanted).isNull()
 
 
 def progress_of(status: Column) -> Column:
