@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name
+from dqlens.llm.common import free_name, ship_code
 
 CACHE_PIECES = 700_000
 
@@ -234,6 +234,7 @@ def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     """``docs`` with its token ids (``ids``) and, if asked for, the text that
     the ids decode to (``decoded``).  Names that are taken get an underscore."""
     spark = docs.sparkSession
+    ship_code(spark)
     shared = _Shared(spark, load_spec(vocabulary))
     ids_name, text_name = free_name(docs, "ids"), free_name(docs, "decoded")
     fields = list(docs.schema.fields) + [T.StructField(ids_name, T.ArrayType(T.IntegerType(), False))]

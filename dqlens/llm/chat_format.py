@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqlens.llm.common import ship_code
+
 PART_TYPE = ("struct<type:string,text:string,ref:string,width:int,height:int,"
              "seconds:double,pages:int>")
 
@@ -143,6 +145,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     code points), attachments (index, kind, ref, n_tokens, at), n_tokens of all
     attachments.  ``parts`` is a list of content parts; default: the column
     ``text`` as one text part."""
+    ship_code(turns.sparkSession)
     parts = text_part(F.col("text")) if parts is None else parts
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(
         F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), parts.alias("parts")).alias("t"))
@@ -177,6 +180,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     of role and text of every turn, length and digest of the text under the
     loss mask, length of the string."""
     import hashlib
+    ship_code(formatted.sparkSession)
     id_type = dict(formatted.dtypes)["conv_id"]
 
     def sha(text: str) -> str:

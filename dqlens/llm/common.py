@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import dqlens
 from dqlens.session import scratch_path
 
 #: a word: a run of characters other than space and the ASCII control spaces
@@ -31,6 +35,21 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Hand this package to the executors as a zip (``addPyFile``), once per
+    context, so that Python tasks can import it wherever the driver was
+    started.  Nothing to do where the package already is a shipped zip."""
+    sc, root = spark.sparkContext, Path(dqlens.__file__).parent
+    if getattr(sc, "_dqlens_code", None) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="dqlens-code-")) / "dqlens_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("dqlens") / f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._dqlens_code = str(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends
     here, and a lost executor costs no recomputation of what came before."""

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqlens.llm.common import ship_code
+
 WINDOW = 192                 # bytes
 SAMPLE_PER_LANGUAGE = 1500   # rows
 MAX_WINDOWS_PER_ROW = 2
@@ -235,4 +237,5 @@ def train_on(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def predicted(docs: DataFrame, model: ByteCNN | None, text: Column, name: str) -> DataFrame:
     """``docs`` with a struct column ``name`` (lang, score)."""
+    ship_code(docs.sparkSession)
     return docs.withColumn(name, predictor(model)(text))

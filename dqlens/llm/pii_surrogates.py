@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, stored
+from dqlens.llm.common import free_name, ship_code, stored
 
 DEFAULT_KEY = "surrogate-key-1"
 MAX_ATTEMPTS = 100
@@ -247,6 +247,7 @@ def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     fewest attempts, then the least by name, keeps it; the others, and those
     whose surrogate is a real entity, draw again.  A newcomer always has more
     attempts than a holder, so a settled surrogate stays."""
+    ship_code(entities.sparkSession)
     draw = _drawn(key)
     real = stored(entities.select("kind", "entity").distinct(), "pii-entities")
     now = real.withColumn("attempt", F.lit(0)).withColumn("new", draw("kind", "entity", "attempt"))
@@ -270,6 +271,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with the entities of its text replaced, and a column
     ``entities`` (start, stop, kind of every surrogate in the new text)."""
+    ship_code(docs.sparkSession)
     cols = docs.columns
     name, row = free_name(docs, "entities"), free_name(docs, "row")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
