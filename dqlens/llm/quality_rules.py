@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import WORD, stored
+from dqlens.llm.common import WORD, ship_code, stored
 
 ALPHA = 0.05         # share of a stratum's good texts that may be lost to the rules
 DELTA = 0.05         # probability that any stratum loses more
@@ -51,7 +51,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SIGNALS = ("symbol_share", "shout_share", "upper_share", "dup_line_share", "repeat_share")
+SIGNALS = ("symbol_share", "upper_share", "dup_line_share")
 
 
 def repeated_words(words: list[str], width: int = REPEAT_WINDOW) -> int:
@@ -84,7 +84,7 @@ def repeated_words(words: list[str], width: int = REPEAT_WINDOW) -> int:
 
 
 def measure(text: str | None) -> tuple:
-    """The five counts and five signals (whole percent) of one text."""
+    """The counts, then the signals (whole percent) of one text."""
     text = text or ""
     words = WORD.findall(text)
     n_words = len(words)
@@ -95,14 +95,14 @@ def measure(text: str | None) -> tuple:
     n_repeat = repeated_words(words)
     percent = lambda part, whole: min(100, 100 * part // whole) if whole else 0
     return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat,
-            percent(n_symbols, word_chars), percent(text.count("!"), word_chars),
-            percent(len(UPPER.findall(text)), word_chars), percent(n_dup_lines, len(lines)),
-            percent(n_repeat, n_words))
+            percent(n_symbols, word_chars), percent(len(UPPER.findall(text)), word_chars),
+            percent(n_dup_lines, len(lines)))
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             stratum_col: str = "lang") -> DataFrame:
     """(id, stratum, counts, signals, base_failed) of every row."""
+    ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"),
                        F.col(text_col).alias("text"))
     fields = rows.schema.fields[:2] + [T.StructField(c, T.LongType()) for c in COUNTS] + \
@@ -110,10 +110,10 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            got = np.array([measure(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, 10)
+            got = np.array([measure(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, len(fields) - 2)
             arrays = [batch.column(0), batch.column(1)]
-            arrays += [pa.array(got[:, k]) for k in range(5)]
-            arrays += [pa.array(got[:, k].astype(np.int32)) for k in range(5, 10)]
+            arrays += [pa.array(got[:, k]) for k in range(len(COUNTS))]
+            arrays += [pa.array(got[:, k].astype(np.int32)) for k in range(len(COUNTS), len(fields) - 2)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
     out = rows.mapInArrow(run, T.StructType(fields))
@@ -178,6 +178,7 @@ def _bound(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
               alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY) -> DataFrame:
     """Chosen cuts: (stratum, signal, cut, good_rejected, n_good, bad_rejected, risk_bound)."""
+    ship_code(measured.sparkSession)
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("good")) \
         .where(F.col("good").isin(0, 1))
     known = measured.where(~F.col("base_failed")).join(marks, F.col("id") == F.col("label_id"))
