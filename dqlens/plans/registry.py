@@ -133,6 +133,7 @@ PROFILE_SQL = DIRTY_SQL + ", " + MISSING_SQL + ", " + DISTINCT_SQL + ", " + BAD_
 HEAVY = "(row_count > 0 AND CAST(n_missing AS DOUBLE) / row_count > 0.2)"
 
 
+# fixed test values: the sentences that the suggestions must read
 SUGGESTIONS_SQL = PROFILE_SQL + f""", ranked AS (
  SELECT *, ROW_NUMBER() OVER (PARTITION BY is_constant ORDER BY position) AS rk_c,
         ROW_NUMBER() OVER (PARTITION BY {HEAVY} ORDER BY position) AS rk_h FROM prof),
@@ -341,6 +342,7 @@ CSV_ORACLES = {
         "SELECT 'orders' AS table_name, COUNT(*) AS n_rows, CAST(20000 AS BIGINT) AS max_rows, "
         "COUNT(*) <= 20000 AS accepted FROM orders UNION ALL "
         "SELECT 'lineitem', COUNT(*), 20000, COUNT(*) <= 20000 FROM lineitem"),
+    # fixed test values: accepted MIME types
     "accept_file": (
         "SELECT o_orderkey AS dataset_id, filename, mime, "
         "(LOWER(filename) LIKE '%.csv' OR COALESCE(mime IN ('text/csv', 'application/vnd.ms-excel', "
@@ -509,6 +511,7 @@ CATALOG_QUERIES = {
     "archive_reports": q_archive_reports,
 }
 
+# fixed test values: status codes, labels and progress of the catalogue rows
 CATALOG_SQL = """WITH base AS (
  SELECT o_orderkey AS dataset_id, o_custkey AS user_id, o_orderdate AS created_at, o_totalprice,
   'orders_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS filename,
@@ -523,7 +526,7 @@ cat AS (
   'initial_analysis' AS step,
   CASE WHEN status = 'done' THEN CAST(FLOOR(o_totalprice) AS BIGINT) END AS row_count,
   CASE WHEN status = 'done' THEN CAST(9 AS BIGINT) END AS column_count,
-  CASE WHEN status NOT IN ('queued', 'uploading_hdfs') THEN '/user_datasets/' || CAST(user_id AS VARCHAR)
+  CASE WHEN status NOT IN ('queued', 'uploading_hdfs') THEN '/landing/' || CAST(user_id AS VARCHAR)
        || '/' || CAST(dataset_id AS VARCHAR) || '/raw.csv' END AS hdfs_path,
   CASE WHEN status = 'failed' THEN 'cannot read ' || filename END AS error_message,
   created_at,

@@ -73,7 +73,7 @@ BLANK_CUSTOM_NAME = " \t "
 CUSTOM_NAME_PAD_LEFT = "\u3000 "
 CUSTOM_NAME_PAD_RIGHT = "\n"
 
-LANDING_PATH_SQL = ("concat('/user_datasets/', CAST(user_id AS STRING), '/', "
+LANDING_PATH_SQL = ("concat('/landing/', CAST(user_id AS STRING), '/', "
                     "CAST(dataset_id AS STRING), '/raw.csv')")
 
 
