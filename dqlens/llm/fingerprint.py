@@ -1,9 +1,9 @@
 """Homomorphic multiset-hash fingerprints of documents.
 
-A text is a multiset of units: its paragraphs (lines), cut after sentence
-ends so that a one-line text has several.  Each unit is hashed with SHA-512
-to a wide vector and the vectors are summed lane by lane modulo powers of
-two, so the fingerprint
+A text is a multiset of units: its paragraphs (lines); a long paragraph is
+cut after every fourth sentence, so that a one-line text has several units.
+Each unit is hashed with SHA-512 to a wide vector and the vectors are summed
+lane by lane modulo powers of two, so the fingerprint
 
 * does not depend on the order of the units,
 * is equal for equal texts (and, but for a clash of 240 hash bits, only for
@@ -11,12 +11,15 @@ two, so the fingerprint
 * follows insertions and deletions by adding or subtracting the fingerprint
   of what was inserted or deleted (``combine``, ``remove``).
 
-Lanes (``LANES`` = 129 numbers): 8 sums modulo 2^30 of 30 hash bits each, the
-number of units modulo 2^30, and 120 counts modulo 2^16 of the units whose
-hash has a given bit.  With the number of units, those counts are sums of
-random signs, whose squared distance estimates by how many units two texts
-differ; ``likeness`` is 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to [0, 1]: 1 for
-equal multisets, about 2 * shared / (units of both) otherwise.
+Lanes (``LANES`` = 49 numbers): 8 sums modulo 2^30 of 30 hash bits each, the
+number of units modulo 2^30, and 40 sums modulo 2^60 that each count, at bits
+0, 20 and 40, the units whose hash has a given bit: 120 counts in all.  With
+the number of units, the counts are sums of random signs, whose squared
+distance estimates by how many units two texts differ; ``likeness`` is
+1 - |a - b|^2 / (|a|^2 + |b|^2), cut to [0, 1]: 1 for equal multisets, about
+2 * shared / (units of both) otherwise.  Beyond 2^20 units a count runs over
+into its neighbour, which blurs the likeness; sums, equality and updates stay
+exact.
 
 DataFrame functions only.  Defined cases: a null text is empty; an empty text
 has the all-zero fingerprint; two empty texts have likeness 1.
@@ -29,22 +32,24 @@ from pyspark.sql import functions as F
 
 from dqlens.llm.common import shuffle_partitions
 
-#: a unit ends at a line end or, within a line, after a sentence end
-UNIT_END = r"\n+|(?<=[.!?]) +"
+#: up to four sentences of one line, or what is left of the line
+UNIT = r"(?:[^.!?\n]*+[.!?]++ *+){1,4}|[^.!?\n]++"
 
 _HEX = 15                    # hex digits per hash word: 60 bits
 _SUM_WORDS = 4               # words whose two 30-bit halves are summed
 _SIGN_WORDS = 2              # words whose 60 bits are counted
-_HALF = 30
+_HALF, _SLOT = 30, 20
 _LOW = (1 << _HALF) - 1
-_PAIR = (1 << _HALF) + 1     # bit 0 and bit 30: two counts in one sum
-_N_SUMS = 2 * _SUM_WORDS
-_N_SIGNS = 60 * _SIGN_WORDS
-LANES = _N_SUMS + 1 + _N_SIGNS
+_TRIPLE = (1 << 2 * _SLOT) + (1 << _SLOT) + 1     # three counts in one sum
+_FULL = (1 << 60) - 1
+_N_HEAD = 2 * _SUM_WORDS + 1                      # half-word sums and the number of units
+_N_TAIL = _SLOT * _SIGN_WORDS                     # sums of three counts
+_N_SIGNS = 3 * _N_TAIL
+LANES = _N_HEAD + _N_TAIL
 
 
 def units(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), UNIT_END), lambda u: u != F.lit(""))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
 
 
 def _hash_words(unit: Column) -> Column:
@@ -53,43 +58,26 @@ def _hash_words(unit: Column) -> Column:
                      for i in range(_SUM_WORDS + _SIGN_WORDS)])
 
 
-def raw_sums(text: Column) -> Column:
-    """Lane sums of a text as one array: 8 half-word sums, the number of
-    units, and 60 sums that hold two counts each (at bits 0 and 30).  A text
-    has fewer than 2^30 units, so no sum leaves 64 bits."""
-    # One pass over the units; each lane folds its value over the hash words.
+def fingerprint(text: Column) -> Column:
+    """Fingerprint lanes (array of 49 longs) of a text column."""
     hashed = F.transform(units(text), _hash_words)
     zero = F.lit(0).cast("long")
 
-    def total(value):
-        return lambda hs: F.aggregate(hs, zero, lambda acc, h: acc + value(h))
+    def total(value, modulus: int):
+        return lambda hs: F.aggregate(hs, zero, lambda acc, h: (acc + value(h)).bitwiseAND(F.lit(modulus)))
 
-    sums = [total(lambda h, i=i: h[i].bitwiseAND(F.lit(_LOW))) for i in range(_SUM_WORDS)]
-    sums += [total(lambda h, i=i: F.shiftright(h[i], _HALF)) for i in range(_SUM_WORDS)]
-    counts = [total(lambda h, i=i, k=k: F.shiftright(h[i], k).bitwiseAND(F.lit(_PAIR)))
-              for i in range(_SUM_WORDS, _SUM_WORDS + _SIGN_WORDS) for k in range(_HALF)]
+    sums = [total(lambda h, i=i: h[i].bitwiseAND(F.lit(_LOW)), _LOW) for i in range(_SUM_WORDS)]
+    sums += [total(lambda h, i=i: F.shiftright(h[i], _HALF), _LOW) for i in range(_SUM_WORDS)]
+    counts = [total(lambda h, i=i, k=k: F.shiftright(h[i], k).bitwiseAND(F.lit(_TRIPLE)), _FULL)
+              for i in range(_SUM_WORDS, _SUM_WORDS + _SIGN_WORDS) for k in range(_SLOT)]
     lanes = [*sums, lambda hs: F.size(hs).cast("long"), *counts]
     # the one-element transform binds the hashed units once for all lanes
     return F.transform(F.array(hashed), lambda hs: F.array(*[f(hs) for f in lanes]))[0]
 
 
-def lanes_of(sums: Column) -> Column:
-    """The 129 lanes of ``raw_sums``, each modulo its power of two."""
-    head = F.transform(F.slice(sums, 1, _N_SUMS + 1), lambda x: x.bitwiseAND(F.lit(_LOW)))
-    packed = F.slice(sums, _N_SUMS + 2, _N_SIGNS // 2)
-    low = F.transform(packed, lambda x: x.bitwiseAND(F.lit(0xFFFF)))
-    high = F.transform(packed, lambda x: F.shiftright(x, _HALF).bitwiseAND(F.lit(0xFFFF)))
-    return F.concat(head, low, high)
-
-
-def fingerprint(text: Column) -> Column:
-    """Fingerprint lanes (array of 129 longs) of a text column."""
-    return lanes_of(raw_sums(text))
-
-
 def _reduced(lanes: Column) -> Column:
-    return F.transform(lanes, lambda x, i: F.when(i <= _N_SUMS, x.bitwiseAND(F.lit(_LOW)))
-                       .otherwise(x.bitwiseAND(F.lit(0xFFFF))))
+    return F.transform(lanes, lambda x, i: x.bitwiseAND(
+        F.when(i < _N_HEAD, F.lit(_LOW)).otherwise(F.lit(_FULL))))
 
 
 def combine(a: Column, b: Column) -> Column:
@@ -104,30 +92,31 @@ def remove(a: Column, b: Column) -> Column:
 
 def to_text(lanes: Column) -> Column:
     """Fixed-width hexadecimal form of a fingerprint."""
-    head = F.transform(F.slice(lanes, 1, _N_SUMS + 1), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    tail = F.transform(F.slice(lanes, _N_SUMS + 2, _N_SIGNS), lambda x: F.lpad(F.lower(F.hex(x)), 4, "0"))
+    head = F.transform(F.slice(lanes, 1, _N_HEAD), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
+    tail = F.transform(F.slice(lanes, _N_HEAD + 1, _N_TAIL), lambda x: F.lpad(F.lower(F.hex(x)), 15, "0"))
     return F.concat(F.array_join(head, ""), F.array_join(tail, ""))
 
 
 def _signs(lanes: Column) -> Column:
-    n = lanes[_N_SUMS]
-    return F.transform(F.slice(lanes, _N_SUMS + 2, _N_SIGNS), lambda c: c * F.lit(2) - n)
+    """The 120 sums of random signs that a fingerprint holds."""
+    n = lanes[_N_HEAD - 1].cast("double")
+    tail = F.slice(lanes, _N_HEAD + 1, _N_TAIL)
+    low = F.lit((1 << _SLOT) - 1)
 
+    def slot(k: int):
+        return F.transform(tail, lambda x: F.shiftright(x, k * _SLOT).bitwiseAND(low))
 
-def _wrapped(x: Column) -> Column:
-    """Difference of two sign sums, brought to the range around zero."""
-    m = F.lit(1 << 16)
-    r = F.pmod(x, m)
-    return F.when(r >= F.lit(1 << 15), r - m).otherwise(r)
+    counts = F.concat(slot(0), slot(1), slot(2))
+    return F.transform(counts, lambda c: c * F.lit(2.0) - n)
 
 
 def _norm(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    apart = _norm(F.transform(F.zip_with(_signs(a), _signs(b), lambda x, y: x - y), _wrapped))
-    both = _norm(F.transform(_signs(a), _wrapped)) + _norm(F.transform(_signs(b), _wrapped))
+    apart = _norm(F.zip_with(_signs(a), _signs(b), lambda x, y: x - y))
+    both = _norm(_signs(a)) + _norm(_signs(b))
     near = F.when(both == 0, F.when(apart == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
         F.greatest(F.lit(0.0), F.lit(1.0) - apart / both))
     # equal fingerprints are certain; anything else stays below 1
@@ -145,8 +134,8 @@ def _cells(ids: DataFrame, id_col: str, n: int) -> tuple[Column, DataFrame]:
     lo, hi = ids.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
     lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
     width = (hi - lo) / n or 1.0
-    cell = F.coalesce(F.least(F.floor((F.col(id_col).cast("double") - F.lit(lo)) / F.lit(width)),
-                              F.lit(n - 1)), F.lit(-1)).cast("long")
+    place = F.least(F.floor((F.col(id_col).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(n - 1))
+    cell = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(place).cast("long")
     counts = ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"),
                                                  F.min(id_col).alias("first_id"))
     return cell, counts
@@ -200,13 +189,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the lanes of both and of the next document."""
     base = docs.select(F.col(id_col).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = with_next(base, "_id", lambda d: d.withColumn("_sums", raw_sums(F.col("_text"))),
-                     ["_text", "_sums"])
+    rows = with_next(base, "_id", lambda d: d.withColumn("_lanes", fingerprint(F.col("_text"))),
+                     ["_text", "_lanes"])
     n = F.char_length("_text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - k),
                       F.substring(F.col("next__text"), F.lit(1), k))
     rows = rows.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), edited.alias("edited"),
-                       n.cast("long").alias("n_chars"), lanes_of(F.col("_sums")).alias("lanes"),
-                       lanes_of(F.col("next__sums")).alias("next_lanes"))
+                       n.cast("long").alias("n_chars"), F.col("_lanes").alias("lanes"),
+                       F.col("next__lanes").alias("next_lanes"))
     return rows.withColumn("edited_lanes", fingerprint(F.col("edited")))
