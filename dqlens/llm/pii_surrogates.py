@@ -71,7 +71,7 @@ DETECT = re.compile(
     rf"|(?P<person>(?<!\w)(?:{_TITLE})\.?\ (?P<name>(?=[^\W\d_a-zß-öø-ÿ])(?:{_NAME}\ (?=[^\W\d_a-zß-öø-ÿ]))?{_NAME}))")
 
 #: what a text needs for any detector to fire (Java regex, a superset)
-MAY_HAVE = rf"[0-9@=:]|\b({_TITLE})\b"
+MAY_HAVE = rf"[0-9@=:]|AKIA|ASIA|\b({_TITLE})\b"
 
 _VOWELS = "aeiou"
 _CONSONANTS = "bcdfghjklmnpqrstvwxyz"
