@@ -50,6 +50,7 @@ ROLE_OPEN, ROLE_CLOSE, TURN_END = "<|role|>", "\n", "<|end|>\n"
 CONTROL = re.compile(r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])")
 _ESCAPE = re.compile(r"\\|" + CONTROL.pattern)
 _UNESCAPE = re.compile(r"\\(\\?)")
+_UNESCAPE_ROLE = re.compile(r"\\([\\n]?)")
 _TURN = re.compile(r"<\|role\|>(.*?)\n(.*?)<\|end\|>\n", re.S)
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 
@@ -62,6 +63,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1], text)
 
 
+def escape_role(role: str) -> str:
+    """A role is one line: its line ends become a backslash and ``n``."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(text: str) -> str:
+    return _UNESCAPE_ROLE.sub(lambda m: {"\\": "\\", "n": "\n"}.get(m[1], ""), text)
+
+
 @dataclass
 class Flattener:
     """Visitor over the parts of a conversation."""
@@ -105,7 +115,7 @@ class Flattener:
         self.emit(f"<|{kind}:{k}|>")
 
     def turn(self, role: str | None, parts) -> None:
-        self.emit(ROLE_OPEN + escape((role or "").replace("\n", "\\n")) + ROLE_CLOSE)
+        self.emit(ROLE_OPEN + escape_role(role or "") + ROLE_CLOSE)
         self.in_loss = role == "assistant"
         for part in parts if parts is not None else ():
             self.visit(part)
@@ -127,7 +137,7 @@ def read_back(formatted: str, attachments=()) -> list[tuple[str, list[dict]]]:
             at = m.end()
         if at < len(content):
             parts.append({"type": "text", "text": unescape(content[at:])})
-        turns.append((unescape(role).replace("\\n", "\n"), parts))
+        turns.append((unescape_role(role), parts))
     return turns
 
 

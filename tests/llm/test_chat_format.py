@@ -20,6 +20,14 @@ def test_escape_is_reversible_and_leaves_no_control_string(text):
     assert not CHAT.CONTROL.search(made)
 
 
+@given(st.text(st.sampled_from("\\n<|>/s[]INST\n"), max_size=20))
+def test_roles_are_reversible(role):
+    f = CHAT.Flattener()
+    f.turn(role, [{"type": "text", "text": role}])
+    parts = [{"type": "text", "text": role}] if role else []
+    assert CHAT.read_back("".join(f.out)) == [(role, parts)]
+
+
 PARTS = [{"type": "text", "text": "see <|image:0|> "}, {"type": "image", "ref": "s3://a.png", "width": 57, "height": 28},
          {"type": "text", "text": "and"}, {"type": "audio", "ref": "b.wav", "seconds": 1.01},
          {"type": "document", "ref": "c.pdf", "pages": 3}]
