@@ -28,14 +28,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqlens.llm.common import shuffle_partitions
+from dqlens.llm.common import shuffle_partitions, ship_code
 
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 BUFFER_ROWS_BYTES = 24 << 20
 
 
+def n_parts(df: DataFrame) -> int:
+    """Parts of the key space: what the session's shuffle partitions are sized for."""
+    return shuffle_partitions(df.sparkSession)
+
+
 def n_chunks(df: DataFrame) -> int:
-    return 2 * shuffle_partitions(df.sparkSession)
+    """Chunks of documents: half of a shuffle partition each, as a task unpacks
+    them.  Messages number at most chunks times parts."""
+    return 2 * n_parts(df)
 
 
 def pack_rows(batch: pa.RecordBatch | pa.Table) -> bytes:
@@ -51,6 +58,7 @@ def unpack_rows(payloads: Iterable[bytes]) -> pa.Table:
 
 def chunked(rows: DataFrame, chunks: int, key: list[str]) -> DataFrame:
     """(chunk, payload): ``rows`` dealt to chunks by a hash of ``key``."""
+    ship_code(rows.sparkSession)
     dealt = rows.withColumn("_chunk", F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int"))
 
     def flush(held):
@@ -173,7 +181,7 @@ def finish(chunks: DataFrame, replies: DataFrame, work: Callable[[pa.Table, dict
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; starts anew when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         import xxhash
         super().__init__()
         self.limit, self.hash = limit, xxhash.xxh3_64_intdigest

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.llm import exchange as X
-from dqlens.llm.common import mix64, stored
+from dqlens.llm.common import mix64, ship_code, stored
 
 GROUP = 64
 FLUSH = 4_000_000            # tokens that a task holds before it sends them on
@@ -126,7 +126,8 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def set_table(rows: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
     """(id, n, s, check, token): one row per document with token null, and one
     per shared token and set (token, s) with the rest null."""
-    parts = 2 * X.n_chunks(rows)
+    ship_code(rows.sparkSession)
+    parts = 4 * X.n_parts(rows)
     id_field = rows.schema["id"]
     long = T.LongType()
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("payload", T.BinaryType()),

@@ -56,8 +56,8 @@ class Tokens:
 
     def __init__(self, rows: pa.Table):
         hashes, held, sizes = X.WordHashes(), [], []
-        for text in rows.column("text").to_pylist():
-            words = X.encoded(text).lower().split()
+        for text in rows.column("text"):
+            words = X.encoded(text.as_py()).lower().split()
             held.append(hashes.of(words))
             held.append(END.reshape(1))
             sizes.append(len(words) + 1)
@@ -291,15 +291,16 @@ def _score(model: Katz, hot_ids: np.ndarray, hot_sums: np.ndarray, parts: int, i
         ids, counts = _known({p: b for p, b in replies.items() if p < parts}, parts)
         counts = counts.astype(np.int64)
         b = Bigrams(tokens, ids, counts, model.total, parts)
-        seen, sums = np.zeros(len(b.one), np.int64), np.zeros((len(b.one), N_SUMS), np.uint64)
+        seen, total, alpha = (np.zeros(len(b.one), t) for t in (np.int64, np.float64, np.float64))
         for p, s in _slices(b.part, parts):
             got = X.unpack(replies[parts + p], *[np.uint64] * (1 + N_SUMS))
             seen[s] = got[0]
             first = _firsts(b.one[s])
-            sums[s] = np.repeat(np.stack(got[1:], axis=1), np.diff(np.append(first, s.stop - s.start)), axis=0)
-        if b.hot.any():
-            sums[b.hot] = hot_sums[np.searchsorted(hot_ids, b.one[b.hot])]
-        total, alpha = model.history(sums)
+            sums, hot = np.stack(got[1:], axis=1), b.hot[s][first]
+            if hot.any():
+                sums[hot] = hot_sums[np.searchsorted(hot_ids, b.one[s][first][hot])]
+            times = np.diff(np.append(first, s.stop - s.start))
+            total[s], alpha[s] = (np.repeat(x, times) for x in model.history(sums))
 
         # each token: seen bigram, else alpha times unigram (history known), else unigram
         word_p = model.unigram(counts)
@@ -335,8 +336,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     id_field = rows.schema["id"]
-    parts = X.n_chunks(docs)
-    chunks = X.chunked(rows, parts, ["id", "text"])
+    parts = X.n_parts(docs)
+    chunks = X.chunked(rows, X.n_chunks(docs), ["id", "text"])
 
     unigrams = stored(X.answer(X.ask(chunks, _ask_words(parts)), _answer_words(parts)), "lm-unigrams")
     sizes = _stats(unigrams, K + 3)

@@ -46,24 +46,15 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-class _Documents:
-    """Words and hashes of the documents of a chunk, one after another."""
-
-    def __init__(self, rows: pa.Table, hashes: X.WordHashes):
-        self.words = [X.encoded(t).split() for t in rows.column("text").to_pylist()]
-        self.hashes = hashes
-
-    def sums(self):
-        for words in self.words:
-            yield len(words), X.ROLL_A.sums(self.hashes.of(words))
-
-    def probes(self, width: int, block: int):
-        """Per document of at least ``width`` words: its number, the rolling
-        hashes of block length."""
-        for d, words in enumerate(self.words):
-            if len(words) >= width:
-                h = self.hashes.of(words)
-                yield d, h, mix64(X.ROLL_A.windows(X.ROLL_A.sums(h), block))
+def _probes(rows: pa.Table, width: int, block: int):
+    """Per document of at least ``width`` words: its word hashes and the
+    rolling hashes of block length.  Words live for one document only."""
+    hashes = X.WordHashes()
+    for text in rows.column("text"):
+        words = X.encoded(text.as_py()).split()
+        if len(words) >= width:
+            h = hashes.of(words)
+            yield h, mix64(X.ROLL_A.windows(X.ROLL_A.sums(h), block))
 
 
 def _windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +76,7 @@ def _split(part: np.ndarray, parts: int):
 def _ask_probes(width: int, block: int, parts: int):
     def work(rows: pa.Table):
         keys = []
-        for _, _, h in _Documents(rows, X.WordHashes()).probes(width, block):
+        for _, h in _probes(rows, width, block):
             marked = h & ~np.uint64(3)
             marked[::block] |= _BLOCK
             keys.append(marked)
@@ -144,7 +135,7 @@ def _ask_windows(width: int, block: int, parts: int):
         # hits as (part, 48 bits) in one sorted column
         known = np.sort(np.concatenate([np.uint64(p) << np.uint64(48) | k for p, k in hits.items()]))
         one, two = [], []
-        for _, h, probe in _Documents(rows, X.WordHashes()).probes(width, block):
+        for h, probe in _probes(rows, width, block):
             at = _part_of(probe, parts) << np.uint64(48) | (probe & _LOW48)
             place = np.minimum(np.searchsorted(known, at), len(known) - 1)
             found = np.flatnonzero(known[place] == at)
@@ -198,14 +189,15 @@ def _remove(width: int, id_type: pa.DataType):
         got = [X.unpack(body, np.uint64, np.uint64) for _, body in sorted(replies.items())]
         known_a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
         known_b = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint64)
-        docs = _Documents(rows, X.WordHashes())
+        hashes = X.WordHashes()
         n_words, kept, spans = [], [], []
-        for words in docs.words:
+        for text in rows.column("text"):
+            words = X.encoded(text.as_py()).split()
             n = len(words)
             n_words.append(n)
             gone = np.zeros(0, np.int64)
             if n >= width and len(known_a):
-                a, b = _windows(docs.hashes.of(words), width)
+                a, b = _windows(hashes.of(words), width)
                 place = np.minimum(np.searchsorted(known_a, a), len(known_a) - 1)
                 hit = np.flatnonzero((known_a[place] == a))
                 if len(hit):
@@ -240,8 +232,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = (width + 1) // 2
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = rows.schema["id"]
-    parts = X.n_chunks(docs)
-    chunks = X.chunked(rows, parts, ["id", "text"])
+    parts = X.n_parts(docs)
+    chunks = X.chunked(rows, X.n_chunks(docs), ["id", "text"])
     hits = stored(X.answer(X.ask(chunks, _ask_probes(width, block, parts)), _answer_probes), "anchor-hits")
     windows = X.ask(chunks, _ask_windows(width, block, parts), hits)
     repeats = stored(X.answer(windows, _answer_windows), "anchor-repeats")
