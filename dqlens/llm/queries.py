@@ -38,7 +38,7 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     model = LID.train_on(docs.where(~held_out))
     found = LID.predicted(docs.select("doc_id", "text"), model, F.col("text"), "found")
-    return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"),
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"),
                         F.col("found.score").alias("score"))
 
 
@@ -101,4 +101,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op10_jaccard_join)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _escaped(column: str) -> str:
+    """The escaping of ``chat_format`` as a chain of replacements."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"):
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+def _mix_sql() -> str:
+    """Operator 6 by whole-source windows; each closing document is one step."""
+    rounds = "".join(f"""
+rest{k} AS (SELECT source, rest - COALESCE(x.size, 0) AS rest FROM rest{k - 1} LEFT JOIN pick{k - 1} x USING (source)),
+pick{k} AS (SELECT source, (arg_min(r, (abs(r.size - rest), r.key, r.doc_id))).doc_id AS doc_id,
+  (arg_min(r, (abs(r.size - rest), r.key, r.doc_id))).size AS size
+ FROM run r JOIN rest{k} USING (source) WHERE r.through > r.budget AND rest > 0 AND r.size > 0 AND abs(r.size - rest) < rest
+  AND r.doc_id NOT IN ({" UNION ALL ".join(f"SELECT doc_id FROM pick{j}" for j in range(k))}) GROUP BY source),"""
+                     for k in range(1, MX.CLOSING + 1))
+    return rf"""
+WITH doc AS (SELECT doc_id, source, CAST(COALESCE(len({_WORDS.format("text")}), 0) AS BIGINT) AS size,
+  -ln((CAST(CAST('0x' || substr(md5('mix|' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0)
+  / greatest(0.2, 1.0 - 4.0 * COALESCE(len(regexp_extract_all(text, '[#*$%&|<>]')), 0) / greatest(COALESCE(length(text), 0), 1)) AS key
+ FROM documents),
+src AS (SELECT source, SUM(size) AS source_size, 2.0 * SUM(size) AS stop,
+  [3.0, 1.0, 2.0][(ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM doc GROUP BY source),
+lev AS (SELECT *, (1.5 * SUM(source_size) OVER () - COALESCE(SUM(stop) OVER before, 0))
+  / (SUM(w) OVER () - COALESCE(SUM(w) OVER before, 0)) AS level FROM src
+ WINDOW before AS (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tgt AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(stop, w * (SELECT MAX(level) FROM lev)) AS target FROM lev),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM tgt),
+run AS (SELECT doc_id, source, size, key, source_size, target, epochs, target - epochs * source_size AS budget,
+  SUM(size) OVER (PARTITION BY source ORDER BY key, doc_id) AS through FROM doc JOIN plan USING (source)),
+rest0 AS (SELECT source, MAX(budget) - COALESCE(MAX(through) FILTER (WHERE through <= budget), 0) AS rest FROM run GROUP BY source),
+pick0 AS (SELECT source, doc_id, size FROM run WHERE FALSE),{rounds}
+extra AS ({" UNION ALL ".join(f"SELECT doc_id FROM pick{j}" for j in range(MX.CLOSING + 1))})
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN budget > 0
+  AND (through <= budget OR doc_id IN (SELECT doc_id FROM extra)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_mix_sources": _mix_sql(),
+    "op5_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, COUNT(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(SUM(length('<|role|>') + length({_escaped('role')}) + 1 + length({_escaped('text')}) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op8_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("COALESCE(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS k
+ FROM d, unnest(range(1, len(ws) - 33)) AS r(i) WHERE len(ws) >= 35),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(i, i + 35)) AS r(p)),
+word AS (SELECT doc_id, p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) AS r(p)),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS kept, COUNT(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - COALESCE(n, 0) AS BIGINT) AS n_removed,
+ sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS s
+ FROM d, unnest(range(1, greatest(len(ws) - 1, 2))) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM both_in JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.other)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, MIN(other) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
+}
