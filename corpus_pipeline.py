@@ -27,7 +27,7 @@ from dqlens.llm import jaccard_join as JJ
 from dqlens.llm import language_id as LID
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm import source_mixing as MX
-from dqlens.llm.common import free_name, read_table, stored
+from dqlens.llm.common import free_name, read_table, sized, stored
 from dqlens.llm.queries import VOCABULARY
 
 #: mean probability of the predicted language below which a text is rejected
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = JJ.jaccard_components(docs, width=5, threshold=(80, 100))
     dropped = stored(classes.where("doc_id != component_id").select(F.col("doc_id").alias("dropped")).distinct(),
                      "duplicates")
-    return docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
+    return docs.join(sized(dropped), docs["doc_id"] == dropped["dropped"], "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

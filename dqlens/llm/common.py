@@ -58,6 +58,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: rows of a few numbers that may be broadcast: some tens of MB
+BROADCAST_ROWS = 500_000
+
+
+def sized(narrow: DataFrame) -> DataFrame:
+    """A stored table of ids with the join that its counted size allows: a
+    broadcast up to ``BROADCAST_ROWS``, beyond that a shuffled hash join."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow.hint("shuffle_hash")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

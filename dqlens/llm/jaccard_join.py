@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.llm import exchange as X
-from dqlens.llm.common import mix64, ship_code, stored
+from dqlens.llm.common import mix64, ship_code, sized, stored
 
 GROUP = 64
 FLUSH = 4_000_000            # tokens that a task holds before it sends them on
@@ -125,9 +125,9 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def set_table(rows: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
     """(id, n, s, check, token): one row per document with token null, and one
-    per shared token and set (token, s) with the rest null."""
+    per shared token and set (token, s) with its weight as n."""
     ship_code(rows.sparkSession)
-    parts = 4 * X.n_parts(rows)
+    parts = X.n_parts(rows)
     id_field = rows.schema["id"]
     long = T.LongType()
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("payload", T.BinaryType()),
@@ -146,7 +146,11 @@ def set_table(rows: DataFrame, width: int, num: int, den: int, seed: int) -> Dat
             part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             found = np.flatnonzero(np.diff(ends))
-            body = [X.pack(tokens[ends[p]:ends[p + 1]], sets[ends[p]:ends[p + 1]]) for p in found]
+            body = []
+            for p in found:
+                # the sets' names once per message, tokens point to them
+                names_, at = np.unique(sets[ends[p]:ends[p + 1]], return_inverse=True)
+                body.append(X.pack(tokens[ends[p]:ends[p + 1]], at.astype(np.uint32), names_))
             empty = [pa.nulls(len(found), id_type)] + [pa.nulls(len(found), pa.int64())] * 3
             return pa.RecordBatch.from_arrays(
                 [pa.array(found.astype(np.int32)), pa.array(body, pa.binary()), *empty], names)
@@ -181,14 +185,23 @@ def set_table(rows: DataFrame, width: int, num: int, den: int, seed: int) -> Dat
         bodies = [p for p in table.column("payload").to_pylist() if p is not None]
         if not bodies:
             return docs
-        got = [X.unpack(p, np.uint64, np.int64) for p in bodies]
-        tokens, sets = _distinct_pairs(*(np.concatenate([g[i] for g in got]) for i in (0, 1)))
+        got = [X.unpack(p, np.uint64, np.uint32, np.int64) for p in bodies]
+        tokens, sets = _distinct_pairs(np.concatenate([g[0] for g in got]),
+                                       np.concatenate([g[2][g[1]] for g in got]))
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         size = np.diff(np.concatenate([first, [len(tokens)]]))
-        shared = np.repeat(size > 1, size)
-        tokens, sets = tokens[shared].view(np.int64), sets[shared]
+        # tokens with the same sets say the same: one stands for all, named by
+        # its sets and weighted by their number
+        name = mix64(np.add.reduceat(mix64(sets.view(np.uint64)), first))
+        _, where, times = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True, return_counts=True)
+        chosen = np.zeros(len(first), np.int64)
+        chosen[where] = times
+        chosen[size < 2] = 0
+        weight = np.repeat(chosen, size)
+        kept = weight > 0
+        tokens, sets, weight = np.repeat(name, size)[kept].view(np.int64), sets[kept], weight[kept]
         none = pa.nulls(len(sets), pa.int64())
-        found = pa.table([pa.nulls(len(sets), docs.schema.field("id").type), none, pa.array(sets), none,
+        found = pa.table([pa.nulls(len(sets), docs.schema.field("id").type), pa.array(weight), pa.array(sets), none,
                           pa.array(tokens)], names=docs.column_names)
         return pa.concat_tables([docs, found])
 
@@ -303,19 +316,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
     else:
         raise RuntimeError("sets could not be given distinct 64-bit names")
-    shared = table.where("token IS NOT NULL").select("token", "s")
+    shared = stored(table.where("token IS NOT NULL").groupBy("token", "s").agg(F.sum("n").alias("weight")), "gram-shared")
 
     # pivots: of a token's sets, the one with most shared tokens
-    degree = shared.groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
+    degree = shared.groupBy("s").agg(F.sum("weight").alias("degree"))
     known = shared.join(degree, "s")
     pivots = known.groupBy("token").agg(F.max(F.struct("degree", "s")).alias("pivot"))
     to_pivot = stored(known.select("token", "s").join(pivots, "token").select("s", "pivot").distinct(), "gram-pivots")
     home = to_pivot.groupBy("s").agg(F.max("pivot").alias("h")).select("s", F.col("h.s").alias("home"))
 
     # the sets themselves, of one document each, once
-    chosen = found.join(to_pivot.select("s").distinct(), "s", "left_semi").groupBy("s").agg(
-        F.min("id").alias("id"))
-    texts = rows.join(chosen.hint("shuffle_hash"), "id")
+    chosen = stored(found.join(to_pivot.select("s").distinct(), "s", "left_semi").groupBy("s").agg(
+        F.min("id").alias("id")), "gram-chosen")
+    texts = rows.join(sized(chosen), "id")
     sets = stored(gram_arrays(texts, width, seed).dropDuplicates(["s"]), "gram-arrays")
     first = stored(verified(to_pivot.select(F.col("s").alias("a"), F.col("pivot.s").alias("b")).where("a != b"),
                             sets, num, den), "gram-links")
