@@ -4,9 +4,9 @@ Documents are sets of word n-grams; two link when their Jaccard similarity
 reaches a threshold.  Documents with equal sets are one set from the start.
 
 1. Tokens of the matrix.  With sizes up to h, sets that link differ in at most
-   k = 2h(1 - t)/(1 + t) n-grams.  The hash range is cut into k + 1 stretches;
-   linked sets agree on at least one whole stretch.  A set's tokens are the
-   hashes of its stretches, cut for its own size class and for the next one
+   k = 2h(1 - t)/(1 + t) n-grams.  The hash range is cut into k + 1 stretches
+   and some to spare for empty ones; linked sets agree on at least one whole
+   stretch that is not empty.  A set's tokens are the hashes of its stretches, cut for its own size class and for the next one
    (partners' sizes lie in the same or a neighbouring class).  A token stands
    for several n-grams, so passages that many documents share make no tokens
    in common, and no pair that links is missed.
@@ -36,6 +36,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -97,22 +98,32 @@ class Stretches:
     def high(self, c: int) -> int:
         return self.low[c] * self.den // self.num
 
-    def cut(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Inner edges of the stretches of class ``c`` and their salts."""
+    def cut(self, c: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Inner edges of the stretches of class ``c``, their salts, and how
+        many empty stretches a set may have without naming them."""
         if c not in self.edges:
-            n = 2 * self.high(c) * (self.den - self.num) // (self.den + self.num) + 1
+            least = self.low[max(0, c - 1)]
+            k = 2 * self.high(c) * (self.den - self.num) // (self.den + self.num)
+            empty = (k + 1) * math.exp(-least / (k + 1)) if k else 0.0
+            spare = math.ceil(1.5 * empty + 2 * math.sqrt(empty))
+            n = k + 1 + spare
             edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-            self.edges[c] = edges, mix64(np.arange(n, dtype=np.uint64) + np.uint64((c + 1) << 40))
+            self.edges[c] = edges, mix64(np.arange(n, dtype=np.uint64) + np.uint64((c + 1) << 40)), spare
         return self.edges[c]
 
     def tokens(self, grams: np.ndarray) -> np.ndarray:
+        """Of k + 1 + spare stretches, two sets that link agree on spare + 1.
+        If either has at most ``spare`` empty ones, they agree on one that is
+        not empty; so only sets with more name their empty stretches."""
         c = bisect_right(self.low, len(grams)) - 1
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(grams + np.uint64(77)), dtype=np.uint64)])
         out = []
         for j in (c, c + 1):
-            edges, salts = self.cut(j)
+            edges, salts, spare = self.cut(j)
             at = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
-            out.append(mix64((sums[at[1:]] - sums[at[:-1]]) ^ salts))
+            token = mix64((sums[at[1:]] - sums[at[:-1]]) ^ salts)
+            full = at[1:] > at[:-1]
+            out.append(token if len(full) - full.sum() > spare else token[full])
         return np.concatenate(out)
 
 
