@@ -224,22 +224,31 @@ def gram_arrays(rows: DataFrame, width: int, seed: int) -> DataFrame:
     def run(batches):
         shingler = Shingler(width, seed)
         for batch in batches:
-            s, n, arrays = [], [], []
+            s, n, arrays, spread = [], [], [], []
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = shingler.of(text)
                 if shingler.key(grams)[0] == want:
                     s.append(want)
                     n.append(len(grams))
                     arrays.append(grams.view(np.int64))
+                    spread.append(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=64).tolist())
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(flat))], ["s", "n", "grams"])
-    return rows.select("text", "s").mapInArrow(run, "s long, n long, grams array<long>")
+                pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(spread, pa.list_(pa.int32()))],
+                ["s", "n", "grams", "spread"])
+    return rows.select("text", "s").mapInArrow(run, "s long, n long, grams array<long>, spread array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose exact similarity reaches the threshold."""
+    """The (a, b) pairs whose exact similarity reaches the threshold.  Sizes and
+    the spread of the n-grams over 64 stretches bound the overlap from above;
+    only pairs that pass this bound carry their n-grams."""
+    small = lambda k: sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("spread").alias(f"h{k}"))
+    pairs = pairs.select("a", "b").join(small("a"), "a").join(small("b"), "b")
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+                        & (most * den >= (F.col("na") + F.col("nb") - most) * num))
     left = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
