@@ -8,12 +8,16 @@ behind a title) are replaced by surrogates of the same type and format:
   the same entity gets the same surrogate in every document (coreference) and
   nobody without the key can recompute it;
 * consistent: letters become letters of the same script, case and kind
-  (vowel, consonant), digits digits; punctuation stays; card numbers keep
-  their issuer digit and check digit rule; given names keep the gender that
-  the title tells; a mention keeps its own spelling (case, separators);
+  (vowel, consonant), digits digits; punctuation stays, but a value without
+  any letter or digit (a masked password) becomes letters and digits; card
+  numbers keep their issuer digit and check digit rule; given names keep the
+  gender that the title tells; a mention keeps its own spelling (case,
+  separators);
 * distinct: the distinct entities of the whole table are one Spark table, and
   surrogates that two entities share, or that equal a real entity, are drawn
-  again (next attempt) until there is no clash.
+  again (next attempt) until there is no clash.  After ``FORM_ATTEMPTS``
+  attempts the format may be used up (there are five one-letter vowels), and
+  each further attempt draws a surrogate that is longer than the one before.
 
 Only texts with a character that some detector needs (a native filter) reach
 Python, and only those are shuffled, once, to meet their entities; a text's
@@ -30,6 +34,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +45,8 @@ from pyspark.sql import types as T
 from dqlens.llm.common import free_name, ship_code, stored
 
 DEFAULT_KEY = "surrogate-key-1"
-MAX_ATTEMPTS = 100
+#: draws in the entity's own format; later ones are lengthened
+FORM_ATTEMPTS = 6
 
 # Titles and the gender that they tell (fixed values).
 TITLES = {
@@ -75,6 +82,34 @@ MAY_HAVE = rf"[0-9@=:]|AKIA|ASIA|\b({_TITLE})\b"
 
 _VOWELS = "aeiou"
 _CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+_FREE = "abcdefghijklmnopqrstuvwxyz0123456789"
+_SCRIPTS = [
+    (0x00DF, 0x00FF, "àáâäèéêëìíîïòóôöùúûü"),
+    (0x03B1, 0x03C9, "αβγδεζηθικλμνξοπρστυφχψω"),
+    *((lo, hi, "".join(map(chr, range(lo, hi + 1)))) for lo, hi in (
+        (0x0430, 0x044F), (0x05D0, 0x05EA), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))),
+]
+
+
+@lru_cache(maxsize=65_536)
+def pool_of(ch: str) -> str:
+    """What a character may become: letters of the same script, case and kind,
+    digits of the same script; nothing for other characters."""
+    if ch.isdecimal():
+        zero = ord(ch) - unicodedata.decimal(ch)
+        return "".join(chr(zero + i) for i in range(10))
+    if not ch.isalpha():
+        return ""
+    low = ch.lower()
+    if "a" <= low <= "z":
+        pool = _VOWELS if low in _VOWELS else _CONSONANTS
+    else:
+        pool = next((p for lo, hi, p in _SCRIPTS if len(low) == 1 and lo <= ord(low) <= hi), None)
+    if pool is None:
+        # any other script: letters of the same category near by
+        start, kind = ord(ch) & ~0x7F, unicodedata.category(ch)
+        return "".join(c for c in map(chr, range(start, start + 0x80)) if unicodedata.category(c) == kind)
+    return pool.upper() if ch != low else pool
 
 
 class Draw:
@@ -92,33 +127,16 @@ class Draw:
         value, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return value % n
 
-    def letter(self, ch: str) -> str:
-        """A letter of the same script, case and kind."""
-        low = ch.lower()
-        if "a" <= low <= "z":
-            pool = _VOWELS if low in _VOWELS else _CONSONANTS
-            new = pool[self.below(len(pool))]
-        elif len(low) == 1 and 0x00DF <= ord(low) <= 0x00FF:
-            new = "àáâäèéêëìíîïòóôöùúûü"[self.below(20)]
-        elif len(low) == 1 and 0x03B1 <= ord(low) <= 0x03C9:
-            new = "αβγδεζηθικλμνξοπρστυφχψω"[self.below(24)]
-        elif len(low) == 1 and 0x0430 <= ord(low) <= 0x044F:
-            new = chr(0x0430 + self.below(32))
-        elif len(low) == 1 and 0x05D0 <= ord(low) <= 0x05EA:
-            new = chr(0x05D0 + self.below(27))
-        elif len(low) == 1 and 0x3041 <= ord(low) <= 0x3096:
-            new = chr(0x3041 + self.below(86))
-        elif len(low) == 1 and 0x4E00 <= ord(low) <= 0x9FA5:
-            new = chr(0x4E00 + self.below(0x51A6))
-        elif len(low) == 1 and 0xAC00 <= ord(low) <= 0xD7A3:
-            new = chr(0xAC00 + self.below(0x2BA4))
-        else:
-            return ch
-        return new.upper() if ch != low else new
-
     def like(self, text: str) -> str:
-        return "".join(str(self.below(10)) if c.isascii() and c.isdigit() else self.letter(c) if c.isalpha()
-                       else c for c in text)
+        """Every letter and digit drawn from its pool, the rest as it is; a
+        text that has none to draw becomes letters and digits."""
+        if all(len(pool_of(c)) < 2 for c in text):
+            return "".join(_FREE[self.below(len(_FREE))] for _ in text)
+        return "".join(self.one(c) for c in text)
+
+    def one(self, ch: str) -> str:
+        pool = pool_of(ch)
+        return pool[self.below(len(pool))] if len(pool) > 1 else ch
 
 
 def luhn(digits: str) -> bool:
@@ -141,20 +159,25 @@ def entity_of(kind: str, mention: str) -> str:
 
 
 def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
-    """Surrogate of an entity, in the entity's normal form."""
+    """Surrogate of an entity, in the entity's normal form.  From attempt
+    ``FORM_ATTEMPTS`` on it is 2, 4, 8, ... characters (IP: numbers) longer
+    than the format, so that there is room for any number of entities."""
     d = Draw(key, kind, entity, attempt)
+    more = 2 << (attempt - FORM_ATTEMPTS) if attempt >= FORM_ATTEMPTS else 0
     if kind == "email":
         local, _, domain = entity.partition("@")
-        return f"{d.like(local)}@{d.like(domain.split('.')[0])}.example.com"
+        return f"{d.like(local + '0' * more)}@{d.like(domain.split('.')[0])}.example.com"
     if kind == "ip":
-        return ".".join(str(1 + d.below(254)) for _ in range(4))
+        return ".".join(str(1 + d.below(254)) for _ in range(4 + more))
+    if kind == "card" and luhn(entity):
+        new = entity[0] + "".join(str(d.below(10)) for _ in entity[1:] + "0" * more)
+        return next(c for c in (new[:-1] + str(x) for x in range(10)) if luhn(c))
+    if kind in ("ssn", "card", "phone", "iban"):
+        entity += "0" * more
     if kind == "ssn":
         return "".join(str(1 + d.below(9)) if i == 0 else str(d.below(10)) for i in range(len(entity)))
     if kind == "card":
-        new = entity[0] + "".join(str(d.below(10)) for _ in entity[1:])
-        if luhn(entity):
-            new = next(c for c in (new[:-1] + str(x) for x in range(10)) if luhn(c))
-        return new
+        return entity[0] + "".join(str(d.below(10)) for _ in entity[1:])
     if kind == "phone":
         keep = 2 if entity.startswith("+") else 0          # the country's first digit
         return entity[:keep] + "".join(str(d.below(10)) for _ in entity[keep:])
@@ -162,7 +185,7 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         return entity[:2] + d.like(entity[2:])
     if kind == "access":
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-        return entity[:4] + "".join(letters[d.below(32)] for _ in entity[4:])
+        return entity[:4] + "".join(letters[d.below(32)] for _ in entity[4:] + "A" * more)
     if kind.startswith("person"):
         names = entity.split(" ")
         gender = kind.partition(":")[2]
@@ -170,17 +193,17 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
             names = [GIVEN[gender][d.below(len(GIVEN[gender]))], *(d.like(x) for x in names[1:])]
         else:
             names = [d.like(x) for x in names]
-        return " ".join(names)
+        return " ".join(names) + d.like(entity[-1].lower() * more)
     if re.fullmatch(r"[0-9a-f]+", entity):
-        return "".join("0123456789abcdef"[d.below(16)] for _ in entity)
-    return d.like(entity)
+        return "".join("0123456789abcdef"[d.below(16)] for _ in entity + "0" * more)
+    return d.like(entity) + d.like("0" * more)
 
 
 def render(kind: str, mention: str, new: str) -> str:
     """The surrogate in the spelling of the mention."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(new)
-        return "".join(c if c in " -.()" else next(chars, "") for c in mention)
+        return "".join(c if c in " -.()" else next(chars, "") for c in mention) + "".join(chars)
     if kind == "email" and mention.isupper():
         return new.upper()
     return new
@@ -253,7 +276,7 @@ def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     now = real.withColumn("attempt", F.lit(0)).withColumn("new", draw("kind", "entity", "attempt"))
     same = Window.partitionBy("kind", "new").orderBy("attempt", "entity")
     taken = real.select(F.col("kind").alias("real_kind"), F.col("entity").alias("real_entity"))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         judged = now.withColumn("place", F.row_number().over(same)).join(
             taken, (F.col("kind") == F.col("real_kind")) & (F.col("new") == F.col("real_entity")), "left")
         judged = stored(judged.select(
@@ -264,7 +287,6 @@ def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         again = judged.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
         now = again.withColumn("new", F.when(F.col("clash"), draw("kind", "entity", "attempt"))
                                .otherwise(F.col("new"))).drop("clash")
-    raise RuntimeError("no free surrogates left for some kind of entity")
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

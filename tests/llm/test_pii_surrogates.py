@@ -101,3 +101,29 @@ def test_awkward_rows(awkward, no_docs):
     assert len(set(twice)) == 1 and "jean.dupont" not in twice[0] and "Durand" not in twice[0]
     assert "Smith" not in by_id[None]["text"]
     assert PII.surrogates(no_docs).count() == 0
+
+
+def test_every_value_finds_a_surrogate(spark):
+    lines = ["Password: ********", "password=______", "token: ••••••••", "secret=******a", "Sir محمد said", "Frau สมชาย",
+             "Mr Ⅷ", "Mr Б", "pwd: ٣٤٥٦٧٨", "ssn 123-45-6789",
+             *(f"Mr {x} and Mrs {x}" for x in "AEIOU"), *(f"mail a@b.c{i}, call +1 2 34 5{i % 10}" for i in range(120))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in PII.surrogates(docs).collect()}
+    pairs = {}
+    for i, old in enumerate(lines):
+        for (_, _, k, m), sp in zip(PII.mentions(old), out[i]["entities"], strict=True):
+            new = out[i]["text"][sp["start"]:sp["stop"]]
+            assert pairs.setdefault((k, PII.entity_of(k, m)), PII.entity_of(k, new)) == PII.entity_of(k, new)
+    assert len({(k, new) for (k, _), new in pairs.items()}) == len(pairs) > 140
+    assert not [1 for (k, _), new in pairs.items() if (k, new) in pairs]
+    assert "•" not in pairs["secret", "••••••••"] and "*" not in pairs["secret", "********"]
+
+
+def test_lengthened_surrogates_keep_their_rules():
+    card = PII.surrogate("card", "4539578763621486", "k", PII.FORM_ATTEMPTS + 1)
+    assert len(card) == 20 and PII.luhn(card) and card[0] == "4"
+    ssn = PII.surrogate("ssn", "123456789", "k", PII.FORM_ATTEMPTS)
+    shown = PII.render("ssn", "123-45-6789", ssn)
+    assert len(ssn) == 11 and PII.entity_of("ssn", shown) == ssn
+    name = PII.surrogate("person:m", "محمد", "k")
+    assert len(name) == 4 and all("\u0600" <= c <= "\u06ff" for c in name) and name != "محمد"
