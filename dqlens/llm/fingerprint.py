@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqlens.llm.common import shuffle_partitions
 
@@ -47,6 +48,8 @@ _N_TAIL = _SLOT * _SIGN_WORDS                     # sums of three counts
 _N_SIGNS = 3 * _N_TAIL
 LANES = _N_HEAD + _N_TAIL
 
+SAMPLED = 64                 # ids sampled for each bucket
+
 
 def units(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
@@ -127,18 +130,22 @@ def likeness(a: Column, b: Column) -> Column:
 # neighbours in id order
 # --------------------------------------------------------------------------
 
-def _cells(ids: DataFrame, id_col: str, n: int) -> tuple[Column, DataFrame]:
-    """Cell of an id (``n`` equal stretches of the id range) and the table
-    cell -> bucket in which consecutive cells are packed so that the buckets
-    hold about equally many rows."""
-    lo, hi = ids.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
-    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
-    width = (hi - lo) / n or 1.0
-    place = F.least(F.floor((F.col(id_col).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(n - 1))
-    cell = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(place).cast("long")
-    counts = ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"),
-                                                 F.min(id_col).alias("first_id"))
-    return cell, counts
+def _bucket(ids: DataFrame, id_col: str, n: int) -> Column:
+    """Bucket of an id: how many of at most ``n`` - 1 cuts it reaches, -1 for
+    null.  The cuts are quantiles of a sample of ids, so buckets hold about
+    equally many rows however the ids are spread; equal ids stay together."""
+    known = ids.where(F.col(id_col).isNotNull())
+    share = min(1.0, SAMPLED * n / max(known.count(), 1))
+    ranked = F.sort_array(F.collect_list(id_col))
+    step = F.greatest(F.lit(1), F.ceil(F.size("ids") / F.lit(n)).cast("int"))
+    cuts = known.sample(share, seed=9).agg(ranked.alias("ids")).select(F.to_json(F.array_distinct(
+        F.filter("ids", lambda x, i: (i > 0) & (i % step == 0)))).alias("cuts")).first()["cuts"]
+    # parsed once, when the plan is made
+    cuts = F.from_json(F.lit(cuts), T.ArrayType(ids.schema[id_col].dataType))
+    halving = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    reached = F.aggregate(halving, F.lit(0), lambda at, up: F.when(
+        (at + up <= F.size(cuts)) & (F.get(cuts, at + up - 1) <= F.col(id_col)), at + up).otherwise(at))
+    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(reached)
 
 
 def with_next(docs: DataFrame, id_col: str, derive, carried: list[str],
@@ -149,26 +156,19 @@ def with_next(docs: DataFrame, id_col: str, derive, carried: list[str],
 
     Rows are dealt to buckets of consecutive ids and each bucket also gets a
     copy of the first row of the following one, so no row meets more than its
-    own bucket and there is one shuffle, whatever the size of the table.
+    own bucket and there is one shuffle, whatever the size of the table.  Only
+    rows of one id (or without one) cannot be parted.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * shuffle_partitions(spark)
-    cell, counts = _cells(docs.select(id_col), id_col, 16 * buckets)
-    # at most 16 * buckets rows: the windows below run over that table only
-    upto = Window.orderBy("cell")
-    packed = counts.withColumn("through", F.sum("n").over(upto)).withColumn(
-        "rows", F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    packed = packed.withColumn("bucket", F.floor(
-        (F.col("through") - F.col("n")) * F.lit(buckets) / F.col("rows")).cast("long"))
-    firsts = packed.groupBy("bucket").agg(F.min(F.struct("cell", "first_id")).alias("f")).select(
-        "bucket", F.col("f.first_id").alias("first_id"))
+    bucket = _bucket(docs.select(id_col), id_col, buckets)
+    # at most buckets + 1 rows: the windows below run over that table only
+    firsts = docs.select(bucket.alias("bucket"), id_col).groupBy("bucket").agg(F.min(id_col).alias("first_id"))
     order = Window.orderBy("bucket")
     last = F.max("bucket").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select("first_id", F.coalesce(F.lag("bucket").over(order), last).alias("bucket"))
 
-    # both small sides have a proven bound: 16 * buckets and ``buckets`` rows
-    placed = docs.withColumn("_cell", cell).join(F.broadcast(
-        packed.select(F.col("cell").alias("_cell"), "bucket")), "_cell").drop("_cell")
+    placed = docs.withColumn("bucket", bucket)
     placed = derive(placed)
     # the halo: one row per bucket, the least by (id, carried columns)
     halo = derive(docs.join(F.broadcast(firsts), docs[id_col].eqNullSafe(firsts["first_id"])))

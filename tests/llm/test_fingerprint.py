@@ -84,3 +84,17 @@ def test_awkward_rows(awkward, no_docs):
     assert FP.fingerprint_edits(no_docs).count() == 0
     one = FP.fingerprint_edits(awkward.where("doc_id = 0")).collect()
     assert len(one) == 1 and one[0]["edited"] == one[0]["text"][:-(len(one[0]["text"]) // 4)] + one[0]["text"][:len(one[0]["text"]) // 4]
+
+
+@pytest.mark.parametrize("spread", [
+    "if(id = 0, 1000000000000, id)", "id % 3 * 1000000000000 + id", "id * id * id * id",
+    "if(id % 50 = 0, null, 9000000000000000000 + id)", "cast(id as string)"])
+def test_buckets_are_even_however_ids_are_spread(spark, spread):
+    ids = spark.range(20_000).select(F.expr(spread).alias("i"))
+    sizes = {r[0]: r[1] for r in ids.groupBy(FP._bucket(ids, "i", 20)).count().collect()}
+    assert max(sizes.values()) < 2 * 20_000 / 20 and len(sizes) >= 20
+    rows = ids.select("i", F.hash("i").alias("v"))
+    got = {r["i"]: r["next_v"] for r in FP.with_next(rows, "i", lambda d: d, ["v"], 20).where("i is not null").collect()}
+    ordered = sorted((r["i"], r["v"]) for r in rows.where("i is not null").collect())
+    ends = rows.orderBy(F.col("i").asc_nulls_first(), "v").first()
+    assert got == {a[0]: b for a, b in zip(ordered, [*[v for _, v in ordered[1:]], ends["v"]], strict=True)}
