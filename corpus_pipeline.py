@@ -6,7 +6,8 @@ written as Parquet below the shared folder and read again as the next one's
 
 1. language_id: a byte convolutional network learns from the labelled rows of
    what it is given; documents without a letter, or whose language it is not
-   sure of (score below ``MIN_SCORE``), go.
+   sure of (score below ``MIN_SCORE``), go.  Without any labelled row there is
+   no network and only documents without a letter go.
 2. near_duplicates: n-gram Jaccard join over five-word n-grams at 0.8; of each
    component the document with the smallest id stays.
 3. pii: personal data is replaced by surrogates; ``n_chars`` follows the text.
@@ -36,6 +37,8 @@ MIN_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = LID.train_on(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(LID.LETTER.pattern))
     name = free_name(docs, "found")
     found = LID.predicted(docs, model, F.col("text"), name)
     return found.where((F.col(name)["lang"] != LID.UNKNOWN) & (F.col(name)["score"] >= MIN_SCORE)).drop(name)

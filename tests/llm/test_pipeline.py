@@ -57,3 +57,12 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert C.encode(spark, docs, "").count() == docs.count()
     for _, stage in C.STAGES:
         assert stage(spark, no_docs, "").count() == 0
+
+
+def test_no_labels_keep_every_text_with_a_letter(spark, awkward):
+    from pyspark.sql import functions as F
+    docs = awkward.withColumn("lang", F.lit(None).cast("string"))
+    kept = C.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted(
+        r["text"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
