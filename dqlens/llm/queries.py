@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from dqlens.llm import byte_bpe as BPE
 from dqlens.llm import chat_format as CHAT
 from dqlens.llm import fingerprint as FP
+from dqlens.llm import hard_negatives as HN
 from dqlens.llm import jaccard_join as JJ
 from dqlens.llm import katz_lm as LM
 from dqlens.llm import language_id as LID
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm import quality_rules as QR
+from dqlens.llm import shard_ring as RING
 from dqlens.llm import source_mixing as MX
 from dqlens.llm import substring_dedup as SUB
+from dqlens.llm import vector_codes as VC
 from dqlens.llm.common import fold, read_table
 
 #: vocabulary file of the installed public tokenizers; a path, never a copy
@@ -95,10 +98,28 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return JJ.jaccard_components(read_table(spark, sf, "documents"))
 
 
+def op11_shard_ring(spark: SparkSession, sf: str) -> DataFrame:
+    dealt = RING.place(read_table(spark, sf, "documents"))
+    return dealt.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit(RING.LAW).alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return HN.hard_negatives(rows.withColumn("label", flipped))
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows, books = VC.compress(read_table(spark, sf, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                       F.lit(VC.books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_katz_lm, op4_pii_surrogates, op5_chat_format,
                             op6_mix_sources, op7_byte_bpe, op8_substring_dedup, op9_fingerprints,
-                            op10_jaccard_join)
+                            op10_jaccard_join, op11_shard_ring, op12_hard_negatives, op13_vector_codes)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -143,7 +164,82 @@ SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN budget
   AND (through <= budget OR doc_id IN (SELECT doc_id FROM extra)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run"""
 
 
+def _crc_step(value: int) -> int:
+    """One byte of the CRC-32 of zlib: eight steps of its reflected polynomial."""
+    for _ in range(8):
+        value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _ring_sql(shards: int = 24, replicas: int = 64) -> str:
+    """Operator 11: one step of the recursion is one wave round the ring."""
+    table = ", ".join(str(_crc_step(b)) for b in range(256))
+    spot = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+    rooms = ", ".join(f"CAST(rooms[{k + 1}] - SUM(CASE WHEN aim = {k} THEN take ELSE 0 END) OVER () AS BIGINT)" for k in range(shards))
+    start = ", ".join(f"total // {shards} + CASE WHEN {k} < total % {shards} THEN 1 ELSE 0 END" for k in range(shards))
+    return rf"""
+WITH RECURSIVE text AS (SELECT doc_id, encode(COALESCE(text, '')) AS b, {spot.format("COALESCE(CAST(doc_id AS VARCHAR), '')")} AS spot FROM documents),
+doc AS MATERIALIZED (SELECT doc_id, spot, CAST(octet_length(b) + 8 AS BIGINT) AS size,
+ CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+  lambda c, x: xor(c >> 8, [{table}][(xor(c, x) & 255) + 1]))) AS BIGINT) AS text_crc32 FROM text),
+ring AS MATERIALIZED (SELECT row_number() OVER (ORDER BY spot, shard) - 1 AS at, spot, shard
+ FROM (SELECT s AS shard, {spot.format("'shard ' || s || ', replica ' || r")} AS spot FROM range({shards}) a(s), range({replicas}) b(r))),
+run AS MATERIALIZED (SELECT doc.*, COALESCE(ring.at, {shards * replicas}) AS arc,
+ row_number() OVER (ORDER BY doc.spot, doc_id NULLS FIRST, text_crc32, size) - 1 AS g FROM doc ASOF LEFT JOIN ring ON doc.spot <= ring.spot),
+arcs AS (SELECT arc, MIN(g) AS first, COUNT(*) AS n FROM run GROUP BY arc),
+wave AS (SELECT 0 AS step, arc, first, n, CAST(0 AS BIGINT) AS took, CAST(NULL AS BIGINT) AS shard,
+  [{start}] AS rooms FROM arcs, (SELECT COUNT(*) AS total FROM doc)
+ UNION ALL
+ SELECT step + 1, arc, first + take, n - take, take, aim, [{rooms}]
+ FROM (SELECT *, CAST(greatest(0, least(n, rooms[aim + 1] - COALESCE(SUM(n) OVER (PARTITION BY aim ORDER BY arc
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS take
+  FROM (SELECT wave.*, ring.shard AS aim FROM wave JOIN ring ON ring.at = (wave.arc + wave.step) % {shards * replicas} WHERE n > 0))),
+piece AS (SELECT first - took AS start, shard, COALESCE(SUM(took) OVER (PARTITION BY shard ORDER BY first
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slot FROM wave WHERE took > 0)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(slot + g - start AS BIGINT) AS slot,
+ CAST(NULL AS INTEGER) AS grown_shard FROM run ASOF JOIN piece ON run.g >= piece.start"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Operator 13: a chain of common table expressions per round."""
+    def won(k: int) -> str:
+        return f"""
+won{k} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(entry, (gap, entry)) AS entry, MIN(gap) AS gap
+ FROM (SELECT c.*, entry, list_dot_product(x, x) - 2 * list_dot_product(x, b) + list_dot_product(b, b) AS gap
+  FROM cut c JOIN book{k} USING (part)) GROUP BY vec_id, label, part, x),"""
+
+    steps = "".join(won(k) + f"""
+book{k + 1} AS MATERIALIZED (SELECT part, entry, COALESCE(m.b, o.b) AS b FROM book{k} o LEFT JOIN
+ (SELECT part, entry, list(mean ORDER BY j) AS b FROM (SELECT part, entry, j, floor(SUM(x[j]) / COUNT(*)) AS mean
+  FROM won{k}, unnest(range(1, len(x) + 1)) AS r(j) GROUP BY part, entry, j) GROUP BY part, entry) m USING (part, entry)),"""
+                    for k in range(rounds))
+    return f"""
+WITH vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, part, v[len(v) // {parts} * part + 1:len(v) // {parts} * (part + 1)] AS x FROM vec, range({parts}) p(part)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS b FROM cut
+ WHERE vec_id IN (SELECT vec_id FROM vec ORDER BY vec_id LIMIT {entries})),{steps}{won(rounds)}
+rows AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(SUM(gap) AS BIGINT) AS error
+ FROM won{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(CAST(CAST(b[j] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j))
+  FROM book{rounds}, unnest(range(1, len(b) + 1)) AS r(j)) AS codebooks_sha256 FROM rows"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_shard_ring": _ring_sql(),
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+ FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+ id AS negative_id, positive_score, score AS negative_score FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+    "op13_vector_codes": _codes_sql(),
     "op6_mix_sources": _mix_sql(),
     "op5_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
