@@ -103,7 +103,9 @@ def fold_events(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
     """Fold status events into one row per dataset.
 
     For each field: the value carried by the latest event that set it (null
-    values mean "not set").  ``updated_at`` is the latest event time.  A
+    values mean "not set").  Of events with one time the one with the highest
+    number (``seq``, where events have it) is the latest; what ties even then is
+    decided by the value.  ``updated_at`` is the latest event time.  A
     removal (``deleted_at``) is an event too: fields set up to the latest
     removal are forgotten, so a dataset that is ingested again starts afresh.
     The fold of folded rows and newer events is the fold of all events, which
@@ -112,22 +114,26 @@ def fold_events(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
     """
     present = [f for f in fields if f in events.columns]
     ts = F.col("updated_at")
-    aggs = [F.max(F.when(F.col(f).isNotNull(), F.struct(ts.alias("at"), F.col(f).alias("v")))).alias(f)
+    numbered = ["seq"] if "seq" in events.columns else []
+    aggs = [F.max(F.when(F.col(f).isNotNull(), F.struct(ts.alias("at"), *numbered, F.col(f).alias("v")))).alias(f)
             for f in present]
     if "deleted_at" in events.columns:
-        aggs.append(F.max("deleted_at").alias("deleted_at"))
+        gone = F.struct(F.col("deleted_at").alias("at"), *numbered)
+        aggs.append(F.max(F.when(F.col("deleted_at").isNotNull(), gone)).alias("gone"))
+    aggs += [F.max(c).alias(c) for c in numbered]
     folded = events.groupBy("dataset_id", "user_id").agg(*aggs, F.max(ts).alias("updated_at"))
     if "deleted_at" not in events.columns:
-        return folded.select("dataset_id", "user_id", *[F.col(f)["v"].alias(f) for f in present], "updated_at")
-    alive = lambda f: F.col("deleted_at").isNull() | (F.col(f)["at"] > F.col("deleted_at"))
+        return folded.select("dataset_id", "user_id", *[F.col(f)["v"].alias(f) for f in present], "updated_at", *numbered)
+    when = lambda f: F.struct(F.col(f)["at"].alias("at"), *[F.col(f)[c].alias(c) for c in numbered])
+    alive = lambda f: F.col("gone").isNull() | (when(f) > F.col("gone"))
     return folded.select("dataset_id", "user_id", *[F.when(alive(f), F.col(f)["v"]).alias(f) for f in present],
-                         "updated_at", "deleted_at")
+                         "updated_at", F.col("gone")["at"].alias("deleted_at"), *numbered)
 
 
 def current_catalog(events: DataFrame, fields=CATALOG_FIELDS) -> DataFrame:
     """The current catalogue row of every dataset that is registered and not
     removed since."""
-    folded = fold_events(events, fields)
+    folded = fold_events(events, fields).drop("seq")
     if "deleted_at" not in folded.columns:
         return folded
     # a late status of a removed dataset does not bring it back: a registration does

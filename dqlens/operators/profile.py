@@ -12,15 +12,17 @@ typed values), each re-reading the input.  Here:
   number of distinct types, not with C.  ``groupBy(position, slots)`` then
   yields one row per distinct value with its frequency; partial aggregation
   collapses hot values map-side, so a value holding a third of all rows
-  crosses the shuffle once per map task.  Missing-ness is a function of the
-  value alone, so it is evaluated on the (small) distinct-value table.
+  crosses the shuffle once per map task.  Long texts travel as two hashes and
+  their length (``text_key``).  "Missing" and "wrongly typed" are flags of the
+  value, set where it is read.
 * ``missing_counts`` / ``row_count`` need no shuffle at all: one ``agg`` with a
   ``count_if`` per column (partial aggregation, one row per task).
 * ``bad_type_counts`` is one ``agg`` over the raw string scan, restricted to
   the columns whose wanted type differs from the raw type (a cast to string
   never fails), so string-only tables cost no job.  When the raw values are
-  the profiled frame itself, ``profile_columns`` counts them on the
-  distinct-value table of the same job instead (one scan in total).
+  the profiled frame itself, ``profile_columns`` counts them in the same job
+  instead; a CSV whose types are known is one scan of strings, converted
+  where they are read (``profile_strings``).
 * ``column_stats_many`` profiles frames of different schemas in one job by
   giving them one common long form.
 
@@ -34,6 +36,7 @@ import contextlib
 import datetime as _dt
 import io
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,9 +157,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return _unpivot_one_row(row, [(i, f.name, f"m{i}") for i, f in enumerate(fields)], "n_missing")
 
 
-def _wanted_fields(raw: DataFrame, wanted) -> list[tuple[int, str, T.DataType]]:
+def _wanted_fields(schema: T.StructType, wanted) -> list[tuple[int, str, T.DataType]]:
     if wanted is None:
-        return [(i, f.name, f.dataType) for i, f in enumerate(raw.schema.fields)]
+        return [(i, f.name, f.dataType) for i, f in enumerate(schema.fields)]
     if isinstance(wanted, T.StructType):
         return [(i, f.name, f.dataType) for i, f in enumerate(wanted.fields)]
     if isinstance(wanted, Mapping):
@@ -173,7 +176,7 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
     name -> type.  Output ``(position, column_name, n_bad)``, positions taken
     from ``wanted``; zero rows are dropped unless ``keep_zero``.
     """
-    wanted_list = _wanted_fields(raw, wanted)
+    wanted_list = _wanted_fields(raw.schema, wanted)
     raw_fields = raw.schema.fields
     if [n for _, n, _ in wanted_list] == [f.name for f in raw_fields]:
         # same columns in the same order (typed vs raw scan of one file):
@@ -210,13 +213,6 @@ def bad_type_counts(raw: DataFrame, wanted=None, keep_zero: bool = False) -> Dat
 # value-frequency long form: distinct + missing + rows in one shuffle
 # --------------------------------------------------------------------------
 
-def _distinct_form(c: Column, dtype: T.DataType) -> Column:
-    """A groupable stand-in for values Spark cannot group (maps)."""
-    if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(c))
-    return c
-
-
 def physical_plan(df: DataFrame) -> str:
     """The physical plan text, from ``explain`` (plans, runs nothing)."""
     buf = io.StringIO()
@@ -225,12 +221,31 @@ def physical_plan(df: DataFrame) -> str:
     return buf.getvalue()
 
 
-def _distinct_sql(name: str, dtype: T.DataType) -> str:
-    """SQL text of the groupable form of a column (maps -> sorted entries)."""
-    q = quote(name)
+# texts up to this many bytes are compared as they are
+LONGEST_TEXT_KEY = 48
+
+
+def text_key(value: str, first: str = "xxhash64({0})") -> str:
+    """SQL text of what stands for a string in the value shuffle.
+
+    Short strings stand for themselves.  A longer one is replaced by two
+    independent 64-bit hashes and its length in bytes, so that whole texts do
+    not travel: equal texts have equal keys, and two texts that differ share
+    a key only if both hashes and the length agree (2^-128 a pair).  Keys of
+    hashed texts begin with NUL, and so are strings hashed that begin with NUL:
+    a text is never taken for a key."""
+    hashed = ", ".join(f"lpad(hex({h.format(value)}), 16, '0')" for h in (first, "xxhash64(1, {0})"))
+    return (f"if(octet_length({value}) > {LONGEST_TEXT_KEY} OR startswith({value}, '\\u0000'), "
+            f"concat('\\u0000', {hashed}, hex(octet_length({value}))), {value})")
+
+
+def _slot_sql(value: str, dtype: T.DataType) -> str:
+    """SQL text of the groupable form of a value (maps: sorted entries)."""
     if isinstance(dtype, T.MapType):
-        return f"array_sort(map_entries({q}))"
-    return q
+        return f"array_sort(map_entries({value}))"
+    if dtype == T.StringType():            # without a collation of its own
+        return text_key(value)
+    return value
 
 
 def _groupable_type(dtype: T.DataType) -> T.DataType:
@@ -254,21 +269,36 @@ def _slot_layout(frames: list[DataFrame]) -> list[T.DataType]:
     return _slots_of([f for df in frames for f in df.schema.fields])
 
 
-def _expand(df: DataFrame, slot_types: list[T.DataType], keys: list[str] = ()) -> DataFrame:
-    """Each row -> one ``(*keys, position, s0..sk)`` record per other column.
+@dataclass(frozen=True)
+class Profiled:
+    """One column of a long form: SQL texts of its value and of the predicates
+    "missing" and "wrongly typed"."""
+    value: str
+    dtype: T.DataType
+    missing: str
+    bad: str | None = None
+
+
+FLAGS = "flags"      # of a value: 1 missing, 2 wrongly typed, 3 both
+
+
+def bad_sql(raw: str, wanted: T.DataType) -> str:
+    """SQL text of ``expressions.bad_value``."""
+    return f"(length(trim({raw})) > 0 AND try_cast({raw} AS {wanted.simpleString()}) IS NULL)"
+
+
+def _expand(src: DataFrame, columns: list[Profiled], slot_types: list[T.DataType],
+            keys: list[str] = ()) -> DataFrame:
+    """Each row -> one ``(*keys, position, flags, s0..sk)`` record per column.
 
     The expansion is one SQL expression (one call into the JVM however wide
     the table is).  A slot a column does not use holds ``if(false, x, null)``
-    with ``x`` a column of the slot's type -- a typed null the optimizer
-    folds to a literal; slot types absent from ``df`` get a typed null column.
-    Columns are renamed by position first (``toDF``), so repeated or odd
-    names never make a reference ambiguous; ``keys`` are the last columns.
-    Rows stay where the reader put them.
+    with ``x`` a value of the slot's type -- a typed null the optimizer
+    folds to a literal; slot types of no column get a typed null column.
+    Rows stay where the reader put them.  ``keys`` are columns of ``src``.
     """
-    fields = df.schema.fields[:len(df.columns) - len(keys)]
-    src = df.toDF(*[f"c{i}" for i in range(len(fields))], *[f"k{i}" for i in range(len(keys))])
-    exprs = [_distinct_sql(f"c{i}", f.dataType) for i, f in enumerate(fields)]
-    slot_of = [slot_types.index(_groupable_type(f.dataType)) for f in fields]
+    exprs = [_slot_sql(c.value, c.dtype) for c in columns]
+    slot_of = [slot_types.index(_groupable_type(c.dtype)) for c in columns]
     rep: dict[int, str] = {}
     for e, j in zip(exprs, slot_of):
         rep.setdefault(j, e)
@@ -277,57 +307,74 @@ def _expand(df: DataFrame, slot_types: list[T.DataType], keys: list[str] = ()) -
         src = src.withColumns({f"__dqlens_null{j}": F.lit(None).cast(slot_types[j]) for j in absent})
         rep.update({j: quote(f"__dqlens_null{j}") for j in absent})
     nulls = {j: f"if(false, {r}, null)" for j, r in rep.items()}
-    head = [f"'{k}', k{i}" for i, k in enumerate(keys)]
+    head = [f"'{k}', {quote(k)}" for k in keys]
     structs = []
-    for i, e in enumerate(exprs):
-        members = head + [f"'{POSITION}', {i}"]
+    for i, (c, e) in enumerate(zip(columns, exprs)):
+        flags = f"if({c.missing}, 1, 0)" + (f" + if({c.bad}, 2, 0)" if c.bad else "")
+        members = head + [f"'{POSITION}', {i}", f"'{FLAGS}', cast({flags} AS tinyint)"]
         members += [f"'s{j}', {e if slot_of[i] == j else nulls[j]}" for j in range(len(slot_types))]
         structs.append("named_struct(" + ", ".join(members) + ")")
     return src.select(F.expr("inline(array(" + ", ".join(structs) + "))"))
 
 
-def value_counts(df: DataFrame) -> tuple[DataFrame, list[T.DataType]]:
+def _own_columns(fields: list[T.StructField], checks: Mapping[int, T.DataType] = {}) -> list[Profiled]:
+    """The columns ``c0..`` of a positional frame as they are; ``checks``:
+    position -> type to check the values against."""
+    return [Profiled(f"c{i}", f.dataType, missing_sql(f"c{i}", f.dataType),
+                     bad_sql(f"c{i}", checks[i]) if i in checks else None) for i, f in enumerate(fields)]
+
+
+def _converted(raw: DataFrame, schema: T.StructType, wanted: list[T.DataType], n: int) -> tuple[DataFrame, list[Profiled]]:
+    """Columns ``c0..`` of strings read as the types of ``schema`` and checked
+    against ``wanted``: every value is converted once, where it is read."""
+    typed = [(i, f.dataType) for i, f in enumerate(schema.fields) if not isinstance(f.dataType, T.StringType)]
+    src = raw.select("*", *[F.expr(f"try_cast(c{i} AS {t.simpleString()}) AS v{i}") for i, t in typed])
+    columns = []
+    for i, (f, want) in enumerate(zip(schema.fields, wanted)):
+        value = f"c{i}" if isinstance(f.dataType, T.StringType) else f"v{i}"
+        if isinstance(want, T.StringType):
+            bad = None
+        elif want == f.dataType:
+            bad = f"(length(trim(c{i})) > 0 AND v{i} IS NULL)"
+        else:
+            bad = bad_sql(f"c{i}", want)
+        columns.append(Profiled(value, f.dataType, missing_sql(value, f.dataType), bad))
+    return src, columns
+
+
+def _counted(long: DataFrame, slot_types: list[T.DataType], keys: list[str] = ()) -> DataFrame:
+    slots = [f"s{j}" for j in range(len(slot_types))]
+    return long.groupBy(*keys, POSITION, FLAGS, *slots).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def value_counts(df: DataFrame, checks: Mapping[int, T.DataType] | None = None) -> tuple[DataFrame, list[T.DataType]]:
     """Per column, every distinct value (null included) with its frequency.
 
     Returns ``(frame, slot_types)``; the frame has columns
-    ``position, s0..s{k-1}, cnt`` where slot ``s{j}`` holds the values of
-    columns whose (groupable) type is ``slot_types[j]``.
+    ``position, flags, s0..s{k-1}, cnt`` where slot ``s{j}`` holds the values
+    (long texts: their keys) of columns whose (groupable) type is
+    ``slot_types[j]``.
     """
     slot_types = _slot_layout([df])
-    slots = [f"s{j}" for j in range(len(slot_types))]
-    counted = (_expand(df, slot_types).groupBy(POSITION, *slots)
-               .agg(F.count(F.lit(1)).alias("cnt")))
-    return counted, slot_types
+    long = _expand(positional(df), _own_columns(df.schema.fields, checks or {}), slot_types)
+    return _counted(long, slot_types), slot_types
 
 
-def _missing_in_slots(slot_types: list[T.DataType]) -> str:
-    """SQL text: the value of a (position, slots) row is missing.
-
-    All slots null means the value is null; a string slot (only string
-    columns use one) follows the string rule.
-    """
-    parts = ["(" + " AND ".join(f"s{j} IS NULL" for j in range(len(slot_types))) + ")"]
-    parts += [f"(s{j} IS NOT NULL AND {missing_sql(f's{j}', t)})"
-              for j, t in enumerate(slot_types) if isinstance(t, T.StringType)]
-    return " OR ".join(parts)
+def _merged(counted: DataFrame, keys: list[str], slot_types: list[T.DataType]) -> DataFrame:
+    """Per (keys, position): distinct values, rows, missing and wrongly typed
+    ones.  Null is one value, also where some nulls are text that does not convert."""
+    null = "(" + " AND ".join(f"s{j} IS NULL" for j in range(len(slot_types))) + ")"
+    return counted.groupBy(*keys, POSITION).agg(
+        F.expr(f"count_if(NOT {null}) + max(if({null}, 1, 0)) AS n_distinct"),
+        F.expr("sum(cnt) AS n_rows"),
+        F.expr(f"sum(if({FLAGS} & 1 > 0, cnt, 0)) AS n_miss"),
+        F.expr(f"sum(if({FLAGS} & 2 > 0, cnt, 0)) AS n_bad"))
 
 
 def _meta_frame(df: DataFrame) -> DataFrame:
     return literal_frame(df.sparkSession, schema_rows(df), SCHEMA_REPORT_SCHEMA)
 
 
-def _bad_in_slots(df: DataFrame, slot_types: list[T.DataType],
-                  checks: Mapping[int, T.DataType]) -> Column:
-    """Frequency of the row if its value is badly typed for the wanted type of
-    its position, else 0 (the value sits in its type's slot)."""
-    fields = df.schema.fields
-    out = F.lit(0)
-    for pos, t in checks.items():
-        slot = F.col(f"s{slot_types.index(_groupable_type(fields[pos].dataType))}")
-        out = F.when((F.col(POSITION) == pos) & bad_value(slot, t), F.col("cnt")).otherwise(out)
-    return out
-
-
 def column_stats(df: DataFrame, exact: bool = True,
                  bad_checks: Mapping[int, T.DataType] | None = None) -> DataFrame:
     """``(position, column_name, dtype, row_count, n_missing, n_distinct)``.
@@ -350,28 +397,12 @@ def column_stats(df: DataFrame, exact: bool = True,
     meta = _meta_frame(df)
     extra = []
     if exact:
-        counted, slot_types = value_counts(df)
-        aggs = [
-            F.expr("count(1) AS n_distinct"),
-            F.expr("sum(cnt) AS n_rows"),
-            F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"),
-        ]
+        counted, slot_types = value_counts(df, bad_checks)
+        per_col = _merged(counted, [], slot_types)
         if bad_checks:
-            aggs.append(F.sum(_bad_in_slots(df, slot_types, bad_checks)).alias("n_bad_fused"))
-            extra = [F.coalesce(F.col("n_bad_fused"), F.lit(0)).cast("bigint").alias("n_bad")]
-        per_col = counted.groupBy(POSITION).agg(*aggs)
+            extra = [F.coalesce(F.col("n_bad"), F.lit(0)).cast("bigint").alias("n_bad")]
     else:
-        pdf = positional(df)
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        items = []
-        for i, f in enumerate(fields):
-            c = _distinct_form(F.col(f"c{i}"), f.dataType)
-            aggs.append(F.expr(f"count_if({missing_sql(f'c{i}', f.dataType)}) AS m{i}"))
-            aggs.append((F.approx_count_distinct(c)
-                         + F.max(F.when(c.isNull(), 1).otherwise(0))).alias(f"d{i}"))
-            items.append(F.struct(F.lit(i).alias(POSITION), F.col(f"d{i}").cast("bigint").alias("n_distinct"),
-                                  F.col("rows").alias("n_rows"), F.col(f"m{i}").cast("bigint").alias("n_miss")))
-        per_col = pdf.agg(*aggs).select(F.inline(F.array(*items)))
+        per_col = _estimates(positional(df), _own_columns(fields), [])
     # both sides hold at most C rows (one per column): broadcasting is bounded
     # by the schema width, never by the data.
     joined = meta.join(F.broadcast(per_col), POSITION, "left")
@@ -385,35 +416,67 @@ def column_stats(df: DataFrame, exact: bool = True,
 
 
 def keyed_stats(df: DataFrame, key: str) -> DataFrame:
-    """``(key, position, n_rows, n_miss, n_distinct)`` of the columns of many
-    datasets of one schema that share a frame; ``key`` is its last column.
+    """``(key, position, n_distinct, n_rows, n_miss, n_bad)`` of the columns of
+    many datasets of one schema that share a frame; ``key`` is its last column.
     Datasets without rows have no result rows."""
     fields = df.schema.fields[:-1]
     slot_types = _slots_of(fields)
-    slots = [f"s{j}" for j in range(len(slot_types))]
-    counted = _expand(df, slot_types, [key]).groupBy(key, POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
-    return _merged(counted, [key], slot_types)
+    src = df.toDF(*[f"c{i}" for i in range(len(fields))], key)
+    return _merged(_counted(_expand(src, _own_columns(fields), slot_types, [key]), slot_types, [key]), [key], slot_types)
+
+
+def string_stats(raw: DataFrame, schema: T.StructType, wanted: list[T.DataType], key: str | None = None,
+                 exact: bool = True) -> DataFrame:
+    """``([key,] position, n_distinct, n_rows, n_miss, n_bad)`` of a scan of
+    strings read as ``schema`` and checked against ``wanted``: one scan and one
+    value shuffle for all of it (none with ``exact=False``).  ``key`` is the last
+    column, if given; datasets without rows have no result rows."""
+    n = len(schema.fields)
+    keys = [key] if key else []
+    src, columns = _converted(raw.toDF(*[f"c{i}" for i in range(n)], *keys), schema, wanted, n)
+    if not exact:
+        return _estimates(src, columns, keys)
+    slot_types = _slots_of(schema.fields)
+    return _merged(_counted(_expand(src, columns, slot_types, keys), slot_types, keys), keys, slot_types)
+
+
+def profile_strings(raw: DataFrame, schema: T.StructType, wanted=None, exact: bool = True) -> DataFrame:
+    """``profile_columns`` of a raw scan whose types are known, in one scan.
+
+    A value is converted by ``try_cast`` where the CSV reader would parse it.  On
+    a schema inferred from the same file the two agree.  On a declared one they
+    may not: a cast forgives spaces around numbers and reads more spellings of
+    booleans, dates and timestamps, so such values count as present where the
+    reader would have made them null."""
+    fields = schema.fields
+    meta = literal_frame(raw.sparkSession, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+                         SCHEMA_REPORT_SCHEMA)
+    if not fields:
+        return profile_columns(raw)
+    types = [f.dataType for f in fields] if wanted is None else _aligned_wanted(schema, wanted)
+    out = meta.join(F.broadcast(string_stats(raw, schema, types, exact=exact)), POSITION, "left")     # C rows
+    return out.select(POSITION, NAME, "dtype", *_counts(), (F.coalesce("n_distinct", F.lit(0)) <= 1).alias("is_constant"),
+                      F.coalesce("n_bad", F.lit(0)).cast("bigint").alias("n_bad"))
+
+
+def _estimates(src: DataFrame, columns: list[Profiled], keys: list[str]) -> DataFrame:
+    """What ``_merged`` gives, with estimated distinct counts and no value shuffle."""
+    aggs = [F.expr("count(1) AS n_rows")]
+    structs = []
+    for i, c in enumerate(columns):
+        value = f"array_sort(map_entries({c.value}))" if isinstance(c.dtype, T.MapType) else c.value
+        aggs += [F.expr(f"count_if({c.missing}) AS m{i}"), F.expr(f"count_if({c.bad or 'false'}) AS b{i}"),
+                 F.expr(f"approx_count_distinct({value}) + coalesce(max(if({c.value} IS NULL, 1, 0)), 0) AS d{i}")]
+        structs.append(f"named_struct('{POSITION}', {i}, 'n_distinct', CAST(d{i} AS BIGINT), 'n_rows', n_rows, "
+                       f"'n_miss', CAST(m{i} AS BIGINT), 'n_bad', CAST(b{i} AS BIGINT))")
+    row = src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
+    return row.selectExpr(*[quote(k) for k in keys], f"inline(array({', '.join(structs)}))")
 
 
 def keyed_estimates(df: DataFrame, key: str) -> DataFrame:
     """``keyed_stats`` with estimated distinct counts and no value shuffle."""
     fields = df.schema.fields[:-1]
-    src = df.toDF(*[f"c{i}" for i in range(len(fields))], key)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, f in enumerate(fields):
-        c = _distinct_form(F.col(f"c{i}"), f.dataType)
-        aggs += [F.expr(f"count_if({missing_sql(f'c{i}', f.dataType)}) AS m{i}"),
-                 (F.approx_count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))).alias(f"d{i}")]
-    structs = ", ".join(f"named_struct('{POSITION}', {i}, 'n_distinct', CAST(d{i} AS BIGINT), 'n_rows', n_rows, "
-                        f"'n_miss', CAST(m{i} AS BIGINT))" for i in range(len(fields)))
-    return src.groupBy(key).agg(*aggs).selectExpr(key, f"inline(array({structs}))")
-
-
-def _merged(counted: DataFrame, keys: list[str], slot_types: list[T.DataType]) -> DataFrame:
-    return counted.groupBy(*keys, POSITION).agg(
-        F.expr("count(1) AS n_distinct"),
-        F.expr("sum(cnt) AS n_rows"),
-        F.expr(f"sum(CASE WHEN {_missing_in_slots(slot_types)} THEN cnt ELSE 0 END) AS n_miss"))
+    return _estimates(df.toDF(*[f"c{i}" for i in range(len(fields))], key), _own_columns(fields), [key])
 
 
 MANY_SCHEMA = T.StructType([
@@ -443,13 +506,12 @@ def column_stats_many(frames: Mapping[str, DataFrame]) -> DataFrame:
     per_col = spark.createDataFrame([], f"dataset string, {POSITION} int, n_distinct bigint, n_rows bigint, n_miss bigint")
     if with_cols:
         slot_types = _slot_layout(list(with_cols.values()))
-        slots = [f"s{j}" for j in range(len(slot_types))]
         long = None
         for name, df in with_cols.items():
-            part = _expand(positional(df).withColumn("dataset", F.lit(name)), slot_types, ["dataset"])
+            part = _expand(positional(df).withColumn("dataset", F.lit(name)), _own_columns(df.schema.fields),
+                           slot_types, ["dataset"])
             long = part if long is None else long.unionByName(part)
-        counted = long.groupBy("dataset", POSITION, *slots).agg(F.count(F.lit(1)).alias("cnt"))
-        per_col = _merged(counted, ["dataset"], slot_types)
+        per_col = _merged(_counted(long, slot_types, ["dataset"]), ["dataset"], slot_types)
     joined = meta.join(per_col, ["dataset", POSITION], "left")
     return joined.select("dataset", POSITION, NAME, "dtype", *_counts())
 
@@ -474,12 +536,12 @@ def _atomic(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
 
 
-def _aligned_wanted(typed: DataFrame, wanted) -> list[T.DataType]:
-    """Wanted type per position of ``typed`` (its own type where unspecified)."""
-    fields = typed.schema.fields
+def _aligned_wanted(schema: T.StructType, wanted) -> list[T.DataType]:
+    """Wanted type per position of ``schema`` (its own type where unspecified)."""
+    fields = schema.fields
     if wanted is None:
         return [f.dataType for f in fields]
-    listed = _wanted_fields(typed, wanted)
+    listed = _wanted_fields(schema, wanted)
     if [n for _, n, _ in listed] == [f.name for f in fields]:
         return [t for _, _, t in listed]
     by_name = {n: t for _, n, t in listed}
@@ -500,7 +562,7 @@ def profile_columns(typed: DataFrame, raw: DataFrame | None = None, wanted=None,
     values); only other checks need the separate one-pass aggregate.
     """
     fields = typed.schema.fields
-    wanted_types = _aligned_wanted(typed, wanted)
+    wanted_types = _aligned_wanted(typed.schema, wanted)
     fused: dict[int, T.DataType] = {}
     if (raw is None or raw is typed) and exact:
         for i, (f, t) in enumerate(zip(fields, wanted_types)):

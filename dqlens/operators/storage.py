@@ -6,6 +6,7 @@ Layout below one base folder (any Hadoop path: HDFS, object store, local):
     <base>/reports/user_id=<u>/dataset_id=<d>/part-*.parquet   one report row
     <base>/columns/user_id=<u>/dataset_id=<d>/part-*.parquet   long-form profile
     <base>/catalog_events/user_id=<u>/part-*.parquet           status events
+    <base>/claims/<hh>/<hash of the id>                        owner of an id
 
 Folder names are escaped with Spark's own rules, so any id is one path
 component.  Writes of one dataset replace its folder, so re-running a job for
@@ -16,7 +17,12 @@ folder directly: no listing of the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import threading
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +40,7 @@ CATALOG_EVENT_SCHEMA = T.StructType([
     T.StructField("error_message", T.StringType(), True),
     T.StructField("created_at", T.TimestampNTZType(), True),
     T.StructField("deleted_at", T.TimestampNTZType(), True),
+    T.StructField("seq", T.LongType(), True),
     T.StructField("user_id", T.StringType(), False),
 ])
 
@@ -104,36 +111,140 @@ def read_partitions(spark: SparkSession, base: str, user_id, dataset_ids,
 # landing: the raw lines
 # --------------------------------------------------------------------------
 
-def land_raw(spark: SparkSession, path: str, base: str, user_id, dataset_id) -> str:
-    """K1: keep every line of the upload (a file or a folder of part files)
-    as it is, under the dataset's folder, with its file and place.
+def stage_raw(spark: SparkSession, path: str, staging: str) -> dict:
+    """K1, first half: write every line of an upload (a file or a folder of part
+    files) with its file and place below ``staging``, and count while writing.
 
     A line is what stands before a ``\\n``; carriage returns, quotes, blank
     lines and fields too many stay in it.  ``file_size`` tells whether the last
     line had its ``\\n``.  Nothing of the content becomes a column, so no
-    header can clash with a column of the store."""
+    header can clash with a column of the store.  Returns ``n_lines``, ``n_files``
+    (files with a line) and ``n_rows`` (lines without one header per file),
+    observed on the way: the gate needs no read of its own."""
     meta = F.col("_metadata")
     lines = spark.read.option("lineSep", "\n").text(path).select(
         meta["file_path"].alias("file"), meta["file_size"].alias("file_size"),
         meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"))
+    seen = Observation()
+    # the files of one upload: as many names as the reader has listed anyway
+    lines.observe(seen, F.count(F.lit(1)).alias("n_lines"), F.size(F.collect_set("file")).alias("n_files")) \
+        .write.mode("overwrite").parquet(staging)
+    counts = {k: seen.get[k] or 0 for k in ("n_lines", "n_files")}
+    return counts | {"n_rows": counts["n_lines"] - counts["n_files"]}
+
+
+def commit_landing(spark: SparkSession, staging: str, base: str, user_id, dataset_id) -> str:
+    """K1, second half: the staged lines replace the dataset's folder (a rename)."""
     target = partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id)
-    lines.write.mode("overwrite").parquet(target)
+    new, fs = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    fs.delete(new, True)
+    if not fs.rename(_fs(spark, staging)[0], new):
+        raise OSError(f"{staging} could not be moved to {target}")
     return target
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.delete(p, True))
+
+
+def land_raw(spark: SparkSession, path: str, base: str, user_id, dataset_id) -> str:
+    """K1: keep every line of the upload as it is, under the dataset's folder."""
+    staging = f"{base.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+    try:
+        stage_raw(spark, path, staging)
+        return commit_landing(spark, staging, base, user_id, dataset_id)
+    finally:
+        remove(spark, staging)
+
+
 def read_landed(spark: SparkSession, base: str, user_id, dataset_id) -> DataFrame:
     """The landed lines of a dataset (``file, file_size, block, seq, line``);
     sorted by the first, third and fourth column they are the files again."""
     return spark.read.schema(LANDED_SCHEMA).parquet(partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id))
 
 
+# --------------------------------------------------------------------------
+# claims: an id belongs to one owner
+# --------------------------------------------------------------------------
+
+_CLAIM_LOCK = threading.Lock()
+
+
+def _claim_path(spark: SparkSession, base: str, dataset_id: str) -> str:
+    digest = hashlib.sha256(dataset_id.encode("utf-8", "surrogatepass")).hexdigest()
+    return f"{base.rstrip('/')}/{digest[:2]}/{digest}"
+
+
+def claim_owner(spark: SparkSession, base: str, dataset_id: str) -> str | None:
+    """Who holds an id, if anyone."""
+    p, fs = _fs(spark, _claim_path(spark, base, dataset_id))
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def claim(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> tuple[str, bool]:
+    """Insert-if-absent of an id: (its owner, whether this call made the claim).
+
+    The claim is a file named by the id.  It is written aside and renamed into
+    place, which the file system does for one caller only (HDFS refuses to
+    rename onto a file); callers of one driver, whose local file system would
+    overwrite, take turns.  So of several owners exactly one wins and the others
+    read the winner's name, whenever they look."""
+    path = _claim_path(spark, base, dataset_id)
+    final, fs = _fs(spark, path)
+    with _CLAIM_LOCK:
+        if (owner := claim_owner(spark, base, dataset_id)) is not None:
+            return owner, False
+        aside, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+        fs.mkdirs(final.getParent())
+        stream = fs.create(aside, False)
+        try:
+            stream.write(bytearray(user_id.encode("utf-8", "surrogatepass")))
+        finally:
+            stream.close()
+        if not fs.exists(final) and fs.rename(aside, final):
+            return user_id, True
+        fs.delete(aside, False)
+    return claim_owner(spark, base, dataset_id) or user_id, False
+
+
+def release(spark: SparkSession, base: str, dataset_id: str, user_id: str) -> bool:
+    """Give an id back, if this owner holds it."""
+    if claim_owner(spark, base, dataset_id) != user_id:
+        return False
+    p, fs = _fs(spark, _claim_path(spark, base, dataset_id))
+    return bool(fs.delete(p, False))
+
+
 # --------------------------------------------------------------------------
 # catalogue events
 # --------------------------------------------------------------------------
 
+_CLOCK = {"last": 0}
+_CLOCK_LOCK = threading.Lock()
+
+
+def next_seq() -> int:
+    """A number above all that this process gave out, close to the time in
+    microseconds: events of one writer are ordered even where their times tie
+    or the clock is set back."""
+    with _CLOCK_LOCK:
+        _CLOCK["last"] = max(_CLOCK["last"] + 1, time.time_ns() // 1000)
+        return _CLOCK["last"]
+
+
 def append_events(spark: SparkSession, base: str, rows: list[dict]) -> None:
-    """K2/K3: append status events (driver-made rows, one or two per upload)."""
+    """K2/K3: append status events (driver-made rows, a few per upload), numbered
+    in the order given."""
+    rows = [{"seq": next_seq()} | r for r in rows]
     if rows:
         ordered = [tuple(r.get(f.name) for f in CATALOG_EVENT_SCHEMA.fields) for r in rows]
         append_event_frame(spark.createDataFrame(ordered, CATALOG_EVENT_SCHEMA).coalesce(1), base)

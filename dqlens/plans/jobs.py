@@ -8,6 +8,7 @@ uploads it was given, their schemas and their verdicts.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -29,6 +30,15 @@ class DatasetNotFound(LookupError):
     """The owner has no such dataset."""
 
 
+class DatasetTaken(ValueError):
+    """An id is given twice in a batch, or another owner holds it; ``reasons``
+    maps id to reason."""
+
+    def __init__(self, reasons: dict[str, str]):
+        super().__init__("; ".join(f"{k}: {v}" for k, v in reasons.items()))
+        self.reasons = reasons
+
+
 class UploadRejected(ValueError):
     """The gate turned every upload down; ``reasons`` maps id to reason."""
 
@@ -58,6 +68,14 @@ class Layout:
     def events(self) -> str:
         return f"{self.base}/catalog_events"
 
+    @property
+    def claims(self) -> str:
+        return f"{self.base}/claims"
+
+    @property
+    def staging(self) -> str:
+        return f"{self.base}/staging"
+
 
 def _layout(base: str) -> Layout:
     return Layout(base.rstrip("/"))
@@ -91,9 +109,32 @@ def registration_event(dataset_id: str, user_id: str, filename: str,
                           created_at=at)
 
 
+def _claimed(spark: SparkSession, layout: Layout, ids: list[str], user_id: str) -> list[str]:
+    """Take the ids for the owner; the ones that were free.  An id given twice,
+    or held by another owner, is ``DatasetTaken``, and nothing stays claimed."""
+    twice = {d: "given twice" for d in ids if ids.count(d) > 1} if len(set(ids)) < len(ids) else {}
+    if twice:
+        raise DatasetTaken(twice)
+    new, taken = [], {}
+    for d in ids:
+        owner, made = ST.claim(spark, layout.claims, d, user_id)
+        if owner != user_id:
+            taken[d] = "another owner has a dataset of this id"
+        elif made:
+            new.append(d)
+    if taken:
+        for d in new:
+            ST.release(spark, layout.claims, d, user_id)
+        raise DatasetTaken(taken)
+    return new
+
+
 def register_dataset(spark: SparkSession, layout: Layout, dataset_id: str, user_id: str,
                      filename: str, custom_name: str | None = None) -> None:
-    """K2: register one dataset without processing it."""
+    """K2: register one dataset without processing it.  The id is claimed: it
+    is unique over all owners (``DatasetTaken`` otherwise)."""
+    dataset_id, user_id = ST.checked_id(dataset_id), ST.checked_id(user_id)
+    _claimed(spark, layout, [dataset_id], user_id)
     ST.append_events(spark, layout.events,
                      [registration_event(dataset_id, user_id, filename, custom_name, _now())])
 
@@ -101,11 +142,16 @@ def register_dataset(spark: SparkSession, layout: Layout, dataset_id: str, user_
 def profile_csv(spark: SparkSession, path: str, exact: bool = True, **csv_options) -> DataFrame:
     """A8 on a CSV file or folder: long-form profile (one row per column).
 
-    The typed scan (schema inferred by a full pass) drives row, missing and
-    distinct counts; the raw strings are checked against the inferred types.
+    After the pass that infers the schema one scan of strings gives all of it.
+    Options that change how the reader parses values need its own typed scan
+    beside the raw one.
     """
-    typed = S.read_typed(spark, path, **csv_options)
-    return P.profile_columns(typed, S.read_raw(spark, path, **csv_options), typed.schema, exact=exact)
+    schema = S.read_typed(spark, path, **csv_options).schema
+    raw = S.read_raw(spark, path, **csv_options)
+    if S.default_parsing(csv_options):
+        return P.profile_strings(raw, schema, exact=exact)
+    typed = S.read_typed(spark, path, schema=schema, **csv_options)
+    return P.profile_columns(typed, raw, schema, exact=exact)
 
 
 # --------------------------------------------------------------------------
@@ -180,6 +226,7 @@ def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: st
             fs_error = str(exc)
     now = _now()
     ST.append_events(spark, layout.events, [C.status_event(dataset_id, user_id, None, now, deleted_at=now)])
+    ST.release(spark, layout.claims, dataset_id, user_id)
     return {"dataset_id": dataset_id, "archived": True, "fs_error": fs_error}
 
 
@@ -191,17 +238,27 @@ def _file_name(item: dict) -> str:
     return item.get("filename") or item["path"].rstrip("/").split("/")[-1]
 
 
-def gate_upload(spark: SparkSession, item: dict, max_rows: int | None = None) -> str | None:
-    """Why an upload is turned down, or None: neither a CSV name nor a CSV MIME
-    type (a folder of part files without a given name has none to check), or
-    more than ``max_rows`` physical lines after the headers."""
+def wrong_kind(spark: SparkSession, item: dict) -> str | None:
+    """Turned down if neither the name nor the MIME type is one of a CSV file (a
+    folder of part files without a given name has none to check)."""
     named = item.get("filename") or item.get("mime") or not ST.is_folder(spark, item["path"])
     if named and not _file_name(item).lower().endswith(K.CSV_SUFFIX) and item.get("mime") not in K.ALLOWED_MIME:
         return "not a CSV file"
+    return None
+
+
+def too_long(n_rows: int, max_rows: int | None) -> str | None:
+    """Turned down if there are more than ``max_rows`` physical lines after the headers."""
+    return f"more than {max_rows} rows ({n_rows})" if max_rows is not None and n_rows > max_rows else None
+
+
+def gate_upload(spark: SparkSession, item: dict, max_rows: int | None = None) -> str | None:
+    """Why an upload is turned down, or None.  (An ingest counts while it lands;
+    this is the gate alone, with a read of its own.)"""
+    if why := wrong_kind(spark, item):
+        return why
     if max_rows is not None and ST.exists(spark, item["path"]):
-        gate = S.row_limit_gate(spark, item["path"], max_rows).first()
-        if not gate["accepted"]:
-            return f"more than {max_rows} rows ({gate['n_rows']})"
+        return too_long(S.row_limit_gate(spark, item["path"], max_rows).first()["n_rows"], max_rows)
     return None
 
 
@@ -241,11 +298,13 @@ def _in_parallel(spark: SparkSession, fn, items: list, parallel: int) -> list:
 def _keyed_scan(spark: SparkSession, roots: dict[str, str], folders: bool, schema: T.StructType,
                 csv_options: dict) -> DataFrame:
     """One CSV scan of many uploads of one schema -- all of them files, or all
-    folders of part files -- with the dataset id as last column."""
+    folders of part files -- with the dataset id as last column.  A path that
+    several uploads share is read once, and each of them gets its rows."""
     reader = spark.read.option("header", True).schema(schema)
     for k, v in csv_options.items():
         reader = reader.option(k, v)
-    frame = reader.csv(list(roots.values()))
+    places = {d: ST.qualified(spark, p) for d, p in roots.items()}
+    frame = reader.csv(list(dict.fromkeys(places.values())))
     names = [f"c{i}" for i in range(len(schema.fields))]
     if len(roots) == 1:
         return frame.toDF(*names).withColumn("_id", F.lit(next(iter(roots))))
@@ -254,7 +313,7 @@ def _keyed_scan(spark: SparkSession, roots: dict[str, str], folders: bool, schem
     frame = frame.select("*", plain(F.col("_metadata.file_path")).alias("_root")).toDF(*names, "_root")
     if folders:
         frame = frame.withColumn("_root", F.expr("substring_index(_root, '/', size(split(_root, '/')) - 1)"))
-    owner = spark.createDataFrame([(ST.qualified(spark, p), d) for d, p in roots.items()], "_root string, _id string")
+    owner = spark.createDataFrame([(p, d) for d, p in places.items()], "_root string, _id string")
     owner = owner.withColumn("_root", plain(F.col("_root")))
     unknown = F.raise_error(F.concat(F.lit("file of no upload: "), F.col("_root"))).cast("string")
     return frame.join(owner, "_root", "left").select(*names, F.coalesce("_id", unknown).alias("_id"))
@@ -274,6 +333,20 @@ def _bad_counts(raw: DataFrame, wanted: list[T.DataType]) -> DataFrame | None:
     return row.selectExpr("_id", f"inline(array({structs}))")
 
 
+def _group_stats(spark: SparkSession, roots: dict[str, str], folders: bool, schema: T.StructType,
+                 wanted: list[T.DataType], exact: bool, csv_options: dict) -> DataFrame:
+    """``(_id, position, n_distinct, n_rows, n_miss, n_bad)`` of uploads of one schema."""
+    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = _keyed_scan(spark, roots, folders, strings, csv_options)
+    if S.default_parsing(csv_options):
+        return P.string_stats(raw, schema, wanted, "_id", exact)
+    # the reader's own parsing: a typed scan beside the raw one
+    typed = _keyed_scan(spark, roots, folders, schema, csv_options)
+    stats = (P.keyed_stats if exact else P.keyed_estimates)(typed, "_id").drop("n_bad")
+    bad = _bad_counts(raw, wanted)
+    return stats.withColumn("n_bad", F.lit(0)) if bad is None else stats.join(bad, ["_id", P.POSITION], "left")
+
+
 def _profiles(spark: SparkSession, uploads: dict[str, dict], exact: bool, csv_options: dict) -> DataFrame:
     """Long-form profiles of a batch (``dataset_id`` column).  Uploads of one
     schema are one scan with the dataset as key, so the plan grows with the
@@ -285,27 +358,16 @@ def _profiles(spark: SparkSession, uploads: dict[str, dict], exact: bool, csv_op
     meta = spark.createDataFrame([(d, i, f.name, f.dataType.simpleString()) for d, u in uploads.items()
                                   for i, f in enumerate(u["schema"].fields)],
                                  f"_id string, {P.POSITION} int, {P.NAME} string, dtype string")
-    stats = bad = None
+    stats = None
     for (folders, *_), ids in groups.items():
-        schema, wanted = uploads[ids[0]]["schema"], uploads[ids[0]]["wanted"]
-        roots = {d: uploads[d]["path"] for d in ids}
-        typed = _keyed_scan(spark, roots, folders, schema, csv_options)
-        if exact:
-            part = P.keyed_stats(typed, "_id")
-        else:       # estimates need no value shuffle: one aggregate per dataset
-            part = P.keyed_estimates(typed, "_id")
+        first = uploads[ids[0]]
+        part = _group_stats(spark, {d: uploads[d]["path"] for d in ids}, folders, first["schema"], first["wanted"],
+                            exact, csv_options)
         stats = part if stats is None else stats.unionByName(part)
-        strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        checked = _bad_counts(_keyed_scan(spark, roots, folders, strings, csv_options), wanted)
-        if checked is not None:
-            bad = checked if bad is None else bad.unionByName(checked)
     if stats is None:
-        stats = spark.createDataFrame([], f"_id string, {P.POSITION} int, n_distinct bigint, n_rows bigint, n_miss bigint")
+        stats = spark.createDataFrame(
+            [], f"_id string, {P.POSITION} int, n_distinct bigint, n_rows bigint, n_miss bigint, n_bad bigint")
     out = meta.join(stats, ["_id", P.POSITION], "left")
-    if bad is None:
-        out = out.withColumn("n_bad", F.lit(0))
-    else:
-        out = out.join(bad, ["_id", P.POSITION], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return out.select(P.POSITION, P.NAME, "dtype", count("n_rows").alias("row_count"),
                       count("n_miss").alias("n_missing"), count("n_distinct").alias("n_distinct"),
@@ -329,6 +391,27 @@ def _store_reports(spark: SparkSession, layout: Layout, user_id: str, uploads: d
     ST.write_partitions(reports, layout.reports)
 
 
+def _profile_apart(spark: SparkSession, layout: Layout, user_id: str, uploads: dict[str, dict], exact: bool,
+                   csv_options: dict) -> dict[str, Exception]:
+    """Profile and store a batch together; the uploads that cannot be, with
+    their errors.  Where the shared job fails the batch is halved, and what a half
+    has stored stays: k bad ones of n cost about 2 k log2(n) more jobs."""
+    try:
+        prof = _profiles(spark, uploads, exact, csv_options)
+        ST.write_partitions(prof.withColumn("user_id", F.lit(user_id)), layout.columns)
+        _store_reports(spark, layout, user_id, uploads)
+        return {}
+    except Exception as exc:  # noqa: BLE001 -- one upload fails alone
+        ids = list(uploads)
+        if len(ids) == 1:
+            return {ids[0]: exc}
+    half = len(ids) // 2
+    failed: dict[str, Exception] = {}
+    for part in (ids[:half], ids[half:]):
+        failed |= _profile_apart(spark, layout, user_id, {d: uploads[d] for d in part}, exact, csv_options)
+    return failed
+
+
 def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
                 exact: bool = True, register: bool = True, parallel: int = 8,
                 max_rows: int | None = None, **csv_options) -> DataFrame:
@@ -337,16 +420,19 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     ``items``: dicts with ``path``, ``dataset_id`` and optionally ``filename``,
     ``custom_name``, ``mime``, ``schema`` (a known layout skips inference) and
     ``wanted`` (name -> type to check the raw values against; default the
-    schema).  Uploads that the gate turns down are not registered; if it turns
-    all down, ``UploadRejected`` is raised.  Each status change of the batch is
-    one append; profiles and reports are written with one job each.  What stays
-    per upload is what depends on its own file -- the gate, the landing and
-    the schema inference -- submitted from ``parallel`` driver threads.
-
-    Idempotent per dataset id.  A file that cannot be read or landed fails
-    alone (its own ``failed`` event with the whole message); the others go on.
-    If the shared profile step fails, the remaining datasets are marked
-    ``failed`` and the error is raised again, as it is when every file failed.
+    schema).  An id that occurs twice, or that another owner holds, is
+    ``DatasetTaken`` before anything is written.  Uploads that the gate turns
+    down are not registered and leave nothing behind; if it turns all down,
+    ``UploadRejected`` is raised.  Lines are counted while they are landed
+    beside the store, and a rename makes them the dataset's: the gate reads
+    nothing by itself.  Each status change of the batch is one append; profiles
+    and reports are written with one job each.  What stays per upload is what
+    depends on its own file -- the landing and the schema inference -- submitted
+    from ``parallel`` driver threads.
+
+    Idempotent per dataset id.  An upload that cannot be read, landed or
+    profiled fails alone (its own ``failed`` event with the whole message); the
+    others go on.  If every upload failed, the first error is raised again.
     ``register=False`` re-runs already registered datasets.  Returns the stored
     reports of the datasets that succeeded.
     """
@@ -358,17 +444,20 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     def event(dataset_id: str, status: str, **extra) -> dict:
         return C.status_event(dataset_id, user_id, status, _now(), **extra)
 
-    verdicts = _in_parallel(spark, lambda it: gate_upload(spark, it, max_rows), items, parallel)
-    reasons = {it["dataset_id"]: why for it, (why, exc) in zip(items, verdicts) if exc is None and why}
-    items = [it for it in items if it["dataset_id"] not in reasons]
-    if not items:
-        raise UploadRejected(reasons)
-    now = _now()
-    if register:
-        ST.append_events(spark, layout.events, [
-            registration_event(it["dataset_id"], user_id, _file_name(it), it.get("custom_name"), now) for it in items])
+    def begun(todo: list[dict]) -> list[dict]:
+        now = _now()
+        first = [registration_event(it["dataset_id"], user_id, _file_name(it), it.get("custom_name"), now)
+                 for it in todo] if register else []
+        return first + [event(it["dataset_id"], "uploading_hdfs") for it in todo]
+
+    new = _claimed(spark, layout, [it["dataset_id"] for it in items], user_id)
+    kinds = _in_parallel(spark, lambda it: wrong_kind(spark, it), items, parallel)
+    reasons = {it["dataset_id"]: why for it, (why, exc) in zip(items, kinds) if exc is None and why}
     failed: dict[str, Exception] = {}
 
+    def accepted() -> list[dict]:
+        return [it for it in items if it["dataset_id"] not in reasons]
+
     def step(fn, todo: list[dict]) -> dict:
         done = _in_parallel(spark, fn, todo, parallel)
         failed.update({it["dataset_id"]: exc for it, (_, exc) in zip(todo, done) if exc is not None})
@@ -382,25 +471,35 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         return {"path": it["path"], "schema": schema, "folder": ST.is_folder(spark, it["path"]),
                 "wanted": [wanted.get(f.name, f.dataType) for f in schema.fields]}
 
-    ids = [it["dataset_id"] for it in items]
+    staging = f"{layout.staging}/{uuid.uuid4().hex}"
+    place = {it["dataset_id"]: f"{staging}/{i}" for i, it in enumerate(items)}
+    gated = max_rows is not None
     try:
-        ST.append_events(spark, layout.events, [event(i, "uploading_hdfs") for i in ids])
-        landed = step(lambda it: ST.land_raw(spark, it["path"], layout.landing, user_id, it["dataset_id"]), items)
+        if not gated:
+            ST.append_events(spark, layout.events, begun(accepted()))
+        staged = step(lambda it: ST.stage_raw(spark, it["path"], place[it["dataset_id"]]), accepted())
+        reasons |= {d: why for d, counts in staged.items() if (why := too_long(counts["n_rows"], max_rows))}
+        if not accepted():
+            raise UploadRejected(reasons)
+        if gated:
+            ST.append_events(spark, layout.events, begun(accepted()))
+        landed = step(lambda it: ST.commit_landing(spark, place[it["dataset_id"]], layout.landing, user_id, it["dataset_id"]),
+                      [it for it in accepted() if it["dataset_id"] in staged])
         ST.append_events(spark, layout.events, [event(i, "analyzing", hdfs_path=p) for i, p in landed.items()])
-        uploads = step(infer, [it for it in items if it["dataset_id"] in landed])
+        uploads = step(infer, [it for it in accepted() if it["dataset_id"] in landed])
         uploads = {d: u | {"landed": landed[d]} for d, u in uploads.items()}
-        if not uploads:
-            raise next(iter(failed.values()))
+        if uploads:
+            failed |= _profile_apart(spark, layout, user_id, uploads, exact, csv_options)
+        good = [d for d in uploads if d not in failed]
         ST.append_events(spark, layout.events, [event(i, "failed", error_message=str(e)) for i, e in failed.items()])
-        prof = _profiles(spark, uploads, exact, csv_options)
-        ST.write_partitions(prof.withColumn("user_id", F.lit(user_id)), layout.columns)
-        _store_reports(spark, layout, user_id, uploads)
-        stored = ST.read_partitions(spark, layout.reports, user_id, list(uploads), R.stored_report_schema())
+        if not good:
+            raise next(iter(failed.values()))
+        stored = ST.read_partitions(spark, layout.reports, user_id, good, R.stored_report_schema())
         ST.append_event_frame(stored.select(
             "dataset_id", "user_id", F.lit(_now()).cast("timestamp_ntz").alias("updated_at"),
-            F.lit("done").alias("status"), "row_count", "column_count"), layout.events)
+            F.lit(ST.next_seq()).alias("seq"), F.lit("done").alias("status"), "row_count", "column_count"), layout.events)
         return stored
-    except Exception as exc:
-        ST.append_events(spark, layout.events,
-                         [event(i, "failed", error_message=str(failed.get(i, exc))) for i in ids])
-        raise
+    finally:
+        ST.remove(spark, staging)
+        for d in set(new) & set(reasons):
+            ST.release(spark, layout.claims, d, user_id)

@@ -252,9 +252,7 @@ def q_accept_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_csv_profile(spark: SparkSession, sf: str) -> DataFrame:
     path = S.write_csv(dirty(spark, sf), scratch_path(spark, "dirty-csv"))
-    typed = S.read_typed(spark, path)
-    raw = S.read_raw(spark, path)
-    return P.profile_columns(typed, raw, typed.schema).select(
+    return J.profile_csv(spark, path).select(
         P.NAME, "dtype", "row_count", "n_missing", "n_distinct", "is_constant", "n_bad")
 
 
@@ -311,7 +309,62 @@ def q_upload_gate(spark: SparkSession, sf: str) -> DataFrame:
         "accepted", F.col("reason").isNull())
 
 
+SHARED_UPLOADS = {"o1": "orders", "o2": "orders", "c": "customer"}
+
+
+def q_ingest_shared_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch in which two uploads are one folder: each has its rows once."""
+    base = scratch_path(spark, "shared")
+    paths = {n: S.write_csv(table(spark, sf, n), f"{base}/in/{n}") for n in set(SHARED_UPLOADS.values())}
+    items = [{"path": paths[n], "dataset_id": d} for d, n in SHARED_UPLOADS.items()]
+    J.ingest_many(spark, base, items, "shared")
+    cols = ST.read_partitions(spark, J.Layout(base).columns, "shared", list(SHARED_UPLOADS), J.COLUMNS_SCHEMA)
+    return cols.select("dataset_id", P.NAME, "row_count", "n_missing", "n_distinct", "n_bad")
+
+
+PARTS, BROKEN = 8, 5
+ORDERS_DDL = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+
+
+def q_ingest_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of the parts of ``orders``, one of which does not parse: it
+    fails alone, and its id stays its owner's."""
+    base = scratch_path(spark, "isolated")
+    orders = table(spark, sf, "orders").withColumn("part", F.col("o_orderkey") % PARTS)
+    broken = F.when(F.col("part") == BROKEN, F.lit("x")).otherwise(F.col("o_custkey").cast("string"))
+    orders.withColumn("o_custkey", broken).write.option("header", True).partitionBy("part").csv(f"{base}/in")
+    items = [{"path": f"{base}/in/part={i}", "dataset_id": f"p{i}", "schema": ORDERS_DDL} for i in range(PARTS)]
+    J.ingest_many(spark, base, items, "parts", mode="FAILFAST")
+    refused = []
+    for d in ("p0", f"p{BROKEN}"):
+        try:
+            J.register_dataset(spark, J.Layout(base), d, "stranger", "f.csv")
+        except J.DatasetTaken:
+            refused.append(d)
+    return J.current_catalog(spark, base).select(
+        "dataset_id", "user_id", "status", "row_count", F.col("error_message").isNotNull().alias("has_error"),
+        F.col("dataset_id").isin(refused).alias("refused_to_others"))
+
+
+def q_catalog_tied_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Status events of two writers that all bear one time: their numbers decide."""
+    codes = F.array(*[F.lit(c) for c in K.STATUS_PROGRESS])
+    steps = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("dataset_id"), F.lit("tied").alias("user_id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"), "o_orderkey",
+        F.explode(F.expr("sequence(0L, o_orderkey % 5)")).alias("k"))
+    events = steps.select("dataset_id", "user_id", "updated_at", F.get(codes, F.col("k").cast("int")).alias("status"),
+                          (F.col("o_orderkey") * 10 + F.col("k")).alias("seq"), "k")
+    base = scratch_path(spark, "tied")
+    for writer in (1, 0):
+        ST.append_event_frame(events.where(F.col("k") % 2 == writer), base)
+    return C.status_view(C.current_catalog(ST.read_events(spark, base, "tied"))).select("dataset_id", "status", "progress")
+
+
 CSV_QUERIES = {
+    "ingest_shared_paths": q_ingest_shared_paths,
+    "ingest_isolated": q_ingest_isolated,
+    "catalog_tied_times": q_catalog_tied_times,
     "csv_scan_typed": q_csv_scan_typed,
     "csv_scan_raw": q_csv_scan_raw,
     "schema_report": q_schema_report,
@@ -328,7 +381,22 @@ CSV_QUERIES = {
 _INT_OR_BIG = ("CASE WHEN (SELECT MAX(o_orderkey) FROM orders) <= 2147483647 "
                "AND (SELECT MIN(o_orderkey) FROM orders) >= -2147483648 THEN 'int' ELSE 'bigint' END")
 
+_SHARED_COLUMNS = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+                   "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
+
 CSV_ORACLES = {
+    "ingest_shared_paths": "\n UNION ALL ".join(
+        f"SELECT '{d}' AS dataset_id, '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS n_missing,"
+        f" COUNT(DISTINCT {c}) AS n_distinct, CAST(0 AS BIGINT) AS n_bad FROM {t}"
+        for d, t in SHARED_UPLOADS.items() for c in _SHARED_COLUMNS[t]),
+    "ingest_isolated": f"""SELECT 'p' || CAST(o_orderkey % {PARTS} AS VARCHAR) AS dataset_id, 'parts' AS user_id,
+ CASE WHEN o_orderkey % {PARTS} = {BROKEN} THEN 'failed' ELSE 'done' END AS status,
+ CASE WHEN o_orderkey % {PARTS} <> {BROKEN} THEN COUNT(*) END AS row_count, o_orderkey % {PARTS} = {BROKEN} AS has_error,
+ o_orderkey % {PARTS} IN (0, {BROKEN}) AS refused_to_others FROM orders GROUP BY o_orderkey % {PARTS}""",
+    # fixed test values: status codes in their order, and their progress
+    "catalog_tied_times": """SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, CASE o_orderkey % 5 WHEN 0 THEN 'queued'
+ WHEN 1 THEN 'uploading_hdfs' WHEN 2 THEN 'analyzing' WHEN 3 THEN 'done' ELSE 'failed' END AS status,
+ CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 75 ELSE 100 END AS progress FROM orders""",
     "csv_scan_typed": "SELECT * FROM orders",
     "csv_scan_raw": ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, "
                      "CAST(n_chars AS VARCHAR) AS n_chars FROM documents"),

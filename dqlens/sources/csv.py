@@ -14,6 +14,16 @@ from dqlens.functions.expressions import is_csv_file
 from dqlens.session import session_conf
 
 
+#: options that change how the reader parses values, not which cells there are
+PARSING_OPTIONS = {"dateformat", "timestampformat", "timestampntzformat", "locale", "nanvalue", "positiveinf",
+                   "negativeinf", "enabledatetimeparsingfallback", "mode", "columnnameofcorruptrecord"}
+
+
+def default_parsing(options) -> bool:
+    """The reader parses values as a cast would."""
+    return not PARSING_OPTIONS & {o.lower() for o in options}
+
+
 def read_typed(spark: SparkSession, path: str, timestamp_ntz: bool = False,
                schema=None, **options) -> DataFrame:
     """Typed scan: header row, schema inferred from the whole file.

@@ -194,7 +194,7 @@ ODD_IDS = ["x/../..", "a:b", "..", "p=1%2F", "é {[*]}"]
 
 def test_odd_ids_stay_in_their_owners_folder(spark, store):
     src = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "src"))
-    J.ingest_and_profile(spark, store, src, "keep", "bob")
+    J.ingest_and_profile(spark, store, src, "keep:bob", "bob")      # an id has one owner
     for odd in ODD_IDS:
         with pytest.raises(J.DatasetNotFound):
             J.archive_dataset(spark, store, odd, "eve")
@@ -207,8 +207,8 @@ def test_odd_ids_stay_in_their_owners_folder(spark, store):
             J.archive_dataset(spark, store, odd, "bob")
         assert J.archive_dataset(spark, store, odd, "eve")["fs_error"] is None
     left = {(r["user_id"], r["dataset_id"]) for r in J.reports_table(spark, store).collect()}
-    assert left == {("eve", "keep"), ("bob", "keep")}
-    assert J.ST.read_landed(spark, f"{store}/landing", "bob", "keep").count() > 1500
+    assert left == {("eve", "keep"), ("bob", "keep:bob")}
+    assert J.ST.read_landed(spark, f"{store}/landing", "bob", "keep:bob").count() > 1500
 
 
 def test_empty_ids_are_refused(spark, store):
@@ -294,3 +294,117 @@ def test_batch_of_many_datasets_of_one_schema_is_one_scan(spark, store, tmp_text
     got = {r["dataset_id"]: r for r in J.ingest_many(spark, store, items, "u27").collect()}
     assert len(got) == 40
     assert all(got[f"n{i}"]["distinct_counts"] == {"a": 30, "b": min(30, i + 1)} for i in range(40))
+
+
+def _csv(folder, name, text):
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+    return path
+
+
+def _statuses(spark, store, owner):
+    return {r["dataset_id"]: (r["status"], r["row_count"]) for r in J.list_datasets(spark, store, owner).collect()}
+
+
+def test_one_bad_upload_of_64_fails_alone(spark, store, tmp_text_dir):
+    items = [{"path": _csv(tmp_text_dir, f"i{i}.csv", "a,b\n" + ("no number,x\n" if i == 41 else "1,x\n2,y\n")),
+              "dataset_id": f"i{i}", "schema": "a int, b string"} for i in range(64)]
+    sc = spark.sparkContext
+    sc.setJobGroup("halving", "halving")
+    try:
+        got = J._profile_apart
+        calls = []
+        J._profile_apart = lambda *a: calls.append(len(a[3])) or got(*a)
+        try:
+            stored = J.ingest_many(spark, store, items, "u30", mode="FAILFAST")
+        finally:
+            J._profile_apart = got
+    finally:
+        sc.setJobGroup(None, None)
+    assert stored.count() == 63 and len(calls) == 1 + 2 * 6        # halves down to the one
+    want = {f"i{i}": ("done", 2) for i in range(64)} | {"i41": ("failed", None)}
+    assert _statuses(spark, store, "u30") == want
+    assert {r["distinct_counts"]["a"] for r in stored.collect()} == {2}
+
+
+def test_ids_given_twice_are_refused_before_landing(spark, store, tmp_text_dir):
+    path = _csv(tmp_text_dir, "t.csv", "a\n1\n")
+    items = [{"path": path, "dataset_id": d} for d in ("x", "y", "x")]
+    with pytest.raises(J.DatasetTaken, match="x: given twice"):
+        J.ingest_many(spark, store, items, "u31")
+    assert not J.ST.exists(spark, f"{store}/landing") and not J.ST.exists(spark, f"{store}/catalog_events")
+    J.ingest_many(spark, store, items[:2], "u32")                  # nothing stayed claimed
+
+
+def test_an_id_has_one_owner(spark, store, tmp_text_dir):
+    path = _csv(tmp_text_dir, "t.csv", "a\n1\n")
+    J.ingest_and_profile(spark, store, path, "mine", "u33")
+    for call in (lambda: J.ingest_many(spark, store, [{"path": path, "dataset_id": d} for d in ("free", "mine")], "u34"),
+                 lambda: J.register_dataset(spark, J.Layout(store), "mine", "u34", "f.csv")):
+        with pytest.raises(J.DatasetTaken, match="mine: another owner"):
+            call()
+    assert _statuses(spark, store, "u34") == {}
+    J.ingest_and_profile(spark, store, path, "mine", "u33", register=False)
+    J.ingest_and_profile(spark, store, path, "free", "u35")        # given back when the batch was refused
+    J.archive_dataset(spark, store, "mine", "u33")
+    J.ingest_and_profile(spark, store, path, "mine", "u34")        # free again once archived
+    assert _statuses(spark, store, "u34") == {"mine": ("done", 1)}
+
+
+def test_concurrent_callers_have_one_winner(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def call(owner):
+        try:
+            J.register_dataset(spark, J.Layout(store), "wanted", owner, "f.csv")
+            return owner
+        except J.DatasetTaken:
+            return None
+    with ThreadPoolExecutor(8) as pool:
+        won = [o for o in pool.map(call, [f"c{i}" for i in range(8)]) if o]
+    assert len(won) == 1 and J.ST.claim_owner(spark, J.Layout(store).claims, "wanted") == won[0]
+    assert [r["user_id"] for r in J.current_catalog(spark, store).collect()] == won
+
+
+def test_a_rejected_upload_leaves_nothing(spark, store, tmp_text_dir):
+    long = _csv(tmp_text_dir, "long.csv", "a\n" + "1\n" * 30)
+    short = _csv(tmp_text_dir, "short.csv", "a\n1\n")
+    items = [{"path": long, "dataset_id": "long"}, {"path": short, "dataset_id": "short"},
+             {"path": f"{store}/none.csv", "dataset_id": "none"}]
+    J.ingest_many(spark, store, items, "u36", max_rows=29)
+    assert {d: s for d, (s, _) in _statuses(spark, store, "u36").items()} == {"short": "done", "none": "failed"}
+    local = store[len("file:"):] if store.startswith("file:") else store
+    assert os.listdir(f"{local}/landing/user_id=u36") == ["dataset_id=short"]
+    assert os.listdir(f"{local}/staging") == []
+    J.register_dataset(spark, J.Layout(store), "long", "u37", "f.csv")     # its id is free
+    J.ingest_many(spark, store, items[1:2] + [{"path": long, "dataset_id": "exact"}], "u36", max_rows=30)
+    assert _statuses(spark, store, "u36")["exact"] == ("done", 30)
+
+
+def test_landing_counts_headers_of_every_file(spark, store, tmp_text_dir):
+    folder = os.path.join(tmp_text_dir, "parts")
+    os.makedirs(folder)
+    for i, text in enumerate(("a\n1\n2\n", "a\n3", "", "a\n")):
+        _csv(folder, f"p{i}.csv", text)
+    counts = J.ST.stage_raw(spark, folder, f"{store}/x")
+    assert counts == {"n_lines": 6, "n_files": 3, "n_rows": 3}
+    gate = S.row_limit_gate(spark, folder, 3).first()
+    assert (gate["n_lines"], gate["n_files"], gate["n_rows"], gate["accepted"]) == (6, 3, 3, True)
+
+
+def test_shared_paths_count_once_each(spark, store, tmp_text_dir):
+    folder = os.path.join(tmp_text_dir, "shared")
+    os.makedirs(folder)
+    one = _csv(folder, "one.csv", "a\n1\n2\n")
+    _csv(folder, "two.csv", "a\n3\n")
+    items = [{"path": p, "dataset_id": d} for p, d in ((folder, "f1"), (folder + "/", "f2"), (one, "o1"), (one, "o2"))]
+    J.ingest_many(spark, store, items, "u38")
+    assert _statuses(spark, store, "u38") == {"f1": ("done", 3), "f2": ("done", 3), "o1": ("done", 2), "o2": ("done", 2)}
+
+
+def test_readers_own_parsing_is_kept(spark, store, tmp_text_dir):
+    path = _csv(tmp_text_dir, "d.csv", "d,n\n02/01/2024,NA\n03/01/2024,1.5\nx,2\n")
+    rep = J.ingest_and_profile(spark, store, path, "d", "u39", schema="d date, n double",
+                               dateFormat="dd/MM/yyyy", nanValue="NA").first()
+    assert rep["null_counts"] == {"d": 1, "n": 0} and rep["distinct_counts"] == {"d": 3, "n": 3}

@@ -82,7 +82,7 @@ def test_hot_value_is_combined_map_side(spark):
     stats = P.column_stats(df).first()
     assert stats["n_distinct"] == 20001 and stats["row_count"] == 30000
     plan = _plan(P.value_counts(df)[0])
-    assert re.search(r"HashAggregate\(keys=\[position#\d+, s0#\d+L?\], functions=\[partial_count", plan)
+    assert re.search(r"HashAggregate\(keys=\[position#\d+, flags#\d+, s0#\d+L?\], functions=\[partial_count", plan)
 
 
 def test_wide_table(spark):

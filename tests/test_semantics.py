@@ -5,8 +5,12 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conftest import SF_SMALL
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
+from dqlens.session import scratch_path
+from dqlens.sources import csv as S
+from dqlens.sources.tables import dirty
 
 
 def _stats(df):
@@ -159,3 +163,52 @@ def test_declared_types_on_non_string_columns(spark):
     scan = {r["column_name"]: r["n_bad"] for r in P.bad_type_counts(df, wanted, keep_zero=True).collect()}
     # 2.5 -> int truncates under try_cast (not bad); 3e9 overflows int (bad)
     assert fused == scan == {"a": 0, "b": 0, "c": 1}
+
+
+LONG = ["x" * 49, "x" * 50, "x" * 49 + "y", "y" * 49, " " * 60, " " * 61, "", "  ", None, "nan", "NaN" + " " * 60, "\0short",
+        "\0" * 70, "é" * 40, "é" * 41, "z" * 48, "日本語" * 30]
+
+
+def test_long_texts_are_counted_exactly(spark):
+    rows = [(i, t) for i, t in enumerate(LONG * 3)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    # a text that looks like the key of another text
+    key = df.where(F.col("t") == "x" * 49).selectExpr(f"{P.text_key('t')} AS t").first()["t"]
+    df = df.unionByName(spark.createDataFrame([(99, key)], "k int, t string"))
+    got = {r["column_name"]: r for r in P.column_stats(df).collect()}["t"]
+    assert got["n_distinct"] == len(LONG) + 1
+    assert got["n_missing"] == 3 * sum(t is None or not t.strip(" ") or t.lower() == "nan" for t in LONG)
+
+
+def test_colliding_first_hashes_do_not_merge_texts(spark):
+    df = spark.createDataFrame([(f"{'a' * 60}{i}",) for i in range(500)] * 2, "t string")
+    clash = P.text_key("t", first="int({0} IS NULL)")         # the first hash is the same for all
+    assert df.selectExpr(f"{clash} AS k").distinct().count() == 500
+
+
+def test_long_texts_do_not_travel(spark):
+    df = spark.range(50).selectExpr("repeat(cast(id AS string), 5000) AS t")
+    counted, _ = P.value_counts(df)
+    assert counted.selectExpr("max(octet_length(s0)) AS n").first()["n"] < 60
+
+
+def test_csv_profile_is_one_scan(spark, tmp_path):
+    from dqlens.plans import jobs as J
+    path = S.write_csv(dirty(spark, SF_SMALL), scratch_path(spark, "one-scan"))
+    plan = P.physical_plan(J.profile_csv(spark, path))
+    assert plan.count("FileScan csv") == 1
+    typed = S.read_typed(spark, path)
+    two = P.profile_columns(typed, S.read_raw(spark, path), typed.schema)
+    assert sorted(map(tuple, J.profile_csv(spark, path).collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_strings_read_as_declared_types(spark):
+    raw = spark.createDataFrame([("1", "x", "2024-01-02"), (" ", "y" * 60, "no date"), (None, " ", ""), ("q", "nan", "2024-01-02"),
+                                 ("1.0", "x", None)], "a string, b string, c string")
+    schema = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.StringType()), T.StructField("c", T.DateType())])
+    got = {r["column_name"]: (r["row_count"], r["n_missing"], r["n_distinct"], r["n_bad"])
+           for r in P.profile_strings(raw, schema, {"b": "int"}).collect()}
+    assert got == {"a": (5, 3, 2, 1), "b": (5, 2, 4, 4), "c": (5, 3, 2, 1)}
+    rough = {r["column_name"]: (r["row_count"], r["n_missing"], r["n_bad"])
+             for r in P.profile_strings(raw, schema, {"b": "int"}, exact=False).collect()}
+    assert rough == {k: (v[0], v[1], v[3]) for k, v in got.items()}
