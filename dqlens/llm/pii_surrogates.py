@@ -2,24 +2,28 @@
 
 Detected entities (mail and IPv4 addresses, phone numbers, card numbers,
 IBANs, social security numbers, access keys, passwords and tokens, names
-behind a title) are replaced by surrogates of the same type and format:
+behind a title) are replaced by surrogates of the same type and format.  A name
+or a password found in a text is also replaced where the text has it again
+without its title or label (names of three letters or more):
 
 * keyed: a surrogate is drawn from BLAKE2b of (key, kind, entity, attempt), so
   the same entity gets the same surrogate in every document (coreference) and
-  nobody without the key can recompute it;
+  nobody without the key can recompute it.  The parts of a name are entities of
+  their own: "Mr John Smith", "Mr Smith" and "Smith" agree;
 * consistent: letters become letters of the same script, case and kind
-  (vowel, consonant), digits digits; punctuation stays, but a value without
-  any letter or digit (a masked password) becomes letters and digits; card
-  numbers keep their issuer digit and check digit rule; given names keep the
-  gender that the title tells; a mention keeps its own spelling (case,
-  separators);
+  (vowel, consonant), digits digits of the script of the mention; punctuation
+  stays, but a value without any letter or digit (a masked password) becomes
+  letters and digits; card numbers keep their issuer digit and check digit rule;
+  given names keep the gender that the title tells; a mention keeps its own
+  spelling (case, separators);
 * distinct: the distinct entities of the whole table are one Spark table, and
   surrogates that two entities share, or that equal a real entity, are drawn
-  again (next attempt) until there is no clash.  After ``FORM_ATTEMPTS``
-  attempts the format may be used up (there are five one-letter vowels), and
-  each further attempt draws a surrogate that is longer than the one before.
+  again (next attempt) until there is no clash; all parts of names are held
+  against each other, whatever the gender.  After ``FORM_ATTEMPTS`` attempts the
+  format may be used up (there are five one-letter vowels), and each further
+  attempt draws a surrogate that is longer than the one before.
 
-Only texts with a character that some detector needs (a native filter) reach
+Names without any title in their text are not found.  Only texts with a character that some detector needs (a native filter) reach
 Python, and only those are shuffled, once, to meet their entities; a text's
 entities are joined by a hash of the row, so no key is hot unless rows repeat.
 Two rows whose hash clashes would share a map of entities, which is harmless:
@@ -42,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, ship_code, stored
+from dqlens.llm.common import free_name, ship_code, sized, stored
 
 DEFAULT_KEY = "surrogate-key-1"
 #: draws in the entity's own format; later ones are lengthened
@@ -53,6 +57,7 @@ TITLES = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Sir": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f",
     "Señora": "f", "Señorita": "f", "Sra": "f", "Srta": "f",
+    "Dr": "n", "Doctor": "n", "Prof": "n", "Professor": "n", "Mx": "n",
 }
 GIVEN = {
     "m": ("Adrian", "Bruno", "Conrad", "Daniel", "Emil", "Felix", "Gabriel", "Hugo", "Ivan", "Jonas",
@@ -78,7 +83,9 @@ DETECT = re.compile(
     rf"|(?P<person>(?<!\w)(?:{_TITLE})\.?\ (?P<name>(?=[^\W\d_a-zß-öø-ÿ])(?:{_NAME}\ (?=[^\W\d_a-zß-öø-ÿ]))?{_NAME}))")
 
 #: what a text needs for any detector to fire (Java regex, a superset)
-MAY_HAVE = rf"[0-9@=:]|AKIA|ASIA|\b({_TITLE})\b"
+MAY_HAVE = rf"[\p{{Nd}}@=:]|AKIA|ASIA|(?:{_TITLE})\.? "
+#: letters that a name needs to be replaced where no title stands before it
+BARE_NAME = 3
 
 _VOWELS = "aeiou"
 _CONSONANTS = "bcdfghjklmnpqrstvwxyz"
@@ -147,17 +154,32 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ascii_digits(text: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def entity_of(kind: str, mention: str) -> str:
     """The entity that a mention names, free of its spelling."""
     if kind in ("card", "phone", "ssn"):
-        return re.sub(r"[^\d+]", "", mention)
+        return re.sub(r"[^\d+]", "", ascii_digits(mention))
+    if kind == "ip":
+        return ascii_digits(mention)
     if kind == "iban":
-        return mention.replace(" ", "")
+        return ascii_digits(mention).replace(" ", "")
     if kind == "email":
         return mention.lower()
     return mention
 
 
+def entities_of(kind: str, mention: str) -> list[tuple[str, str]]:
+    """The (kind, entity) pairs of a mention: one, but for names, whose parts
+    are drawn apart."""
+    if kind.startswith("person:"):
+        *given, family = mention.split(" ")
+        return [*((f"given:{kind[-1]}", x) for x in given), ("family", family)]
+    return [(kind, entity_of(kind, mention))]
+
+
 def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     """Surrogate of an entity, in the entity's normal form.  From attempt
     ``FORM_ATTEMPTS`` on it is 2, 4, 8, ... characters (IP: numbers) longer
@@ -186,31 +208,32 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     if kind == "access":
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
         return entity[:4] + "".join(letters[d.below(32)] for _ in entity[4:] + "A" * more)
-    if kind.startswith("person"):
-        names = entity.split(" ")
-        gender = kind.partition(":")[2]
-        if len(names) > 1 and entity.isascii():
-            names = [GIVEN[gender][d.below(len(GIVEN[gender]))], *(d.like(x) for x in names[1:])]
-        else:
-            names = [d.like(x) for x in names]
-        return " ".join(names) + d.like(entity[-1].lower() * more)
+    if kind.startswith("given:") and entity.isascii() and 2 * attempt < FORM_ATTEMPTS:
+        names = GIVEN.get(kind[-1]) or GIVEN["m"] + GIVEN["f"]
+        return names[d.below(len(names))]
+    if kind == "family" or kind.startswith("given:"):
+        return d.like(entity) + d.like(entity[-1].lower() * more)
     if re.fullmatch(r"[0-9a-f]+", entity):
         return "".join("0123456789abcdef"[d.below(16)] for _ in entity + "0" * more)
     return d.like(entity) + d.like("0" * more)
 
 
 def render(kind: str, mention: str, new: str) -> str:
-    """The surrogate in the spelling of the mention."""
+    """The surrogate in the spelling of the mention: its separators, and digits
+    of its script."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(new)
-        return "".join(c if c in " -.()" else next(chars, "") for c in mention) + "".join(chars)
-    if kind == "email" and mention.isupper():
-        return new.upper()
-    return new
+        shown = "".join(c if c in " -.()" else next(chars, "") for c in mention) + "".join(chars)
+    else:
+        shown = new.upper() if kind == "email" and mention.isupper() else new
+    if kind in ("card", "phone", "ssn", "ip", "iban") and not mention.isascii():
+        zero = next((ord(c) - unicodedata.decimal(c) for c in mention if c.isdecimal() and not c.isascii()), ord("0"))
+        shown = "".join(chr(zero + int(c)) if c.isascii() and c.isdecimal() else c for c in shown)
+    return shown
 
 
-def mentions(text: str):
-    """(start, stop, kind, mention) of every entity of a text, in order."""
+def _titled(text: str):
+    """(start, stop, kind, mention) of what the patterns find, in order."""
     for m in DETECT.finditer(text):
         kind = m.lastgroup
         if m["secret"]:
@@ -222,12 +245,38 @@ def mentions(text: str):
             yield *m.span(), kind, m[0]
 
 
+def mentions(text: str):
+    """(start, stop, kind, mention) of every entity of a text, in order: what
+    the patterns find, and between it the names and passwords found elsewhere in
+    the text."""
+    found = list(_titled(text))
+    again = {}
+    for _, _, kind, mention in found:
+        if kind == "secret":
+            again[mention] = kind
+        elif kind.startswith("person:"):
+            for part, name in entities_of(kind, mention):
+                if len(name) >= BARE_NAME:
+                    again.setdefault(name, part)
+    if not again:
+        yield from found
+        return
+    bare = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(again, key=len, reverse=True)) + r")(?!\w)")
+    at = 0
+    for start, stop, kind, mention in [*found, (len(text), len(text), None, None)]:
+        yield from ((*m.span(), again[m[0]], m[0]) for m in bare.finditer(text, at, start) if m.end() <= start)
+        if kind is not None:
+            yield start, stop, kind, mention
+        at = stop
+
+
 def replace(text: str, known: dict[tuple[str, str], str]) -> tuple[str, list[tuple]]:
     """The text with its entities replaced, and (start, stop, kind) of each
     surrogate in the new text."""
     out, spans, at, length = [], [], 0, 0
     for start, stop, kind, mention in mentions(text):
-        new = render(kind, mention, known[kind, entity_of(kind, mention)])
+        new = " ".join(known[e] for e in entities_of(kind, mention))
+        new = render(kind, mention, new)
         out += [text[at:start], new]
         length += start - at
         spans.append((length, length + len(new), kind))
@@ -250,7 +299,7 @@ def detect(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [(r, k, e) for r, t in zip(batch["row"], batch["text"], strict=True)
-                     for k, e in {(k, entity_of(k, x)) for _, _, k, x in mentions(t)}]
+                     for k, e in {x for _, _, k, m in mentions(t) for x in entities_of(k, m)}]
             yield pd.DataFrame(found, columns=["row", "kind", "entity"])
     return rows.mapInPandas(run, "row bigint, kind string, entity string")
 
@@ -266,27 +315,32 @@ def _drawn(key: str):
 def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(kind, entity, new): distinct surrogates for distinct entities.
 
-    In every round, of the entities that share a surrogate the one with the
-    fewest attempts, then the least by name, keeps it; the others, and those
-    whose surrogate is a real entity, draw again.  A newcomer always has more
-    attempts than a holder, so a settled surrogate stays."""
+    Of the entities that draw one surrogate, the least by name keeps it; the
+    others, and those whose surrogate is a real entity or settled before, draw
+    again.  Each round works on what clashed in the one before only; what is
+    settled stays as it was written, and is only looked through."""
     ship_code(entities.sparkSession)
     draw = _drawn(key)
     real = stored(entities.select("kind", "entity").distinct(), "pii-entities")
-    now = real.withColumn("attempt", F.lit(0)).withColumn("new", draw("kind", "entity", "attempt"))
-    same = Window.partitionBy("kind", "new").orderBy("attempt", "entity")
-    taken = real.select(F.col("kind").alias("real_kind"), F.col("entity").alias("real_entity"))
+    # all parts of names are one kind here
+    sort = lambda kind: F.when(kind.rlike("^(given:.|family)$"), F.lit("name")).otherwise(kind)
+    names = real.select(sort(F.col("kind")).alias("sort"), F.col("entity").alias("new"))
+    pending, attempt, settled = real, 0, None
     while True:
-        judged = now.withColumn("place", F.row_number().over(same)).join(
-            taken, (F.col("kind") == F.col("real_kind")) & (F.col("new") == F.col("real_entity")), "left")
-        judged = stored(judged.select(
-            "kind", "entity", "attempt", "new",
-            ((F.col("place") > 1) | F.col("real_entity").isNotNull()).alias("clash")), "pii-surrogates")
-        if judged.where("clash").isEmpty():
-            return judged.select("kind", "entity", "new")
-        again = judged.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int"))
-        now = again.withColumn("new", F.when(F.col("clash"), draw("kind", "entity", "attempt"))
-                               .otherwise(F.col("new"))).drop("clash")
+        drawn = stored(pending.withColumn("new", draw("kind", "entity", F.lit(attempt))).withColumn(
+            "sort", sort(F.col("kind"))), "pii-drawn")
+        taken = names if settled is None else names.union(settled.select("sort", "new"))
+        wanted = stored(drawn.select("sort", "new").distinct(), "pii-wanted")
+        taken = taken.join(sized(wanted), ["sort", "new"], "left_semi").distinct().withColumn("taken", F.lit(True))
+        first = F.row_number().over(Window.partitionBy("sort", "new").orderBy("entity", "kind")) == 1
+        judged = stored(drawn.withColumn("first", first).join(taken, ["sort", "new"], "left").select(
+            "kind", "entity", "new", "sort", (F.col("first") & F.col("taken").isNull()).alias("keeps")), "pii-surrogates")
+        kept = judged.where("keeps").drop("keeps")
+        settled = kept if settled is None else settled.union(kept)
+        pending = judged.where("NOT keeps").select("kind", "entity")
+        if pending.isEmpty():
+            return settled.select("kind", "entity", "new")
+        attempt += 1
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
