@@ -1,7 +1,7 @@
 """Homomorphic multiset-hash fingerprints of documents.
 
-A text is a multiset of units: its paragraphs (lines); a long paragraph is
-cut after every fourth sentence, so that a one-line text has several units.
+A text is a multiset of units: its paragraphs (lines), cut after every sentence,
+so that a one-line text has several units and one more sentence changes no other.
 Each unit is hashed with SHA-512 to a wide vector and the vectors are summed
 lane by lane modulo powers of two, so the fingerprint
 
@@ -22,7 +22,11 @@ into its neighbour, which blurs the likeness; sums, equality and updates stay
 exact.
 
 DataFrame functions only.  Defined cases: a null text is empty; an empty text
-has the all-zero fingerprint; two empty texts have likeness 1.
+has the all-zero fingerprint; two empty texts have likeness 1.  Texts of any
+length are taken whole.  Rows that repeat an id are ordered by text; repeated
+rows are each other's next.  An empty table gives an empty result, and in a table
+of one row that row is its own next.  Only the two named columns are read, so
+others cannot clash.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from pyspark.sql import types as T
 
 from dqlens.llm.common import shuffle_partitions
 
-#: up to four sentences of one line, or what is left of the line
-UNIT = r"(?:[^.!?\n]*+[.!?]++ *+){1,4}|[^.!?\n]++"
+#: a sentence of one line with what ends it, or what is left of the line
+UNIT = r"[^.!?。！？｡\n]*+[.!?。！？｡]++ *+|[^.!?。！？｡\n]++"
 
 _HEX = 15                    # hex digits per hash word: 60 bits
 _SUM_WORDS = 4               # words whose two 30-bit halves are summed

@@ -98,3 +98,12 @@ def test_buckets_are_even_however_ids_are_spread(spark, spread):
     ordered = sorted((r["i"], r["v"]) for r in rows.where("i is not null").collect())
     ends = rows.orderBy(F.col("i").asc_nulls_first(), "v").first()
     assert got == {a[0]: b for a, b in zip(ordered, [*[v for _, v in ordered[1:]], ends["v"]], strict=True)}
+
+
+def test_one_more_sentence_in_front_keeps_the_rest_alike(spark):
+    line = [f"Sentence number {i} says {i * i}." for i in range(12)]
+    cjk = [f"第{i}句话说了{i * i}。" for i in range(12)]
+    df = spark.createDataFrame([(sep.join(x), sep.join([x[0] + "!", *x])) for x, sep in ((line, " "), (cjk, ""))], "a string, b string")
+    for r in df.select(FP.likeness(FP.fingerprint(F.col("a")), FP.fingerprint(F.col("b"))).alias("v"),
+                       F.size(FP.units(F.col("a"))).alias("n")).collect():
+        assert r["n"] == 12 and r["v"] > 0.7
