@@ -10,7 +10,12 @@ that is not refuted: a fixed sequence, so one chain of cuts costs one test.
 The chains are corrected by Bonferroni (``delta`` over their number), and a
 stratum's ``alpha`` is shared by its signals, so with probability
 ``1 - delta`` no stratum loses more than ``alpha`` of its good texts to all
-rules together.  Among the certified cuts the one with the best balance
+rules together.  The bound is about independent draws, so a draw is a distinct
+text of a stratum: copies, repeated ids and repeated labels add nothing, and a
+text with labels of both kinds counts as good.  Strata with fewer than
+``MIN_GOOD`` good draws have no rules and cost no chain (even without a false
+rejection they could not certify a cut), so that junk strata do not weaken the
+others.  Among the certified cuts the one with the best balance
 (bad texts rejected minus ``PENALTY`` times good ones) is used; where none
 helps, or too few labels are there to certify one, the rule is off.
 
@@ -19,9 +24,9 @@ of labels, and a stratum with most of the rows, costs a few hundred numbers.
 
 Defined cases: a null text has no words (all signals 0, it fails the base
 rule); a null stratum is a stratum; labels that are null, or whose id is null
-or not found, do not count; an id that is labelled or stored more than once
-counts once per pair of rows; no labels, or none in a stratum: base rule
-only; an empty table gives an empty result; extra columns are ignored.
+or not found, do not count; repeated rows and labels are one draw; no labels,
+or few in a stratum: base rule only; texts of any length are measured whole; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ from dqlens.llm.common import WORD, ship_code, stored
 ALPHA = 0.05         # share of a stratum's good texts that may be lost to the rules
 DELTA = 0.05         # probability that any stratum loses more
 PENALTY = 5          # bad texts that must go for each good one
+MIN_GOOD = 200       # good draws that a stratum needs to have rules
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -101,7 +107,7 @@ def measure(text: str | None) -> tuple:
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             stratum_col: str = "lang") -> DataFrame:
-    """(id, stratum, counts, signals, base_failed) of every row."""
+    """(id, stratum, text_key, counts, signals, base_failed) of every row."""
     ship_code(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"),
                        F.col(text_col).alias("text"))
@@ -110,13 +116,15 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            got = np.array([measure(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, len(fields) - 2)
-            arrays = [batch.column(0), batch.column(1)]
+            got = np.array([measure(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, len(fields) - 3)
+            arrays = [batch.column(0), batch.column(1), batch.column(3)]
             arrays += [pa.array(got[:, k]) for k in range(len(COUNTS))]
-            arrays += [pa.array(got[:, k].astype(np.int32)) for k in range(len(COUNTS), len(fields) - 2)]
+            arrays += [pa.array(got[:, k].astype(np.int32)) for k in range(len(COUNTS), len(fields) - 3)]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    out = rows.mapInArrow(run, T.StructType(fields))
+    out = rows.withColumn("text_key", F.xxhash64("text")).select("id", "stratum", "text", "text_key")
+    fields.insert(2, T.StructField("text_key", T.LongType()))
+    out = out.mapInArrow(run, T.StructType(fields))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
 
@@ -176,12 +184,14 @@ def _bound(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.Series:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-              alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY) -> DataFrame:
+              alpha: float = ALPHA, delta: float = DELTA, penalty: float = PENALTY,
+              min_good: int = MIN_GOOD) -> DataFrame:
     """Chosen cuts: (stratum, signal, cut, good_rejected, n_good, bad_rejected, risk_bound)."""
     ship_code(measured.sparkSession)
     marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("good")) \
         .where(F.col("good").isin(0, 1))
     known = measured.where(~F.col("base_failed")).join(marks, F.col("id") == F.col("label_id"))
+    known = known.groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *[F.max(c).alias(c) for c in SIGNALS])
     long = known.select("stratum", "good", F.explode(F.array(*[
         F.struct(F.lit(s).alias("signal"), F.col(s).alias("share")) for s in SIGNALS])).alias("x"))
     counts = long.groupBy("stratum", F.col("x.signal").alias("signal"), F.col("x.share").alias("share")).agg(
@@ -192,7 +202,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     cuts = counts.select(
         "stratum", "signal", F.col("share").alias("cut"), F.sum("good").over(chain).alias("n_good"),
         F.sum("good").over(down).alias("good_rejected"), F.sum("bad").over(down).alias("bad_rejected"))
-    cuts = stored(cuts, "risk-cuts")
+    cuts = stored(cuts.where(F.col("n_good") >= min_good), "risk-cuts")
     n_chains = cuts.select("stratum").distinct().count() * len(SIGNALS)
     level = delta / max(1, n_chains)
     tested = cuts.withColumn("p", _tail("good_rejected", "n_good", F.lit(alpha / len(SIGNALS))))

@@ -52,7 +52,7 @@ def made(spark, n_good, n_bad, good_high):
     df = spark.createDataFrame(rows, "id long, stratum string, symbol_share int, quality int")
     for c in QR.SIGNALS[1:]:
         df = df.withColumn(c, F.lit(0))
-    measured = df.drop("quality").withColumn("base_failed", F.lit(False))
+    measured = df.drop("quality").withColumn("base_failed", F.lit(False)).withColumn("text_key", F.col("id"))
     return measured, df.select(F.col("id").alias("doc_id"), "quality")
 
 
@@ -85,3 +85,59 @@ def test_query_keeps_good_rows(spark):
     labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
     good = out.join(labels.where("quality = 1"), "doc_id")
     assert out.count() == 200 and good.where("NOT kept AND NOT base_failed").count() == 0
+
+
+def test_copies_and_repeated_labels_are_one_draw(spark):
+    measured, labels = made(spark, 100, 100, 0)
+    assert QR.calibrate(measured, labels, min_good=1).count() == 0
+    many = labels.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("k")
+    copies = measured.withColumn("id", F.explode(F.sequence(F.col("id"), F.col("id") + 19000, F.lit(1000))))
+    assert QR.calibrate(measured, many, min_good=1).count() == 0
+    assert QR.calibrate(copies, labels.withColumn("doc_id", F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 19000, F.lit(1000)))),
+                        min_good=1).count() == 0
+
+
+def chosen_by_hand(rows, alpha, delta, penalty, min_good):
+    """rows: (stratum, text, shares, good); every cut of every chain is tried."""
+    draws = {}
+    for stratum, text, shares, good in rows:
+        draws[stratum, text] = (shares, max(good, draws.get((stratum, text), (0, 0))[1]))
+    strata = {s for s, _ in draws}
+    n_good = {s: sum(g for (t, _), (_, g) in draws.items() if t == s) for s in strata}
+    strata = [s for s in strata if n_good[s] >= min_good]
+    level, out = delta / max(1, 3 * len(strata)), {}
+    for s in strata:
+        for k, signal in enumerate(QR.SIGNALS):
+            mine = [(x[k], g) for (t, _), (x, g) in draws.items() if t == s]
+            best = None
+            for cut in sorted({x for x, _ in mine}, reverse=True):
+                lost = sum(g for x, g in mine if x >= cut)
+                caught = sum(1 - g for x, g in mine if x >= cut)
+                p, n = alpha / 3, n_good[s]
+                tail = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(lost + 1))
+                if tail > level:
+                    break
+                gain = caught - penalty * lost
+                if cut > 0 and gain > 0 and (best is None or (gain, cut) > best[:2]):
+                    best = (gain, cut, lost, n, caught)
+            if best:
+                out[s, signal] = best[1:]
+    return out
+
+
+def test_calibration_equals_trying_every_cut(spark):
+    import random
+    rng = random.Random(11)
+    rows = []
+    for i in range(2600):
+        stratum, good = rng.choice(["a", "a", "b", None, f"junk{i % 300}"]), int(rng.random() < .7)
+        base = [0, 3, 10] if good else [20, 8, 30]
+        text = i if rng.random() < .9 else rng.randrange(i + 1)
+        rows.append((stratum, text, [max(0, min(100, int(rng.gauss(b, 6)))) for b in base], good))
+    first = {}
+    rows = [(s, t, first.setdefault((s, t), x), g) for s, t, x, g in rows]      # one text has one share
+    df = spark.createDataFrame([(i, s, t, *x, False, g) for i, (s, t, x, g) in enumerate(rows)],
+                               ["id", "stratum", "text_key", *QR.SIGNALS, "base_failed", "quality"])
+    cuts = QR.calibrate(df.drop("quality"), df.select(F.col("id").alias("doc_id"), "quality"), alpha=.1, min_good=150).collect()
+    got = {(c["stratum"], c["signal"]): (c["cut"], c["good_rejected"], c["n_good"], c["bad_rejected"]) for c in cuts}
+    assert got == chosen_by_hand(rows, .1, QR.DELTA, QR.PENALTY, 150) and len({s for s, _ in got}) == 3
