@@ -18,7 +18,9 @@ original backslash stands alone afterwards, so unescaping is exact.
 Rows of a conversation are put in order by turn (null first), then role, then
 text, so ties and repeated rows have one order.  Defined cases: a null text
 is empty, a null role is the empty role; a turn with no parts has empty
-content; an empty table gives no conversations; extra columns are ignored; a
+content; a part of an unknown type is an opaque attachment (``<|other:k|>``, one
+token) whose reference is its ref, or else its text; texts of any length are taken
+whole; an empty table gives no conversations; extra columns are ignored; a
 null conversation id is a conversation.  One conversation is one string in
 one row by contract; conversations are dealt by id and none is joined with
 another.
@@ -52,7 +54,8 @@ _ESCAPE = re.compile(r"\\|" + CONTROL.pattern)
 _UNESCAPE = re.compile(r"\\(\\?)")
 _UNESCAPE_ROLE = re.compile(r"\\([\\n]?)")
 _TURN = re.compile(r"<\|role\|>(.*?)\n(.*?)<\|end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
+KINDS = ("text", "image", "audio", "document")
 
 
 def escape(text: str) -> str:
@@ -88,10 +91,7 @@ class Flattener:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        visit = getattr(self, f"visit_{kind}", None)
-        if visit is None:
-            raise ValueError(f"unknown content part type: {kind!r}")
-        visit(part)
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other")(part)
 
     def visit_text(self, part: dict) -> None:
         start = self.length
@@ -109,6 +109,10 @@ class Flattener:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, part.get("pages") or 0) * DOCUMENT_TOKENS_PER_PAGE)
 
+    def visit_other(self, part: dict) -> None:
+        ref = part.get("ref")
+        self._attach("other", part | {"ref": part.get("text") if ref is None else ref}, 1)
+
     def _attach(self, kind: str, part: dict, n_tokens: int) -> None:
         k = len(self.attachments)
         self.attachments.append((k, kind, part.get("ref"), n_tokens, self.length))

@@ -10,12 +10,15 @@ probability of that language.
 Training rows: about ``SAMPLE_PER_LANGUAGE`` rows of each language, chosen by
 a hash of the id (a documented bound on what the driver gathers: at most
 ``MAX_WINDOWS_PER_ROW`` windows of ``WINDOW`` bytes a row, from hashed places
-all over the text).  Labels are used for training only.
+all over the text, of the ``MAX_LANGUAGES`` most frequent labels, so that a junk
+label column does not flood it).  Labels are used for training only.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 rows without label, text or id do not train; with fewer than one usable label
 every text is ``und``; with a single language all texts with a letter get it;
-extra columns are ignored; repeated rows are predicted alike.
+texts of any length are predicted from all of their windows; an empty table gives
+no network and an empty result; extra columns are ignored; repeated rows are
+predicted alike.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from dqlens.llm.common import ship_code
 WINDOW = 192                 # bytes
 SAMPLE_PER_LANGUAGE = 1500   # rows
 MAX_WINDOWS_PER_ROW = 2
+MAX_LANGUAGES = 300          # that the network learns: those with most labelled rows
 STEPS = 700                  # training steps of 128 windows
 EMBEDDING = 8
 FILTERS = {2: 16, 3: 16, 4: 16}      # width -> number of filters
@@ -154,8 +158,9 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     of a kept row only windows at hashed places travel."""
     text, lang, key = F.col(text_col), F.col(lang_col), F.col(id_col)
     usable = labelled.where(lang.isNotNull() & text.isNotNull() & key.isNotNull() & (F.length(text) > 0))
+    # the languages with most rows; ties by name
     counts = {r["lang"]: r["n"] for r in usable.groupBy(lang.alias("lang")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "w": []})
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])

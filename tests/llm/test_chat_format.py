@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -44,8 +43,6 @@ def test_parts_round_trip():
     assert CHAT.read_back(text, refs) == [
         ("user", [{k: v for k, v in p.items() if k in ("type", "text", "ref")} for p in PARTS]),
         ("assistant", [{"type": "text", "text": "fine </s>"}])]
-    with pytest.raises(ValueError):
-        CHAT.Flattener().turn("user", [{"type": "video"}])
 
 
 def plain(rows):
@@ -85,3 +82,13 @@ def test_typed_parts_column(spark):
     row = CHAT.format_conversations(df, parts=F.col("content")).first()
     assert row["attachment_tokens"] == 797 and [a["ref"] for a in row["attachments"]] == ["s3://a.png", "b.wav", "c.pdf"]
     assert [row["formatted"][a["at"]:].split("|>")[0] for a in row["attachments"]] == ["<|image:0", "<|audio:1", "<|document:2"]
+
+
+def test_unknown_parts_are_opaque_attachments():
+    f = CHAT.Flattener()
+    f.turn("user", [{"type": "video", "ref": "v.mp4"}, {"type": "text", "text": "see <|other:0|>"}, {"type": "tool", "text": "{}"},
+                    {"type": None, "text": "x"}])
+    assert [(a[1], a[2], a[3]) for a in f.attachments] == [("other", "v.mp4", 1), ("other", "{}", 1)]
+    back = CHAT.read_back("".join(f.out), [{"index": a[0], "ref": a[2]} for a in f.attachments])
+    assert back == [("user", [{"type": "other", "ref": "v.mp4"}, {"type": "text", "text": "see <|other:0|>"},
+                              {"type": "other", "ref": "{}"}, {"type": "text", "text": "x"}])]
