@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions import constants as K
-from dqlens.functions.expressions import pct1, suggestion_texts
+from dqlens.functions.expressions import col, pct1, quote, suggestion_texts
 from dqlens.operators.profile import NAME, POSITION
 
 
@@ -113,3 +113,55 @@ def empty_reports(spark, owners: list[tuple[str, str]]) -> DataFrame:
     ``(user_id, dataset_id)``."""
     return spark.createDataFrame([(u, d, 0, 0, [], {}, {}, {}, [], []) for u, d in owners],
                                  "user_id string, dataset_id string, " + REPORT_SCHEMA_DDL)
+
+
+# --------------------------------------------------------------------------
+# stored reports of any shape
+# --------------------------------------------------------------------------
+
+#: texts that count as numbers, blanks around them taken off
+NUMBER_TEXT = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
+
+
+def _number_sql(v: str) -> str:
+    """SQL text: a JSON value as a number, null if it is none.  Numbers and texts
+    of numbers count, true is 1, and false, JSON null and blank text are 0;
+    other texts, lists and objects are no numbers."""
+    text = f"trim(try_variant_get({v}, '$', 'string'))"
+    return (f"CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN 0D"
+            f" WHEN schema_of_variant({v}) = 'BOOLEAN' THEN if(try_variant_get({v}, '$', 'boolean'), 1D, 0D)"
+            f" WHEN schema_of_variant({v}) = 'STRING' THEN if({text} = '', 0D, if({text} RLIKE '{NUMBER_TEXT}', try_cast({text} AS double), NULL))"
+            f" WHEN schema_of_variant({v}) RLIKE '^(ARRAY|OBJECT)' THEN NULL"
+            f" ELSE try_variant_get({v}, '$', 'double') END")
+
+
+def numbers_of(doc: str, name: str) -> F.Column:
+    """P16: field ``name`` of a variant column as map<string,double>: entries that
+    are no numbers are dropped, and what is no object has no entries."""
+    entries = f"try_variant_get({doc}, '$.{name}', 'map<string,variant>')"
+    return F.expr(f"coalesce(map_filter(transform_values({entries}, (k, v) -> {_number_sql('v')}),"
+                  " (k, n) -> n IS NOT NULL), cast(map() AS map<string,double>))")
+
+
+def texts_of(doc: str, name: str) -> F.Column:
+    """P17: field ``name`` of a variant column as array<string>: null or absent is
+    the empty list, a single value a list of one; null in a list is the text
+    ``null``, nested values are their JSON."""
+    value, text = f"variant_get({doc}, '$.{name}', 'variant')", "coalesce(try_variant_get(x, '$', 'string'), to_json(x), 'null')"
+    many = f"try_variant_get({doc}, '$.{name}', 'array<variant>')"
+    return F.expr(f"CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN cast(array() AS array<string>)"
+                  f" ELSE transform(coalesce({many}, array({value})), x -> {text}) END")
+
+
+def tolerant_reports(frame: DataFrame, text_col: str) -> DataFrame:
+    """Reports stored as JSON text, whatever their shape: the columns of ``frame``
+    and ``row_count`` (double, 0 if it is no number), ``null_counts``,
+    ``bad_type_counts``, ``distinct_counts``, ``constant_columns``,
+    ``suggestions``.  Text that is no JSON is an empty report."""
+    doc = "__dqlens_doc"
+    parsed = frame.withColumn(doc, F.expr(f"try_parse_json({quote(text_col)})"))
+    rows = f"try_variant_get({doc}, '$.row_count', 'variant')"
+    return parsed.select(
+        *[col(c) for c in frame.columns], F.expr(f"coalesce({_number_sql(rows)}, 0D)").alias("row_count"),
+        *[numbers_of(doc, n).alias(n) for n in ("null_counts", "bad_type_counts", "distinct_counts")],
+        *[texts_of(doc, n).alias(n) for n in ("constant_columns", "suggestions")])

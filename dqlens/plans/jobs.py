@@ -11,6 +11,7 @@ import datetime as _dt
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from dqlens.operators import catalog as C
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
 from dqlens.operators import storage as ST
+from dqlens.session import scratch_path
 from dqlens.sources import csv as S
 
 
@@ -72,6 +74,10 @@ class Layout:
     def claims(self) -> str:
         return f"{self.base}/claims"
 
+    @property
+    def swept(self) -> str:
+        return f"{self.base}/swept"
+
     @property
     def staging(self) -> str:
         return f"{self.base}/staging"
@@ -230,6 +236,64 @@ def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: st
     return {"dataset_id": dataset_id, "archived": True, "fs_error": fs_error}
 
 
+SWEPT_SCHEMA = "dataset_id string, deleted_at timestamp_ntz"
+
+
+def archive_many(spark: SparkSession, base: str, ids: DataFrame, user_id: str, parallel: int = 16) -> DataFrame:
+    """K5 for a table of ids (column ``dataset_id``): ``(dataset_id, archived)``
+    of every distinct id; ids that the owner does not have are not archived.
+
+    The removal of all of them is one append of events, so from then on no
+    reader sees any; then their folders go (``sweep_removed``).  The number of Spark
+    jobs does not depend on the number of ids, and after a crash between the two
+    steps a sweep, or the next call, takes up what is left."""
+    layout, user_id = _layout(base), ST.checked_id(user_id)
+    asked = ids.select(F.col("dataset_id").cast("string").alias("dataset_id")).where(
+        "length(dataset_id) > 0").distinct()
+    has = current_catalog(spark, base, user_id).select("dataset_id", F.lit(True).alias("archived"))
+    # written down first: the events below change what the catalogue says
+    path = scratch_path(spark, "archive")
+    asked.join(has, "dataset_id", "left").select("dataset_id", F.coalesce("archived", F.lit(False)).alias("archived")) \
+        .write.parquet(path)
+    found = spark.read.schema("dataset_id string, archived boolean").parquet(path)
+    now = F.lit(_now()).cast("timestamp_ntz")
+    ST.append_event_frame(found.where("archived").select(
+        "dataset_id", F.lit(user_id).alias("user_id"), now.alias("updated_at"), now.alias("deleted_at"),
+        F.lit(ST.next_seq()).alias("seq")), layout.events)
+    sweep_removed(spark, base, user_id, parallel)
+    return found
+
+
+def sweep_removed(spark: SparkSession, base: str, user_id: str, parallel: int = 16) -> int:
+    """Delete the folders of an owner's removed datasets that no sweep has seen
+    to yet, and give their ids back; returns how many.  Deleting is a request to
+    the file system per folder, made by a few driver threads as the ids stream
+    past; a folder that is gone is no error, so a sweep may be repeated."""
+    layout, user_id = _layout(base), ST.checked_id(user_id)
+    folded = C.fold_events(ST.read_events(spark, layout.events, user_id))
+    gone = folded.where("deleted_at IS NOT NULL AND created_at IS NULL").select("dataset_id", "deleted_at")
+    mark = ST.partition_dir(spark, layout.swept, user_id=user_id)
+    if ST.exists(spark, mark):
+        gone = gone.join(spark.read.schema(SWEPT_SCHEMA).parquet(mark), ["dataset_id", "deleted_at"], "left_anti")
+    path = scratch_path(spark, "sweep")
+    gone.write.parquet(path)
+    pending = spark.read.schema(SWEPT_SCHEMA).parquet(path)
+
+    def clear(row) -> int:
+        for root in (layout.landing, layout.columns, layout.reports):
+            ST.delete_dataset_dir(spark, root, user_id, row["dataset_id"])
+        ST.release(spark, layout.claims, row["dataset_id"], user_id)
+        return 1
+
+    rows, n = pending.toLocalIterator(), 0
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        while batch := list(islice(rows, 1000)):
+            n += sum(pool.map(inheritable_thread_target(spark)(clear), batch))
+    if n:
+        pending.write.mode("append").parquet(mark)
+    return n
+
+
 # --------------------------------------------------------------------------
 # R1: gate
 # --------------------------------------------------------------------------

@@ -190,6 +190,41 @@ PROFILE_ORACLES = {
                      ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]),
 }
 
+# report texts of seven shapes, made from the events: (text, row count, missing, columns with missing, constants)
+REPORT_TEXTS = [
+    ("""'{"row_count": ' || k || ', "null_counts": {"a": ' || k || ', "b": "2", "c": "x"}, "constant_columns": ["p", "q"]}'""",
+     "k", "k + 2", "CASE WHEN k > 0 THEN 2 ELSE 1 END", "'p,q'"),
+    ("""'{"row_count": null, "null_counts": [1, ' || k || '], "constant_columns": []}'""", "0", "0", "0", "''"),
+    ("""'{"null_counts": null, "constant_columns": "solo"}'""", "0", "0", "0", "'solo'"),
+    ("""'{"null_counts": {"a": ' || k""", "0", "0", "0", "''"),
+    ("""'{"row_count": "12", "null_counts": {"a": null, "b": true, "d": ""}, "constant_columns": [' || k || ', null]}'""",
+     "12", "1", "1", "CAST(k AS VARCHAR) || ',null'"),
+    ("NULL", "0", "0", "0", "''"),
+    ("""'{"null_counts": {"a": 2.5, "b": " 3 ", "e": {"n": 1}, "f": [1]}, "constant_columns": ' || k || '}'""",
+     "0", "5.5", "2", "CAST(k AS VARCHAR)"),
+]
+
+
+def q_tolerant_reports(spark: SparkSession, sf: str) -> DataFrame:
+    texts = " ".join(f"WHEN {i} THEN {t}" for i, (t, *_) in enumerate(REPORT_TEXTS))
+    shaped = table(spark, sf, "events").selectExpr("event_id", "user_id AS k").selectExpr(
+        "event_id", f"CASE event_id % {len(REPORT_TEXTS)} {texts} END AS report")
+    found = F.filter(F.map_values("null_counts"), lambda n: n > 0)
+    return R.tolerant_reports(shaped, "report").select(
+        "event_id", "row_count", F.aggregate(found, F.lit(0.0), lambda t, n: t + n).alias("total_missing"),
+        F.size(found).alias("columns_with_missing"), F.array_join("constant_columns", ",").alias("constants"))
+
+
+def _report_texts_sql() -> str:
+    names = ("row_count", "total_missing", "columns_with_missing", "constants")
+    casts = ("DOUBLE", "DOUBLE", "INTEGER", "VARCHAR")
+    columns = ", ".join("CAST(CASE event_id % 7 " + " ".join(f"WHEN {i} THEN {shape[1 + j]}" for i, shape in enumerate(REPORT_TEXTS))
+                        + f" END AS {casts[j]}) AS {names[j]}" for j in range(4))
+    return f"SELECT event_id, {columns} FROM (SELECT event_id, user_id AS k FROM events) t"
+
+
+PROFILE_ORACLES["tolerant_reports"] = _report_texts_sql()
+
 PROFILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_count": q_row_count,
     "missing_counts": q_missing_counts,
@@ -203,6 +238,7 @@ PROFILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_report": q_profile_report,
     "lineitem_profile": q_lineitem_profile,
     "report_document": q_report_document,
+    "tolerant_reports": q_tolerant_reports,
 }
 
 
@@ -558,6 +594,16 @@ def q_archive_job(spark: SparkSession, sf: str) -> DataFrame:
     return J.list_datasets(spark, base, STORE_OWNER).select("dataset_id", "name", "status", "row_count")
 
 
+def q_archive_many(spark: SparkSession, sf: str) -> DataFrame:
+    """What the owner has left after a table of ids was archived at once; some
+    of the ids are others', or nobody's."""
+    base = _event_store(spark, sf)
+    ids = table(spark, sf, "orders").where("o_orderpriority IN ('1-URGENT', '5-LOW')").selectExpr("o_orderkey AS dataset_id")
+    done = J.archive_many(spark, base, ids.union(ids.selectExpr("-dataset_id")), STORE_OWNER)
+    left = J.list_datasets(spark, base, STORE_OWNER).select("dataset_id", F.lit("left").alias("answer"))
+    return left.union(done.select("dataset_id", F.when(F.col("archived"), F.lit("archived")).otherwise(F.lit("unknown"))))
+
+
 def q_dataset_names(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("dataset_id")).distinct()
     return C.name_of(ids, catalog_standin(spark, sf).where("status <> 'failed'"), K.UNKNOWN_DATASET_NAME)
@@ -568,6 +614,7 @@ CATALOG_QUERIES = {
     "get_status": q_get_status,
     "get_dataset": q_get_dataset,
     "archive_job": q_archive_job,
+    "archive_many": q_archive_many,
     "dataset_names": q_dataset_names,
     "catalog_list": q_catalog_list,
     "catalog_list_all": q_catalog_list_all,
@@ -650,6 +697,12 @@ CATALOG_ORACLES = {
   CASE step WHEN 'initial_analysis' THEN 'Analyse préliminaire' ELSE step END AS step_label
 FROM cat""",
     "display_name": CATALOG_SQL + "SELECT dataset_id, filename, custom_name, name FROM cat",
+    "archive_many": CATALOG_SQL + f"""SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, 'left' AS answer FROM cat
+WHERE CAST(user_id % 10 AS VARCHAR) = '{STORE_OWNER}' AND dataset_id NOT IN
+ (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN CAST(o_custkey % 10 AS VARCHAR) = '{STORE_OWNER}' THEN 'archived' ELSE 'unknown' END
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT CAST(-o_orderkey AS VARCHAR), 'unknown' FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     "archive_dataset": CATALOG_SQL + (
         "SELECT dataset_id, user_id, status FROM cat c WHERE NOT EXISTS (SELECT 1 FROM cat d"
         " WHERE d.created_at < TIMESTAMP '1996-01-01' AND d.dataset_id = c.dataset_id AND d.user_id = c.user_id)"),

@@ -408,3 +408,48 @@ def test_readers_own_parsing_is_kept(spark, store, tmp_text_dir):
     rep = J.ingest_and_profile(spark, store, path, "d", "u39", schema="d date, n double",
                                dateFormat="dd/MM/yyyy", nanValue="NA").first()
     assert rep["null_counts"] == {"d": 1, "n": 0} and rep["distinct_counts"] == {"d": 3, "n": 3}
+
+
+def _registered(spark, store, owner, n):
+    now = J._now()
+    J.ST.append_events(spark, f"{store}/catalog_events",
+                       [J.registration_event(f"d{i}", owner, f"f{i}.csv", None, now) for i in range(n)])
+
+
+def test_many_are_archived_in_a_constant_number_of_jobs(spark, store):
+    sc = spark.sparkContext
+    _registered(spark, store, "u40", 600)
+
+    def jobs(ids, group):
+        sc.setJobGroup(group, group)
+        try:
+            out = J.archive_many(spark, store, spark.createDataFrame([(i,) for i in ids], "dataset_id string"), "u40")
+        finally:
+            sc.setJobGroup(None, None)
+        return len(sc.statusTracker().getJobIdsForGroup(group)), {r["dataset_id"]: r["archived"] for r in out.collect()}
+    few, got = jobs(["d0", "d1", "nobody", "d0"], "archive-few")
+    assert got == {"d0": True, "d1": True, "nobody": False}
+    many, got = jobs([f"d{i}" for i in range(500)], "archive-many")
+    assert sum(got.values()) == 498 and many <= few + 2
+    assert J.list_datasets(spark, store, "u40").count() == 100
+
+
+def test_a_sweep_takes_up_what_a_crash_left(spark, store, tmp_text_dir, monkeypatch):
+    path = _csv(tmp_text_dir, "t.csv", "a\n1\n")
+    J.ingest_many(spark, store, [{"path": path, "dataset_id": d} for d in ("x/1", "y", "z")], "u41")
+    ids = spark.createDataFrame([("x/1",), ("y",)], "dataset_id string")
+
+    def crash(*a):
+        raise OSError("driver lost")
+    with monkeypatch.context() as broken:
+        broken.setattr(J.ST, "delete_dataset_dir", crash)
+        with pytest.raises(OSError):
+            J.archive_many(spark, store, ids, "u41")
+    assert [r["dataset_id"] for r in J.list_datasets(spark, store, "u41").collect()] == ["z"]
+    assert J.ST.claim_owner(spark, J.Layout(store).claims, "y") == "u41"
+    assert J.sweep_removed(spark, store, "u41") == 2 and J.sweep_removed(spark, store, "u41") == 0
+    assert {r["dataset_id"] for r in J.reports_table(spark, store).collect()} == {"z"}
+    J.ingest_and_profile(spark, store, path, "y", "u42")           # free for another owner
+    J.ingest_and_profile(spark, store, path, "x/1", "u41")         # and to be made again
+    J.archive_many(spark, store, ids, "u41")
+    assert {(r["user_id"], r["dataset_id"]) for r in J.reports_table(spark, store).collect()} == {("u41", "z"), ("u42", "y")}

@@ -212,3 +212,17 @@ def test_strings_read_as_declared_types(spark):
     rough = {r["column_name"]: (r["row_count"], r["n_missing"], r["n_bad"])
              for r in P.profile_strings(raw, schema, {"b": "int"}, exact=False).collect()}
     assert rough == {k: (v[0], v[1], v[3]) for k, v in got.items()}
+
+
+def test_reports_of_any_shape(spark):
+    texts = ['{"row_count": 5, "null_counts": {"a": 1, "b": "2", "c": "x", "d": null, "e": true, "f": "", "g": [1], "h": {"z": 1},'
+             ' "i": 2.5, "j": " 3 ", "k": "1d", "l": -1e2}, "constant_columns": ["p", 1, null, {"q": 1}], "suggestions": "one"}',
+             '{"null_counts": [1, 2], "constant_columns": null, "suggestions": 7}', '{"null_counts": "x"', None, "5",
+             '{"row_count": "12"}', "[]", '{"row_count": {"a": 1}, "suggestions": []}']
+    df = spark.createDataFrame(list(enumerate(texts)), "`i.d` int, t string")
+    got = {r["i.d"]: r for r in R.tolerant_reports(df, "t").collect()}
+    assert got[0]["null_counts"] == {"a": 1, "b": 2, "d": 0, "e": 1, "f": 0, "i": 2.5, "j": 3, "l": -100}
+    assert got[0]["constant_columns"] == ["p", "1", "null", '{"q":1}'] and got[0]["suggestions"] == ["one"]
+    assert [got[i]["row_count"] for i in range(8)] == [5, 0, 0, 0, 0, 12, 0, 0]
+    assert all(got[i]["null_counts"] == {} and got[i]["constant_columns"] == [] for i in range(1, 8))
+    assert [got[i]["suggestions"] for i in range(1, 8)] == [["7"], [], [], [], [], [], []]
