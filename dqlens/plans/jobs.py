@@ -279,10 +279,15 @@ def sweep_removed(spark: SparkSession, base: str, user_id: str, parallel: int =
     gone.write.parquet(path)
     pending = spark.read.schema(SWEPT_SCHEMA).parquet(path)
 
+    roots = [root for root in (layout.landing, layout.columns, layout.reports)
+             if ST.exists(spark, ST.partition_dir(spark, root, user_id=user_id))]
+    claims = ST.exists(spark, layout.claims)
+
     def clear(row) -> int:
-        for root in (layout.landing, layout.columns, layout.reports):
+        for root in roots:
             ST.delete_dataset_dir(spark, root, user_id, row["dataset_id"])
-        ST.release(spark, layout.claims, row["dataset_id"], user_id)
+        if claims:
+            ST.release(spark, layout.claims, row["dataset_id"], user_id)
         return 1
 
     rows, n = pending.toLocalIterator(), 0

@@ -599,7 +599,7 @@ def q_archive_many(spark: SparkSession, sf: str) -> DataFrame:
     of the ids are others', or nobody's."""
     base = _event_store(spark, sf)
     ids = table(spark, sf, "orders").where("o_orderpriority IN ('1-URGENT', '5-LOW')").selectExpr("o_orderkey AS dataset_id")
-    done = J.archive_many(spark, base, ids.union(ids.selectExpr("-dataset_id")), STORE_OWNER)
+    done = J.archive_many(spark, base, ids.union(ids.selectExpr("-1 - dataset_id")), STORE_OWNER)
     left = J.list_datasets(spark, base, STORE_OWNER).select("dataset_id", F.lit("left").alias("answer"))
     return left.union(done.select("dataset_id", F.when(F.col("archived"), F.lit("archived")).otherwise(F.lit("unknown"))))
 
@@ -702,7 +702,7 @@ WHERE CAST(user_id % 10 AS VARCHAR) = '{STORE_OWNER}' AND dataset_id NOT IN
  (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN CAST(o_custkey % 10 AS VARCHAR) = '{STORE_OWNER}' THEN 'archived' ELSE 'unknown' END
 FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
-UNION ALL SELECT CAST(-o_orderkey AS VARCHAR), 'unknown' FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+UNION ALL SELECT CAST(-1 - o_orderkey AS VARCHAR), 'unknown' FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     "archive_dataset": CATALOG_SQL + (
         "SELECT dataset_id, user_id, status FROM cat c WHERE NOT EXISTS (SELECT 1 FROM cat d"
         " WHERE d.created_at < TIMESTAMP '1996-01-01' AND d.dataset_id = c.dataset_id AND d.user_id = c.user_id)"),
