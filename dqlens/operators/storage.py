@@ -81,6 +81,30 @@ def qualified(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(p).toUri().toString()).rstrip("/")
 
 
+HEADER_BYTES = 1 << 16
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of an uncompressed UTF-8 file, or None if it is not one, is
+    empty, or the line is blank or longer than ``HEADER_BYTES``."""
+    p, fs = _fs(spark, path)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory() or codecs.getCodec(p) is not None:
+        return None
+    stream = fs.open(p)
+    try:
+        data = bytes(stream.readNBytes(HEADER_BYTES))
+    finally:
+        stream.close()
+    line, end, _ = data.partition(b"\n")
+    try:
+        text = line.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text.strip() and (end or len(data) < HEADER_BYTES) and "\r" not in text[:-1] else None
+
+
 def delete_dataset_dir(spark: SparkSession, root: str, user_id, dataset_id) -> bool:
     """Delete one dataset's folder of a table; refuses any path whose parent is
     not the owner's folder.  A missing folder is not an error."""

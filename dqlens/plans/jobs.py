@@ -460,6 +460,19 @@ def _store_reports(spark: SparkSession, layout: Layout, user_id: str, uploads: d
     ST.write_partitions(reports, layout.reports)
 
 
+def _infer_together(spark: SparkSession, items: list[dict]) -> dict[str, T.StructType]:
+    """Schemas of the plain files among several uploads, from one job.  Folders,
+    and what that job cannot tell, are left to an inference of their own."""
+    if len(items) < 2:
+        return {}
+    try:
+        headers = {it["dataset_id"]: ST.first_line(spark, it["path"]) for it in items}
+        headers = {d: h for d, h in headers.items() if h is not None}
+        return S.infer_many(spark, {it["dataset_id"]: ST.qualified(spark, it["path"]) for it in items}, headers)
+    except Exception:  # noqa: BLE001 -- a file that cannot be read fails alone, in its own step
+        return {}
+
+
 def _profile_apart(spark: SparkSession, layout: Layout, user_id: str, uploads: dict[str, dict], exact: bool,
                    csv_options: dict) -> dict[str, Exception]:
     """Profile and store a batch together; the uploads that cannot be, with
@@ -495,9 +508,9 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
     ``UploadRejected`` is raised.  Lines are counted while they are landed
     beside the store, and a rename makes them the dataset's: the gate reads
     nothing by itself.  Each status change of the batch is one append; profiles
-    and reports are written with one job each.  What stays per upload is what
-    depends on its own file -- the landing and the schema inference -- submitted
-    from ``parallel`` driver threads.
+    and reports are written with one job each, and the schemas of plain files are
+    inferred in one.  What stays per upload is what depends on its own file -- the
+    landing, and the inference of folders -- submitted from ``parallel`` driver threads.
 
     Idempotent per dataset id.  An upload that cannot be read, landed or
     profiled fails alone (its own ``failed`` event with the whole message); the
@@ -533,7 +546,9 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         return {it["dataset_id"]: got for it, (got, exc) in zip(todo, done) if exc is None}
 
     def infer(it: dict) -> dict:
-        schema = S.read_typed(spark, it["path"], schema=it.get("schema"), **csv_options).schema
+        schema = inferred.get(it["dataset_id"])
+        if schema is None:
+            schema = S.read_typed(spark, it["path"], schema=it.get("schema"), **csv_options).schema
         wanted = {n: _wanted_type(t) for n, t in (it.get("wanted") or {}).items()}
         if absent := set(wanted) - set(schema.names):
             raise ValueError(f"no such column to check: {', '.join(sorted(absent))}")
@@ -555,7 +570,9 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         landed = step(lambda it: ST.commit_landing(spark, place[it["dataset_id"]], layout.landing, user_id, it["dataset_id"]),
                       [it for it in accepted() if it["dataset_id"] in staged])
         ST.append_events(spark, layout.events, [event(i, "analyzing", hdfs_path=p) for i, p in landed.items()])
-        uploads = step(infer, [it for it in accepted() if it["dataset_id"] in landed])
+        todo = [it for it in accepted() if it["dataset_id"] in landed]
+        inferred = _infer_together(spark, [it for it in todo if it.get("schema") is None]) if not csv_options else {}
+        uploads = step(infer, todo)
         uploads = {d: u | {"landed": landed[d]} for d, u in uploads.items()}
         if uploads:
             failed |= _profile_apart(spark, layout, user_id, uploads, exact, csv_options)

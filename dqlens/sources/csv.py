@@ -7,8 +7,11 @@ full pass, every other option at Spark's default.  Dialect options
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqlens.functions.expressions import is_csv_file
 from dqlens.session import session_conf
@@ -48,6 +51,76 @@ def read_typed(spark: SparkSession, path: str, timestamp_ntz: bool = False,
         return reader.csv(path)   # the schema is inferred here, eagerly
 
 
+# --------------------------------------------------------------------------
+# inference of many files in one job
+# --------------------------------------------------------------------------
+
+# what a value can be read as, one bit each; OTHER is left to Spark's own inference
+INT, LONG, DOUBLE, DATE, TIMESTAMP, BOOLEAN, STRING, OTHER = (1 << k for k in range(8))
+
+
+def value_kind(v: Column) -> Column:
+    """The narrowest kind of a CSV value, in the order in which the reader's
+    inference tries them (0 for null).  Whole numbers beyond bigint and digits
+    of other scripts are ``OTHER``: rare, and their types depend on their neighbours."""
+    special = v.isin("NaN", "Inf", "-Inf", "Infinity", "+Infinity", "-Infinity") | ~v.rlike("(?i)nan|inf")
+    whole = F.when(v.try_cast("int").isNotNull(), INT).when(v.try_cast("bigint").isNotNull(), LONG).otherwise(OTHER)
+    return (F.when(v.isNull(), 0).when(v.rlike("^[+-]?[0-9]+$"), whole)
+            .when(v.rlike("^[+-]?[0-9]+[.]$") | v.rlike(r"[\p{Nd}&&[^0-9]]"), OTHER)
+            .when(v.try_cast("double").isNotNull() & special, DOUBLE)
+            .when(v.rlike("^-?[0-9]{4}-[0-9]{2}-[0-9]{2}$") & v.try_cast("date").isNotNull(), DATE)
+            .when(v.try_cast("timestamp").isNotNull(), TIMESTAMP)
+            .when(F.lower(v).isin("true", "false"), BOOLEAN).otherwise(STRING))
+
+
+def column_type(kinds: int) -> T.DataType | None:
+    """The type that holds all kinds of a column; None leaves it to Spark."""
+    if kinds & OTHER:
+        return None
+    for held, dtype in ((INT, T.IntegerType()), (INT | LONG, T.LongType()), (INT | LONG | DOUBLE, T.DoubleType()),
+                        (DATE, T.DateType()), (DATE | TIMESTAMP, T.TimestampType()), (BOOLEAN, T.BooleanType())):
+        if kinds and not kinds & ~held:
+            return dtype
+    return T.StringType()
+
+
+def safe_names(cells: list[str | None]) -> list[str]:
+    """Column names of a header as the reader makes them: empty ones are
+    ``_c<i>``, repeated ones (whatever their case) get their position."""
+    lower = [c.lower() for c in cells if c]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def infer_many(spark: SparkSession, places: dict[str, str], headers: dict[str, str]) -> dict[str, T.StructType]:
+    """Schemas of many CSV files of the default dialect, in one job: id ->
+    schema.  ``places``: id -> path as the reader spells it; ``headers``: id ->
+    first line.
+
+    All of them are one scan of strings, as wide as the widest header; a value's kind is
+    found where it is read, and what crosses the shuffle is one bit set per task,
+    file and column.  Files that need Spark's own inference (``value_kind``, or
+    quotes or a byte order mark in the header) have no entry in the result.  A data
+    line that repeats the header counts as data."""
+    headers = {d: h for d, h in headers.items() if d in places and '"' not in h and not h.startswith("\ufeff")}
+    if not headers or spark.conf.get("spark.sql.timestampType") != "TIMESTAMP_LTZ":
+        return {}
+    cells = {d: [c or None for c in h.rstrip("\r").split(",")] for d, h in headers.items()}
+    width = max(map(len, cells.values()))
+    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True).csv(
+        list(dict.fromkeys(places[d] for d in headers)))
+    # one row per file: about as much as the reader's listing
+    found = raw.withColumn("_file", F.col("_metadata.file_path")).groupBy("_file").agg(
+        *[F.bit_or(value_kind(F.col(f"c{i}"))).alias(f"k{i}") for i in range(width)]).collect()
+    plain = lambda path: re.sub("^file:/+", "file:/", path)
+    kinds = {plain(r["_file"]): [r[f"k{i}"] or 0 for i in range(width)] for r in found}
+    out = {}
+    for d, names in cells.items():
+        types = [column_type(k) for k in kinds.get(plain(places[d]), [0] * width)[:len(names)]]
+        if None not in types:
+            out[d] = T.StructType([T.StructField(n, t) for n, t in zip(safe_names(names), types)])
+    return out
+
+
 def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """Raw scan of the same file: every column a string, no inference pass."""
     reader = spark.read.option("header", True).option("inferSchema", False)

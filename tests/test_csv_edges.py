@@ -140,3 +140,42 @@ def test_known_schema_skips_inference(spark, tmp_text_dir):
     finally:
         sc.setJobGroup(None, None)
     assert _types(df) == ["bigint", "string"] and df.count() == 2
+
+
+VALUES = ["1", "-1", "+1", "007", " 1", "1 ", "2147483648", "-9223372036854775808", "9223372036854775808", "1.", "1e3", ".5", "1d",
+          "0x1p3", "NaN", "nan", "Inf", "+Inf", "inf", "Infinity", "infinity", "2024", "2024-01", "2024-1-2", "2024-01-02", "2024-01-02 ",
+          "-2024-01-02", "+2024-01-02", "2024-01-02T10", "2024-01-02 10:00:00", "2024-01-02T10:00:00Z", "2024-02-30", "2024-01-02 25:00:00",
+          "true", "False", "t", " true", "yes", "", "x", "é", "１２", "1,5", "2024-01-02T", "null", "1_000", "-", "\t1"]
+
+
+def _as_spark_infers(spark, folder, texts):
+    from dqlens.operators import storage as ST
+    paths = {f"d{i}": _write(folder, f"m{i}.csv", t) for i, t in enumerate(texts)}
+    headers = {d: ST.first_line(spark, p) for d, p in paths.items()}
+    got = S.infer_many(spark, {d: ST.qualified(spark, p) for d, p in paths.items()},
+                       {d: h for d, h in headers.items() if h is not None})
+    for d, schema in got.items():
+        want = S.read_typed(spark, paths[d]).schema
+        assert [(f.name, f.dataType) for f in schema.fields] == [(f.name, f.dataType) for f in want.fields], texts[int(d[1:])]
+    return got
+
+
+def test_inference_together_equals_sparks_own(spark, tmp_text_dir):
+    import random
+    rng = random.Random(5)
+    quoted = lambda v: '"' + v + '"' if "," in v else v
+    texts = ["a,b\n" + quoted(v) + ",1\n" for v in VALUES]
+    for _ in range(25):
+        n = rng.randint(1, 4)
+        pool = [rng.sample(VALUES, rng.randint(1, 3)) for _ in range(n)]
+        texts.append(",".join(f"c{i}" for i in range(n)) + "\n" + "".join(
+            ",".join(quoted(rng.choice(p)) for p in pool) + "\n" for _ in range(5)))
+    got = _as_spark_infers(spark, tmp_text_dir, texts)
+    assert len(got) >= len(texts) - 14              # beyond bigint, or digits of other scripts
+
+
+def test_inference_together_of_odd_files(spark, tmp_text_dir):
+    texts = ["a,A,a\n1,2,3\n", "a,,c\n1,2,3\n", "a.b\n1\n", "a;b\n1;2\n", "a,b\n,1\n,2\n", "a,b\n", "", "\n\na\n1\n",
+             "a,b\n1\n2,x,9\n", "a,b\r\n1,x\r\n", "a\n1\n\n2\n", '"a",b\n1,2\n', "a\n2024-01-02\n2024-02-03 10:00:00\n", "a,b"]
+    got = _as_spark_infers(spark, tmp_text_dir, texts)
+    assert {"d0", "d1", "d2", "d3", "d4", "d5", "d8", "d9", "d10", "d12"} <= set(got) and "d6" not in got

@@ -453,3 +453,16 @@ def test_a_sweep_takes_up_what_a_crash_left(spark, store, tmp_text_dir, monkeypa
     J.ingest_and_profile(spark, store, path, "x/1", "u41")         # and to be made again
     J.archive_many(spark, store, ids, "u41")
     assert {(r["user_id"], r["dataset_id"]) for r in J.reports_table(spark, store).collect()} == {("u41", "z"), ("u42", "y")}
+
+
+def test_400_files_are_inferred_in_one_job(spark, tmp_text_dir):
+    paths = [_csv(tmp_text_dir, f"n{i}.csv", f"k{i % 3},v\n1,{'x' if i % 2 else 2.5}\n") for i in range(400)]
+    items = [{"path": p, "dataset_id": f"n{i}"} for i, p in enumerate(paths)]
+    sc = spark.sparkContext
+    sc.setJobGroup("infer", "infer")
+    try:
+        got = J._infer_together(spark, items)
+    finally:
+        sc.setJobGroup(None, None)
+    assert len(got) == 400 and len(sc.statusTracker().getJobIdsForGroup("infer")) <= 3      # listing, map stage, result
+    assert got["n1"].simpleString() == "struct<k1:int,v:string>" and got["n2"].simpleString() == "struct<k2:int,v:double>"
