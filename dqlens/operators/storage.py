@@ -7,6 +7,7 @@ Layout below one base folder (any Hadoop path: HDFS, object store, local):
     <base>/columns/user_id=<u>/dataset_id=<d>/part-*.parquet   long-form profile
     <base>/catalog_events/user_id=<u>/part-*.parquet           status events
     <base>/claims/<hh>/<hash of the id>                        owner of an id
+    <base>/states/user_id=<u>/dataset_id=<d>/increment=<n>/    value states of a growing dataset
 
 Folder names are escaped with Spark's own rules, so any id is one path
 component.  Writes of one dataset replace its folder, so re-running a job for
@@ -135,9 +136,9 @@ def read_partitions(spark: SparkSession, base: str, user_id, dataset_ids,
 # landing: the raw lines
 # --------------------------------------------------------------------------
 
-def stage_raw(spark: SparkSession, path: str, staging: str) -> dict:
-    """K1, first half: write every line of an upload (a file or a folder of part
-    files) with its file and place below ``staging``, and count while writing.
+def stage_raw(spark: SparkSession, path, staging: str) -> dict:
+    """K1, first half: write every line of an upload (a file, a folder of part
+    files, or a list of files) with its file and place below ``staging``, and count while writing.
 
     A line is what stands before a ``\\n``; carriage returns, quotes, blank
     lines and fields too many stay in it.  ``file_size`` tells whether the last
@@ -158,9 +159,10 @@ def stage_raw(spark: SparkSession, path: str, staging: str) -> dict:
     return counts | {"n_rows": counts["n_lines"] - counts["n_files"]}
 
 
-def commit_landing(spark: SparkSession, staging: str, base: str, user_id, dataset_id) -> str:
-    """K1, second half: the staged lines replace the dataset's folder (a rename)."""
-    target = partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id)
+def commit_landing(spark: SparkSession, staging: str, base: str, user_id, dataset_id, **increment) -> str:
+    """K1, second half: the staged lines replace the dataset's folder, or that of
+    one increment of it (a rename)."""
+    target = partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id, **increment)
     new, fs = _fs(spark, target)
     fs.mkdirs(new.getParent())
     fs.delete(new, True)
@@ -187,7 +189,8 @@ def land_raw(spark: SparkSession, path: str, base: str, user_id, dataset_id) ->
 def read_landed(spark: SparkSession, base: str, user_id, dataset_id) -> DataFrame:
     """The landed lines of a dataset (``file, file_size, block, seq, line``);
     sorted by the first, third and fourth column they are the files again."""
-    return spark.read.schema(LANDED_SCHEMA).parquet(partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id))
+    landed = spark.read.schema(LANDED_SCHEMA).parquet(partition_dir(spark, base, user_id=user_id, dataset_id=dataset_id))
+    return landed.select("file", "file_size", "block", "seq", "line")         # increments are folders of it
 
 
 # --------------------------------------------------------------------------

@@ -8,6 +8,7 @@ uploads it was given, their schemas and their verdicts.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from dqlens.functions.expressions import bad_value
 from dqlens.operators import catalog as C
 from dqlens.operators import profile as P
 from dqlens.operators import report as R
+from dqlens.operators import state as VS
 from dqlens.operators import storage as ST
 from dqlens.session import scratch_path
 from dqlens.sources import csv as S
@@ -74,6 +76,10 @@ class Layout:
     def claims(self) -> str:
         return f"{self.base}/claims"
 
+    @property
+    def states(self) -> str:
+        return f"{self.base}/states"
+
     @property
     def swept(self) -> str:
         return f"{self.base}/swept"
@@ -225,7 +231,7 @@ def archive_dataset(spark: SparkSession, base: str, dataset_id: str, user_id: st
     layout, dataset_id, user_id = _layout(base), ST.checked_id(dataset_id), ST.checked_id(user_id)
     _require(spark, base, dataset_id, user_id)
     fs_error = None
-    for root in (layout.landing, layout.columns, layout.reports):
+    for root in (layout.landing, layout.columns, layout.reports, layout.states):
         try:
             ST.delete_dataset_dir(spark, root, user_id, dataset_id)
         except Exception as exc:  # noqa: BLE001 -- reported, not raised
@@ -279,7 +285,7 @@ def sweep_removed(spark: SparkSession, base: str, user_id: str, parallel: int =
     gone.write.parquet(path)
     pending = spark.read.schema(SWEPT_SCHEMA).parquet(path)
 
-    roots = [root for root in (layout.landing, layout.columns, layout.reports)
+    roots = [root for root in (layout.landing, layout.columns, layout.reports, layout.states)
              if ST.exists(spark, ST.partition_dir(spark, root, user_id=user_id))]
     claims = ST.exists(spark, layout.claims)
 
@@ -589,3 +595,140 @@ def ingest_many(spark: SparkSession, base: str, items: list[dict], user_id: str,
         ST.remove(spark, staging)
         for d in set(new) & set(reasons):
             ST.release(spark, layout.claims, d, user_id)
+
+
+# --------------------------------------------------------------------------
+# R1 for datasets that gain files
+# --------------------------------------------------------------------------
+
+STATE_SCHEMA = VS.VALUE_FIELDS + ", user_id string, dataset_id string, increment string"
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    line = ST.first_line(spark, path)
+    if line is None or '"' in line or line.startswith("\ufeff"):
+        return S.read_raw(spark, path).columns
+    return S.safe_names([c or None for c in line.rstrip("\r").split(",")])
+
+
+def _known_names(spark: SparkSession, layout: Layout, user_id: str, ids: list[str]) -> dict[str, list[str] | None]:
+    """Column names of the datasets that are profiled already; None for those
+    without a state, as after an ingest of the whole."""
+    ids = [d for d in ids if ST.exists(spark, ST.partition_dir(spark, layout.columns, user_id=user_id, dataset_id=d))]
+    without = [d for d in ids if not ST.exists(spark, ST.partition_dir(spark, layout.states, user_id=user_id, dataset_id=d))]
+    ids = [d for d in ids if d not in without]
+    if not ids:
+        return dict.fromkeys(without)
+    rows = ST.read_partitions(spark, layout.columns, user_id, ids, COLUMNS_SCHEMA).groupBy("dataset_id").agg(
+        F.sort_array(F.collect_list(F.struct(P.POSITION, P.NAME))).alias("c")).collect()
+    return dict.fromkeys(without) | {r["dataset_id"]: [c[P.NAME] for c in r["c"]] for r in rows}
+
+
+def _add_states(spark: SparkSession, layout: Layout, user_id: str, items: list[dict], names: dict[str, list[str]]) -> None:
+    """Count the values of the new files of a batch (one scan) and write them as
+    the items' increments; an increment that is written again replaces itself."""
+    width = max(len(names[it["dataset_id"]]) for it in items)
+    files = [(f, it["dataset_id"], step) for it in items for step, fs in it["files"].items() for f in fs]
+    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True).csv([f for f, _, _ in files])
+    files = [(re.sub("^file:/+", "file:/", ST.qualified(spark, f)), d, step) for f, d, step in files]
+    # as many rows as the reader has listed files
+    owner = spark.createDataFrame(files, "_file string, dataset_id string, increment string")
+    keyed = raw.withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")).join(
+        owner, "_file").drop("_file")
+    state = VS.value_state(keyed, ["dataset_id", "increment"]).withColumn("user_id", F.lit(user_id))
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("user_id", "dataset_id", "increment").parquet(layout.states)
+
+
+def ingest_increments(spark: SparkSession, base: str, items: list[dict], user_id: str, parallel: int = 8) -> DataFrame:
+    """Ingest datasets that gain files, reading the new files only.
+
+    ``items``: dicts with ``path`` (the dataset's folder or file), ``dataset_id``,
+    ``files`` (the new ones: increment -> files) and optionally ``filename``.  An
+    increment is a name for files that came together; when it is given again, as
+    after a crash, it replaces itself, so a file must keep its increment.  The new
+    files are landed and their values are counted; the profile is made from the counts of
+    all increments (``operators.state``) and equals that of the whole folder.  The
+    default dialect only.
+
+    A dataset whose header changed, or whose types the values do not tell, or that
+    has a profile but no counts, is profiled again from all of its files, and so is every dataset of a batch whose
+    common step failed (``ingest_many``, where what fails fails alone).  If every
+    dataset failed, the first error is raised.  Returns the stored reports of the others."""
+    layout, user_id = _layout(base), ST.checked_id(user_id)
+    items = [dict(it, dataset_id=ST.checked_id(it["dataset_id"])) for it in items]
+    ids = [it["dataset_id"] for it in items]
+    _claimed(spark, layout, ids, user_id)
+    full: dict[str, dict] = {}
+    staging = f"{layout.staging}/{uuid.uuid4().hex}"
+    stored = None
+    try:
+        names = {it["dataset_id"]: got for it, (got, exc) in zip(items, _in_parallel(
+            spark, lambda it: _header(spark, next(iter(it["files"].values()))[0]), items, parallel)) if exc is None}
+        known = _known_names(spark, layout, user_id, ids)
+        full = {it["dataset_id"]: it for it in items
+                if not names.get(it["dataset_id"]) or known.get(it["dataset_id"], names[it["dataset_id"]]) != names[it["dataset_id"]]}
+        todo = [it for it in items if it["dataset_id"] not in full]
+        if todo:
+            now = _now()
+            ST.append_events(spark, layout.events, [
+                registration_event(it["dataset_id"], user_id, _file_name(it), None, now) for it in todo
+                if it["dataset_id"] not in known] + [
+                C.status_event(it["dataset_id"], user_id, "uploading_hdfs", now) for it in todo])
+
+            def land(it: dict) -> str:
+                for step, files in it["files"].items():
+                    place = f"{staging}/{ids.index(it['dataset_id'])}-{step}"
+                    ST.stage_raw(spark, files, place)
+                    ST.commit_landing(spark, place, layout.landing, user_id, it["dataset_id"], increment=step)
+                return ST.partition_dir(spark, layout.landing, user_id=user_id, dataset_id=it["dataset_id"])
+
+            landed = {}
+            for it, (place, exc) in zip(todo, _in_parallel(spark, land, todo, parallel)):
+                if exc is None:
+                    landed[it["dataset_id"]] = place
+                else:
+                    full[it["dataset_id"]] = it
+            todo = [it for it in todo if it["dataset_id"] in landed]
+        if todo:
+            ST.append_events(spark, layout.events, [C.status_event(d, user_id, "analyzing", _now(), hdfs_path=p)
+                                                    for d, p in landed.items()])
+            _add_states(spark, layout, user_id, todo, names)
+            state = ST.read_partitions(spark, layout.states, user_id, list(landed), T._parse_datatype_string(STATE_SCHEMA))
+            columns = spark.createDataFrame([(d, i, n) for d in landed for i, n in enumerate(names[d])],
+                                            f"dataset_id string, {P.POSITION} int, {P.NAME} string")
+            prof = VS.profile_of_state(state.drop("user_id", "increment"), columns, ["dataset_id"])
+            # written beside the store first: only what its values tell is taken
+            path = scratch_path(spark, "increment-profiles")
+            prof.write.parquet(path)
+            prof = spark.read.schema(prof.schema).parquet(path)
+            vague = {r["dataset_id"] for r in prof.where("dtype IS NULL").select("dataset_id").distinct().collect()}
+            full |= {it["dataset_id"]: it for it in todo if it["dataset_id"] in vague}
+            good = [d for d in landed if d not in vague]
+            if good:
+                owner = spark.createDataFrame([(d, user_id) for d in good], "dataset_id string, user_id string")
+                ST.write_partitions(prof.join(owner, "dataset_id").select(*[
+                    F.col(f.name).cast(f.dataType) for f in COLUMNS_SCHEMA.fields]), layout.columns)
+                _store_reports(spark, layout, user_id, {
+                    d: {"landed": landed[d], "schema": T.StructType([T.StructField(n, T.StringType()) for n in names[d]])}
+                    for d in good})
+                stored = ST.read_partitions(spark, layout.reports, user_id, good, R.stored_report_schema())
+                ST.append_event_frame(stored.select(
+                    "dataset_id", "user_id", F.lit(_now()).cast("timestamp_ntz").alias("updated_at"),
+                    F.lit(ST.next_seq()).alias("seq"), F.lit("done").alias("status"), "row_count", "column_count"), layout.events)
+    except Exception:  # noqa: BLE001 -- the whole ingest below tells which dataset is to blame
+        full, stored = {it["dataset_id"]: it for it in items}, None
+    finally:
+        ST.remove(spark, staging)
+    if full:
+        for d in full:      # a state that was not taken is counted anew next time
+            ST.delete_dataset_dir(spark, layout.states, user_id, d)
+        try:
+            again = ingest_many(spark, base, [{k: v for k, v in it.items() if k != "files"}
+                                              for it in full.values()], user_id, parallel=parallel)
+        except Exception:
+            if stored is None:                  # else they have their failed events
+                raise
+            return stored
+        stored = again if stored is None else stored.unionByName(again)
+    return stored

@@ -73,12 +73,16 @@ def value_kind(v: Column) -> Column:
             .when(F.lower(v).isin("true", "false"), BOOLEAN).otherwise(STRING))
 
 
+#: the kinds that a type holds, narrowest first
+KIND_TYPES = ((INT, T.IntegerType()), (INT | LONG, T.LongType()), (INT | LONG | DOUBLE, T.DoubleType()),
+              (DATE, T.DateType()), (DATE | TIMESTAMP, T.TimestampType()), (BOOLEAN, T.BooleanType()))
+
+
 def column_type(kinds: int) -> T.DataType | None:
     """The type that holds all kinds of a column; None leaves it to Spark."""
     if kinds & OTHER:
         return None
-    for held, dtype in ((INT, T.IntegerType()), (INT | LONG, T.LongType()), (INT | LONG | DOUBLE, T.DoubleType()),
-                        (DATE, T.DateType()), (DATE | TIMESTAMP, T.TimestampType()), (BOOLEAN, T.BooleanType())):
+    for held, dtype in KIND_TYPES:
         if kinds and not kinds & ~held:
             return dtype
     return T.StringType()

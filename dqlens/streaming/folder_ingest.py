@@ -10,25 +10,30 @@ files are grouped by Spark, each is ingested once (however many steps its
 files came in), and a second table says up to which step it is done.  A run
 that dies in between leaves its datasets pending for the next one.
 
-Dataset ids are the SHA-256 of the path, so a folder that receives more files
-later, or a batch that is retried, replaces the same report.
+A folder that receives more files later is not read again: the new files are
+counted and its profile comes from the counts of all (``jobs.ingest_increments``).
+With CSV options or estimated counts every run reads the whole folder.
+
+Dataset ids are the SHA-256 of the path, so more files, or a batch that is
+retried, replace the same report.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import islice
+from itertools import groupby, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqlens.functions.expressions import is_csv_file
 from dqlens.operators import storage as ST
-from dqlens.plans.jobs import ingest_many
+from dqlens.plans.jobs import ingest_increments, ingest_many
 from dqlens.session import scratch_path
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-NEW_SCHEMA = "dataset string, step bigint"
+NEW_SCHEMA = "dataset string, file string, step bigint"
+DONE_SCHEMA = "dataset string, step bigint"
 BATCH = 256      # datasets that one ingest job takes together
 
 
@@ -38,17 +43,16 @@ def dataset_id_for(folder: str) -> str:
 
 
 def _datasets(files: DataFrame, root: str) -> DataFrame:
-    """The datasets of CSV files below ``root``: their first path component."""
+    """The CSV files below ``root`` and their datasets: the first path component."""
     name = F.element_at(F.split("path", "/"), -1)
     rel = F.expr(f"substring(path, {len(root) + 2})")
     dataset = F.concat(F.lit(root + "/"), F.element_at(F.split(rel, "/"), 1))
     return files.where(is_csv_file(name) & F.col("path").startswith(root + "/")) \
-        .select(dataset.alias("dataset")).distinct()
+        .select(dataset.alias("dataset"), F.col("path").alias("file")).distinct()
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NEW_SCHEMA).parquet(path) if ST.exists(spark, path) else \
-        spark.createDataFrame([], NEW_SCHEMA)
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if ST.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_id: str,
@@ -71,24 +75,30 @@ def ingest_folder_stream(spark: SparkSession, source_dir: str, base: str, user_i
 
     def note(batch: DataFrame, step: int) -> None:
         # a step that is repeated writes the same folder again
-        _datasets(batch, root).select("dataset", F.lit(step).cast("bigint").alias("step")) \
+        _datasets(batch, root).select("dataset", "file", F.lit(step).cast("bigint").alias("step")) \
             .write.mode("overwrite").parquet(f"{new_path}/at={step}")
 
     query = (reader.load(source_dir).select("path").writeStream.foreachBatch(note)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
-    new = _table(spark, new_path).groupBy("dataset").agg(F.max("step").alias("step"))
-    done = _table(spark, done_path).groupBy("dataset").agg(F.max("step").alias("done"))
+    done = _table(spark, done_path, DONE_SCHEMA).groupBy("dataset").agg(F.max("step").alias("done"))
     pending_path = scratch_path(spark, "folder-stream-pending")
-    new.join(done, "dataset", "left").where("done IS NULL OR done < step").select("dataset", "step") \
+    files = _table(spark, new_path, NEW_SCHEMA).join(done, "dataset", "left").where("done IS NULL OR done < step")
+    files.groupBy("dataset").agg(F.max("step").alias("step"), F.sort_array(F.collect_set(F.struct("step", "file"))).alias("files")) \
         .write.parquet(pending_path)
-    pending = spark.read.schema(NEW_SCHEMA).parquet(pending_path)
+    pending = spark.read.schema(f"{DONE_SCHEMA}, files array<struct<step:bigint,file:string>>").parquet(pending_path)
     rows = pending.orderBy("dataset").toLocalIterator()
     while batch := list(islice(rows, BATCH)):
         items = [{"path": r["dataset"], "dataset_id": dataset_id_for(r["dataset"]),
                   "filename": r["dataset"].split("/")[-1], "mime": "text/csv"} for r in batch]
-        ingest_many(spark, base, items, user_id, exact=exact, **csv_options)
-        spark.createDataFrame([(r["dataset"], r["step"]) for r in batch], NEW_SCHEMA).coalesce(1) \
+        if exact and not csv_options:
+            # a file belongs to the listing step that found it, also when a run is repeated
+            ingest_increments(spark, base, [it | {"files": {
+                str(step): [f["file"] for f in fs] for step, fs in groupby(r["files"], lambda f: f["step"])}}
+                for it, r in zip(items, batch)], user_id)
+        else:
+            ingest_many(spark, base, items, user_id, exact=exact, **csv_options)
+        spark.createDataFrame([(r["dataset"], r["step"]) for r in batch], DONE_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(done_path)
     return pending.select("dataset")

@@ -466,3 +466,52 @@ def test_400_files_are_inferred_in_one_job(spark, tmp_text_dir):
         sc.setJobGroup(None, None)
     assert len(got) == 400 and len(sc.statusTracker().getJobIdsForGroup("infer")) <= 3      # listing, map stage, result
     assert got["n1"].simpleString() == "struct<k1:int,v:string>" and got["n2"].simpleString() == "struct<k2:int,v:double>"
+
+
+def _columns(spark, store, owner):
+    cols = spark.read.schema(J.COLUMNS_SCHEMA).parquet(f"{store}/columns").where(f"user_id = '{owner}'")
+    return sorted(tuple(r) for r in cols.drop("user_id", "dataset_id").collect())
+
+
+FIRST = "k,v,t,d,flag\n1,1.50,plain,2024-01-02,true\n01,,nan,2024-01-03,TRUE\n"
+LATER = ["k,v,t,d,flag\n2,1.5, ,2024-01-02 00:00:00,x\n+1,2," + "y" * 80 + ",,false\n",
+         "k,v,t,d,flag\nx,3," + "y" * 80 + ",2024-01-02,true\n", "k,v,t,d,flag\n", "k,v,t,d,flag\n99999999999999999999,1,z,x,true\n"]
+
+
+def test_a_growing_folder_reads_its_new_files_only(spark, store, monkeypatch):
+    root, ck = scratch_path(spark, "growing"), scratch_path(spark, "growing-ck")
+    local = root[len("file:"):] if root.startswith("file:") else root
+    os.makedirs(f"{local}/set")
+    read = []
+    got = J._add_states
+    monkeypatch.setattr(J, "_add_states", lambda s, la, u, items, names: read.append([f for it in items for fs in it["files"].values() for f in fs])
+                        or got(s, la, u, items, names))
+    for i, text in enumerate([FIRST, *LATER]):
+        _csv(f"{local}/set", f"p{i}.csv", text)
+        assert ingest_folder_stream(spark, root, store, "s4", checkpoint=ck).count() == 1
+        assert [os.path.basename(f) for f in read[-1]] == [f"p{i}.csv"]
+        whole = scratch_path(spark, "whole")
+        J.ingest_and_profile(spark, whole, f"{root}/set", "w", "s4", mime="text/csv", filename="set")
+        assert _columns(spark, store, "s4") == _columns(spark, whole, "s4")
+    landed = spark.read.option("recursiveFileLookup", True).parquet(f"{store}/landing")
+    assert landed.count() == 1 + 4 + sum(t.count("\n") for t in LATER) - 2        # the last one was read whole
+    assert J.list_datasets(spark, store, "s4").first()["row_count"] == 6
+
+
+def test_an_increment_that_is_repeated_counts_once(spark, store, tmp_text_dir):
+    folder = os.path.join(tmp_text_dir, "rep")
+    os.makedirs(folder)
+    one, two = (_csv(folder, f"{n}.csv", f"a,b\n{n},x\n") for n in (1, 2))
+    item = {"path": folder, "dataset_id": "r", "filename": "rep", "mime": "text/csv"}
+    for files in ({"0": [one]}, {"0": [one]}, {"0": [one], "1": [two]}, {"1": [two]}):
+        rep = J.ingest_increments(spark, store, [item | {"files": files}], "u50").first()
+    assert rep["row_count"] == 2 and rep["distinct_counts"] == {"a": 2, "b": 1}
+    assert J.ST.read_landed(spark, f"{store}/landing", "u50", "r").count() == 4
+    three = _csv(folder, "3.csv", "a,c\n3,x\n")                    # another header: read whole
+    rep = J.ingest_increments(spark, store, [item | {"files": {"2": [three]}}], "u50").first()
+    assert rep["row_count"] == 3
+    four = _csv(folder, "4.csv", "a,b\n4,x\n")
+    bad = {"path": f"{store}/none", "dataset_id": "bad", "files": {"0": [f"{store}/none/x.csv"]}, "mime": "text/csv"}
+    got = J.ingest_increments(spark, store, [item | {"files": {"3": [four]}}, bad], "u50").collect()
+    assert [(r["dataset_id"], r["row_count"]) for r in got] == [("r", 4)]
+    assert {d: s for d, (s, _) in _statuses(spark, store, "u50").items()} == {"r": "done", "bad": "failed"}
