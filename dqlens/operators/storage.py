@@ -296,17 +296,30 @@ def read_events(spark: SparkSession, base: str, user_id=None) -> DataFrame:
 
 
 def compact_events(spark: SparkSession, base: str, user_id) -> int:
-    """Fold an owner's events into one file and remove the files it was made
-    from; events appended meanwhile stay.  Folding twice changes nothing, so
-    a crash between the two steps is harmless.  Returns the files removed."""
+    """Fold an owner's events into one file.  The files it was made from stay for
+    readers that have listed them already, and are removed by the next
+    compaction; until then they say what the folded file says, so nothing changes.
+    Events appended meanwhile stay, and a crash between the steps is harmless.
+    Returns how many files were folded."""
     from dqlens.operators.catalog import fold_events
+    note, fs = _fs(spark, partition_dir(spark, base, user_id=user_id) + "/_superseded")
+    if fs.exists(note):
+        stream = fs.open(note)
+        try:
+            names = str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split("\n")
+        finally:
+            stream.close()
+        for name in filter(None, names):
+            fs.delete(_fs(spark, name)[0], False)
+        fs.delete(note, False)
     old = read_events(spark, base, user_id)
     files = old.inputFiles()
     if len(files) < 2:
         return 0
-    folded = fold_events(old).coalesce(1)
-    append_event_frame(folded, base)
-    for f in files:
-        p, fs = _fs(spark, f)
-        fs.delete(p, False)
+    append_event_frame(fold_events(old).coalesce(1), base)
+    stream = fs.create(note, True)
+    try:
+        stream.write(bytearray("\n".join(files).encode()))
+    finally:
+        stream.close()
     return len(files)

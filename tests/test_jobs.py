@@ -238,6 +238,10 @@ def test_compaction_keeps_the_catalogue(spark, store):
     before = sorted(map(tuple, J.current_catalog(spark, store, "u21").collect()), key=str)
     assert J.compact_catalog(spark, store, "u21") > 1
     assert sorted(map(tuple, J.current_catalog(spark, store, "u21").collect()), key=str) == before
+    listed = J.ST.read_events(spark, f"{store}/catalog_events", "u21")     # a reader from before the next compaction
+    many = len(listed.inputFiles())
+    assert J.compact_catalog(spark, store, "u21") == 0 and many > 2
+    assert sorted(map(tuple, J.current_catalog(spark, store, "u21").collect()), key=str) == before
     assert len(J.ST.read_events(spark, f"{store}/catalog_events", "u21").inputFiles()) == 1
     J.archive_dataset(spark, store, "d0", "u21")
     assert {r["dataset_id"] for r in J.list_datasets(spark, store, "u21").collect()} == {"d2", "d3"}
