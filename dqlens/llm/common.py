@@ -55,7 +55,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     here, and a lost executor costs no recomputation of what came before."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._dqlens_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._dqlens_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: rows of a few numbers that may be broadcast: some tens of MB

@@ -15,22 +15,35 @@ reaches a threshold.  Documents with equal sets are one set from the start.
    finds nearly all links of a cluster with one comparison per set.
 3. Matrix.  What could still link are sets that share a token but are in
    different components so far.  The sets of a pivot form groups of about
-   ``GROUP`` sets, and each group's token union (its n-grams) is stored.  A set
-   is held against the groups of the pivots it shares a token with: if its
-   overlap with the union is below what a link with the group's smallest
-   member needs, the group stays shut.  Only qualifying groups are opened and
-   their members compared.  Of two components the smaller one asks.
+   ``GROUP`` sets of one size class, and each group is stored with the outline of
+   its token union.  A set is held against the groups of the pivots it shares a token
+   with: if what it can share with the union is below what a link with the group's
+   smallest member needs, the group stays shut.  Only qualifying groups are
+   opened and their members compared.  Of two components the smaller one asks.
 4. Components of the links, contracted in rounds; each round is written out.
 
-No group is collected whole: a group has a bounded number of sets, pivots and
-counts are aggregates, and a cluster with a third of all rows costs one
-comparison per set and one union check per set and group it is not linked to.
+N-grams seldom travel.  A set's sketch counts its n-grams in up to n/2 equal bins
+of the hash range, four bits each; the sum of the smaller counts bounds the overlap
+of two sets from above.  The outline of a group's union is, bin by bin, the largest
+count of any member; held against a set it bounds what the set shares with any of
+them.  (The unions themselves, as n-grams, were most of what the operator shuffled.)  Sketches come first
+everywhere; only pairs and groups that pass them have their n-grams fetched, from
+the text of one document of each set, and are decided exactly.  Of a set's pairs
+with pivots one is decided first; the others only if they could still connect
+something.
+
+No group is collected whole: document rows pass the shuffle of the tokens one by
+one, a group has a bounded number of sets, pivots and counts are aggregates, and
+a cluster with a third of all rows costs one comparison per set and one union
+check per set and group it is not linked to.  Sets are named by 128 bits of two
+hashes; n-grams are told apart by 64.
 
 Defined cases: fewer words than ``width``: the whole word sequence is the one
 n-gram; no words or a null text: empty set, linked with nothing, its
 component is its own id.  A null id never names a component; such rows take
 their component's smallest id and only meet others through equal sets.
-Repeated rows are equal sets.  An empty table gives an empty result.  Extra
+Repeated rows are equal sets.  Texts of any length are taken whole; one text's
+n-grams are held by one task.  An empty table gives an empty result.  Extra
 columns are ignored.
 """
 
@@ -46,11 +59,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.llm import exchange as X
-from dqlens.llm.common import mix64, ship_code, sized, stored
+from dqlens.llm.common import forget, mix64, ship_code, sized, stored
 
 GROUP = 64
-FLUSH = 4_000_000            # tokens that a task holds before it sends them on
-MAX_SEEDS = 20
+GROUP_BYTES = 8192
+FLUSH = 2_000_000            # tokens that a task holds before it sends them on
+PART_BITS = 32               # of a token within its part; a chance match is one more candidate
 
 
 class Shingler:
@@ -59,9 +73,8 @@ class Shingler:
     FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                         0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
-    def __init__(self, width: int, seed: int = 0):
+    def __init__(self, width: int):
         self.width, self.hashes = width, X.WordHashes()
-        self.seed = mix64(np.array([seed + 1], np.uint64))[0]
 
     def factor(self, k: int) -> np.uint64:
         return self.FACTORS[k] if k < len(self.FACTORS) else mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1)
@@ -73,16 +86,44 @@ class Shingler:
         h = self.hashes.of(words)
         width = min(self.width, len(words))
         n = len(words) - width + 1
-        total = np.full(n, self.seed + np.uint64(width), np.uint64)
+        total = np.full(n, width, np.uint64)
         for k in range(width):
             total += h[k:n + k] * self.factor(k)
         return np.unique(mix64(total))
 
-    def key(self, grams: np.ndarray) -> tuple[int, int]:
-        """Identity of a set: two independent sums of mixed hashes."""
-        a = int(mix64(grams ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
-        b = int(mix64(grams ^ np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64))
-        return a - (1 << 64) if a >= 1 << 63 else a, b - (1 << 64) if b >= 1 << 63 else b
+    def key(self, grams: np.ndarray) -> bytes:
+        """Identity of a set: two independent sums of mixed hashes, 128 bits."""
+        return b"".join(mix64(grams ^ salt).sum(dtype=np.uint64).tobytes()
+                        for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)))
+
+
+def size_class(n: int) -> int:
+    """Sets of n to 2n n-grams have one class, and sketches of one length."""
+    return max(0, n.bit_length() - 2)
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each of 2^class equal bins of the hash range, two
+    bins a byte; 15 stands for 15 or more."""
+    bits = size_class(len(grams))
+    bins = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    found = np.minimum(np.bincount(bins, minlength=max(2, 1 << bits)), 15).astype(np.uint8)
+    return (found[::2] | (found[1::2] << 4)).tobytes()
+
+
+def counts(body: bytes) -> np.ndarray:
+    packed = np.frombuffer(body, np.uint8)
+    c = np.empty(2 * len(packed), np.int64)
+    c[::2], c[1::2] = packed & 15, packed >> 4
+    c[c == 15] = 1 << 40
+    return c
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the overlap of the sets with these counts."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(axis=1), y).sum())
 
 
 class Stretches:
@@ -134,127 +175,212 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-def set_table(rows: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
-    """(id, n, s, check, token): one row per document with token null, and one
+def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(id, n, s, sketch, token): one row per document with token null, and one
     per shared token and set (token, s) with its weight as n."""
     ship_code(rows.sparkSession)
     parts = X.n_parts(rows)
     id_field = rows.schema["id"]
-    long = T.LongType()
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("payload", T.BinaryType()),
-                           id_field, T.StructField("n", long), T.StructField("s", long),
-                           T.StructField("check", long)])
+    long, binary = T.LongType(), T.BinaryType()
+    schema = T.StructType([T.StructField("part", long), T.StructField("payload", binary), id_field,
+                           T.StructField("n", long), T.StructField("s", binary), T.StructField("sketch", binary)])
     names = schema.fieldNames()
 
     def scan(batches):
-        shingler, stretches = Shingler(width, seed), Stretches(num, den)
-        held, size, id_type = [], 0, None
+        shingler, stretches = Shingler(width), Stretches(num, den)
+        held, size, known, id_type, turn = [], 0, {}, None, 0
 
         def send():
+            key = np.frombuffer(b"".join(known), np.uint64).reshape(-1, 2)
             tokens = np.concatenate([t for t, _ in held])
-            sets = np.repeat(np.array([s for _, s in held], np.int64), [len(t) for t, _ in held])
-            tokens, sets = _distinct_pairs(tokens, sets)
-            part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            sets = np.repeat(np.array([k for _, k in held], np.uint32), [len(t) for t, _ in held])
+            low = np.uint64((1 << PART_BITS) - 1)
+            tokens = (((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(PART_BITS)) | (tokens & low)
+            order = np.argsort(tokens)
+            tokens, sets = tokens[order], sets[order]
+            ends = np.searchsorted(tokens, np.arange(parts + 1, dtype=np.uint64) << np.uint64(PART_BITS))
+            tokens &= low
             found = np.flatnonzero(np.diff(ends))
             body = []
             for p in found:
                 # the sets' names once per message, tokens point to them
-                names_, at = np.unique(sets[ends[p]:ends[p + 1]], return_inverse=True)
-                body.append(X.pack(tokens[ends[p]:ends[p + 1]], at.astype(np.uint32), names_))
-            empty = [pa.nulls(len(found), id_type)] + [pa.nulls(len(found), pa.int64())] * 3
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), pa.array(body, pa.binary()), *empty], names)
+                used, at = np.unique(sets[ends[p]:ends[p + 1]], return_inverse=True)
+                body.append(X.pack(tokens[ends[p]:ends[p + 1]], at.astype(np.uint32), key[used, 0], key[used, 1]))
+            empty = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(body, pa.binary()), *empty], names)
 
         for batch in batches:
             ids, id_type = batch.column(0), batch.column(0).type
-            n, s, check = [], [], []
+            n, s, sketches = [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingler.of(text)
-                a, b = shingler.key(grams)
+                name = shingler.key(grams)
                 n.append(len(grams))
-                s.append(a)
-                check.append(b)
-                if len(grams):
-                    held.append((stretches.tokens(grams), a))
+                s.append(name)
+                sketches.append(sketch(grams))
+                if len(grams) and name not in known:        # copies in a task are one set
+                    held.append((stretches.tokens(grams), len(known)))
+                    known[name] = len(known)
                     size += len(held[-1][0])
-            s_ = np.array(s, np.int64)
+            # document rows only pass: they go before the parts, dealt out evenly
+            own = -1 - (turn + np.arange(len(n))) % parts
+            turn += len(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.mod(s_, parts).astype(np.int32)), pa.nulls(len(s), pa.binary()), ids,
-                 pa.array(n, pa.int64()), pa.array(s_), pa.array(check, pa.int64())], names)
+                [pa.array(own), pa.nulls(len(n), pa.binary()), ids, pa.array(n, pa.int64()),
+                 pa.array(s, pa.binary()), pa.array(sketches, pa.binary())], names)
             if size >= FLUSH:
                 yield send()
-                held, size = [], 0
+                held, size, known = [], 0, {}
         if held:
             yield send()
 
-    out = T.StructType([id_field, *schema.fields[3:], T.StructField("token", long)])
-
-    def merge(table):
-        docs = table.filter(pa.compute.is_null(table.column("payload")))
-        docs = docs.select(["id", "n", "s", "check"]).append_column("token", pa.nulls(docs.num_rows, pa.int64()))
-        bodies = [p for p in table.column("payload").to_pylist() if p is not None]
-        if not bodies:
-            return docs
-        got = [X.unpack(p, np.uint64, np.uint32, np.int64) for p in bodies]
+    out = T.StructType([*schema.fields[2:], T.StructField("token", long)])
+
+    def merged(bodies: list[bytes], id_type) -> pa.RecordBatch:
+        got = [X.unpack(p, np.uint64, np.uint32, np.uint64, np.uint64) for p in bodies]
+        low, high = (np.concatenate([g[k] for g in got]) for k in (2, 3))
+        order = np.lexsort((high, low))                     # the same set in several messages
+        new = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
+        dense = np.empty(len(low), np.int64)
+        dense[order] = np.cumsum(new) - 1
+        low, high = low[order][new], high[order][new]
+        starts = np.cumsum([0, *(len(g[2]) for g in got)])
         tokens, sets = _distinct_pairs(np.concatenate([g[0] for g in got]),
-                                       np.concatenate([g[2][g[1]] for g in got]))
+                                       np.concatenate([dense[start + g[1]] for start, g in zip(starts, got)]))
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         size = np.diff(np.concatenate([first, [len(tokens)]]))
         # tokens with the same sets say the same: one stands for all, named by
         # its sets and weighted by their number
-        name = mix64(np.add.reduceat(mix64(sets.view(np.uint64)), first))
+        name = mix64(np.add.reduceat(mix64(low ^ mix64(high))[sets], first))
         _, where, times = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True, return_counts=True)
         chosen = np.zeros(len(first), np.int64)
         chosen[where] = times
         chosen[size < 2] = 0
         weight = np.repeat(chosen, size)
         kept = weight > 0
-        tokens, sets, weight = np.repeat(name, size)[kept].view(np.int64), sets[kept], weight[kept]
-        none = pa.nulls(len(sets), pa.int64())
-        found = pa.table([pa.nulls(len(sets), docs.schema.field("id").type), pa.array(weight), pa.array(sets), none,
-                          pa.array(tokens)], names=docs.column_names)
-        return pa.concat_tables([docs, found])
-
-    return rows.mapInArrow(scan, schema).groupBy("part").applyInArrow(merge, out)
-
-
-def gram_arrays(rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """(s, n, grams) of the (id, text) rows whose set is the expected one."""
+        sets, weight = sets[kept], weight[kept]
+        both = np.stack([low[sets], high[sets]], axis=1).tobytes()
+        s = pa.array([both[i:i + 16] for i in range(0, len(both), 16)], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(sets), id_type), pa.array(weight), s, pa.nulls(len(sets), pa.binary()),
+             pa.array(np.repeat(name, size)[kept].view(np.int64))], out.fieldNames())
+
+    def merge(batches):
+        part, bodies, id_type = None, [], None
+        for batch in batches:
+            id_type = batch.column(2).type
+            alone = batch.filter(pa.compute.is_null(batch.column(1)))
+            if alone.num_rows:
+                yield pa.RecordBatch.from_arrays([*alone.columns[2:], pa.nulls(alone.num_rows, pa.int64())], out.fieldNames())
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if body is not None:
+                    if p != part and bodies:
+                        yield merged(bodies, id_type)
+                        bodies = []
+                    part = p
+                    bodies.append(body)
+        if bodies:
+            yield merged(bodies, id_type)
+
+    return rows.mapInArrow(scan, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, out)
+
+
+def gram_arrays(rows: DataFrame, width: int) -> DataFrame:
+    """(s, to, n, grams) of the (text, name, s, tos) rows whose set is the expected
+    one: a row for each of ``tos``, each set once per task."""
     def run(batches):
-        shingler = Shingler(width, seed)
+        shingler, seen = Shingler(width), set()
         for batch in batches:
-            s, n, arrays, spread = [], [], [], []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = shingler.of(text)
-                if shingler.key(grams)[0] == want:
-                    s.append(want)
-                    n.append(len(grams))
-                    arrays.append(grams.view(np.int64))
-                    spread.append(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=64).tolist())
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            s, to, arrays = [], [], []
+            for text, name, sid, tos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sid not in seen:
+                    grams = shingler.of(text)
+                    if shingler.key(grams) == name:
+                        seen.add(sid)
+                        s += [sid] * len(tos)
+                        to += tos
+                        arrays += [grams.view(np.int64)] * len(tos)
+            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
             flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(spread, pa.list_(pa.int32()))],
-                ["s", "n", "grams", "spread"])
-    return rows.select("text", "s").mapInArrow(run, "s long, n long, grams array<long>, spread array<int>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose exact similarity reaches the threshold.  Sizes and
-    the spread of the n-grams over 64 stretches bound the overlap from above;
-    only pairs that pass this bound carry their n-grams."""
-    small = lambda k: sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("spread").alias(f"h{k}"))
-    pairs = pairs.select("a", "b").join(small("a"), "a").join(small("b"), "b")
-    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-                        & (most * den >= (F.col("na") + F.col("nb") - most) * num))
-    left = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    same = F.size(F.array_intersect("ga", "gb"))
-    return both.where(same * den >= (F.col("na") + F.col("nb") - same) * num).select("a", "b")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s, pa.int64()), pa.array(to, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["s", "to", "n", "grams"])
+    return rows.select("text", "name", "s", "tos").mapInArrow(run, "s long, to long, n long, grams array<long>")
+
+
+class Sets:
+    """The sets that share a token, numbered: name, one document, size and sketch
+    of each; their n-grams on demand."""
+
+    def __init__(self, rows: DataFrame, table: DataFrame, width: int, num: int, den: int):
+        self.rows, self.width, self.num, self.den = rows, width, num, den
+        named = table.where("token IS NOT NULL").select("s").distinct()
+        self.table = stored(table.where("token IS NULL").join(named, "s", "left_semi").groupBy(F.col("s").alias("name")).agg(
+            F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).withColumn(
+            "s", F.monotonically_increasing_id()), "gram-chosen")
+
+    def arrays(self, wanted: DataFrame) -> DataFrame:
+        """``gram_arrays`` of (s, tos), from one text of each set."""
+        wanted = stored(self.table.select("s", "name", "id").join(wanted, "s"), "gram-wanted")
+        return gram_arrays(self.rows.join(sized(wanted), "id"), self.width)
+
+    def grams(self, named: DataFrame) -> DataFrame:
+        """(s, n, grams) of the named sets, written down."""
+        named = named.select("s").distinct().withColumn("tos", F.array(F.lit(0).cast("long")))
+        arrays = stored(self.arrays(named).drop("to"), "gram-arrays")
+        # an id that is repeated may have given a set in several tasks
+        if arrays.groupBy("s").count().where("count > 1").isEmpty():
+            return arrays
+        return stored(arrays.dropDuplicates(["s"]), "gram-arrays")
+
+    def sketches(self, name: str) -> DataFrame:
+        return self.table.select(F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"k_{name}"))
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) pairs that sizes and sketches let through."""
+        num, den = self.num, self.den
+
+        def near(batches):
+            for batch in batches:
+                a, b, na, ka, nb, kb = (batch.column(c) for c in ("a", "b", "n_a", "k_a", "n_b", "k_b"))
+                kept = []
+                for x, y, nx, ny in zip(ka.to_pylist(), kb.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True):
+                    most = min(most_shared(counts(x), counts(y)), nx, ny)
+                    kept.append(most * den >= (nx + ny - most) * num)
+                kept = pa.array(kept, pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
+
+        sizes = self.table.select(F.col("s").alias("b"), F.col("n").alias("size_b"))
+        both = pairs.select("a", "b").join(sizes, "b").join(self.sketches("a"), "a").where(
+            F.least("n_a", "size_b") * den >= F.greatest("n_a", "size_b") * num).drop("size_b").join(self.sketches("b"), "b")
+        return stored(both.mapInArrow(near, "a long, b long"), "gram-close")
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) pairs whose similarity reaches the threshold: the n-grams of
+        ``a`` go to ``b``, once a pair."""
+        right = self.grams(pairs.select(F.col("b").alias("s")))
+        left = self.arrays(pairs.groupBy(F.col("a").alias("s")).agg(F.collect_set("b").alias("tos")))
+        same = F.size(F.array_intersect("ga", "gb"))
+        both = left.select(F.col("s").alias("a"), F.col("to").alias("b"), F.col("n").alias("na"), F.col("grams").alias("ga")).join(
+            right.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb")), "b")
+        links = stored(both.where(same * self.den >= (F.col("na") + F.col("nb") - same) * self.num).select("a", "b"), "gram-links")
+        forget(right)
+        return links
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Links that connect what the linked ones of these (a, b) pairs do: one
+        pair of each ``a`` first, the others if they are still apart."""
+        return self.linked(self.close(pairs))
+
+    def linked(self, close: DataFrame) -> DataFrame:
+        """``links`` of pairs that are close."""
+        one = stored(close.groupBy("a").agg(F.max("b").alias("b")), "gram-first-pairs")
+        first = self.exact(one)
+        label = components(first)
+        side = lambda c: label.select(F.col("s").alias(c), F.col("root").alias(f"root_{c}"))
+        rest = close.join(one, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
+            F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        return first.union(self.exact(stored(rest, "gram-other-pairs")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,20 +408,25 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def open_groups(shared: DataFrame, home: DataFrame, sets: DataFrame, links: DataFrame,
-                num: int, den: int) -> DataFrame:
+CELL = ["home", "class", "g"]            # a group: sets of one pivot and size class
+
+
+def open_groups(shared: DataFrame, home: DataFrame, sets: Sets, links: DataFrame) -> DataFrame:
     """Links between sets of different components that share a token, found
     through the unions of groups (step 3)."""
+    num, den = sets.num, sets.den
     label = components(links)
     labelled = home.join(label, "s", "left").withColumn("comp", F.coalesce("root", "s")).drop("root")
     sizes = labelled.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    homes = labelled.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("n_groups"))
-    labelled = labelled.join(sizes, "comp").join(homes, "home").join(sets.select("s", "n"), "s")
-    labelled = stored(labelled.select(
-        "s", "n", "home", F.struct("comp_size", "comp").alias("rank"),
+    labelled = labelled.join(sizes, "comp").join(sets.table.select(
+        "s", "n", F.greatest(F.lit(0), F.length(F.bin("n")) - 2).alias("class")), "s")
+    # a group's sketches come to some kilobytes, however long its sets are
+    most = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.lit(GROUP_BYTES) / F.pow(F.lit(2.0), F.col("class") - 1)))
+    homes = labelled.groupBy("home", "class").agg(F.count(F.lit(1)).alias("n_sets")).select(
+        "home", "class", F.ceil(F.col("n_sets") / most).cast("long").alias("n_groups"))
+    labelled = stored(labelled.join(homes, ["home", "class"]).select(
+        "s", "n", "home", F.struct("comp_size", "comp").alias("rank"), "class",
         F.pmod(F.xxhash64("s", F.lit("group")), F.col("n_groups")).alias("g")), "matrix-sets")
-    groups = stored(labelled.groupBy("home", "g").agg(
-        F.max("rank").alias("top"), F.min("n").alias("least_n"), F.max("n").alias("most_n")), "matrix-groups")
 
     # tokens whose sets are in several components; which pivots such a set must ask
     marked = shared.join(labelled.select("s", "home", "rank"), "s")
@@ -304,22 +435,48 @@ def open_groups(shared: DataFrame, home: DataFrame, sets: DataFrame, links: Data
     asks = mixed.join(marked, "token").where(F.col("rank") < F.col("hi")).select("token", "s", "rank") \
         .join(homes_of, "token").select("s", "rank", "other").distinct()
     asks = stored(asks, "matrix-asks")
-    probes = asks.join(groups, asks["other"] == groups["home"]).where(F.col("rank") < F.col("top"))
-    probes = probes.join(sets.select("s", "n", "grams"), "s").where(
-        (F.col("n") * den >= F.col("least_n") * num) & (F.col("most_n") * den >= F.col("n") * num))
-    wanted = groups.join(asks.select(F.col("other").alias("home")).distinct(), "home", "left_semi")
-    unions = labelled.join(wanted.select("home", "g"), ["home", "g"], "left_semi").join(
-        sets.select("s", "grams"), "s").groupBy("home", "g").agg(
-        F.array_distinct(F.flatten(F.collect_list("grams"))).alias("tokens"))
-    held = probes.join(unions, ["home", "g"])
-    # a link needs an overlap of at least num / (num + den) of both sizes, and num / den of the asker's
-    overlap = F.size(F.array_intersect("grams", "tokens"))
-    opened = held.where((overlap * (num + den) >= (F.col("n") + F.col("least_n")) * num)
-                        & (overlap * den >= F.col("n") * num)).select(F.col("s").alias("a"), "rank", "home", "g")
-    opened = stored(opened, "matrix-open")
-    members = labelled.select(F.col("s").alias("b"), "home", "g", F.col("rank").alias("b_rank"))
-    pairs = opened.join(members, ["home", "g"]).where("rank < b_rank").select("a", "b").distinct()
-    return verified(pairs, sets, num, den)
+
+    wanted = labelled.join(asks.select(F.col("other").alias("home")).distinct(), "home", "left_semi")
+    groups = stored(wanted.join(sets.table.select("s", "sketch"), "s").groupBy(*CELL).agg(
+        F.max("rank").alias("top"), F.min("n").alias("least_n"), F.max("n").alias("most_n"),
+        F.sort_array(F.collect_list(F.struct("s", "n", "sketch"))).alias("m")).select(
+        *CELL, "top", "least_n", "most_n", F.col("m.s").alias("members"), F.col("m.n").alias("sizes"),
+        F.unhex(F.array_join(F.transform("m", lambda x: F.hex(x["sketch"])), "")).alias("body")), "matrix-groups")
+
+    def opened(batches):
+        for batch in batches:
+            a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
+            for s, n, k, least, members, sizes, body in zip(
+                    *(batch.column(c).to_pylist() for c in ("s", "n_s", "k_s", "least_n", "members", "sizes", "body")), strict=True):
+                if members != held:                # the rows of a group come together
+                    held, inside = members, counts(body).reshape(len(members), -1)
+                    # the union has at most what its members have at most, bin by bin
+                    union, ids, ns = inside.max(axis=0), np.array(members), np.array(sizes)
+                own = counts(k)
+                shared = min(most_shared(own, union), n)
+                # a link needs an overlap of at least num / (num + den) of both sizes, and num / den of the asker's
+                if shared * (num + den) < (n + least) * num or shared * den < n * num:
+                    continue
+                if len(own) >= inside.shape[1]:
+                    both = np.minimum(inside, own.reshape(inside.shape[1], -1).sum(axis=1))
+                else:
+                    both = np.minimum(inside.reshape(len(ids), len(own), -1).sum(axis=2), own)
+                most = np.minimum(np.minimum(both.sum(axis=1), ns), n)
+                near = (most * den >= (n + ns - most) * num) & (ids != s)
+                b.append(ids[near])
+                a.append(np.full(len(b[-1]), s, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    asking = asks.join(sets.sketches("s"), "s")
+    probes = asking.join(groups, asking["other"] == groups["home"]).where(
+        (F.col("rank") < F.col("top")) & (F.col("n_s") * den >= F.col("least_n") * num)
+        & (F.col("most_n") * den >= F.col("n_s") * num))
+    found = stored(probes.select("s", "n_s", "k_s", "least_n", "members", "sizes", "body").mapInArrow(
+        opened, "a long, b long"), "matrix-open")
+    ranks = lambda c: labelled.select(F.col("s").alias(c), F.col("rank").alias(f"rank_{c}"))
+    pairs = stored(found.distinct().join(ranks("a"), "a").join(ranks("b"), "b").where("rank_a < rank_b").select("a", "b"),
+                   "matrix-pairs")
+    return sets.linked(pairs)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
@@ -328,34 +485,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that its links reach, itself included)."""
     num, den = threshold
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for seed in range(MAX_SEEDS):
-        table = stored(set_table(rows, width, num, den, seed), "gram-sets")
-        found = table.where("token IS NULL").select("id", "n", "s", "check")
-        # two different sets with one 64-bit name: take other hashes
-        if found.groupBy("s").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo != hi").isEmpty():
-            break
-    else:
-        raise RuntimeError("sets could not be given distinct 64-bit names")
-    shared = stored(table.where("token IS NOT NULL").groupBy("token", "s").agg(F.sum("n").alias("weight")), "gram-shared")
+    table = stored(set_table(rows, width, num, den), "gram-sets")
+    sets = Sets(rows, table, width, num, den)
+    names = sets.table.select(F.col("name").alias("s"), F.col("s").alias("sid"))
+    shared = stored(table.where("token IS NOT NULL").select("token", "s", "n").join(names, "s").groupBy(
+        "token", F.col("sid").alias("s")).agg(F.sum("n").alias("weight")), "gram-shared")
+    found = stored(table.where("token IS NULL").select("id", "n", "s").join(names, "s", "left"), "gram-documents")
+    forget(table)
 
     # pivots: of a token's sets, the one with most shared tokens
     degree = shared.groupBy("s").agg(F.sum("weight").alias("degree"))
-    known = shared.join(degree, "s")
+    known = shared.select("token", "s").join(degree, "s")
     pivots = known.groupBy("token").agg(F.max(F.struct("degree", "s")).alias("pivot"))
-    to_pivot = stored(known.select("token", "s").join(pivots, "token").select("s", "pivot").distinct(), "gram-pivots")
-    home = to_pivot.groupBy("s").agg(F.max("pivot").alias("h")).select("s", F.col("h.s").alias("home"))
-
-    # the sets themselves, of one document each, once
-    chosen = stored(found.join(to_pivot.select("s").distinct(), "s", "left_semi").groupBy("s").agg(
-        F.min("id").alias("id")), "gram-chosen")
-    texts = rows.join(sized(chosen), "id")
-    sets = stored(gram_arrays(texts, width, seed).dropDuplicates(["s"]), "gram-arrays")
-    first = stored(verified(to_pivot.select(F.col("s").alias("a"), F.col("pivot.s").alias("b")).where("a != b"),
-                            sets, num, den), "gram-links")
-    more = stored(open_groups(shared, home, sets, first, num, den), "gram-more-links")
-    label = components(first.union(more))
-
-    whole = found.join(label, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    to_pivot = stored(shared.select("token", "s").join(pivots, "token").select(
+        "s", F.col("pivot.degree").alias("degree"), F.col("pivot.s").alias("pivot")).distinct(), "gram-pivots")
+    home = to_pivot.groupBy("s").agg(F.max(F.struct("degree", "pivot")).alias("h")).select("s", F.col("h.pivot").alias("home"))
+
+    first = sets.links(to_pivot.select(F.col("s").alias("a"), F.col("pivot").alias("b")).where("a != b"))
+    label = components(first.union(open_groups(shared, home, sets, first)))
+
+    # a set that shares no token is a component by itself
+    whole = found.join(label, found["sid"] == label["s"], "left").select(
+        "id", "n", F.coalesce(F.concat(F.lit("r"), F.coalesce("root", "sid").cast("string")).cast("binary"),
+                              F.concat(F.lit("s").cast("binary"), found["s"])).alias("root"))
     least = whole.where("n > 0").groupBy("root").agg(F.min("id").alias("component"))
     done = whole.join(least, "root", "left")
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
