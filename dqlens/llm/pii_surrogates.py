@@ -83,7 +83,7 @@ DETECT = re.compile(
     rf"|(?P<person>(?<!\w)(?:{_TITLE})\.?\ (?P<name>(?=[^\W\d_a-zß-öø-ÿ])(?:{_NAME}\ (?=[^\W\d_a-zß-öø-ÿ]))?{_NAME}))")
 
 #: what a text needs for any detector to fire (Java regex, a superset)
-MAY_HAVE = rf"[\p{{Nd}}@=:]|AKIA|ASIA|(?:{_TITLE})\.? "
+MAY_HAVE = rf"[0-9@=:\p{{Nd}}]|A[KS]IA|(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:{_TITLE})\.? "
 #: letters that a name needs to be replaced where no title stands before it
 BARE_NAME = 3
 
