@@ -7,8 +7,8 @@ floor(scale * x).
 
 1. Codes.  Vectors are rotated by random signs and a Walsh-Hadamard transform,
    which keeps integers integers and multiplies every inner product by the
-   length.  A code is the signs of a rotated vector, a second code the signs of
-   what the first one leaves; stored with each is its alignment, the inner
+   length.  A code is the signs of a rotated vector, the next code the signs of
+   what the one before leaves; stored with each is its alignment, the inner
    product of code and vector, and the norm of what is left at last.
 2. Estimates.  A query is rounded to a few bit planes; the inner product of a
    code and a plane is a popcount.  Alignments times these products estimate the
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from dqlens.llm.common import ship_code, shuffle_partitions, stored
 from dqlens.llm.vector_codes import filled, integers, matrix, sound
 
-LEVELS = 2                      # codes of a row, each of what the one before leaves
+LEVELS = 4                      # codes of a row, each of what the one before leaves
 PLANES = 8                      # bits of a rounded query component
 ROWS, QUERIES = 32_768, 8_192   # most of a block
 LAST_ID = (1 << 63) - 1
