@@ -64,9 +64,9 @@ from dqlens.session import session_conf
 
 GROUP = 64
 GROUP_BYTES = 8192
-# rows that carry sketches go to Python a few at a time
+# texts, sketches and n-grams go to Python and back a few rows at a time
 FEW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-FLUSH = 2_000_000            # tokens that a task holds before it sends them on
+FLUSH = 500_000              # tokens that a task holds before it sends them on
 PART_BITS = 32               # of a token within its part; a chance match is one more candidate
 
 
@@ -356,8 +356,7 @@ class Sets:
         sizes = self.table.select(F.col("s").alias("b"), F.col("n").alias("size_b"))
         both = pairs.select("a", "b").join(sizes, "b").join(self.sketches("a"), "a").where(
             F.least("n_a", "size_b") * den >= F.greatest("n_a", "size_b") * num).drop("size_b").join(self.sketches("b"), "b")
-        with session_conf(self.rows.sparkSession, *FEW_ROWS):
-            return stored(both.mapInArrow(near, "a long, b long"), "gram-close")
+        return stored(both.mapInArrow(near, "a long, b long"), "gram-close")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs whose similarity reaches the threshold: the n-grams of
@@ -475,9 +474,8 @@ def open_groups(shared: DataFrame, home: DataFrame, sets: Sets, links: DataFrame
     probes = asking.join(groups, asking["other"] == groups["home"]).where(
         (F.col("rank") < F.col("top")) & (F.col("n_s") * den >= F.col("least_n") * num)
         & (F.col("most_n") * den >= F.col("n_s") * num))
-    with session_conf(asks.sparkSession, *FEW_ROWS):
-        found = stored(probes.select("s", "n_s", "k_s", "least_n", "members", "sizes", "body").mapInArrow(
-            opened, "a long, b long"), "matrix-open")
+    found = stored(probes.select("s", "n_s", "k_s", "least_n", "members", "sizes", "body").mapInArrow(
+        opened, "a long, b long"), "matrix-open")
     ranks = lambda c: labelled.select(F.col("s").alias(c), F.col("rank").alias(f"rank_{c}"))
     pairs = stored(found.distinct().join(ranks("a"), "a").join(ranks("b"), "b").where("rank_a < rank_b").select("a", "b"),
                    "matrix-pairs")
@@ -488,6 +486,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """Per row: id, n_shingles (size of its set), component_id (smallest id
     that its links reach, itself included)."""
+    with session_conf(docs.sparkSession, *FEW_ROWS):
+        return _components(docs, id_col, text_col, width, threshold)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int]) -> DataFrame:
     num, den = threshold
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table = stored(set_table(rows, width, num, den), "gram-sets")
