@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from itertools import islice
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,28 +370,31 @@ def _in_parallel(spark: SparkSession, fn, items: list, parallel: int) -> list:
         return list(pool.map(inheritable_thread_target(spark)(one), items))
 
 
-def _keyed_scan(spark: SparkSession, roots: dict[str, str], folders: bool, schema: T.StructType,
+def _plain_path(path: Column) -> Column:
+    """One spelling of a place: "file:///x" is "file:/x"."""
+    return F.when(path.startswith("file:/"), F.concat(F.lit("file:/"), F.ltrim(F.substr(path, F.lit(7)), F.lit("/")))) \
+        .otherwise(path)
+
+
+def _keyed_scan(spark: SparkSession, places: list[str], folders: bool, schema: T.StructType,
                 csv_options: dict) -> DataFrame:
-    """One CSV scan of many uploads of one schema -- all of them files, or all
-    folders of part files -- with the dataset id as last column.  A path that
-    several uploads share is read once, and each of them gets its rows."""
+    """One CSV scan of many places of one schema -- all of them files, or all
+    folders of part files -- with the number of the place as last column."""
     reader = spark.read.option("header", True).schema(schema)
     for k, v in csv_options.items():
         reader = reader.option(k, v)
-    places = {d: ST.qualified(spark, p) for d, p in roots.items()}
-    frame = reader.csv(list(dict.fromkeys(places.values())))
+    frame = reader.csv(places)
     names = [f"c{i}" for i in range(len(schema.fields))]
-    if len(roots) == 1:
-        return frame.toDF(*names).withColumn("_id", F.lit(next(iter(roots))))
-    # "file:/x" and "file:///x" are one place
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    frame = frame.select("*", plain(F.col("_metadata.file_path")).alias("_root")).toDF(*names, "_root")
+    if len(places) == 1:
+        return frame.toDF(*names).withColumn("_place", F.lit(0))
+    frame = frame.select("*", _plain_path(F.col("_metadata.file_path")).alias("_root")).toDF(*names, "_root")
     if folders:
-        frame = frame.withColumn("_root", F.expr("substring_index(_root, '/', size(split(_root, '/')) - 1)"))
-    owner = spark.createDataFrame([(p, d) for d, p in places.items()], "_root string, _id string")
-    owner = owner.withColumn("_root", plain(F.col("_root")))
-    unknown = F.raise_error(F.concat(F.lit("file of no upload: "), F.col("_root"))).cast("string")
-    return frame.join(owner, "_root", "left").select(*names, F.coalesce("_id", unknown).alias("_id"))
+        frame = frame.withColumn("_root", F.expr("left(_root, length(_root) - length(substring_index(_root, '/', -1)) - 1)"))
+    # one row per place, broadcast: a shuffle by place would hand a large upload to one task
+    numbers = spark.createDataFrame(list(enumerate(places)), "_place int, _root string")
+    numbers = numbers.withColumn("_root", _plain_path(F.col("_root")))
+    unknown = F.raise_error(F.concat(F.lit("file of no upload: "), F.col("_root"))).cast("int")
+    return frame.join(F.broadcast(numbers), "_root", "left").select(*names, F.coalesce("_place", unknown).alias("_place"))
 
 
 def _wanted_type(t) -> T.DataType:
@@ -399,27 +402,34 @@ def _wanted_type(t) -> T.DataType:
 
 
 def _bad_counts(raw: DataFrame, wanted: list[T.DataType]) -> DataFrame | None:
-    """``(_id, position, n_bad)`` of a keyed scan of strings."""
+    """``(_place, position, n_bad)`` of a keyed scan of strings."""
     checks = [(i, t) for i, t in enumerate(wanted) if not isinstance(t, T.StringType)]
     if not checks:
         return None
-    row = raw.groupBy("_id").agg(*[F.count_if(bad_value(F.col(f"c{i}"), t)).alias(f"b{i}") for i, t in checks])
+    row = raw.groupBy("_place").agg(*[F.count_if(bad_value(F.col(f"c{i}"), t)).alias(f"b{i}") for i, t in checks])
     structs = ", ".join(f"named_struct('{P.POSITION}', {i}, 'n_bad', b{i})" for i, _ in checks)
-    return row.selectExpr("_id", f"inline(array({structs}))")
+    return row.selectExpr("_place", f"inline(array({structs}))")
 
 
 def _group_stats(spark: SparkSession, roots: dict[str, str], folders: bool, schema: T.StructType,
                  wanted: list[T.DataType], exact: bool, csv_options: dict) -> DataFrame:
-    """``(_id, position, n_distinct, n_rows, n_miss, n_bad)`` of uploads of one schema."""
+    """``(_id, position, n_distinct, n_rows, n_miss, n_bad)`` of uploads of one
+    schema.  A path that several uploads share is read and counted once, and
+    each of them gets its counts."""
+    places = {d: ST.qualified(spark, p) for d, p in roots.items()}
+    number = {p: i for i, p in enumerate(dict.fromkeys(places.values()))}
+    owner = spark.createDataFrame([(number[p], d) for d, p in places.items()], "_place int, _id string")
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = _keyed_scan(spark, roots, folders, strings, csv_options)
+    raw = _keyed_scan(spark, list(number), folders, strings, csv_options)
     if S.default_parsing(csv_options):
-        return P.string_stats(raw, schema, wanted, "_id", exact)
-    # the reader's own parsing: a typed scan beside the raw one
-    typed = _keyed_scan(spark, roots, folders, schema, csv_options)
-    stats = (P.keyed_stats if exact else P.keyed_estimates)(typed, "_id").drop("n_bad")
-    bad = _bad_counts(raw, wanted)
-    return stats.withColumn("n_bad", F.lit(0)) if bad is None else stats.join(bad, ["_id", P.POSITION], "left")
+        stats = P.string_stats(raw, schema, wanted, "_place", exact)
+    else:
+        # the reader's own parsing: a typed scan beside the raw one
+        typed = _keyed_scan(spark, list(number), folders, schema, csv_options)
+        stats = (P.keyed_stats if exact else P.keyed_estimates)(typed, "_place").drop("n_bad")
+        bad = _bad_counts(raw, wanted)
+        stats = stats.withColumn("n_bad", F.lit(0)) if bad is None else stats.join(bad, ["_place", P.POSITION], "left")
+    return stats.join(F.broadcast(owner), "_place").drop("_place")
 
 
 def _profiles(spark: SparkSession, uploads: dict[str, dict], exact: bool, csv_options: dict) -> DataFrame:

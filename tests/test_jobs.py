@@ -519,3 +519,19 @@ def test_an_increment_that_is_repeated_counts_once(spark, store, tmp_text_dir):
     got = J.ingest_increments(spark, store, [item | {"files": {"3": [four]}}, bad], "u50").collect()
     assert [(r["dataset_id"], r["row_count"]) for r in got] == [("r", 4)]
     assert {d: s for d, (s, _) in _statuses(spark, store, "u50").items()} == {"r": "done", "bad": "failed"}
+
+
+def test_rows_of_a_batch_are_not_shuffled_by_upload(spark, tmp_text_dir):
+    """A large upload is not one task's rows, and a path that two uploads share is counted once."""
+    for name, lines in (("a", "1,x\n2,\n2,y\n"), ("b", "7,z\n"), ("empty", "")):
+        with open(os.path.join(tmp_text_dir, f"{name}.csv"), "w") as fh:
+            fh.write("n,t\n" + lines)
+    roots = {d: os.path.join(tmp_text_dir, f"{n}.csv") for d, n in (("x", "a"), ("y", "a"), ("z", "b"), ("e", "empty"))}
+    schema = J.T.StructType([J.T.StructField("n", J.T.IntegerType()), J.T.StructField("t", J.T.StringType())])
+    for exact, options in ((True, {}), (False, {}), (True, {"mode": "PERMISSIVE"})):
+        stats = J._group_stats(spark, roots, False, schema, [J.T.IntegerType(), J.T.StringType()], exact, options)
+        plan = J.P.physical_plan(stats)
+        assert "_root" in plan and "hashpartitioning(_root" not in plan
+        got = {(r["_id"], r["position"]): (r["n_rows"], r["n_miss"], r["n_distinct"], r["n_bad"] or 0) for r in stats.collect()}
+        assert got == {("z", 0): (1, 0, 1, 0), ("z", 1): (1, 0, 1, 0)} | {
+            (d, i): (3, i, 2 + i, 0) for d in "xy" for i in (0, 1)}
