@@ -225,6 +225,11 @@ def physical_plan(df: DataFrame) -> str:
 LONGEST_TEXT_KEY = 48
 
 
+def hashed_text(value: str) -> str:
+    """SQL text of whether ``text_key`` stands for a string by its hashes."""
+    return f"(octet_length({value}) > {LONGEST_TEXT_KEY} OR startswith({value}, '\\u0000'))"
+
+
 def text_key(value: str, first: str = "xxhash64({0})") -> str:
     """SQL text of what stands for a string in the value shuffle.
 
@@ -235,7 +240,7 @@ def text_key(value: str, first: str = "xxhash64({0})") -> str:
     hashed texts begin with NUL, and so are strings hashed that begin with NUL:
     a text is never taken for a key."""
     hashed = ", ".join(f"lpad(hex({h.format(value)}), 16, '0')" for h in (first, "xxhash64(1, {0})"))
-    return (f"if(octet_length({value}) > {LONGEST_TEXT_KEY} OR startswith({value}, '\\u0000'), "
+    return (f"if({hashed_text(value)}, "
             f"concat('\\u0000', {hashed}, hex(octet_length({value}))), {value})")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.functions.expressions import missing_sql, quote
-from dqlens.operators.profile import NAME, POSITION, text_key
+from dqlens.operators.profile import NAME, POSITION, hashed_text, text_key
 from dqlens.sources import csv as S
 
 #: what a state says of a value, after the keys
@@ -28,16 +28,22 @@ VALUE_FIELDS = f"{POSITION} int, value string, kind int, missing boolean, cnt bi
 def value_state(raw: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, position, value, kind, missing, cnt)`` of a scan of strings;
     ``keys`` are its last columns.  One scan; the shuffle carries each distinct
-    value of a task once."""
+    value of a task once.  What a value can be read as is found once per distinct
+    value, after counting; only values that may travel as a key are looked at
+    where they are read."""
     n = len(raw.columns) - len(keys)
     src = raw.toDF(*[f"c{i}" for i in range(n)], *keys)
-    src = src.select("*", *[S.value_kind(F.col(f"c{i}")).alias(f"k{i}") for i in range(n)])
     head = [f"'{k}', {quote(k)}" for k in keys]
-    structs = ["named_struct(" + ", ".join([*head, f"'{POSITION}', {i}", f"'value', if(k{i} = {S.STRING}, {text_key(f'c{i}')}, c{i})",
-                                            f"'kind', k{i}", f"'missing', {missing_sql(f'c{i}', T.StringType())}"]) + ")"
-               for i in range(n)]
+    structs = ["named_struct(" + ", ".join([*head, f"'{POSITION}', {i}", f"'value', c{i}"]) + ")" for i in range(n)]
+    # expressions stand behind the expansion: once each, not once per column, or the generated loop outgrows the JIT
     long = src.selectExpr("inline(array(" + ", ".join(structs) + "))")
-    return long.groupBy(*keys, POSITION, "value", "kind", "missing").agg(F.count(F.lit(1)).alias("cnt"))
+    long = long.withColumn("kind", F.when(F.expr(hashed_text("value")), S.value_kind(F.col("value"))))
+    missing = missing_sql("value", T.StringType())
+    long = long.select(*keys, POSITION, F.expr(f"if(kind = {S.STRING}, {text_key('value')}, value) AS value"), "kind",
+                       F.expr(f"if(kind IS NULL, NULL, {missing}) AS missing"))
+    counted = long.groupBy(*keys, POSITION, "value", "kind", "missing").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select(*keys, POSITION, "value", F.coalesce("kind", S.value_kind(F.col("value"))).alias("kind"),
+                          F.expr(f"coalesce(missing, {missing}) AS missing"), "cnt")
 
 
 def merged(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +73,8 @@ def profile_of_state(state: DataFrame, names: DataFrame, keys: list[str]) -> Dat
         WHEN 'date' THEN cast(try_cast(value AS date) AS string)
         WHEN 'timestamp' THEN cast(unix_micros(try_cast(value AS timestamp)) AS string)
         WHEN 'boolean' THEN lower(value) ELSE value END""")
-    values = state.join(types, at).withColumn("same", same)
+    # as many rows as columns, broadcast: a shuffle by column would hand all of its values to one task
+    values = state.join(F.broadcast(types), at).withColumn("same", same)
     lost = F.expr("if(dtype = 'string' OR dtype IS NULL, missing, same IS NULL)")
     counted = values.withColumn("lost", lost).groupBy(*at, "dtype", "same", "lost").agg(F.sum("cnt").alias("cnt"))
     stats = counted.groupBy(*at, "dtype").agg(

@@ -638,14 +638,17 @@ def _add_states(spark: SparkSession, layout: Layout, user_id: str, items: list[d
     """Count the values of the new files of a batch (one scan) and write them as
     the items' increments; an increment that is written again replaces itself."""
     width = max(len(names[it["dataset_id"]]) for it in items)
-    files = [(f, it["dataset_id"], step) for it in items for step, fs in it["files"].items() for f in fs]
-    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True).csv([f for f, _, _ in files])
-    files = [(re.sub("^file:/+", "file:/", ST.qualified(spark, f)), d, step) for f, d, step in files]
-    # as many rows as the reader has listed files
-    owner = spark.createDataFrame(files, "_file string, dataset_id string, increment string")
-    keyed = raw.withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")).join(
-        owner, "_file").drop("_file")
-    state = VS.value_state(keyed, ["dataset_id", "increment"]).withColumn("user_id", F.lit(user_id))
+    increments = [(it, step) for it in items for step in it["files"]]
+    files = [(f, i) for i, (it, step) in enumerate(increments) for f in it["files"][step]]
+    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).option("header", True).csv([f for f, _ in files])
+    # as many rows as the reader has listed files, broadcast: a shuffle by file would hand a large one to one task
+    owner = spark.createDataFrame([(re.sub("^file:/+", "file:/", ST.qualified(spark, f)), i) for f, i in files],
+                                  "_file string, _increment int")
+    keyed = raw.withColumn("_file", _plain_path(F.col("_metadata.file_path"))).join(F.broadcast(owner), "_file").drop("_file")
+    whose = spark.createDataFrame([(i, it["dataset_id"], step) for i, (it, step) in enumerate(increments)],
+                                  "_increment int, dataset_id string, increment string")
+    state = VS.value_state(keyed, ["_increment"]).join(F.broadcast(whose), "_increment").drop("_increment") \
+        .withColumn("user_id", F.lit(user_id))
     state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("user_id", "dataset_id", "increment").parquet(layout.states)
 

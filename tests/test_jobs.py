@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from dqlens.plans import jobs as J
-from dqlens.session import scratch_path
+from dqlens.session import scratch_path, session_conf
 from dqlens.sources import csv as S
 from dqlens.sources.tables import dirty
 from dqlens.streaming.folder_ingest import ingest_folder_stream
@@ -535,3 +536,41 @@ def test_rows_of_a_batch_are_not_shuffled_by_upload(spark, tmp_text_dir):
         got = {(r["_id"], r["position"]): (r["n_rows"], r["n_miss"], r["n_distinct"], r["n_bad"] or 0) for r in stats.collect()}
         assert got == {("z", 0): (1, 0, 1, 0), ("z", 1): (1, 0, 1, 0)} | {
             (d, i): (3, i, 2 + i, 0) for d in "xy" for i in (0, 1)}
+
+
+def test_new_files_are_counted_where_they_are_read(spark, store, tmp_text_dir, monkeypatch):
+    """The rows of one large file are not one task's."""
+    for name in ("a", "b"):
+        with open(os.path.join(tmp_text_dir, f"{name}.csv"), "w") as fh:
+            fh.write("n,t\n1,x\n2,\n")
+    plans, count = [], J.VS.value_state
+    monkeypatch.setattr(J.VS, "value_state", lambda raw, keys: plans.append(J.P.physical_plan(raw)) or count(raw, keys))
+    with session_conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):     # as for files beyond it
+        ingest_folder_stream(spark, tmp_text_dir, store, "s9")
+    assert len(plans) == 1 and "_file" in plans[0] and "hashpartitioning(_file" not in plans[0]
+    assert {(r["filename"], r["row_count"]) for r in J.list_datasets(spark, store, "s9").collect()} == {("a.csv", 2), ("b.csv", 2)}
+
+
+def test_values_are_read_once_per_distinct_value(spark):
+    """What a value can be read as is found after counting, whatever the number of columns."""
+    narrow, wide = (J.P.physical_plan(J.VS.value_state(spark.range(1).select(
+        *[F.col("id").cast("string").alias(f"c{i}") for i in range(n)], F.lit("d").alias("dataset_id")), ["dataset_id"])) for n in (2, 12))
+    assert narrow.count("RLIKE") == wide.count("RLIKE") > 0
+    state = spark.createDataFrame([], "dataset_id string, " + J.VS.VALUE_FIELDS)
+    names = spark.createDataFrame([], "dataset_id string, position int, column_name string")
+    plan = J.P.physical_plan(J.VS.profile_of_state(state, names, ["dataset_id"]))
+    assert plan.count("SortMergeJoin") <= 1         # the columns' names, not their values
+
+
+def test_value_states_of_odd_values(spark):
+    odd = [None, "", "  ", " " * 60, "NaN", "nan", "1", "01", "1.5", "1" * 60, "0." + "0" * 60, "2020-01-01", "true", "x", "y" * 60,
+           "é" * 30, "\0", "\0" + "7", "7", "9" * 30, "2020-01-01T00:00:00." + "1" * 40]
+    rows = spark.createDataFrame([(v, "d") for k, v in enumerate(odd) for _ in range(1 + k % 3)], "v string, d string").repartition(3)
+    kind = S.value_kind(F.col("v"))
+    missing = F.expr(J.P.missing_sql("v", J.T.StringType()))
+    whole = rows.groupBy("d", F.when(kind == S.STRING, F.expr(J.P.text_key("v"))).otherwise(F.col("v")).alias("value"),
+                         kind.alias("kind"), missing.alias("missing")).agg(F.count("*").alias("cnt"))
+    want = whole.selectExpr("d", "0 AS position", "value", "kind", "missing", "cnt")
+    got = J.VS.value_state(rows, ["d"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
