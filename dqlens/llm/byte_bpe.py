@@ -11,7 +11,7 @@ The vocabulary file (tokenizers JSON, byte level, no normaliser) is a
 parameter; its content travels to the tasks as one broadcast of fixed size.
 Special tokens that stand in a text become their own id, as the file asks.
 Each Python worker keeps the merged pieces it has met, at most
-``CACHE_PIECES`` of them; beyond that the cache starts anew, so memory is
+``CACHE_PIECES`` of them; beyond that those not met lately go, so memory is
 bounded and results do not depend on it.
 
 Defined cases: a null or empty text has no ids and decodes to the empty
@@ -31,12 +31,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, ship_code
+from dqlens.llm.common import free_name, ship_code, tidy
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 200_000
 
 #: fixed values: how the byte-level vocabulary splits a text into pieces
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -77,16 +78,20 @@ def piece_pattern(top: int) -> re.Pattern:
 
 
 class _Pieces(dict):
-    """Piece -> ids, made on demand; starts anew when it holds ``limit``."""
+    """Piece -> ids, made on demand.  Half of the ``limit`` are the pieces met
+    last, the other half those of the half before: what is met in neither goes."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.before = make, max(1, limit // 2), {}
 
     def __missing__(self, piece):
-        if len(self) >= self.limit:
+        if (ids := self.before.get(piece)) is None:
+            ids = self.make(piece)
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        self[piece] = ids = self.make(piece)
+        self[piece] = ids
         return ids
 
 
@@ -189,10 +194,14 @@ class ByteBPE:
         return b"".join([self.token_bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _text_of(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def load_spec(path: str) -> dict:
     """Read a tokenizers JSON file on the driver (a local library file)."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(_text_of(path))
 
 
 _MADE: dict[str, ByteBPE] = {}
@@ -202,15 +211,16 @@ def _coder(shared) -> ByteBPE:
     """One coder per Python worker, kept across tasks."""
     if shared.id not in _MADE:
         _MADE.clear()
-        _MADE[shared.id] = ByteBPE(shared.value)
+        _MADE[shared.id] = ByteBPE(json.loads(shared.value))
     return _MADE[shared.id]
 
 
 class _Shared:
-    """A broadcast with an id that workers can key their coder by."""
+    """A vocabulary file's text as a broadcast, with an id that workers can key
+    their coder by.  As text it is small: what it is parsed to goes once the coder stands."""
 
-    def __init__(self, spark: SparkSession, spec: dict):
-        self.broadcast = spark.sparkContext.broadcast(spec)
+    def __init__(self, spark: SparkSession, text: str):
+        self.broadcast = spark.sparkContext.broadcast(text)
         self.id = uuid.uuid4().hex
 
     @property
@@ -218,16 +228,16 @@ class _Shared:
         return self.broadcast.value
 
 
-def _rows_at_once(texts: list, limit: int = 4 << 20) -> Iterator[range]:
-    """Ranges of rows whose texts have about ``limit`` characters together."""
+def _rows_at_once(sizes: list, limit: int = 4 << 20) -> Iterator[range]:
+    """Ranges of rows whose sizes (null: none) are about ``limit`` together."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n or 0
         if size >= limit:
             yield range(start, i + 1)
             start, size = i + 1, 0
-    if start < len(texts):
-        yield range(start, len(texts))
+    if start < len(sizes):
+        yield range(start, len(sizes))
 
 
 def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -235,7 +245,7 @@ def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     the ids decode to (``decoded``).  Names that are taken get an underscore."""
     spark = docs.sparkSession
     ship_code(spark)
-    shared = _Shared(spark, load_spec(vocabulary))
+    shared = _Shared(spark, _text_of(vocabulary))
     ids_name, text_name = free_name(docs, "ids"), free_name(docs, "decoded")
     fields = list(docs.schema.fields) + [T.StructField(ids_name, T.ArrayType(T.IntegerType(), False))]
     if decode:
@@ -245,9 +255,9 @@ def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
     def run(batches):
         coder = _coder(shared)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for rows in _rows_at_once(texts):
-                ids = [coder.encode(texts[i]) for i in rows]
+            texts = batch.column(at)
+            for rows in _rows_at_once(pc.binary_length(texts).to_pylist()):
+                ids = [coder.encode(t) for t in texts.slice(rows.start, len(rows)).to_pylist()]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
@@ -257,4 +267,4 @@ def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
                     arrays.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(tidy(run), T.StructType(fields))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ from dqlens.session import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
+# glibc has it; elsewhere freed memory is the allocator's business
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
 
@@ -82,6 +91,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system.  Spark
+    keeps workers for the next task; what allocators hold for reuse would count
+    against the executor for as long."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` (batches -> batches, for ``mapInArrow`` and ``mapInPandas``), followed by ``give_back``."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added while the frame has such a column."""
     taken = {c.lower() for c in df.columns}

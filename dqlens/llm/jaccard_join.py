@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.llm import exchange as X
-from dqlens.llm.common import forget, mix64, ship_code, sized, stored
+from dqlens.llm.common import forget, mix64, ship_code, sized, stored, tidy
 from dqlens.session import session_conf
 
 GROUP = 64
@@ -285,7 +285,7 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
         if bodies:
             yield merged(bodies, id_type)
 
-    return rows.mapInArrow(scan, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, out)
+    return rows.mapInArrow(tidy(scan), schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), out)
 
 
 def gram_arrays(rows: DataFrame, width: int) -> DataFrame:
@@ -308,7 +308,7 @@ def gram_arrays(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s, pa.int64()), pa.array(to, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["s", "to", "n", "grams"])
-    return rows.select("text", "name", "s", "tos").mapInArrow(run, "s long, to long, n long, grams array<long>")
+    return rows.select("text", "name", "s", "tos").mapInArrow(tidy(run), "s long, to long, n long, grams array<long>")
 
 
 class Sets:
@@ -356,7 +356,7 @@ class Sets:
         sizes = self.table.select(F.col("s").alias("b"), F.col("n").alias("size_b"))
         both = pairs.select("a", "b").join(sizes, "b").join(self.sketches("a"), "a").where(
             F.least("n_a", "size_b") * den >= F.greatest("n_a", "size_b") * num).drop("size_b").join(self.sketches("b"), "b")
-        return stored(both.mapInArrow(near, "a long, b long"), "gram-close")
+        return stored(both.mapInArrow(tidy(near), "a long, b long"), "gram-close")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs whose similarity reaches the threshold: the n-grams of
@@ -475,7 +475,7 @@ def open_groups(shared: DataFrame, home: DataFrame, sets: Sets, links: DataFrame
         (F.col("rank") < F.col("top")) & (F.col("n_s") * den >= F.col("least_n") * num)
         & (F.col("most_n") * den >= F.col("n_s") * num))
     found = stored(probes.select("s", "n_s", "k_s", "least_n", "members", "sizes", "body").mapInArrow(
-        opened, "a long, b long"), "matrix-open")
+        tidy(opened), "a long, b long"), "matrix-open")
     ranks = lambda c: labelled.select(F.col("s").alias(c), F.col("rank").alias(f"rank_{c}"))
     pairs = stored(found.distinct().join(ranks("a"), "a").join(ranks("b"), "b").where("rank_a < rank_b").select("a", "b"),
                    "matrix-pairs")

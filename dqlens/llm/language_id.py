@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import ship_code
+from dqlens.llm.common import give_back, ship_code
 
 WINDOW = 192                 # bytes
 SAMPLE_PER_LANGUAGE = 1500   # rows
@@ -231,6 +231,7 @@ def predictor(model: ByteCNN | None):
             got, s = predict_texts(model, part)
             langs += got
             scores += list(s)
+        give_back()
         return pd.DataFrame({"lang": langs, "score": scores})
     return predict
 

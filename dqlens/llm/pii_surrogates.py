@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, ship_code, sized, stored
+from dqlens.llm.common import free_name, give_back, ship_code, sized, stored, tidy
 
 DEFAULT_KEY = "surrogate-key-1"
 #: draws in the entity's own format; later ones are lengthened
@@ -301,7 +301,7 @@ def detect(rows: DataFrame) -> DataFrame:
             found = [(r, k, e) for r, t in zip(batch["row"], batch["text"], strict=True)
                      for k, e in {x for _, _, k, m in mentions(t) for x in entities_of(k, m)}]
             yield pd.DataFrame(found, columns=["row", "kind", "entity"])
-    return rows.mapInPandas(run, "row bigint, kind string, entity string")
+    return rows.mapInPandas(tidy(run), "row bigint, kind string, entity string")
 
 
 def _drawn(key: str):
@@ -372,6 +372,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 continue
             new, at = replace(t, {(k["kind"], k["entity"]): k["new"] for k in known_})
             out.append((new, [{"start": a, "stop": b, "kind": k} for a, b, k in at]))
+        give_back()
         return pd.DataFrame(out, columns=["text", "spans"])
 
     made = free_name(joined, "made")

@@ -71,3 +71,26 @@ def test_awkward_rows(awkward, no_docs, library):
         assert r["ids_"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded_"] == (r["text"] or "")
     assert BPE.encode_frame(no_docs, VOCABULARY).count() == 0
+
+
+def test_pieces_met_lately_stay():
+    made = []
+    pieces = BPE._Pieces(lambda p: made.append(p) or (len(p),), 6)
+    for i in range(50):
+        assert pieces["often"] == (5,) and pieces[f"once {i}"] == (len(f"once {i}"),)
+        assert len(pieces) + len(pieces.before) <= 6
+    assert made.count("often") == 1
+
+
+def test_workers_get_the_vocabulary_as_text(spark):
+    """What it is parsed to is several times larger and goes once the coder stands."""
+    shared = BPE._Shared(spark, BPE._text_of(VOCABULARY))
+    assert isinstance(shared.value, str)
+    assert BPE.ByteBPE(BPE.json.loads(shared.value)).encode("a b") == BPE.ByteBPE(BPE.load_spec(VOCABULARY)).encode("a b")
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    from dqlens.llm import common
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and calls == [1]
