@@ -228,7 +228,7 @@ class _Shared:
         return self.broadcast.value
 
 
-def _rows_at_once(sizes: list, limit: int = 4 << 20) -> Iterator[range]:
+def _rows_at_once(sizes: list, limit: int = 1 << 20) -> Iterator[range]:
     """Ranges of rows whose sizes (null: none) are about ``limit`` together."""
     start, size = 0, 0
     for i, n in enumerate(sizes):
