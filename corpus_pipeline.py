@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet below the shared folder and read again as the next one's
-``docs``.  All but the last return the columns of ``documents``.
+``docs``.  All but the last return the columns of ``documents``.  Language ID and
+encoding, which send every text to Python, write their result themselves, with
+small batches: a task's texts in one batch took an executor beyond its memory.
 
 1. language_id: a byte convolutional network learns from the labelled rows of
    what it is given; documents without a letter, or whose language it is not
@@ -28,7 +30,7 @@ from dqlens.llm import jaccard_join as JJ
 from dqlens.llm import language_id as LID
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm import source_mixing as MX
-from dqlens.llm.common import free_name, read_table, sized, stored
+from dqlens.llm.common import forget, free_name, read_table, sized, small_batches, stored
 from dqlens.llm.queries import VOCABULARY
 
 #: mean probability of the predicted language below which a text is rejected
@@ -41,7 +43,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(LID.LETTER.pattern))
     name = free_name(docs, "found")
     found = LID.predicted(docs, model, F.col("text"), name)
-    return found.where((F.col(name)["lang"] != LID.UNKNOWN) & (F.col(name)["score"] >= MIN_SCORE)).drop(name)
+    kept = found.where((F.col(name)["lang"] != LID.UNKNOWN) & (F.col(name)["score"] >= MIN_SCORE)).drop(name)
+    with small_batches(spark):
+        return stored(kept, "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = PII.surrogates(docs).drop(free_name(docs, "entities"))
+    with small_batches(spark):
+        clean = PII.surrogates(docs).drop(free_name(docs, "entities"))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
@@ -62,7 +67,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = BPE.encode_frame(docs.select("doc_id", "text", "lang", "source"), VOCABULARY, decode=False)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    with small_batches(spark):
+        return stored(coded, "encoded")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("pii", pii),
@@ -75,5 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        found = stage(spark, docs, sf_dir)
+        # what a stage has written down itself is not written again
+        found = found if hasattr(found, "_dqlens_path") else stored(found, f"pipeline-{name}")
+        if hasattr(docs, "_dqlens_path"):
+            forget(docs)
+        docs = found
     return docs

@@ -6,7 +6,8 @@ import ctypes
 import re
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dqlens
-from dqlens.session import scratch_path
+from dqlens.session import scratch_path, session_conf
 
 #: a word: a run of characters other than space and the ASCII control spaces
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -91,6 +92,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Spark's own limit is 64 MB: a task's texts then reach Python as one batch
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within the block rows go to Python about 2 MB at a time, however long they
+    are.  What leaves it must be written down: a plan that runs later has the
+    caller's limit."""
+    with session_conf(spark, *BATCH_BYTES):
+        yield
+
+
 def give_back() -> None:
     """Hand memory that this Python worker has freed back to the system.  Spark
     keeps workers for the next task; what allocators hold for reuse would count

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqlens.llm import exchange as X
-from dqlens.llm.common import forget, mix64, ship_code, sized, stored, tidy
+from dqlens.llm.common import forget, mix64, ship_code, sized, small_batches, stored, tidy
 from dqlens.session import session_conf
 
 GROUP = 64
@@ -486,7 +486,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """Per row: id, n_shingles (size of its set), component_id (smallest id
     that its links reach, itself included)."""
-    with session_conf(docs.sparkSession, *FEW_ROWS):
+    with session_conf(docs.sparkSession, *FEW_ROWS), small_batches(docs.sparkSession):
         return _components(docs, id_col, text_col, width, threshold)
 
 

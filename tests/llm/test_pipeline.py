@@ -1,8 +1,10 @@
 import corpus_pipeline as C
+import pyarrow as pa
 from conftest import SF_SMALL
 from llm.test_jaccard_join import plain as all_pairs
 from tokenizers import Tokenizer
 
+from dqlens.llm import jaccard_join as JJ
 from dqlens.llm import pii_surrogates as PII
 from dqlens.llm.common import stored
 from dqlens.llm.queries import VOCABULARY
@@ -66,3 +68,49 @@ def test_no_labels_keep_every_text_with_a_letter(spark, awkward):
     assert kept.columns == docs.columns
     assert sorted(r["text"] for r in kept.collect()) == sorted(
         r["text"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Each task is one batch of some 12 MB by Spark's own limits."""
+    from pyspark.sql import functions as F
+
+    from dqlens.llm import common
+    limit = int(common.BATCH_BYTES[1])
+    docs = stored(spark.range(8000, numPartitions=2).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("mail jane.doe@mail.example.com "), F.repeat(F.lit("the word "), 350)).alias("text"),
+        F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"), F.lit("a").alias("source")), "test-large")
+
+    def sizes():
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+        return [r["bytes"] for r in docs.mapInArrow(run, "bytes long").collect()]
+
+    assert max(sizes()) > 8 << 20
+    met = []
+    for module in (C, PII, JJ):
+        def written(df, name, at=module.__name__):
+            met.append((at, name, spark.conf.get(common.BATCH_BYTES[0])))
+            return stored(df, name)
+        monkeypatch.setattr(module, "stored", written)
+    before = spark.conf.get(common.BATCH_BYTES[0])
+    few = docs.limit(300)
+    for name, stage in C.STAGES:
+        if name != "mix":
+            stage(spark, few, "")
+    assert {n for at, n, v in met if v == common.BATCH_BYTES[1]} >= {"kept", "encoded", "gram-sets", "matrix-open", "pii-found"}
+    assert spark.conf.get(common.BATCH_BYTES[0]) == before
+    with common.small_batches(spark):
+        assert max(sizes()) < limit + 10_000
+
+
+def test_run_writes_each_stage_once_and_keeps_the_last_result(spark, monkeypatch):
+    from dqlens.session import shared_root
+    written, gone = [], []
+    real_stored, real_forget = C.stored, C.forget
+    monkeypatch.setattr(C, "stored", lambda df, name: written.append(name) or real_stored(df, name))
+    monkeypatch.setattr(C, "forget", lambda *t: gone.extend(d._dqlens_path for d in t) or real_forget(*t))
+    out = C.run(spark, SF_SMALL)
+    assert written == ["kept", "duplicates", "pipeline-near_duplicates", "pipeline-pii", "pipeline-mix", "encoded"]
+    assert len(gone) == 4 and all(p.startswith(shared_root(spark)) for p in gone)
+    assert out._dqlens_path not in gone and out.count() > 0
