@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, ship_code, tidy
+from dqlens.llm.common import free_name, kept, ship_code, tidy
 
 CACHE_PIECES = 200_000
 
@@ -204,15 +204,9 @@ def load_spec(path: str) -> dict:
     return json.loads(_text_of(path))
 
 
-_MADE: dict[str, ByteBPE] = {}
-
-
 def _coder(shared) -> ByteBPE:
     """One coder per Python worker, kept across tasks."""
-    if shared.id not in _MADE:
-        _MADE.clear()
-        _MADE[shared.id] = ByteBPE(json.loads(shared.value))
-    return _MADE[shared.id]
+    return kept(shared.id, lambda: ByteBPE(json.loads(shared.value)))
 
 
 class _Shared:
@@ -267,4 +261,4 @@ def encode_frame(docs: DataFrame, vocabulary: str, text_col: str = "text", decod
                     arrays.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
-    return docs.mapInArrow(tidy(run), T.StructType(fields))
+    return docs.mapInArrow(tidy(run, shared.id), T.StructType(fields))

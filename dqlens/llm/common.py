@@ -114,9 +114,29 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` (batches -> batches, for ``mapInArrow`` and ``mapInPandas``), followed by ``give_back``."""
+_KEPT: dict = {}
+
+
+def kept(key: str, make: Callable):
+    """What ``make`` returns, made once per Python worker and kept until another
+    key is asked for or a task that does not keep it begins (``let_go``)."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go(but: str | None = None) -> None:
+    """Drop what tasks of another kind have left in this Python worker."""
+    for key in [k for k in _KEPT if k != but]:
+        del _KEPT[key]
+
+
+def tidy(run: Callable, keeps: str | None = None) -> Callable:
+    """``run`` (batches -> batches, for ``mapInArrow`` and ``mapInPandas``) in a worker that
+    has ``kept`` nothing but ``keeps``, followed by ``give_back``."""
     def tidied(batches):
+        let_go(keeps)
         try:
             yield from run(batches)
         finally:

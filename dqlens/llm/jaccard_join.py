@@ -67,6 +67,7 @@ GROUP_BYTES = 8192
 # texts, sketches and n-grams go to Python and back a few rows at a time
 FEW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 FLUSH = 500_000              # tokens that a task holds before it sends them on
+WORDS = 60_000               # whose hashes a task holds; beyond that they start anew
 PART_BITS = 32               # of a token within its part; a chance match is one more candidate
 
 
@@ -77,7 +78,7 @@ class Shingler:
                         0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
     def __init__(self, width: int):
-        self.width, self.hashes = width, X.WordHashes()
+        self.width, self.hashes = width, X.WordHashes(WORDS)
 
     def factor(self, k: int) -> np.uint64:
         return self.FACTORS[k] if k < len(self.FACTORS) else mix64(np.array([k + 1], np.uint64))[0] | np.uint64(1)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import give_back, ship_code
+from dqlens.llm.common import give_back, let_go, ship_code
 
 WINDOW = 192                 # bytes
 SAMPLE_PER_LANGUAGE = 1500   # rows
@@ -226,6 +226,7 @@ def predictor(model: ByteCNN | None):
     """Pandas UDF text -> struct(lang, score)."""
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(text: pd.Series) -> pd.DataFrame:
+        let_go()
         langs, scores = [], []
         for part in _chunks(text.tolist()):
             got, s = predict_texts(model, part)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqlens.llm.common import free_name, give_back, ship_code, sized, stored, tidy
+from dqlens.llm.common import free_name, give_back, let_go, ship_code, sized, small_batches, stored, tidy
 
 DEFAULT_KEY = "surrogate-key-1"
 #: draws in the entity's own format; later ones are lengthened
@@ -356,7 +356,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`")
     plain = docs.where(~may_have(text)).withColumn(name, F.array().cast(spans))
     marked = docs.where(may_have(text)).withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), text))
-    found = stored(detect(marked.select(F.col(row).alias("row"), text.alias("text"))).distinct(), "pii-found")
+    with small_batches(docs.sparkSession):
+        found = stored(detect(marked.select(F.col(row).alias("row"), text.alias("text"))).distinct(), "pii-found")
     table = assign(found, key)
     known_row, known_name = free_name(marked, "known_row"), free_name(marked, "known")
     known = found.join(table, ["kind", "entity"]).groupBy(F.col("row").alias(known_row)).agg(
@@ -365,6 +366,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", spans)]))
     def replaced(texts: pd.Series, knowns: pd.Series) -> pd.DataFrame:
+        let_go()
         out = []
         for t, known_ in zip(texts, knowns, strict=True):
             if known_ is None or not len(known_):
@@ -379,4 +381,5 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with_pii = joined.withColumn(made, replaced(text, F.col(f"`{known_name}`")))
     with_pii = with_pii.select(*[F.col(made)["text"].alias(c) if c == text_col else F.col(f"`{c}`")
                                  for c in cols], F.col(made)["spans"].alias(name))
-    return with_pii.unionByName(plain)
+    with small_batches(docs.sparkSession):
+        return stored(with_pii, "pii-replaced").unionByName(plain)

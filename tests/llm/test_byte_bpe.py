@@ -94,3 +94,13 @@ def test_memory_goes_back_when_a_task_ends(monkeypatch):
     calls = []
     monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
     assert list(common.tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and calls == [1]
+
+
+def test_a_coder_stays_for_its_own_tasks_only(spark):
+    from dqlens.llm import common
+    shared = BPE._Shared(spark, BPE._text_of(VOCABULARY))
+    coder = BPE._coder(shared)
+    same = common.tidy(lambda batches: (BPE._coder(shared) for _ in batches), shared.id)
+    assert list(same([1])) == [coder] and BPE._coder(shared) is coder
+    assert list(common.tidy(lambda batches: batches)([1])) == [1]
+    assert not common._KEPT

@@ -98,7 +98,7 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     for name, stage in C.STAGES:
         if name != "mix":
             stage(spark, few, "")
-    assert {n for at, n, v in met if v == common.BATCH_BYTES[1]} >= {"kept", "encoded", "gram-sets", "matrix-open", "pii-found"}
+    assert {n for at, n, v in met if v == common.BATCH_BYTES[1]} >= {"kept", "encoded", "gram-sets", "matrix-open", "pii-found", "pii-replaced"}
     assert spark.conf.get(common.BATCH_BYTES[0]) == before
     with common.small_batches(spark):
         assert max(sizes()) < limit + 10_000
