@@ -14,7 +14,10 @@ reaches a threshold.  Documents with equal sets are one set from the start.
    token's sets is its pivot.  Every set is compared with its pivots: that
    finds nearly all links of a cluster with one comparison per set.
 3. Matrix.  What could still link are sets that share a token but are in
-   different components so far.  The sets of a pivot form groups of about
+   different components so far.  Not every token counts: sets that link agree on
+   more stretches than the one that is needed, so each set leaves out as many of its
+   most common tokens as it can spare, all by one order (``Sets.rarest``).  A passage that
+   thousands of documents share mostly goes with those.  The sets of a pivot form groups of about
    ``GROUP`` sets of one size class, and each group is stored with the outline of
    its token union.  A set is held against the groups of the pivots it shares a token
    with: if what it can share with the union is below what a link with the group's
@@ -36,7 +39,9 @@ No group is collected whole: document rows pass the shuffle of the tokens one by
 one, a group has a bounded number of sets, pivots and counts are aggregates, and
 a cluster with a third of all rows costs one comparison per set and one union
 check per set and group it is not linked to.  Sets are named by 128 bits of two
-hashes; n-grams are told apart by 64.
+hashes; n-grams are told apart by 64.  With its tokens travel 48 bits of a set's name,
+since at large inputs each part gets a name for nearly every token; sets that agree in
+those become candidates together (that two sets that link do is a chance of 1 in 2^48).
 
 Defined cases: fewer words than ``width``: the whole word sequence is the one
 n-gram; no words or a null text: empty set, linked with nothing, its
@@ -54,7 +59,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +74,7 @@ FEW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 FLUSH = 500_000              # tokens that a task holds before it sends them on
 WORDS = 60_000               # whose hashes a task holds; beyond that they start anew
 PART_BITS = 32               # of a token within its part; a chance match is one more candidate
+SHORT = 6                    # bytes of a set's name that travel with its tokens
 
 
 class Shingler:
@@ -157,19 +163,26 @@ class Stretches:
         return self.edges[c]
 
     def tokens(self, grams: np.ndarray) -> np.ndarray:
+        return self.tokens_and_free(grams)[0]
+
+    def tokens_and_free(self, grams: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Of k + 1 + spare stretches, two sets that link agree on spare + 1.
         If either has at most ``spare`` empty ones, they agree on one that is
-        not empty; so only sets with more name their empty stretches."""
+        not empty; so only sets with more name their empty stretches.  Bit 0 of
+        a token tells even from odd classes; for both, how many of its tokens a
+        set could go without and still agree on one (none if it names empty ones)."""
         c = bisect_right(self.low, len(grams)) - 1
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(grams + np.uint64(77)), dtype=np.uint64)])
-        out = []
+        out, free = [], [0, 0]
         for j in (c, c + 1):
             edges, salts, spare = self.cut(j)
             at = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
             token = mix64((sums[at[1:]] - sums[at[:-1]]) ^ salts)
+            token = (token & ~np.uint64(1)) | np.uint64(j & 1)
             full = at[1:] > at[:-1]
+            free[j & 1] = max(0, spare - int(len(full) - full.sum()))
             out.append(token if len(full) - full.sum() > spare else token[full])
-        return np.concatenate(out)
+        return np.concatenate(out), free
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +192,15 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[new], b[new]
 
 
-def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, s, sketch, token): one row per document with token null, and one
-    per shared token and set (token, s) with its weight as n."""
+def token_messages(rows: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
+    """(part, payload, id, n, s, sketch, even, odd): a row per document with a part
+    below 0, and a message with tokens to each of ``parts``."""
     ship_code(rows.sparkSession)
-    parts = X.n_parts(rows)
     id_field = rows.schema["id"]
     long, binary = T.LongType(), T.BinaryType()
     schema = T.StructType([T.StructField("part", long), T.StructField("payload", binary), id_field,
-                           T.StructField("n", long), T.StructField("s", binary), T.StructField("sketch", binary)])
+                           T.StructField("n", long), T.StructField("s", binary), T.StructField("sketch", binary),
+                           T.StructField("even", long), T.StructField("odd", long)])
     names = schema.fieldNames()
 
     def scan(batches):
@@ -195,9 +208,14 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
         held, size, known, id_type, turn = [], 0, {}, None, 0
 
         def send():
-            key = np.frombuffer(b"".join(known), np.uint64).reshape(-1, 2)
+            # sets are numbered in the order of their short names, which then differ by little
+            short = np.frombuffer(b"".join(known), np.uint64)[::2] & np.uint64((1 << 8 * SHORT) - 1)
+            order = np.argsort(short)
+            number = np.empty(len(short), np.uint32)
+            number[order] = np.arange(len(short))
+            short = short[order]
             tokens = np.concatenate([t for t, _ in held])
-            sets = np.repeat(np.array([k for _, k in held], np.uint32), [len(t) for t, _ in held])
+            sets = np.repeat(number[[k for _, k in held]], [len(t) for t, _ in held])
             low = np.uint64((1 << PART_BITS) - 1)
             tokens = (((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(PART_BITS)) | (tokens & low)
             order = np.argsort(tokens)
@@ -207,15 +225,16 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             found = np.flatnonzero(np.diff(ends))
             body = []
             for p in found:
-                # the sets' names once per message, tokens point to them
+                # the sets' names once per message, tokens point to them; both as differences
                 used, at = np.unique(sets[ends[p]:ends[p + 1]], return_inverse=True)
-                body.append(X.pack(tokens[ends[p]:ends[p + 1]], at.astype(np.uint32), key[used, 0], key[used, 1]))
-            empty = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.binary(), pa.binary())]
+                body.append(X.pack(np.diff(tokens[ends[p]:ends[p + 1]], prepend=np.uint64(0)), at.astype(np.uint32),
+                                   np.diff(short[used], prepend=np.uint64(0))))
+            empty = [pa.nulls(len(found), t) for t in (id_type, pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(body, pa.binary()), *empty], names)
 
         for batch in batches:
             ids, id_type = batch.column(0), batch.column(0).type
-            n, s, sketches = [], [], []
+            n, s, sketches, free = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingler.of(text)
                 name = shingler.key(grams)
@@ -223,39 +242,48 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 s.append(name)
                 sketches.append(sketch(grams))
                 if len(grams) and name not in known:        # copies in a task are one set
-                    held.append((stretches.tokens(grams), len(known)))
-                    known[name] = len(known)
-                    size += len(held[-1][0])
+                    tokens, known[name] = stretches.tokens_and_free(grams)
+                    held.append((tokens, len(known) - 1))
+                    size += len(tokens)
+                free.append(known[name] if len(grams) else [0, 0])
             # document rows only pass: they go before the parts, dealt out evenly
             own = -1 - (turn + np.arange(len(n))) % parts
             turn += len(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own), pa.nulls(len(n), pa.binary()), ids, pa.array(n, pa.int64()),
-                 pa.array(s, pa.binary()), pa.array(sketches, pa.binary())], names)
+                 pa.array(s, pa.binary()), pa.array(sketches, pa.binary()),
+                 *(pa.array([f[k] for f in free], pa.int64()) for k in (0, 1))], names)
             if size >= FLUSH:
                 yield send()
                 held, size, known = [], 0, {}
         if held:
             yield send()
 
-    out = T.StructType([*schema.fields[2:], T.StructField("token", long)])
+    return rows.mapInArrow(tidy(scan), schema)
+
+
+def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(id, n, s, sketch, even, odd, token, sets): one row per document with token
+    null, and one per shared token and set, with the first ``SHORT`` bytes of the
+    set's name as s, the token's weight as n and the number of its sets."""
+    parts = X.n_parts(rows)
+    messages = token_messages(rows, width, num, den, parts)
+    long = T.LongType()
+    out = T.StructType([*messages.schema.fields[2:], T.StructField("token", long), T.StructField("sets", long)])
 
     def merged(bodies: list[bytes], id_type) -> pa.RecordBatch:
-        got = [X.unpack(p, np.uint64, np.uint32, np.uint64, np.uint64) for p in bodies]
-        low, high = (np.concatenate([g[k] for g in got]) for k in (2, 3))
-        order = np.lexsort((high, low))                     # the same set in several messages
-        new = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-        dense = np.empty(len(low), np.int64)
-        dense[order] = np.cumsum(new) - 1
-        low, high = low[order][new], high[order][new]
+        got = [X.unpack(p, np.uint64, np.uint32, np.uint64) for p in bodies]
+        # the same set in several messages
+        short, dense = np.unique(np.concatenate([np.cumsum(g[2], dtype=np.uint64) for g in got]), return_inverse=True)
         starts = np.cumsum([0, *(len(g[2]) for g in got)])
-        tokens, sets = _distinct_pairs(np.concatenate([g[0] for g in got]),
+        tokens, sets = _distinct_pairs(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]),
                                        np.concatenate([dense[start + g[1]] for start, g in zip(starts, got)]))
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         size = np.diff(np.concatenate([first, [len(tokens)]]))
-        # tokens with the same sets say the same: one stands for all, named by
-        # its sets and weighted by their number
-        name = mix64(np.add.reduceat(mix64(low ^ mix64(high))[sets], first))
+        # tokens of a kind (bit 0) with the same sets say the same: one stands for
+        # all, named by kind and sets and weighted by their number
+        kind = tokens[first] & np.uint64(1)
+        name = (mix64(np.add.reduceat(mix64(short)[sets], first)) & ~np.uint64(1)) | kind
         _, where, times = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True, return_counts=True)
         chosen = np.zeros(len(first), np.int64)
         chosen[where] = times
@@ -263,11 +291,12 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
         weight = np.repeat(chosen, size)
         kept = weight > 0
         sets, weight = sets[kept], weight[kept]
-        both = np.stack([low[sets], high[sets]], axis=1).tobytes()
-        s = pa.array([both[i:i + 16] for i in range(0, len(both), 16)], pa.binary())
+        bodies = np.ascontiguousarray(short[sets].view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+        s = pa.array([bodies[i:i + SHORT] for i in range(0, len(bodies), SHORT)], pa.binary())
         return pa.RecordBatch.from_arrays(
             [pa.nulls(len(sets), id_type), pa.array(weight), s, pa.nulls(len(sets), pa.binary()),
-             pa.array(np.repeat(name, size)[kept].view(np.int64))], out.fieldNames())
+             *(pa.nulls(len(sets), pa.int64()) for _ in range(2)), pa.array(np.repeat(name, size)[kept].view(np.int64)),
+             pa.array(np.repeat(size, size)[kept])], out.fieldNames())
 
     def merge(batches):
         part, bodies, id_type = None, [], None
@@ -275,7 +304,7 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             id_type = batch.column(2).type
             alone = batch.filter(pa.compute.is_null(batch.column(1)))
             if alone.num_rows:
-                yield pa.RecordBatch.from_arrays([*alone.columns[2:], pa.nulls(alone.num_rows, pa.int64())], out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*alone.columns[2:], *(pa.nulls(alone.num_rows, pa.int64()) for _ in range(2))], out.fieldNames())
             for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if body is not None:
                     if p != part and bodies:
@@ -286,7 +315,7 @@ def set_table(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
         if bodies:
             yield merged(bodies, id_type)
 
-    return rows.mapInArrow(tidy(scan), schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), out)
+    return messages.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), out)
 
 
 def gram_arrays(rows: DataFrame, width: int) -> DataFrame:
@@ -318,10 +347,11 @@ class Sets:
 
     def __init__(self, rows: DataFrame, table: DataFrame, width: int, num: int, den: int):
         self.rows, self.width, self.num, self.den = rows, width, num, den
-        named = table.where("token IS NOT NULL").select("s").distinct()
-        self.table = stored(table.where("token IS NULL").join(named, "s", "left_semi").groupBy(F.col("s").alias("name")).agg(
-            F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).withColumn(
-            "s", F.monotonically_increasing_id()), "gram-chosen")
+        named = table.where("token IS NOT NULL").select(F.col("s").alias("short")).distinct()
+        self.table = stored(table.where("token IS NULL").withColumn("short", F.substring("s", 1, SHORT)).join(
+            named, "short", "left_semi").groupBy(F.col("s").alias("name")).agg(
+            F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"),
+            F.max("even").alias("even"), F.max("odd").alias("odd")).withColumn("s", F.monotonically_increasing_id()), "gram-chosen")
 
     def arrays(self, wanted: DataFrame) -> DataFrame:
         """``gram_arrays`` of (s, tos), from one text of each set."""
@@ -337,6 +367,16 @@ class Sets:
             return arrays
         return stored(arrays.dropDuplicates(["s"]), "gram-arrays")
 
+    def rarest(self, shared: DataFrame) -> DataFrame:
+        """(token, s) without the tokens of most sets that each set can go without.
+        Sets that link agree on one more token than either leaves out here; as all
+        go by one order, of those that they agree on the rarest stays with both."""
+        by = Window.partitionBy("s", "odd_token").orderBy(F.desc("sets"), "token").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return shared.join(self.table.select("s", "even", "odd"), "s").withColumn(
+            "odd_token", F.col("token").bitwiseAND(F.lit(1).cast("long")) == 1).withColumn("up_to", F.sum("weight").over(by)).where(
+            F.col("up_to") > F.when(F.col("odd_token"), F.col("odd")).otherwise(F.col("even"))).select("token", "s")
+
     def sketches(self, name: str) -> DataFrame:
         return self.table.select(F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"k_{name}"))
 
@@ -433,7 +473,7 @@ def open_groups(shared: DataFrame, home: DataFrame, sets: Sets, links: DataFrame
         F.pmod(F.xxhash64("s", F.lit("group")), F.col("n_groups")).alias("g")), "matrix-sets")
 
     # tokens whose sets are in several components; which pivots such a set must ask
-    marked = shared.join(labelled.select("s", "home", "rank"), "s")
+    marked = sets.rarest(shared).join(labelled.select("s", "home", "rank"), "s")
     mixed = marked.groupBy("token").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi")
     homes_of = marked.select("token", F.col("home").alias("other")).distinct()
     asks = mixed.join(marked, "token").where(F.col("rank") < F.col("hi")).select("token", "s", "rank") \
@@ -480,6 +520,7 @@ def open_groups(shared: DataFrame, home: DataFrame, sets: Sets, links: DataFrame
     ranks = lambda c: labelled.select(F.col("s").alias(c), F.col("rank").alias(f"rank_{c}"))
     pairs = stored(found.distinct().join(ranks("a"), "a").join(ranks("b"), "b").where("rank_a < rank_b").select("a", "b"),
                    "matrix-pairs")
+    forget(labelled, asks, groups, found)
     return sets.linked(pairs)
 
 
@@ -497,8 +538,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
     table = stored(set_table(rows, width, num, den), "gram-sets")
     sets = Sets(rows, table, width, num, den)
     names = sets.table.select(F.col("name").alias("s"), F.col("s").alias("sid"))
-    shared = stored(table.where("token IS NOT NULL").select("token", "s", "n").join(names, "s").groupBy(
-        "token", F.col("sid").alias("s")).agg(F.sum("n").alias("weight")), "gram-shared")
+    shorts = sets.table.select(F.substring("name", 1, SHORT).alias("short"), F.col("s").alias("sid"))
+    tokens = table.where("token IS NOT NULL").select("token", F.col("s").alias("short"), "n", "sets")
+    shared = stored(tokens.join(shorts, "short").groupBy("token", F.col("sid").alias("s")).agg(
+        F.sum("n").alias("weight"), F.max("sets").alias("sets")), "gram-shared")
     found = stored(table.where("token IS NULL").select("id", "n", "s").join(names, "s", "left"), "gram-documents")
     forget(table)
 
@@ -512,6 +555,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, thresho
 
     first = sets.links(to_pivot.select(F.col("s").alias("a"), F.col("pivot").alias("b")).where("a != b"))
     label = components(first.union(open_groups(shared, home, sets, first)))
+    forget(shared, to_pivot, sets.table)
 
     # a set that shares no token is a component by itself
     whole = found.join(label, found["sid"] == label["s"], "left").select(
